@@ -33,7 +33,9 @@ def _order_bucket(y: Column) -> Column:
     """Integer that never decreases with y: 4,096 steps per power of two.  The
     number of distinct buckets depends on the range of y, not on the rows."""
     step = F.floor(F.log2(F.abs(y)) * 4096) + F.lit(1 << 24)
-    return F.when(y > 0, step).when(y < 0, -step).otherwise(F.lit(0).cast("bigint"))
+    bucket = F.when(y > 0, step).when(y < 0, -step).otherwise(F.lit(0).cast("bigint"))
+    # never NULL, so that no null filter is pushed down to repeat the expression
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
 def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] = (),
@@ -46,8 +48,8 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
     """
     keys = list(keys)
     y = F.col(value)
-    rows = rows.where(y.isNotNull()).select(*keys, value, _order_bucket(y).alias("_b"))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.select(*keys, value, _order_bucket(y).alias("_b"))
+    hist = rows.groupBy(*keys, "_b").agg(F.count(value).alias("_n"))
     run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumns({
         "_cum": F.sum("_n").over(run),
@@ -57,7 +59,7 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
     wanted = wanted.select(*keys, "_b", (F.col("_cum") - F.col("_n")).alias("_start"), "_pos")
     limit = 2 * (1 if not keys else max_groups) if (not keys or max_groups) else None
     near = (rows.join(bounded(wanted, limit), [*keys, "_b"])
-            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(F.lit(1)).alias("_n")))
+            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n")))
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_cum", F.col("_start") + F.sum("_n").over(inside))
     ends = near.groupBy(*keys).agg(

@@ -203,7 +203,7 @@ def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFr
 
 def check_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long form: one row per experiment and check."""
-    return report.select(*keys, F.inline("checks"))
+    return report.select(*keys, F.inline_outer("checks"))
 
 
 def to_markdown(report: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from trialspark.operators import assign, replay
 from trialspark.operators.groupstats import attach
 from trialspark.plans import audit, health
 from trialspark.reports import tidy
-from trialspark.sources.units import day_number, order_units, table, with_code
+from trialspark.sources.units import coded_orders, day_number, spread, table, with_code
 
 N_EXPERIMENTS = 40
 CHECKED = ("converted", "visit", "engaged")
@@ -24,7 +24,7 @@ EXPERIMENT = ("experiment_id",)
 
 def many_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders randomized into forty concurrent experiments, each with a design."""
-    units = with_code(order_units(spark, sf_dir, customers=True)).drop("arm")
+    units = coded_orders(spark, sf_dir, customers=True).drop("arm")
     grid = [{"experiment_id": e, "treat_share": 0.5, **{k: 0.0 for k in ("lift", "novelty_boost", "srm_drop_rate",
              "whale_rate")}, "novelty_halflife": 3.0, "whale_multiplier": 50.0, **DESIGNS[e % len(DESIGNS)]}
             for e in range(N_EXPERIMENTS)]
@@ -75,7 +75,7 @@ CARD_REPLAYS = 8
 def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fires on clean and on broken experiments.  Only the
     whale scenario hands its revenue to the checker."""
-    units = with_code(order_units(spark, sf_dir, customers=True)).drop("arm")
+    units = coded_orders(spark, sf_dir, customers=True).drop("arm")
     cases = [{"scenario": c["scenario"], **CARD_NEUTRAL, **c} for c in CARD_CASES]
     rows = replay.over_scenarios(units, cases, CARD_REPLAYS)
     rows = rows.where(assign.uniform(F.col("code"), "sample", F.col("replay")) < F.col("traffic_share"))
@@ -98,11 +98,12 @@ def audit_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     day = day_number(F.col("o_orderdate"), "1995-01-01")
-    return with_code(orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+    units = with_code(orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         F.col("o_orderkey").alias("unit_id"), F.floor(day / PERIOD_DAYS).cast("int").alias("quarter"),
         (day % 14).cast("int").alias("day"), "segment", F.col("o_totalprice").alias("amount"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("converted"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("engaged")))
+    return spread(units, orders)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators import panels, replay, sequential
 from trialspark.reports import tidy
-from trialspark.sources.units import event_units, order_units, with_code
+from trialspark.sources.units import coded_orders, event_units, order_units
 
 TAU = 0.0025
 
@@ -42,17 +42,17 @@ def msprt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stopping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First crossing per rule for re-randomized experiments with a +30% effect."""
-    looks = replay.replay_looks(with_code(order_units(spark, sf_dir)), 40, [{"lift": 0.3}])
+    looks = replay.replay_looks(coded_orders(spark, sf_dir), 40, [{"lift": 0.3}])
     return tidy(sequential.stopping_rules(looks, ["replay"], 14, 2.1053, TAU))
 
 
 def obf_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looks = replay.replay_looks(with_code(order_units(spark, sf_dir)), 100, [{"lift": 0.0}])
+    looks = replay.replay_looks(coded_orders(spark, sf_dir), 100, [{"lift": 0.0}])
     return tidy(sequential.obf_calibration(looks, ["replay"], 14))
 
 
 def msprt_tau_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(replay.msprt_tau_grid(with_code(order_units(spark, sf_dir)), 40, rel_lift=0.3))
+    return tidy(replay.msprt_tau_grid(coded_orders(spark, sf_dir), 40, rel_lift=0.3))
 
 
 QUERIES = {f.__name__: f for f in (cumulative_looks, look_zscores, obf_boundaries, msprt, stopping_rules,

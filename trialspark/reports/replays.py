@@ -9,11 +9,11 @@ from trialspark.operators import assign, panels, replay
 from trialspark.operators.assign import subset_units
 from trialspark.reports import tidy
 from trialspark.reports.tests import METRICS, metric_units
-from trialspark.sources.units import (customer_units, event_units, line_units, order_units, with_code)
+from trialspark.sources.units import coded_orders, customer_units, event_units, line_units, order_units, with_code
 
 
 def _orders(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return with_code(order_units(spark, sf_dir, **kw))
+    return coded_orders(spark, sf_dir, **kw)
 
 
 def aa_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,10 @@ def aa_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INJECTED = (
     {"scenario": "lift", "lift": 0.2}, {"scenario": "harm", "lift": -0.2},
-    {"scenario": "novelty", "novelty_boost": 0.6}, {"scenario": "drop", "srm_drop_rate": 0.1},
-    {"scenario": "whale", "whale_rate": 0.05},
-    {"scenario": "ramp", "ramp_days": 3}, {"scenario": "sale", "daily_base": [0.12] * 3 + [0.04] * 11},
+    {"scenario": "novelty", "novelty_boost": 0.6, "novelty_halflife": 3.0, "lift": 0.0},
+    {"scenario": "drop", "srm_drop_rate": 0.1}, {"scenario": "whale", "whale_rate": 0.05, "whale_multiplier": 50.0},
+    {"scenario": "ramp", "ramp_days": 3, "ramp_treat_share": 0.1},
+    {"scenario": "sale", "daily_base": [0.12] * 3 + [0.04] * 11},
 )
 
 

@@ -9,8 +9,8 @@ from trialspark.operators import adjust, hypothesis, multiplicity, panels, plann
 from trialspark.operators.assign import assign_arms
 from trialspark.reports import tidy
 from trialspark.reports.tables import LINE_COVARIATES
-from trialspark.sources.units import (customer_units, event_units, line_units, order_units, table,
-                                      three_arm_units, with_code)
+from trialspark.sources.units import (coded_orders, customer_units, event_units, line_units, order_units, table,
+                                      three_arm_units)
 
 
 def _treat(units: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def srm_check_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = with_code(order_units(spark, sf_dir))
+    units = coded_orders(spark, sf_dir)
     return tidy(hypothesis.bootstrap_diff_ci(units, "revenue", n_boot=200), 3)
 
 
@@ -83,12 +83,12 @@ def top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ks_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = replay.replay_pvalues(with_code(order_units(spark, sf_dir)), 200)
+    p = replay.replay_pvalues(coded_orders(spark, sf_dir), 200)
     return tidy(hypothesis.ks_uniform(p))
 
 
 def ci_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = with_code(order_units(spark, sf_dir))
+    units = coded_orders(spark, sf_dir)
     return tidy(replay.known_effect_coverage(units, (0.0, 0.05, 0.10, 0.20), 40))
 
 
@@ -168,8 +168,7 @@ METRICS = tuple(
 
 def metric_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order units with twenty 0/1 metrics."""
-    units = order_units(spark, sf_dir)
-    return with_code(units).select("unit_id", "code", "arm",
+    return coded_orders(spark, sf_dir).select("unit_id", "code", "arm",
                                    *[F.expr(c).cast("int").alias(n) for n, c in METRICS])
 
 
