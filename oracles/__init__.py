@@ -1,5 +1,13 @@
 """Reference SQL for the named reports, written for DuckDB."""
 
+from importlib import import_module
+
 
 def all_sql() -> dict[str, str]:
-    return {}
+    out = {}
+    for name in ("tables", "tests", "monitoring", "decisions", "replays"):
+        try:
+            out.update(import_module(f"oracles.{name}").SQL)
+        except ModuleNotFoundError:
+            continue
+    return out

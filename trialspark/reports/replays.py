@@ -43,7 +43,7 @@ def inject_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"),
             F.sum("revenue").alias("revenue"))
         out = sums if out is None else out.unionByName(sums)
-    return tidy(out, revenue=1)
+    return tidy(out, revenue=2)
 
 
 def peeking_by_looks(spark: SparkSession, sf_dir: str) -> DataFrame:

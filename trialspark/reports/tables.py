@@ -34,7 +34,7 @@ def read_units_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = ingest.read_units_csv(spark, path, CSV_SCHEMA, narrow=("day", "converted"), partitions=8)
     return tidy(units.groupBy("arm", "day").agg(
         F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"),
-        F.sum("amount").alias("amount")), amount=1)
+        F.sum("amount").alias("amount")), amount=2)
 
 
 def read_units_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
