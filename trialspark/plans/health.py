@@ -80,7 +80,7 @@ def multiple_testing_flag(pvalues: DataFrame, keys: Sequence[str], test: str = "
 
 
 def p_text(p: Column) -> Column:
-    return F.when(p < 0.001, F.format_string("%.1e", p)).otherwise(F.format_string("%.3f", p))
+    return F.when(p < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", p))
 
 
 def pct(x: Column) -> Column:
