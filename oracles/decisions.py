@@ -194,6 +194,11 @@ def _sens(p: str, target: str) -> str:
 SQL = {
     "health_checks": HEALTH + 'SELECT experiment_id, check_no::BIGINT AS check_no, "check", status, detail FROM c',
     "health_verdict": HEALTH + f"SELECT experiment_id, {COUNTS}, {RESULT}, verdict, verdict = 'SHIP' AS ship FROM w",
+    "health_markdown": HEALTH + f""", t AS (SELECT experiment_id, string_agg('| ' || "check" || ' | ' || CASE status WHEN 'red' THEN '🔴' WHEN 'yellow' THEN '🟡'
+        ELSE '🟢' END || ' | ' || detail || ' |', chr(10) ORDER BY check_no) AS lines FROM c GROUP BY experiment_id)
+        SELECT experiment_id, verdict, '**Verdict: ' || verdict || '**' || chr(10) || chr(10) || printf('Effect on conversion: %+.4f (%+.1f%% relative), 95%% CI [%+.4f, %+.4f], p = ',
+        effect, 100 * effect / base, effect - {Z975} * se, effect + {Z975} * se) || {ptext('p')} || chr(10) || chr(10) || '| Check | Status | Detail |' || chr(10)
+        || '|---|---|---|' || chr(10) || lines AS markdown FROM w JOIN t USING (experiment_id)""",
     "checker_report_card": CARD,
     "scenario_shares": " UNION ALL ".join([_share_rows(None, "CAST(NULL AS DOUBLE)"), _share_rows("0.15e0", "0.15e0"), _share_rows("0.35e0", "0.35e0")]),
     "portfolio_draw": f"SELECT * EXCLUDE (q, rep) REPLACE ({r('lift')} AS lift), q AS quarter FROM {draws(None)}",

@@ -26,16 +26,24 @@ def unit_code(key: Column) -> Column:
     return F.hash(key.cast("bigint"))
 
 
-def draw(code: Column, stream: str, replay: Column | int = 0) -> Column:
+def draw_sql(stream: str, replay: str | int = 0, code: str = "code") -> str:
     """Uniform integer in [0, 2**32) for a unit code, a stream and a replay."""
     salt = STREAMS[stream] * STREAM_STEP
-    step = F.lit(replay + salt) if isinstance(replay, int) else replay.cast("int") + F.lit(salt)
-    return F.hash(code, step).cast("bigint").bitwiseAND(F.lit(M32))
+    step = str(replay + salt) if isinstance(replay, int) else f"CAST({replay} AS INT) + {salt}"
+    return f"(CAST(hash({code}, {step}) AS BIGINT) & {M32}L)"
 
 
-def uniform(code: Column, stream: str, replay: Column | int = 0) -> Column:
+def uniform_sql(stream: str, replay: str | int = 0, code: str = "code") -> str:
     """Uniform double in [0, 1)."""
-    return draw(code, stream, replay) / F.lit(TWO32)
+    return f"({draw_sql(stream, replay, code)} / 4294967296D)"
+
+
+def draw(stream: str, replay: str | int = 0, code: str = "code") -> Column:
+    return F.expr(draw_sql(stream, replay, code))
+
+
+def uniform(stream: str, replay: str | int = 0, code: str = "code") -> Column:
+    return F.expr(uniform_sql(stream, replay, code))
 
 
 def text_bucket(text: Column) -> Column:

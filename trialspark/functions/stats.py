@@ -1,7 +1,8 @@
-"""Tail probabilities, quantiles and test formulas as Column expressions.
+"""Tail probabilities, quantiles and test formulas as Spark SQL expressions.
 
-Spark has no normal or Student-t functions.  The expressions below stay inside
-code generation, so a test over millions of experiment rows needs no Python.
+Spark has no normal or Student-t functions.  The formulas below are SQL text
+over column names: they stay inside code generation, and a formula of a hundred
+operators reaches the driver's JVM in one call instead of hundreds.
 """
 
 from __future__ import annotations
@@ -35,48 +36,60 @@ def z_crit(alpha: float = 0.05) -> float:
     return norm_ppf(1 - alpha / 2)
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """num / den in double, NULL where den is 0 (ANSI mode would raise)."""
-    return F.try_divide(num.cast("double"), den.cast("double"))
+def num(x: float) -> str:
+    """Double literal."""
+    return f"{float(x)!r}D"
 
 
-def _horner(coefs: tuple[float, ...], x: Column) -> Column:
-    acc = F.lit(coefs[0])
+def div(a: str, b: str) -> str:
+    """a / b in double, NULL where b is 0 (ANSI mode would raise)."""
+    return f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+
+
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """``div`` for columns."""
+    if isinstance(a, str) and isinstance(b, str):
+        return F.expr(div(a, b))
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def _horner(coefs: tuple[float, ...], x: str) -> str:
+    acc = num(coefs[0])
     for c in coefs[1:]:
-        acc = acc * x + F.lit(c)
+        acc = f"({acc} * {x} + {num(c)})"
     return acc
 
 
-def norm_sf_abs(z: Column) -> Column:
-    """P(Z > |z|)."""
-    a = F.abs(z)
-    gauss = F.exp(-a * a / 2)
-    centre = gauss * _horner(_HART_NUM, a) / _horner(_HART_DEN, a)
-    frac = a + F.lit(0.65)
+def p_norm(z: str) -> str:
+    """Two-sided normal p value of the column ``z``."""
+    a = f"abs({z})"
+    gauss = f"exp(-{a} * {a} / 2)"
+    frac = f"({a} + 0.65D)"
     for k in (4, 3, 2, 1):
-        frac = a + F.lit(float(k)) / F.greatest(frac, F.lit(0.1))
-    return F.when(a < _HART_SWITCH, centre).otherwise(gauss / frac / F.lit(_SQRT_2PI))
+        frac = f"({a} + {k}D / {frac})"
+    return (f"2D * CASE WHEN {a} < {num(_HART_SWITCH)} THEN {gauss} * {_horner(_HART_NUM, a)} / {_horner(_HART_DEN, a)}"
+            f" ELSE {gauss} / {frac} / {num(_SQRT_2PI)} END")
 
 
-def two_sided_p(z: Column) -> Column:
-    return F.lit(2.0) * norm_sf_abs(z)
+def two_sided_p(z: str) -> Column:
+    return F.expr(p_norm(z))
 
 
-def chi2_1df_p(chi2: Column) -> Column:
+def p_chi2(chi2: str) -> str:
     """Upper tail of a chi-square with one degree of freedom."""
-    return two_sided_p(F.sqrt(F.greatest(chi2, F.lit(0.0))))
+    return p_norm(f"sqrt(greatest({chi2}, 0D))")
 
 
-def student_z(t: Column, dof: Column) -> Column:
+def student_z(t: str, dof: str) -> str:
     """Normal deviate with the tail of Student's t (Hill 1970, algorithm 395)."""
-    a = dof - F.lit(0.5)
-    b = F.lit(48.0) * a * a
-    y = a * F.log1p(t * t / dof)
-    poly = (((F.lit(-0.4) * y - F.lit(3.3)) * y - F.lit(24.0)) * y - F.lit(85.5))
-    return (poly / (F.lit(0.8) * y * y + F.lit(100.0) + b) + y + F.lit(3.0)) / b * F.sqrt(y) + F.sqrt(y)
+    a = f"({dof} - 0.5D)"
+    b = f"(48D * {a} * {a})"
+    y = f"({a} * log1p({t} * {t} / {dof}))"
+    poly = f"(((-0.4D * {y} - 3.3D) * {y} - 24D) * {y} - 85.5D)"
+    return f"(({poly} / (0.8D * {y} * {y} + 100D + {b}) + {y} + 3D) / {b} + 1D) * sqrt({y})"
 
 
-def student_ppf(p: float, dof: Column) -> Column:
+def student_ppf(p: float, dof: str) -> str:
     """t quantile as a Cornish-Fisher series in 1/dof (below 1e-5 from dof 10 on)."""
     z = norm_ppf(p)
     terms = (
@@ -85,98 +98,78 @@ def student_ppf(p: float, dof: Column) -> Column:
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
-    inv = ratio(F.lit(1.0), dof)
-    acc = F.lit(0.0)
+    acc = "0D"
     for g in reversed(terms):
-        acc = (acc + F.lit(g)) * inv
-    return F.lit(z) + acc
+        acc = f"({acc} + {num(g)}) * {div('1D', dof)}"
+    return f"({num(z)} + {acc})"
 
 
-def pooled_z(conv_c: Column, n_c: Column, conv_t: Column, n_t: Column,
-             floor: float | None = None) -> Column:
+def pooled_z(conv_c: str = "conv_c", n_c: str = "n_c", conv_t: str = "conv_t", n_t: str = "n_t",
+             floor: float | None = None) -> str:
     """Two-proportion z with the pooled variance.
 
     Without ``floor`` a zero variance gives z = 0; with it the variance is held
     at ``floor`` (the form used for looks and segments).  NULL if an arm is empty.
     """
-    p_c, p_t = ratio(conv_c, n_c), ratio(conv_t, n_t)
-    pool = ratio(conv_c + conv_t, n_c + n_t)
-    var = pool * (F.lit(1.0) - pool) * (ratio(F.lit(1), n_c) + ratio(F.lit(1), n_t))
+    diff = f"({div(conv_t, n_t)} - {div(conv_c, n_c)})"
+    pool = div(f"({conv_c} + {conv_t})", f"({n_c} + {n_t})")
+    var = f"({pool} * (1D - {pool}) * ({div('1D', n_c)} + {div('1D', n_t)}))"
     if floor is not None:
-        return (p_t - p_c) / F.sqrt(F.greatest(var, F.lit(floor)))
-    z = ratio(p_t - p_c, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return F.when(var <= 0, F.lit(0.0)).otherwise(z)
+        return f"{diff} / sqrt(greatest({var}, {num(floor)}))"
+    return f"CASE WHEN {var} <= 0 THEN 0D ELSE {div(diff, f'sqrt(greatest({var}, 0D))')} END"
 
 
-def with_normal_inference(df: DataFrame, alpha: float = 0.05, prefix: str = "") -> DataFrame:
-    """Add p value, interval, relative lift and the 5% flag.
+def exprs(**columns: str) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in columns.items()}
 
-    Reads ``effect``, ``se``, ``z`` and ``base`` (all with ``prefix``); drops the
-    last two helpers' dependants only, so callers keep what they need.
-    """
-    c = lambda name: F.col(prefix + name)
-    half = F.lit(z_crit(alpha)) * c("se")
-    return df.withColumns({
-        prefix + "p_value": two_sided_p(c("z")),
-        prefix + "ci_low": c("effect") - half,
-        prefix + "ci_high": c("effect") + half,
-        prefix + "rel_lift": ratio(c("effect"), c("base")),
-    }).withColumn(prefix + "significant", c("p_value") < 0.05)
+
+def with_normal_inference(df: DataFrame, alpha: float = 0.05, prefix: str = "") -> DataFrame:
+    """Add p value, interval, relative lift and the 5% flag from ``effect``,
+    ``se``, ``z`` and ``base`` (all with ``prefix``)."""
+    p, half = prefix, f"{num(z_crit(alpha))} * {prefix}se"
+    return df.withColumns(exprs(**{
+        f"{p}p_value": p_norm(f"{p}z"), f"{p}ci_low": f"{p}effect - {half}", f"{p}ci_high": f"{p}effect + {half}",
+        f"{p}rel_lift": div(f"{p}effect", f"{p}base")})).withColumn(f"{p}significant", F.expr(f"{p}p_value < 0.05"))
 
 
 def with_prop_test(df: DataFrame, alpha: float = 0.05, prefix: str = "") -> DataFrame:
     """Two-proportion test on ``conv_c, n_c, conv_t, n_t``: pooled error for the
     p value, unpooled error for ``se`` and the interval."""
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    var = (ratio(p_c * (1 - p_c), F.col("n_c")) + ratio(p_t * (1 - p_t), F.col("n_t")))
-    staged = df.withColumns({
-        prefix + "base": p_c,
-        prefix + "effect": p_t - p_c,
-        prefix + "se": F.sqrt(F.greatest(var, F.lit(0.0))),
-        prefix + "z": pooled_z(F.col("conv_c"), F.col("n_c"), F.col("conv_t"), F.col("n_t")),
-    })
+    p_c, p_t = div("conv_c", "n_c"), div("conv_t", "n_t")
+    var = f"{div(f'{p_c} * (1D - {p_c})', 'n_c')} + {div(f'{p_t} * (1D - {p_t})', 'n_t')}"
+    staged = df.withColumns(exprs(**{
+        prefix + "base": p_c, prefix + "effect": f"{p_t} - {p_c}",
+        prefix + "se": f"sqrt(greatest({var}, 0D))", prefix + "z": pooled_z()}))
     return with_normal_inference(staged, alpha, prefix)
 
 
 def with_welch(df: DataFrame, metric: str, alpha: float = 0.05, prefix: str = "") -> DataFrame:
     """Welch test from ``{metric}_{n,mean,var}_{c,t}``.  A constant metric or an
     arm with fewer than two values gives NULL, never NaN."""
-    m = lambda part: F.col(f"{metric}_{part}")
-    c = lambda name: F.col(prefix + name)
-    usable = (m("n_c") > 1) & (m("n_t") > 1)
-    df = df.withColumns({
-        prefix + "vc": F.when(usable, ratio(m("var_c"), m("n_c"))),
-        prefix + "vt": F.when(usable, ratio(m("var_t"), m("n_t"))),
-        prefix + "effect": m("mean_t") - m("mean_c"),
-    })
-    df = df.withColumns({
-        prefix + "se": F.sqrt(c("vc") + c("vt")),
-        prefix + "dof": ratio(
-            F.pow(c("vc") + c("vt"), F.lit(2.0)),
-            ratio(c("vc") * c("vc"), m("n_c") - 1) + ratio(c("vt") * c("vt"), m("n_t") - 1),
-        ),
-    })
-    df = df.withColumn(prefix + "t", ratio(c("effect"), c("se")))
-    df = df.withColumn(prefix + "z", student_z(c("t"), c("dof")))
-    df = df.withColumn(prefix + "half", student_ppf(1 - alpha / 2, c("dof")) * c("se"))
-    return df.withColumns({
-        prefix + "p_value": two_sided_p(c("z")),
-        prefix + "ci_low": c("effect") - c("half"),
-        prefix + "ci_high": c("effect") + c("half"),
-        prefix + "rel_lift": ratio(c("effect"), m("mean_c")),
-    }).withColumn(prefix + "significant", c("p_value") < 0.05).drop(
-        prefix + "vc", prefix + "vt", prefix + "half", prefix + "z")
-
-
-def srm_p(n_c: Column, n_t: Column, expected_share: Column | float = 0.5) -> Column:
-    """Sample-ratio p value."""
-    return chi2_1df_p(srm_chi2(n_c, n_t, expected_share))
-
-
-def srm_chi2(n_c: Column, n_t: Column, expected_share: Column | float = 0.5) -> Column:
+    m, p = metric, prefix
+    usable = f"{m}_n_c > 1 AND {m}_n_t > 1"
+    v = {s: f"CASE WHEN {usable} THEN {div(f'{m}_var_{s}', f'{m}_n_{s}')} END" for s in ("c", "t")}
+    df = df.withColumns(exprs(**{f"{p}vc": v["c"], f"{p}vt": v["t"], f"{p}effect": f"{m}_mean_t - {m}_mean_c"}))
+    parts = [div(f"{p}v{s} * {p}v{s}", f"({m}_n_{s} - 1)") for s in ("c", "t")]
+    df = df.withColumns(exprs(**{
+        f"{p}se": f"sqrt({p}vc + {p}vt)", f"{p}t": div(f"{p}effect", f"sqrt({p}vc + {p}vt)"),
+        f"{p}dof": div(f"({p}vc + {p}vt) * ({p}vc + {p}vt)", f"({parts[0]} + {parts[1]})")}))
+    df = df.withColumns(exprs(**{f"{p}z": student_z(f"{p}t", f"{p}dof"),
+                                 f"{p}half": f"{student_ppf(1 - alpha / 2, f'{p}dof')} * {p}se"}))
+    return df.withColumns(exprs(**{
+        f"{p}p_value": p_norm(f"{p}z"), f"{p}ci_low": f"{p}effect - {p}half", f"{p}ci_high": f"{p}effect + {p}half",
+        f"{p}rel_lift": div(f"{p}effect", f"{m}_mean_c"),
+    })).withColumn(f"{p}significant", F.expr(f"{p}p_value < 0.05")).drop(f"{p}vc", f"{p}vt", f"{p}half", f"{p}z")
+
+
+def srm_chi2(n_c: str = "n_c", n_t: str = "n_t", share: str | float = 0.5) -> str:
     """Sample-ratio chi-square against an expected treatment share.  With two
     cells both deviations are equal, so it is d^2 / (n e (1 - e))."""
-    e = expected_share if isinstance(expected_share, Column) else F.lit(float(expected_share))
-    n = (n_c + n_t).cast("double")
-    d = n_t.cast("double") - n * e
-    return ratio(d * d, n * e * (1 - e))
+    e = share if isinstance(share, str) else num(share)
+    d = f"({n_t} - ({n_c} + {n_t}) * {e})"
+    return div(f"{d} * {d}", f"(({n_c} + {n_t}) * {e} * (1D - {e}))")
+
+
+def srm_p(n_c: str = "n_c", n_t: str = "n_t", share: str | float = 0.5) -> str:
+    """Sample-ratio p value."""
+    return p_chi2(srm_chi2(n_c, n_t, share))

@@ -141,7 +141,7 @@ def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: S
         F.avg(F.col("_e") * F.col("_e")).alias("_mse"))
     out = out.withColumn("se", F.sqrt(F.col("_meat") * ratio(F.col("users"), F.col("users") - (k + 1))))
     out = out.withColumn("z", ratio(F.col("effect"), F.col("se")))
-    return out.select(*keys, "users", "effect", "se", two_sided_p(F.col("z")).alias("p_value"),
+    return out.select(*keys, "users", "effect", "se", two_sided_p("z").alias("p_value"),
                       ratio(F.col("_mse"), F.col("_vy")).alias("residual_variance_share"))
 
 

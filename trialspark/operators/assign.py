@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trialspark import CONTROL, TREATMENT
-from trialspark.functions.draws import salted_bucket, uniform
+from trialspark.functions.draws import salted_bucket, uniform, uniform_sql
 
 # Switches of a scenario and their neutral values.
 SCENARIO_DEFAULTS = {
@@ -56,27 +55,27 @@ def subset_units(units: DataFrame, *, converters: bool = False, arm: str | None
 def hash_sample(units: DataFrame, rate: float, replay: int = 0) -> DataFrame:
     """Sample units by their code.  Valid on tables sorted by arm, where a prefix
     or block of the file would hold one arm only."""
-    return units.where(uniform(F.col("code"), "sample", replay) < rate)
+    return units.where(uniform("sample", replay) < rate)
 
 
-def scenario_rows(scenarios: Sequence[Mapping], **types: T.DataType) -> Column:
-    """A literal array of scenario structs for ``F.inline``: rows are combined
-    with scenarios where they are read, without a join."""
+def _literal(field: str, value) -> str:
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(f"{float(v)!r}D" for v in value) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "\\'") + "'"
+    return str(int(value)) if field in INTEGER_FIELDS else f"{float(value)!r}D"
+
+
+INTEGER_FIELDS = ("ramp_days", "experiment_id")
+
+
+def scenario_rows(scenarios: Sequence[Mapping]) -> str:
+    """A literal array of scenario structs for ``inline``: rows are combined with
+    scenarios where they are read, without a join."""
     fields = list(dict.fromkeys(k for s in scenarios for k in s))
-    structs = []
-    for s in scenarios:
-        cells = []
-        for f in fields:
-            v = s.get(f, SCENARIO_DEFAULTS.get(f))
-            if isinstance(v, (list, tuple)):
-                cell = F.array(*[F.lit(float(x)) for x in v])
-            elif isinstance(v, (int, float)) and not isinstance(v, bool) and f not in ("ramp_days",):
-                cell = F.lit(float(v))
-            else:
-                cell = F.lit(v)
-            cells.append(cell.cast(types[f]).alias(f) if f in types else cell.alias(f))
-        structs.append(F.struct(*cells))
-    return F.array(*structs)
+    structs = ("named_struct(" + ", ".join(f"'{f}', {_literal(f, s.get(f, SCENARIO_DEFAULTS.get(f)))}" for f in fields) + ")"
+               for s in scenarios)
+    return "array(" + ", ".join(structs) + ")"
 
 
 def base_rates(units: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -97,37 +96,34 @@ def inject(rows: DataFrame, effects: Collection[str], replay: str = "replay") ->
     ``novelty`` turn non-converters of the treatment arm into converters
     (negative lifts undo conversions); ``whale`` multiplies some order values.
     """
-    r = F.col(replay)
-
-    def u(stream: str) -> Column:
-        return uniform(F.col("code"), stream, r)
+    def u(stream: str) -> str:
+        return uniform_sql(stream, replay)
 
-    share = F.col("treat_share") if "treat_share" in rows.columns else F.lit(0.5)
+    share = "treat_share" if "treat_share" in rows.columns else "0.5D"
     if "ramp" in effects:
-        share = F.when(F.col("day") < F.col("ramp_days"), F.col("ramp_treat_share")).otherwise(share)
-    treated = F.col("arm") == TREATMENT
-    rows = rows.withColumn("arm", F.when(u("arm") < share, TREATMENT).otherwise(CONTROL))
+        share = f"CASE WHEN day < ramp_days THEN ramp_treat_share ELSE {share} END"
+    treated = f"arm = '{TREATMENT}'"
+    rows = rows.withColumn("arm", F.expr(f"CASE WHEN {u('arm')} < {share} THEN '{TREATMENT}' ELSE '{CONTROL}' END"))
     if "drop" in effects:
-        lost = treated & (F.col("engaged") == 0) & (u("drop") * F.col("low_share") < F.col("srm_drop_rate"))
-        rows = rows.where(~lost)
-    p, conv = F.col("base_rate"), F.col("converted")
+        rows = rows.where(f"NOT ({treated} AND engaged = 0 AND {u('drop')} * low_share < srm_drop_rate)")
     if "base" in effects:
-        target = F.element_at("daily_base", F.col("day") + 1)
-        raised = F.when((conv == 1) | (u("base") * (1 - p) < target - p), 1).otherwise(0)
-        lowered = F.when((conv == 1) & (u("base") * p < target), 1).otherwise(0)
-        rows = rows.withColumns({"converted": F.when(target >= p, raised).otherwise(lowered), "base_rate": target})
+        target = "element_at(daily_base, day + 1)"
+        raised = f"converted = 1 OR {u('base')} * (1D - base_rate) < {target} - base_rate"
+        lowered = f"converted = 1 AND {u('base')} * base_rate < {target}"
+        rows = rows.withColumns({
+            "converted": F.expr(f"CASE WHEN {target} >= base_rate THEN CAST({raised} AS INT) ELSE CAST({lowered} AS INT) END"),
+            "base_rate": F.expr(target)})
     if "lift" in effects or "novelty" in effects:
-        lift = F.col("lift")
+        lift = "lift"
         if "novelty" in effects:
-            lift = lift + F.col("novelty_boost") * F.pow(F.lit(0.5), F.col("day") / F.col("novelty_halflife"))
-        gain, draw_ = lift * p, u("lift")
-        flipped = (F.when((conv == 0) & (draw_ * (1 - p) < gain), 1)
-                   .when((conv == 1) & (draw_ < -lift), 0).otherwise(conv))
-        rows = rows.withColumn("converted", F.when(treated, flipped).otherwise(conv))
+            lift = "(lift + novelty_boost * power(0.5D, day / novelty_halflife))"
+        flipped = (f"CASE WHEN NOT {treated} THEN converted"
+                   f" WHEN converted = 0 AND {u('lift')} * (1D - base_rate) < {lift} * base_rate THEN 1"
+                   f" WHEN converted = 1 AND {u('lift')} < -{lift} THEN 0 ELSE converted END")
+        rows = rows.withColumn("converted", F.expr(flipped))
     if "amount" in rows.columns:
-        value = F.when(conv == 1, F.col("amount")).otherwise(0.0)
+        value = "amount"
         if "whale" in effects:
-            value = F.when((conv == 1) & (u("whale") < F.col("whale_rate")),
-                           F.col("amount") * F.col("whale_multiplier")).otherwise(value)
-        rows = rows.withColumn("revenue", value)
+            value = f"CASE WHEN {u('whale')} < whale_rate THEN amount * whale_multiplier ELSE amount END"
+        rows = rows.withColumn("revenue", F.expr(f"CASE WHEN converted = 1 THEN {value} ELSE 0D END"))
     return rows

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialspark.functions.stats import norm_ppf, pooled_z, ratio, with_prop_test
+from trialspark.functions.stats import div, norm_ppf, pooled_z, two_sided_p, with_prop_test
 from trialspark.operators.groupstats import bounded
 
 VARIANCE_FLOOR = 1e-12
@@ -38,11 +38,9 @@ def benjamini_hochberg(pvalues: DataFrame, family: Sequence[str], p: str = "p_va
 
 def segment_scan(panel: DataFrame, segment: str = "segment", keys: Sequence[str] = ()) -> DataFrame:
     """z and relative lift of every segment; the input is a segment panel."""
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    return panel.select(
-        *keys, segment, "conv_c", "n_c", "conv_t", "n_t",
-        pooled_z(F.col("conv_c"), F.col("n_c"), F.col("conv_t"), F.col("n_t"), floor=VARIANCE_FLOOR).alias("z"),
-        ((p_t - p_c) / F.greatest(p_c, F.lit(1e-9))).alias("rel_lift"))
+    p_c, p_t = div("conv_c", "n_c"), div("conv_t", "n_t")
+    return panel.selectExpr(*keys, segment, "conv_c", "n_c", "conv_t", "n_t", f"{pooled_z(floor=VARIANCE_FLOOR)} AS z",
+                            f"({p_t} - {p_c}) / greatest({p_c}, 1e-9D) AS rel_lift")
 
 
 def best_segment(scan: DataFrame, segment: str = "segment", keys: Sequence[str] = ()) -> DataFrame:
@@ -58,9 +56,8 @@ def bonferroni_segments(scan: DataFrame, n_segments: int | None = None, keys: Se
     if n_segments is not None:
         crit = norm_ppf(1 - alpha / (2 * n_segments))
         return scan.withColumns({"critical_z": F.lit(crit), "bonferroni": F.abs("z") > crit})
-    from trialspark.functions.stats import two_sided_p
     m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return scan.withColumn("bonferroni", two_sided_p(F.col("z")) < F.lit(alpha) / m)
+    return scan.withColumn("bonferroni", two_sided_p("z") < F.lit(alpha) / m)
 
 
 def multi_variant_vs_control(units: DataFrame, label: str, control: str, keys: Sequence[str] = (),

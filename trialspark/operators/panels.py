@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark import CONTROL, TREATMENT
-from trialspark.functions.stats import ratio
+from trialspark.functions.stats import div, exprs
 
 
 def arm_flags(arm_col: str = "arm", control: str = CONTROL, treatment: str = TREATMENT
@@ -24,14 +24,11 @@ def arm_flags(arm_col: str = "arm", control: str = CONTROL, treatment: str = TRE
 def arm_totals(units: DataFrame, keys: Sequence[str] = (), metric: str = "converted",
                arm_col: str = "arm", control: str = CONTROL, treatment: str = TREATMENT) -> DataFrame:
     """Conversions and users per arm, side by side.  NULL outcomes do not count."""
-    is_c, is_t = arm_flags(arm_col, control, treatment)
-    y = F.col(metric)
-    return units.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(is_c, y)), F.lit(0)).cast("bigint").alias("conv_c"),
-        F.count(F.when(is_c, y)).alias("n_c"),
-        F.coalesce(F.sum(F.when(is_t, y)), F.lit(0)).cast("bigint").alias("conv_t"),
-        F.count(F.when(is_t, y)).alias("n_t"),
-    )
+    aggs = []
+    for s, label in (("c", control), ("t", treatment)):
+        y = f"CASE WHEN {arm_col} = '{label}' THEN {metric} END"
+        aggs += [F.expr(f"CAST(coalesce(sum({y}), 0) AS BIGINT) AS conv_{s}"), F.expr(f"count({y}) AS n_{s}")]
+    return units.groupBy(*keys).agg(*aggs)
 
 
 def metrics_by_arm(units: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
@@ -47,16 +44,15 @@ def arm_moments(units: DataFrame, metrics: Sequence[str], keys: Sequence[str] =
                 pairs: Sequence[tuple[str, str]] = (), arm_col: str = "arm",
                 control: str = CONTROL, treatment: str = TREATMENT) -> DataFrame:
     """Count, mean, sample variance (and covariances) per arm, one row per key."""
-    is_c, is_t = arm_flags(arm_col, control, treatment)
     aggs = []
-    for suffix, cond in (("c", is_c), ("t", is_t)):
+    for s, label in (("c", control), ("t", treatment)):
         for m in metrics:
-            y = F.when(cond, F.col(m))
-            aggs += [F.count(y).alias(f"{m}_n_{suffix}"), F.avg(y).alias(f"{m}_mean_{suffix}"),
-                     F.var_samp(y).alias(f"{m}_var_{suffix}")]
+            y = f"CASE WHEN {arm_col} = '{label}' THEN {m} END"
+            aggs += [F.expr(f"count({y}) AS {m}_n_{s}"), F.expr(f"avg({y}) AS {m}_mean_{s}"),
+                     F.expr(f"var_samp({y}) AS {m}_var_{s}")]
         for a, b in pairs:
-            aggs.append(F.covar_samp(F.when(cond, F.col(a)), F.when(cond, F.col(b)))
-                        .alias(f"{a}_{b}_cov_{suffix}"))
+            when = f"CASE WHEN {arm_col} = '{label}' THEN"
+            aggs.append(F.expr(f"covar_samp({when} {a} END, {when} {b} END) AS {a}_{b}_cov_{s}"))
     return units.groupBy(*keys).agg(*aggs)
 
 
@@ -64,10 +60,11 @@ def daily_panel(units: DataFrame, keys: Sequence[str] = (), metric: str = "conve
                 day_col: str = "day") -> DataFrame:
     """Conversions, users and rates per day with the arms as columns."""
     panel = arm_totals(units, [*keys, day_col], metric)
-    return panel.withColumns({
-        "p_c": ratio(F.col("conv_c"), F.col("n_c")),
-        "p_t": ratio(F.col("conv_t"), F.col("n_t")),
-    })
+    return with_rates(panel)
+
+
+def with_rates(panel: DataFrame) -> DataFrame:
+    return panel.withColumns(exprs(p_c=div("conv_c", "n_c"), p_t=div("conv_t", "n_t")))
 
 
 def segment_panel(units: DataFrame, segment: str = "segment", keys: Sequence[str] = (),

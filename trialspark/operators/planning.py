@@ -1,37 +1,33 @@
-"""Sample size, detectable effect and duration as Column expressions."""
+"""Sample size, detectable effect and duration as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from trialspark.functions.stats import norm_ppf, ratio, z_crit
+from trialspark.functions.stats import div, norm_ppf, num, z_crit
 
 
 def _quantile_sum(alpha: float, power: float) -> float:
     return z_crit(alpha) + norm_ppf(power)
 
 
-def sample_size_proportions(base: Column, mde_rel: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+def size_sql(base: str, mde_rel: str, alpha: float = 0.05, power: float = 0.8) -> str:
     """Users per arm that detect a relative lift of a conversion rate."""
-    k = _quantile_sum(alpha, power) ** 2
-    p2 = base * (1 + mde_rel)
-    spread = base * (1 - base) + p2 * (1 - p2)
-    return F.ceil(ratio(F.lit(k) * spread, (p2 - base) * (p2 - base)))
+    p2 = f"({base} * (1D + {mde_rel}))"
+    spread = f"({base} * (1D - {base}) + {p2} * (1D - {p2}))"
+    return f"ceil({div(f'{num(_quantile_sum(alpha, power) ** 2)} * {spread}', f'(({p2} - {base}) * ({p2} - {base}))')})"
 
 
-def mde_proportions(base: Column, n_per_arm: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+def mde_sql(base: str, n_per_arm: str, alpha: float = 0.05, power: float = 0.8) -> str:
     """Smallest relative lift that ``n_per_arm`` users per arm detect."""
-    k = _quantile_sum(alpha, power)
-    return ratio(F.lit(k) * F.sqrt(ratio(2 * base * (1 - base), n_per_arm)), base)
+    noise = f"sqrt({div(f'2D * {base} * (1D - {base})', n_per_arm)})"
+    return div(f"{num(_quantile_sum(alpha, power))} * {noise}", base)
 
 
-def sample_size_means(sd: Column, mde_abs: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+def size_means_sql(sd: str, mde_abs: str, alpha: float = 0.05, power: float = 0.8) -> str:
     """Users per arm that detect an absolute difference of means."""
-    k = 2 * _quantile_sum(alpha, power) ** 2
-    return F.ceil(ratio(F.lit(k) * sd * sd, mde_abs * mde_abs))
+    k = num(2 * _quantile_sum(alpha, power) ** 2)
+    return f"ceil({div(f'{k} * {sd} * {sd}', f'(({mde_abs}) * ({mde_abs}))')})"
 
 
-def days_needed(n_per_arm: Column, users_per_day: Column, treat_share: float = 0.5) -> Column:
+def days_sql(n_per_arm: str, users_per_day: str, treat_share: float = 0.5) -> str:
     """Days until the smaller arm has ``n_per_arm`` users."""
-    return F.ceil(ratio(n_per_arm, users_per_day * min(treat_share, 1 - treat_share)))
+    return f"ceil({div(n_per_arm, f'({users_per_day} * {num(min(treat_share, 1 - treat_share))})')})"

@@ -15,17 +15,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark import TREATMENT
-from trialspark.functions.draws import uniform
-from trialspark.functions.stats import (norm_ppf, pooled_z, ratio, srm_p, two_sided_p, with_prop_test,
+from trialspark import CONTROL, TREATMENT
+from trialspark.functions.draws import uniform_sql
+from trialspark.functions.stats import (norm_ppf, num, pooled_z, ratio, srm_p, two_sided_p, with_prop_test,
                                         with_welch, z_crit)
 from trialspark.operators.adjust import raw_and_cuped, stratified_effect
 from trialspark.operators.assign import base_rates, inject, scenario_rows
 from trialspark.operators.groupstats import attach
 from trialspark.operators.hypothesis import bootstrap_diff_ci, ci_coverage, winsorize_pooled, with_delta_method
 from trialspark.operators.multiplicity import benjamini_hochberg, best_segment, holm, segment_scan
-from trialspark.operators.panels import arm_flags, arm_moments, arm_totals, daily_panel
-from trialspark.operators.planning import sample_size_proportions
+from trialspark.operators.panels import arm_moments, arm_totals, daily_panel
+from trialspark.operators.planning import size_sql
 from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, stopping_rules,
                                              summarise_rules, with_msprt)
 from trialspark.operators.trend import novelty_trend, window_estimates
@@ -41,7 +41,7 @@ def over_scenarios(units: DataFrame, scenarios: Sequence[dict], n_replays: int,
     """Units x scenarios x replays, with the measured base rates attached."""
     if rates:
         units = attach(units, base_rates(units), ())
-    return over_replays(units.select("*", F.inline(scenario_rows(scenarios))), n_replays)
+    return over_replays(units.selectExpr("*", f"inline({scenario_rows(scenarios)})"), n_replays)
 
 
 def _rate(cond: Column) -> Column:
@@ -49,20 +49,18 @@ def _rate(cond: Column) -> Column:
 
 
 def _counts_z(df: DataFrame) -> DataFrame:
-    return df.withColumn("z", pooled_z(*[F.col(c) for c in COUNTS], floor=FLOOR))
+    return df.withColumn("z", F.expr(pooled_z(floor=FLOOR)))
 
 
 def metric_totals(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Arm totals of many 0/1 metrics in one pass, unpivoted after aggregation."""
-    is_c, is_t = arm_flags()
+    of = {"c": f"arm = '{CONTROL}'", "t": f"arm = '{TREATMENT}'"}
     wide = rows.groupBy(*keys).agg(
-        F.count(F.when(is_c, 1)).alias("n_c"), F.count(F.when(is_t, 1)).alias("n_t"),
-        *[F.sum(F.when(is_c, F.col(m))).alias(f"{m}_c") for m in metrics],
-        *[F.sum(F.when(is_t, F.col(m))).alias(f"{m}_t") for m in metrics])
-    cells = F.array(*[F.struct(F.lit(i).alias("metric_no"), F.lit(m).alias("metric"),
-                               F.col(f"{m}_c").alias("conv_c"), F.col(f"{m}_t").alias("conv_t"))
-                      for i, m in enumerate(metrics, start=1)])
-    return wide.select(*keys, "n_c", "n_t", F.inline(cells))
+        *[F.expr(f"count_if({cond}) AS n_{s}") for s, cond in of.items()],
+        *[F.expr(f"sum(CASE WHEN {cond} THEN {m} END) AS {m}_{s}") for m in metrics for s, cond in of.items()])
+    cells = ", ".join(f"named_struct('metric_no', {i}, 'metric', '{m}', 'conv_c', {m}_c, 'conv_t', {m}_t)"
+                      for i, m in enumerate(metrics, start=1))
+    return wide.selectExpr(*keys, "n_c", "n_t", f"inline(array({cells}))")
 
 
 def replay_pvalues(units: DataFrame, n_replays: int, metrics: Sequence[str] = ("converted",)) -> DataFrame:
@@ -122,19 +120,21 @@ def msprt_tau_grid(units: DataFrame, n_replays: int, taus: Sequence[float] = (0.
                    rel_lift: float = 0.10) -> DataFrame:
     looks = replay_looks(units, n_replays, [{"lift": 0.0}, {"lift": rel_lift}])
     grid = looks.select("*", F.explode(F.array(*[F.lit(t) for t in taus])).alias("tau"))
-    runs = with_msprt(grid, F.col("tau"), ["tau", "lift", "replay"]).groupBy("tau", "lift", "replay").agg(
+    runs = with_msprt(grid, "tau", ["tau", "lift", "replay"]).groupBy("tau", "lift", "replay").agg(
         F.min("msprt_p").alias("_p"))
     hit = F.col("_p") < 0.05
     return runs.groupBy("tau").agg(F.avg(F.when(F.col("lift") == 0, hit.cast("int"))).alias("fpr"),
                                    F.avg(F.when(F.col("lift") > 0, hit.cast("int"))).alias("power"))
 
 
-def nested_level(u: Column, cuts: Sequence[Column | float]) -> Column:
+def nested_level(u: str, cuts: Sequence[str | float]) -> str:
     """Number of rising cuts that u has reached; u < cuts[i] exactly if i >= level."""
-    level = F.lit(0)
-    for c in cuts:
-        level = level + (u >= c).cast("int")
-    return level
+    return "(" + " + ".join(f"CAST({u} >= {c if isinstance(c, str) else num(c)} AS INT)" for c in cuts) + ")"
+
+
+def with_level(rows: DataFrame, u: str, cuts: Sequence[str | float]) -> DataFrame:
+    """Draw u once, then compare it with all cuts."""
+    return rows.withColumn("_u", F.expr(u)).withColumn("level", F.expr(nested_level("_u", cuts))).drop("_u")
 
 
 def msprt_sample_cost(units: DataFrame, n_replays: int, tau: float = 0.005, rel_lift: float = 0.10,
@@ -143,8 +143,7 @@ def msprt_sample_cost(units: DataFrame, n_replays: int, tau: float = 0.005, rel_
     uses the whole table; smaller samples are nested in it."""
     top = max(multipliers)
     rows = inject(over_scenarios(units, [{"lift": rel_lift}], n_replays), {"lift"})
-    level = nested_level(uniform(F.col("code"), "sample", F.col("replay")), [m / top for m in multipliers])
-    panel = arm_totals(rows.withColumn("level", level), ["replay", "level", "day"])
+    panel = arm_totals(with_level(rows, uniform_sql("sample", "replay"), [m / top for m in multipliers]), ["replay", "level", "day"])
     last = len(multipliers) - 1
     panel = panel.where(F.col("level") <= last).withColumn(
         "i", F.explode(F.sequence(F.col("level"), F.lit(last)))).groupBy("replay", "i", "day").agg(
@@ -161,13 +160,13 @@ def winners_curse(units: DataFrame, n_replays: int, true_rel_lift: float,
     """Exaggeration of significant estimates for tests sized to a target power.
     Sizes come from the measured base rate; samples are nested."""
     rates = base_rates(units)
-    needed = [sample_size_proportions(F.col("base_rate"), F.lit(true_rel_lift), power=q) for q in target_powers]
-    plan = rates.withColumn("need", F.array(*needed))
+    needed = ", ".join(size_sql("base_rate", num(true_rel_lift), power=q) for q in target_powers)
+    plan = rates.withColumn("need", F.expr(f"array({needed})"))
     rows = over_replays(attach(units.withColumn("lift", F.lit(true_rel_lift)), plan, ()), n_replays)
     rows = inject(rows, {"lift"})
-    u = uniform(F.col("code"), "sample", F.col("replay"))
-    level = nested_level(u * F.col("all_units"), [2 * F.col("need")[i] for i in range(len(target_powers))])
-    panel = arm_totals(rows.withColumn("level", level), ["replay", "level", "need"])
+    cuts = [f"2 * need[{i}]" for i in range(len(target_powers))]
+    sized = with_level(rows, f"{uniform_sql('sample', 'replay')} * all_units", cuts)
+    panel = arm_totals(sized, ["replay", "level", "need"])
     last = len(target_powers) - 1
     panel = panel.where(F.col("level") <= last).withColumn(
         "i", F.explode(F.sequence(F.col("level"), F.lit(last)))).groupBy("replay", "i", "need").agg(
@@ -187,15 +186,14 @@ def srm_damage(units: DataFrame, n_replays: int,
     """Fake lift, false positives and detection as a growing share of the
     treatment arm is lost (no true effect)."""
     rows = inject(over_replays(attach(units, base_rates(units), ()), n_replays), ())
-    exposed = (F.col("arm") == TREATMENT) & (F.col("engaged") == 0)
-    u = uniform(F.col("code"), "drop", F.col("replay")) * F.col("low_share")
     n = len(drop_rates)
-    level = F.when(exposed, nested_level(u, list(drop_rates))).otherwise(n)
-    panel = arm_totals(rows.withColumn("level", level), ["replay", "level"])
+    rows = with_level(rows, f"{uniform_sql('drop', 'replay')} * low_share", list(drop_rates))
+    level = f"CASE WHEN arm = '{TREATMENT}' AND engaged = 0 THEN level ELSE {n} END"
+    panel = arm_totals(rows.withColumn("level", F.expr(level)), ["replay", "level"])
     kept = panel.where(F.col("level") > 0).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.col("level") - 1))).groupBy("replay", "i").agg(
         *[F.sum(c).alias(c) for c in COUNTS])
-    runs = with_prop_test(kept).withColumn("_srm", srm_p(F.col("n_c"), F.col("n_t")) < 0.001)
+    runs = with_prop_test(kept).withColumn("_srm", F.expr(srm_p()) < 0.001)
     rate = F.array(*[F.lit(float(d)) for d in drop_rates])[F.col("i")]
     return runs.groupBy(rate.alias("drop_rate")).agg(
         F.count(F.lit(1)).alias("runs"), F.avg("rel_lift").alias("avg_fake_rel_lift"),
@@ -206,8 +204,7 @@ def srm_detection(units: DataFrame, n_replays: int, drop_rate: float = 0.02,
                   traffic: Sequence[float] = (0.0625, 0.125, 0.25, 0.5, 1.0)) -> DataFrame:
     """Detection of one loss rate by share of the traffic."""
     rows = inject(over_scenarios(units, [{"srm_drop_rate": drop_rate}], n_replays), {"drop"})
-    level = nested_level(uniform(F.col("code"), "sample", F.col("replay")), list(traffic))
-    panel = arm_totals(rows.withColumn("level", level), ["replay", "level"])
+    panel = arm_totals(with_level(rows, uniform_sql("sample", "replay"), list(traffic)), ["replay", "level"])
     last = len(traffic) - 1
     sized = panel.where(F.col("level") <= last).withColumn(
         "i", F.explode(F.sequence(F.col("level"), F.lit(last)))).groupBy("replay", "i").agg(
@@ -215,7 +212,7 @@ def srm_detection(units: DataFrame, n_replays: int, drop_rate: float = 0.02,
     share = F.array(*[F.lit(float(t)) for t in traffic])[F.col("i")]
     return sized.groupBy(share.alias("traffic_share")).agg(
         F.count(F.lit(1)).alias("runs"), F.avg(F.col("n_c") + F.col("n_t")).alias("avg_units"),
-        _rate(srm_p(F.col("n_c"), F.col("n_t")) < 0.001).alias("srm_detected"))
+        _rate(F.expr(srm_p()) < 0.001).alias("srm_detected"))
 
 
 # The four combinations of long-run lift and decaying boost.
@@ -281,7 +278,7 @@ def segment_hacking(units: DataFrame, segments: dict[str, str], n_replays: int)
     fresh = segment_scan(cells(n_replays + 1), "segment", key).select(*key, "segment", F.col("z").alias("_z2"))
     runs = per_run.join(best, key).join(fresh, [*key, "segment"])
     hit = F.col("_max") > 1.96
-    bonf = two_sided_p(F.col("_max")) < F.lit(0.05) / F.col("n_segments")
+    bonf = two_sided_p("_max") < F.lit(0.05) / F.col("n_segments")
     return runs.groupBy("slicing").agg(
         F.max("n_segments").alias("n_segments"), F.count(F.lit(1)).alias("runs"),
         _rate(hit).alias("any_segment_significant"),
@@ -325,7 +322,7 @@ def unit_of_analysis(clusters: DataFrame, n_replays: int, keys: Sequence[str] =
     m = m.withColumns({
         "conv_c": F.col("clicks_mean_c") * F.col("clicks_n_c"), "n_c": F.col("sessions_mean_c") * F.col("sessions_n_c"),
         "conv_t": F.col("clicks_mean_t") * F.col("clicks_n_t"), "n_t": F.col("sessions_mean_t") * F.col("sessions_n_t")})
-    m = m.withColumn("_naive", pooled_z(*[F.col(c) for c in COUNTS]))
+    m = m.withColumn("_naive", F.expr(pooled_z()))
     return m.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"),
         F.max(F.col("clicks_n_c") + F.col("clicks_n_t")).alias("clusters"),

@@ -8,68 +8,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from trialspark.functions.stats import pooled_z, ratio, z_crit
+from trialspark.functions.stats import div, exprs, num, pooled_z, z_crit
 
 COUNTS = ("conv_c", "n_c", "conv_t", "n_t")
 VARIANCE_FLOOR = 1e-12
 
 
+def window_sql(keys: Sequence[str], order: str) -> str:
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"({part}ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def cumulative_looks(panel: DataFrame, keys: Sequence[str] = (), order: str = "day") -> DataFrame:
     """Running counts per arm; ``look`` numbers the periods from 1."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return panel.select(*keys, order, F.row_number().over(w).alias("look"),
-                        *[F.sum(c).over(run).alias(c) for c in COUNTS])
+    run = window_sql(keys, order)
+    return panel.selectExpr(*keys, order, f"row_number() OVER {run} AS look",
+                            *[f"sum({c}) OVER {run} AS {c}" for c in COUNTS])
 
 
 def look_zscores(looks: DataFrame) -> DataFrame:
     """z at each look for arms of unequal size, NULL while an arm is empty."""
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    return looks.withColumns({
-        "z": pooled_z(*[F.col(c) for c in COUNTS], floor=VARIANCE_FLOOR), "p_c": p_c, "p_t": p_t})
+    return looks.withColumns(exprs(z=pooled_z(floor=VARIANCE_FLOOR), p_c=div("conv_c", "n_c"), p_t=div("conv_t", "n_t")))
 
 
-def obf_boundary(c: float | Column, look: Column, n_looks: int | Column) -> Column:
+def obf_boundary(c: float, look: str = "look", n_looks: int | str = "n_looks") -> str:
     """O'Brien-Fleming boundary c * sqrt(K / k)."""
-    c = c if isinstance(c, Column) else F.lit(float(c))
-    k_max = n_looks if isinstance(n_looks, Column) else F.lit(float(n_looks))
-    return c * F.sqrt(k_max / look)
+    return f"({num(c)} * sqrt(CAST({n_looks} AS DOUBLE) / {look}))"
 
 
-def with_msprt(looks: DataFrame, tau: float | Column, keys: Sequence[str] = (), order: str = "look",
+def with_msprt(looks: DataFrame, tau: float | str, keys: Sequence[str] = (), order: str = "look",
                name: str = "msprt_p") -> DataFrame:
     """Always-valid p value of a normal-mixture sequential ratio test: running
-    minimum of 1 / likelihood ratio."""
-    tau2 = (tau if isinstance(tau, Column) else F.lit(float(tau)))
-    tau2 = tau2 * tau2
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    v = F.greatest(ratio(p_c * (1 - p_c), F.col("n_c")) + ratio(p_t * (1 - p_t), F.col("n_t")),
-                   F.lit(VARIANCE_FLOOR))
-    looks = looks.withColumns({
-        "_v": F.when(p_c.isNotNull() & p_t.isNotNull(), v), "_d": p_t - p_c, "_tau2": tau2})
-    v, d, t2 = F.col("_v"), F.col("_d"), F.col("_tau2")
-    inverse = F.sqrt((v + t2) / v) * F.exp(-t2 * d * d / (2 * v * (v + t2)))
-    looks = looks.withColumn("_inv", F.least(F.lit(1.0), inverse))
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return looks.withColumn(name, F.min("_inv").over(run)).drop("_v", "_d", "_tau2", "_inv")
+    minimum of 1 / likelihood ratio.  ``tau`` may name a column."""
+    t = tau if isinstance(tau, str) else num(tau)
+    p_c, p_t = div("conv_c", "n_c"), div("conv_t", "n_t")
+    v = (f"CASE WHEN n_c > 0 AND n_t > 0 THEN greatest({div(f'{p_c} * (1D - {p_c})', 'n_c')}"
+         f" + {div(f'{p_t} * (1D - {p_t})', 'n_t')}, {num(VARIANCE_FLOOR)}) END")
+    looks = looks.withColumns(exprs(_v=v, _d=f"{p_t} - {p_c}", _t2=f"{t} * {t}"))
+    inverse = "least(1D, sqrt((_v + _t2) / _v) * exp(-_t2 * _d * _d / (2D * _v * (_v + _t2))))"
+    looks = looks.withColumn("_inv", F.expr(inverse))
+    return looks.withColumn(name, F.expr(f"min(_inv) OVER {window_sql(keys, order)}")).drop("_v", "_d", "_t2", "_inv")
 
 
 def stopping_rules(looks: DataFrame, keys: Sequence[str], n_looks: int, c_obf: float, tau: float) -> DataFrame:
     """First crossing of four rules per group: NULL look if the rule never stops.
     ``looks`` are cumulative counts with z."""
-    crit = z_crit()
-    scored = with_msprt(looks, tau, keys)
-    absz, k = F.abs("z"), F.col("look")
-    first = lambda cond: F.min(F.when(cond, k))
-    return scored.groupBy(*keys).agg(
-        first((k == n_looks) & (absz > crit)).alias("fixed_horizon"),
-        first(absz > crit).alias("naive_peeking"),
-        first(absz > obf_boundary(c_obf, k, n_looks)).alias("obrien_fleming"),
-        first(F.col("msprt_p") < 0.05).alias("msprt"))
+    crit = num(z_crit())
+    rules = {"fixed_horizon": f"look = {n_looks} AND abs(z) > {crit}", "naive_peeking": f"abs(z) > {crit}",
+             "obrien_fleming": f"abs(z) > {obf_boundary(c_obf, 'look', n_looks)}", "msprt": "msprt_p < 0.05"}
+    return with_msprt(looks, tau, keys).groupBy(*keys).agg(
+        *[F.expr(f"min(look) FILTER (WHERE {cond}) AS {r}") for r, cond in rules.items()])
 
 
 RULES = ("fixed_horizon", "naive_peeking", "obrien_fleming", "msprt")
@@ -91,6 +82,5 @@ def summarise_rules(stops: DataFrame, n_looks: int, keys: Sequence[str] = ()) ->
 def obf_calibration(looks: DataFrame, keys: Sequence[str], n_looks: int, alpha: float = 0.05) -> DataFrame:
     """Constant c whose boundary is crossed by alpha of the null groups: quantile
     of max |z_k| / sqrt(K / k).  One value per replay enters the quantile."""
-    stat = F.max(F.abs("z") / F.sqrt(F.lit(float(n_looks)) / F.col("look")))
-    per_run = looks.groupBy(*keys).agg(stat.alias("_s"))
+    per_run = looks.groupBy(*keys).agg(F.expr(f"max(abs(z) / {obf_boundary(1.0, 'look', n_looks)}) AS _s"))
     return per_run.agg(F.count("_s").alias("runs"), F.percentile("_s", F.lit(1 - alpha)).alias("c_obf"))

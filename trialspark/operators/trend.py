@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from trialspark.functions.stats import pooled_z, ratio, two_sided_p
+from trialspark.functions.stats import div, exprs, num, p_norm, pooled_z
 
 VARIANCE_FLOOR = 1e-12
 
@@ -20,28 +19,22 @@ def novelty_trend(panel: DataFrame, keys: Sequence[str] = (), day_col: str = "da
     first half of the days minus that of the rest.  If any day lacks an arm the
     whole trend is NULL.  The input has one row per group and day.
     """
-    p_c, p_t = F.col("p_c"), F.col("p_t")
-    var = (ratio(p_c * (1 - p_c), F.col("n_c")) + ratio(p_t * (1 - p_t), F.col("n_t")))
-    w = Window.partitionBy(*keys)
-    daily = panel.select(
-        *keys, F.col(day_col).cast("double").alias("_x"), (p_t - p_c).alias("_e"),
-        ratio(F.lit(1.0), F.when(p_c.isNotNull() & p_t.isNotNull(), F.greatest(var, F.lit(VARIANCE_FLOOR)))
-              ).alias("_w"),
-        F.row_number().over(w.orderBy(day_col)).alias("_i"), F.count(F.lit(1)).over(w).alias("_days"))
-    early = F.col("_i") <= F.floor(F.col("_days") / 2)
-    wx, we = F.col("_w") * F.col("_x"), F.col("_w") * F.col("_e")
-    s = daily.groupBy(*keys).agg(
-        F.max("_days").alias("days"), F.count("_e").alias("_complete"),
-        F.sum("_w").alias("_sw"), F.sum(wx).alias("_swx"), F.sum(we).alias("_swe"),
-        F.sum(wx * F.col("_x")).alias("_swxx"), F.sum(wx * F.col("_e")).alias("_swxe"),
-        F.avg(F.when(early, F.col("_e"))).alias("_first"), F.avg(F.when(~early, F.col("_e"))).alias("_rest"))
-    sxx = F.col("_swxx") - ratio(F.col("_swx") * F.col("_swx"), F.col("_sw"))
-    sxe = F.col("_swxe") - ratio(F.col("_swx") * F.col("_swe"), F.col("_sw"))
-    whole = (F.col("_complete") == F.col("days")) & (F.col("days") > 1)
-    s = s.withColumns({"_sxx": F.when(whole, F.greatest(sxx, F.lit(0.0))), "_sxe": F.when(whole, sxe)})
-    s = s.withColumn("slope", ratio(F.col("_sxe"), F.col("_sxx")))
-    return s.select(*keys, "days", "slope", (F.col("slope") * F.sqrt("_sxx")).alias("trend_z"),
-                    F.when(whole, F.col("_first") - F.col("_rest")).alias("half_gap"))
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    var = f"{div('p_c * (1D - p_c)', 'n_c')} + {div('p_t * (1D - p_t)', 'n_t')}"
+    daily = panel.selectExpr(
+        *keys, f"CAST({day_col} AS DOUBLE) AS _x", "p_t - p_c AS _e",
+        f"1D / CASE WHEN p_c IS NOT NULL AND p_t IS NOT NULL THEN greatest({var}, {num(VARIANCE_FLOOR)}) END AS _w",
+        f"row_number() OVER ({part} ORDER BY {day_col}) AS _i", f"count(1) OVER ({part}) AS _days")
+    s = daily.groupBy(*keys).agg(*[F.expr(e) for e in (
+        "max(_days) AS days", "count(_e) = max(_days) AND max(_days) > 1 AS _whole", "sum(_w) AS _sw",
+        "sum(_w * _x) AS _swx", "sum(_w * _e) AS _swe", "sum(_w * _x * _x) AS _swxx", "sum(_w * _x * _e) AS _swxe",
+        "avg(_e) FILTER (WHERE _i <= floor(_days / 2)) AS _first", "avg(_e) FILTER (WHERE _i > floor(_days / 2)) AS _rest")])
+    s = s.withColumns(exprs(
+        _sxx=f"CASE WHEN _whole THEN greatest(_swxx - {div('_swx * _swx', '_sw')}, 0D) END",
+        _sxe=f"CASE WHEN _whole THEN _swxe - {div('_swx * _swe', '_sw')} END"))
+    slope = div("_sxe", "_sxx")
+    return s.selectExpr(*keys, "days", f"{slope} AS slope", f"{slope} * sqrt(_sxx) AS trend_z",
+                        "CASE WHEN _whole THEN _first - _rest END AS half_gap")
 
 
 WINDOWS = (("first_3d", 0, 3), ("first_7d", 0, 7), ("first_14d", 0, 14), ("second_week", 7, 14))
@@ -50,13 +43,10 @@ WINDOWS = (("first_3d", 0, 3), ("first_7d", 0, 7), ("first_14d", 0, 14), ("secon
 def window_estimates(panel: DataFrame, keys: Sequence[str] = (), day_col: str = "day",
                      windows: Sequence[tuple[str, int, int]] = WINDOWS) -> DataFrame:
     """Effect in each day window, from conditional sums over the daily panel."""
-    day = F.col(day_col)
-    cells = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
-                      for n, lo, hi in windows])
-    long = panel.select("*", F.inline(cells)).where((day >= F.col("_lo")) & (day < F.col("_hi")))
+    cells = ", ".join(f"named_struct('window', '{n}', '_lo', {lo}, '_hi', {hi})" for n, lo, hi in windows)
+    long = panel.selectExpr("*", f"inline(array({cells}))").where(f"{day_col} >= _lo AND {day_col} < _hi")
     sums = long.groupBy(*keys, "window").agg(*[F.sum(c).alias(c) for c in ("conv_c", "n_c", "conv_t", "n_t")])
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    out = sums.withColumns({
-        "effect": p_t - p_c, "rel_lift": ratio(p_t - p_c, p_c),
-        "z": pooled_z(F.col("conv_c"), F.col("n_c"), F.col("conv_t"), F.col("n_t"), floor=VARIANCE_FLOOR)})
-    return out.withColumns({"p_value": two_sided_p(F.col("z")), "significant": F.abs("z") > 1.96})
+    p_c, p_t = div("conv_c", "n_c"), div("conv_t", "n_t")
+    out = sums.withColumns(exprs(effect=f"{p_t} - {p_c}", rel_lift=div(f"({p_t} - {p_c})", p_c),
+                                 z=pooled_z(floor=VARIANCE_FLOOR)))
+    return out.withColumns(exprs(p_value=p_norm("z"), significant="abs(z) > 1.96"))

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialspark.functions.draws import uniform, unit_code
-from trialspark.functions.stats import pooled_z, ratio, two_sided_p, with_welch, z_crit
+from trialspark.functions.draws import uniform_sql, unit_code
+from trialspark.functions.stats import div, p_norm, pooled_z, ratio, with_welch, z_crit
 from trialspark.operators.assign import SCENARIO_DEFAULTS, base_rates, inject, scenario_rows
 from trialspark.operators.groupstats import attach
+from trialspark.operators.panels import with_rates
 from trialspark.operators.replay import nested_level
 from trialspark.operators.sequential import COUNTS, cumulative_looks, look_zscores
 from trialspark.operators.trend import novelty_trend
@@ -90,13 +91,15 @@ def portfolio_draw(rows: DataFrame, scenarios: Mapping[str, Mapping] = SCENARIOS
     a true lift for each (quarter, experiment)."""
     df = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_experiments - 1))).alias("exp"))
     df = df.withColumn("_code", unit_code(F.col("quarter").cast("bigint") * n_experiments + F.col("exp")))
-    pick = nested_level(uniform(F.col("_code"), "label", seed), _cut_points(scenarios, true_win_share))
     fields = [{"scenario": n, **{f: s.get(f, v) for f, v in CATALOG_DEFAULTS.items()}} for n, s in scenarios.items()]
-    df = df.withColumn("_s", F.element_at(scenario_rows(fields), pick + 1))
-    lift = F.col("_s.lift_lo") + (F.col("_s.lift_hi") - F.col("_s.lift_lo")) * uniform(F.col("_code"), "lift", seed)
-    df = df.withColumns({"lift": lift, "scenario": F.col("_s.scenario"),
-                         **{f: F.col(f"_s.{f}") for f in CATALOG_DEFAULTS if f not in ("lift_lo", "lift_hi")}})
-    return df.withColumn("true_win", (F.col("lift") > 0) & F.col("scenario").isin(*WINNING)).drop("_s", "_code")
+    df = df.selectExpr("*", f"{uniform_sql('label', seed, '_code')} AS _us", f"{uniform_sql('lift', seed, '_code')} AS _ul")
+    pick = nested_level("_us", _cut_points(scenarios, true_win_share))
+    df = df.withColumn("_s", F.expr(f"element_at({scenario_rows(fields)}, {pick} + 1)"))
+    plain = [f for f in CATALOG_DEFAULTS if f not in ("lift_lo", "lift_hi")]
+    df = df.selectExpr(*rows.columns, "exp", "_s.lift_lo + (_s.lift_hi - _s.lift_lo) * _ul AS lift", "_s.scenario AS scenario",
+                       *[f"_s.{f} AS {f}" for f in plain])
+    winning = ", ".join(f"'{w}'" for w in WINNING)
+    return df.withColumn("true_win", F.expr(f"lift > 0 AND scenario IN ({winning})"))
 
 
 def experiment_rows(units: DataFrame, *, seed: int = 1, n_experiments: int = N_EXPERIMENTS, **draw) -> DataFrame:
@@ -104,7 +107,7 @@ def experiment_rows(units: DataFrame, *, seed: int = 1, n_experiments: int = N_E
     ``quarter, code, day, segment, converted, engaged, amount``."""
     rows = portfolio_draw(attach(units, base_rates(units), ()), seed=seed, n_experiments=n_experiments, **draw)
     rows = rows.withColumn("replay", F.col("quarter") * n_experiments + F.col("exp") + seed * 100_003)
-    rows = rows.where(uniform(F.col("code"), "sample", F.col("replay")) < F.col("traffic_share"))
+    rows = rows.where(f"{uniform_sql('sample', 'replay')} < traffic_share")
     return inject(rows, {"lift", "novelty", "drop", "whale"})
 
 
@@ -126,36 +129,27 @@ def naive_decisions(cells: DataFrame, keys: Sequence[str] = EXP) -> DataFrame:
     first win found; reports the lift of what was looked at."""
     keys = list(keys)
     looks = look_zscores(cumulative_looks(_sum_counts(cells, [*keys, "day"]), keys))
-    lift = ratio(F.col("p_t") - F.col("p_c"), F.col("p_c"))
-    peek = looks.groupBy(*keys).agg(
-        F.min(F.when(F.col("z") > z_crit(), F.struct("look", lift.alias("lift")))).alias("_peek"),
-        F.max(F.struct("look", lift.alias("lift"))).alias("_last"))
-    totals = roll_up(cells, keys, ["revenue"])
-    revenue = with_welch(totals, "revenue").select(
-        *keys, F.coalesce(F.col("significant") & (F.col("effect") > 0), F.lit(False)).alias("_rev"))
-    seg = _sum_counts(cells, [*keys, "segment"])
-    z = pooled_z(*[F.col(c) for c in COUNTS])
-    p_c, p_t = ratio(F.col("conv_c"), F.col("n_c")), ratio(F.col("conv_t"), F.col("n_t"))
-    won = (two_sided_p(F.col("z")) < 0.05) & (F.col("z") > 0)
-    seg = seg.withColumns({"z": z, "_l": ratio(p_t - p_c, p_c)}).groupBy(*keys).agg(
-        F.min(F.when(won, F.struct("segment", F.col("_l").alias("lift")))).alias("_seg"))
-    df = peek.join(revenue, keys).join(seg, keys)
-    how = (F.when(F.col("_peek").isNotNull(), "peek").when(F.col("_rev"), "revenue")
-           .when(F.col("_seg").isNotNull(), "segment").otherwise("none"))
-    df = df.withColumn("naive_how", how)
-    reported = (F.when(F.col("naive_how") == "peek", F.col("_peek.lift"))
-                .when(F.col("naive_how") == "segment", F.col("_seg.lift")).otherwise(F.col("_last.lift")))
-    return df.select(*keys, (F.col("naive_how") != "none").alias("naive_ship"), reported.alias("naive_lift"),
-                     "naive_how")
+    seen = f"struct(look, {div('(p_t - p_c)', 'p_c')} AS lift)"
+    peek = looks.groupBy(*keys).agg(F.expr(f"min({seen}) FILTER (WHERE z > {z_crit()}D) AS _peek"),
+                                    F.expr(f"max({seen}) AS _last"))
+    revenue = with_welch(roll_up(cells, keys, ["revenue"]), "revenue").selectExpr(
+        *keys, "coalesce(significant AND effect > 0, false) AS _rev")
+    p_c, p_t = div("conv_c", "n_c"), div("conv_t", "n_t")
+    seg = _sum_counts(cells, [*keys, "segment"]).selectExpr(
+        *keys, "segment", f"{pooled_z()} AS z", f"{div(f'({p_t} - {p_c})', p_c)} AS lift")
+    seg = seg.groupBy(*keys).agg(F.expr(f"min(struct(segment, lift)) FILTER (WHERE z > 0 AND {p_norm('z')} < 0.05) AS _seg"))
+    df = peek.join(revenue, keys).join(seg, keys).withColumn("naive_how", F.expr(
+        "CASE WHEN _peek IS NOT NULL THEN 'peek' WHEN _rev THEN 'revenue' WHEN _seg IS NOT NULL THEN 'segment' ELSE 'none' END"))
+    return df.selectExpr(*keys, "naive_how <> 'none' AS naive_ship",
+                         "CASE naive_how WHEN 'peek' THEN _peek.lift WHEN 'segment' THEN _seg.lift ELSE _last.lift END AS naive_lift",
+                         "naive_how")
 
 
 def rigorous_decisions(cells: DataFrame, keys: Sequence[str] = EXP, planned_mde_rel: float = PLANNED_MDE_REL) -> DataFrame:
     """Analyst with one metric and a fixed horizon who ships on a SHIP verdict."""
     keys = list(keys)
     daily = _sum_counts(cells, [*keys, "day"])
-    rates = daily.withColumns({"p_c": ratio(F.col("conv_c"), F.col("n_c")),
-                               "p_t": ratio(F.col("conv_t"), F.col("n_t"))})
-    trend = novelty_trend(rates, keys).select(*keys, "days", "trend_z", "half_gap")
+    trend = novelty_trend(with_rates(daily), keys).select(*keys, "days", "trend_z", "half_gap")
     report = assemble(_sum_counts(daily, keys), keys, trend=trend, planned_mde_rel=planned_mde_rel)
     return report.select(*keys, F.col("ship").alias("rigorous_ship"), F.col("rel_lift").alias("rigorous_lift"),
                          F.col("verdict").alias("rigorous_verdict"))

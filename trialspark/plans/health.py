@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.functions.stats import norm_ppf, ratio, srm_p, with_prop_test
+from trialspark import CONTROL, TREATMENT
+from trialspark.functions.stats import div, exprs, norm_ppf, srm_p, with_prop_test
 from trialspark.operators.adjust import balance_from_smd, with_smd
 from trialspark.operators.groupstats import attach
 from trialspark.operators.hypothesis import outlier_sensitivity
 from trialspark.operators.multiplicity import holm
-from trialspark.operators.panels import arm_flags
-from trialspark.operators.planning import mde_proportions
+from trialspark.operators.panels import with_rates
+from trialspark.operators.planning import mde_sql
 from trialspark.operators.trend import novelty_trend
 from trialspark.sources.ingest import materialize
 
@@ -39,36 +40,27 @@ COUNTS = ("conv_c", "n_c", "conv_t", "n_t")
 def day_moments(units: DataFrame, keys: Sequence[str], metrics: Sequence[str] = (), metric: str = "converted",
                 day: str | None = "day") -> DataFrame:
     """Arm counts and moments per group and day: the one pass over the rows."""
-    is_c, is_t = arm_flags()
     by = [*keys, *([day] if day else [])]
     aggs = []
-    for s, cond in (("c", is_c), ("t", is_t)):
-        y = F.when(cond, F.col(metric))
-        aggs += [F.coalesce(F.sum(y), F.lit(0)).cast("bigint").alias(f"conv_{s}"), F.count(y).alias(f"n_{s}")]
+    for s, label in (("c", CONTROL), ("t", TREATMENT)):
+        when = f"CASE WHEN arm = '{label}' THEN"
+        aggs += [f"CAST(coalesce(sum({when} {metric} END), 0) AS BIGINT) AS conv_{s}", f"count({when} {metric} END) AS n_{s}"]
         for m in metrics:
-            v = F.when(cond, F.col(m))
-            aggs += [F.count(v).alias(f"{m}_n_{s}"), F.avg(v).alias(f"{m}_mean_{s}"),
-                     F.var_pop(v).alias(f"{m}_var_{s}")]
-    return units.groupBy(*by).agg(*aggs)
+            v = f"{when} {m} END"
+            aggs += [f"count({v}) AS {m}_n_{s}", f"avg({v}) AS {m}_mean_{s}", f"var_pop({v}) AS {m}_var_{s}"]
+    return units.groupBy(*by).agg(*[F.expr(a) for a in aggs])
 
 
 def roll_up(panel: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ()) -> DataFrame:
     """Merge day moments into group moments (sample variances)."""
-    aggs = [F.sum(c).alias(c) for c in COUNTS]
+    aggs, merged = [f"sum({c}) AS {c}" for c in COUNTS], list(COUNTS)
     for m in metrics:
         for s in ("c", "t"):
-            n, mean, var = (F.col(f"{m}_{p}_{s}") for p in ("n", "mean", "var"))
-            aggs += [F.sum(n).alias(f"{m}_n_{s}"), F.sum(n * mean).alias(f"_{m}_s_{s}"),
-                     F.sum(n * var + n * mean * mean).alias(f"_{m}_q_{s}")]
-    out = panel.groupBy(*keys).agg(*aggs)
-    for m in metrics:
-        for s in ("c", "t"):
-            n, total, square = F.col(f"{m}_n_{s}"), F.col(f"_{m}_s_{s}"), F.col(f"_{m}_q_{s}")
-            out = out.withColumns({
-                f"{m}_mean_{s}": ratio(total, n),
-                f"{m}_var_{s}": F.greatest(ratio(square - ratio(total * total, n), n - 1), F.lit(0.0)),
-            }).drop(f"_{m}_s_{s}", f"_{m}_q_{s}")
-    return out
+            n, mean, var = (f"{m}_{p}_{s}" for p in ("n", "mean", "var"))
+            aggs += [f"sum({n}) AS {n}", f"sum({n} * {mean}) AS {mean}", f"sum({n} * ({var} + {mean} * {mean})) AS {var}"]
+            merged += [n, f"{div(mean, n)} AS {mean}",
+                       f"greatest({div(f'({var} - {div(f"{mean} * {mean}", n)})', f'({n} - 1)')}, 0D) AS {var}"]
+    return panel.groupBy(*keys).agg(*[F.expr(a) for a in aggs]).selectExpr(*keys, *merged)
 
 
 def multiple_testing_flag(pvalues: DataFrame, keys: Sequence[str], test: str = "test_no") -> DataFrame:
@@ -79,93 +71,76 @@ def multiple_testing_flag(pvalues: DataFrame, keys: Sequence[str], test: str = "
         *keys, "tests", (F.coalesce(F.col("_p.raw"), F.lit(False)) & ~F.col("_p.holm")).alias("multi_bad"))
 
 
-def p_text(p: Column) -> Column:
-    return F.when(p < 0.0001, "<0.0001").otherwise(F.format_string("%.4f", p))
-
-
-def pct(x: Column) -> Column:
-    return F.lit(100.0) * x
+def p_text(p: str) -> str:
+    return f"CASE WHEN {p} < 0.0001 THEN '<0.0001' ELSE format_string('%.4f', {p}) END"
+
+
+ABSENT = {"days": "0", "trend_z": "CAST(NULL AS DOUBLE)", "half_gap": "CAST(NULL AS DOUBLE)", "tests": "0",
+          "multi_bad": "false", "flips": "false", "raw_p_value": "CAST(NULL AS DOUBLE)",
+          "win_p_value": "CAST(NULL AS DOUBLE)", "max_smd": "CAST(NULL AS DOUBLE)", "max_z": "CAST(NULL AS DOUBLE)",
+          "critical_z": "CAST(NULL AS DOUBLE)", "imbalanced": "false"}
+
+# Condition and detail text of each check, in report order.
+RULES = (
+    ("srm_p < 0.001", RED,
+     "concat(format_string('%.1f%% treatment vs %.0f%% expected, SRM p = ', 100 * treat_share, 100 * expected_treat_share), "
+     + p_text("srm_p") + ")"),
+    ("stopped_early AND NOT used_sequential", RED,
+     "CASE WHEN {bad} THEN 'Stopped early on a fixed-horizon p-value' ELSE 'Fixed horizon or sequential method used' END"),
+    ("mde > planned_mde_rel", YELLOW,
+     "concat(format_string('Achieved MDE %.1f%% relative', 100 * mde), CASE WHEN {bad} THEN"
+     " format_string(\" > planned %.0f%%: winner's-curse risk\", 100 * planned_mde_rel) ELSE '' END)"),
+    ("tests > 1 AND multi_bad", YELLOW,
+     "CASE WHEN coalesce(tests, 0) <= 1 THEN 'Single primary metric' ELSE concat(tests, ' comparisons; primary ',"
+     " CASE WHEN {bad} THEN 'significant raw but not after Holm' ELSE 'survives Holm correction' END) END"),
+    (f"days >= {MIN_TREND_DAYS} AND trend_z < {NOVELTY_Z}D AND half_gap > 0", YELLOW,
+     f"CASE WHEN days >= {MIN_TREND_DAYS} THEN format_string("
+     "'Daily-effect slope z = %+.2f; first half minus second half = %+.4f', trend_z, half_gap)"
+     " ELSE 'Too few days to test a trend' END"),
+    ("flips", YELLOW,
+     "CASE WHEN raw_p_value IS NULL AND win_p_value IS NULL THEN 'No revenue metric supplied' ELSE concat('Revenue p = ', "
+     + p_text("raw_p_value") + ", ' raw vs ', " + p_text("win_p_value") + ", ' winsorized at p99') END"),
+    ("imbalanced", RED,
+     "CASE WHEN max_z IS NULL THEN 'No pre-treatment covariates supplied' ELSE concat(format_string("
+     "'max |SMD| = %.4f (z = %.1f vs critical %.1f)', max_smd, max_z, critical_z),"
+     " CASE WHEN {bad} THEN '; arms differ before treatment' ELSE '' END) END"),
+)
 
 
 def assemble(totals: DataFrame, keys: Sequence[str], *, trend: DataFrame | None = None,
              multi: DataFrame | None = None, outliers: DataFrame | None = None, balance: DataFrame | None = None,
              settings: DataFrame | None = None, expected_treat_share: float = 0.5,
-             planned_mde_rel: float | None = None, stopped_early: bool = False, used_sequential: bool = False,
-             max_groups: int | None = None) -> DataFrame:
+             planned_mde_rel: float | None = None, stopped_early: bool = False,
+             used_sequential: bool = False) -> DataFrame:
     """One row per experiment: the conversion result and its seven checks.
 
     Every input has one row per experiment.  ``settings`` overrides the scalar
     defaults per experiment; inputs that are absent give a green check.
     """
     keys = list(keys)
-    defaults = {"expected_treat_share": F.lit(float(expected_treat_share)),
-                "planned_mde_rel": F.lit(planned_mde_rel).cast("double"),
-                "stopped_early": F.lit(stopped_early), "used_sequential": F.lit(used_sequential)}
-    df = with_prop_test(totals)
+    df = totals
     for part in (trend, multi, outliers, balance, settings):
         if part is not None:
             df = (df.join(part, keys, "left") if keys else attach(df, part, ()))
-    for name, default in defaults.items():
-        df = df.withColumn(name, F.coalesce(F.col(name), default) if name in df.columns else default)
-    absent = {"days": F.lit(0), "trend_z": F.lit(None).cast("double"), "half_gap": F.lit(None).cast("double"),
-              "tests": F.lit(0), "multi_bad": F.lit(False), "flips": F.lit(False),
-              "raw_p_value": F.lit(None).cast("double"), "win_p_value": F.lit(None).cast("double"),
-              "max_smd": F.lit(None).cast("double"), "max_z": F.lit(None).cast("double"),
-              "critical_z": F.lit(None).cast("double"), "imbalanced": F.lit(False)}
-    df = df.withColumns({c: v for c, v in absent.items() if c not in df.columns})
-    n_c, n_t = F.col("n_c"), F.col("n_t")
-    df = df.withColumns({
-        "srm_p": srm_p(n_c, n_t, F.col("expected_treat_share")),
-        "treat_share": ratio(n_t, n_c + n_t),
-        "mde": mde_proportions(F.col("base"), F.least(n_c, n_t)),
-        "_trend": F.coalesce(F.col("days") >= MIN_TREND_DAYS, F.lit(False)),
-        "_revenue": F.col("raw_p_value").isNotNull() | F.col("win_p_value").isNotNull(),
-    })
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    low_power = yes(F.col("mde") > F.col("planned_mde_rel"))
-    many = F.coalesce(F.col("tests"), F.lit(0)) > 1
-    faded = F.col("_trend") & yes((F.col("trend_z") < NOVELTY_Z) & (F.col("half_gap") > 0))
-    flags = (
-        (yes(F.col("srm_p") < 0.001), RED,
-         F.concat(F.format_string("%.1f%% treatment vs %.0f%% expected, SRM p = ", pct(F.col("treat_share")),
-                                  pct(F.col("expected_treat_share"))), p_text(F.col("srm_p")))),
-        (F.col("stopped_early") & ~F.col("used_sequential"), RED,
-         F.when(F.col("stopped_early") & ~F.col("used_sequential"), "Stopped early on a fixed-horizon p-value")
-         .otherwise("Fixed horizon or sequential method used")),
-        (low_power, YELLOW,
-         F.concat(F.format_string("Achieved MDE %.1f%% relative", pct(F.col("mde"))),
-                  F.when(low_power, F.format_string(" > planned %.0f%%: winner's-curse risk",
-                                                    pct(F.col("planned_mde_rel")))).otherwise(""))),
-        (many & yes(F.col("multi_bad")), YELLOW,
-         F.when(~many, "Single primary metric").otherwise(
-             F.concat(F.col("tests").cast("string"), F.lit(" comparisons; primary "),
-                      F.when(yes(F.col("multi_bad")), "significant raw but not after Holm")
-                      .otherwise("survives Holm correction")))),
-        (faded, YELLOW,
-         F.when(F.col("_trend"), F.format_string(
-             "Daily-effect slope z = %+.2f; first half minus second half = %+.4f",
-             F.col("trend_z"), F.col("half_gap"))).otherwise("Too few days to test a trend")),
-        (yes(F.col("flips")), YELLOW,
-         F.when(F.col("_revenue"), F.concat(F.lit("Revenue p = "), p_text(F.col("raw_p_value")), F.lit(" raw vs "),
-                                            p_text(F.col("win_p_value")), F.lit(" winsorized at p99")))
-         .otherwise("No revenue metric supplied")),
-        (yes(F.col("imbalanced")), RED,
-         F.when(F.col("max_z").isNull(), "No pre-treatment covariates supplied").otherwise(
-             F.concat(F.format_string("max |SMD| = %.4f (z = %.1f vs critical %.1f)", F.col("max_smd"),
-                                      F.col("max_z"), F.col("critical_z")),
-                      F.when(yes(F.col("imbalanced")), "; arms differ before treatment").otherwise("")))),
-    )
-    checks = F.array(*[
-        F.struct(F.lit(i).alias("check_no"), F.lit(name).alias("check"),
-                 F.when(bad, level).otherwise(GREEN).alias("status"), detail.alias("detail"))
-        for i, (name, (bad, level, detail)) in enumerate(zip(CHECKS, flags), start=1)])
-    df = df.withColumn("checks", checks)
-    has = lambda s: F.exists("checks", lambda c: c["status"] == s)
-    win = yes(F.col("significant") & (F.col("effect") > 0))
-    verdict = (F.when(has(RED), DONT_TRUST).when(has(YELLOW), INVESTIGATE).when(win, SHIP).otherwise(NO_WIN))
-    return df.withColumn("verdict", verdict).withColumn("ship", F.col("verdict") == SHIP).select(
-        *keys, *COUNTS, "effect", "se", "p_value", "ci_low", "ci_high", "rel_lift", "significant",
-        "checks", "verdict", "ship")
+    have = set(df.columns)
+    defaults = {"expected_treat_share": f"{float(expected_treat_share)}D",
+                "planned_mde_rel": "CAST(NULL AS DOUBLE)" if planned_mde_rel is None else f"{float(planned_mde_rel)}D",
+                "stopped_early": str(stopped_early).lower(), "used_sequential": str(used_sequential).lower()}
+    filled = {c: f"coalesce({c}, {d})" if c in have else d for c, d in defaults.items()}
+    filled |= {c: d for c, d in ABSENT.items() if c not in have}
+    df = with_prop_test(df.withColumns(exprs(**filled)))
+    df = df.withColumns(exprs(srm_p=srm_p(share="expected_treat_share"), treat_share=div("n_t", "(n_c + n_t)"),
+                              mde=mde_sql("base", "least(n_c, n_t)")))
+    df = df.withColumns(exprs(**{f"_bad{i}": f"coalesce({cond}, false)" for i, (cond, _, _) in enumerate(RULES, 1)}))
+    checks = ", ".join(
+        f"named_struct('check_no', {i}, 'check', '{name}', 'status', CASE WHEN _bad{i} THEN '{level}' ELSE '{GREEN}' END,"
+        f" 'detail', {detail.replace('{bad}', f'_bad{i}')})"
+        for i, (name, (_, level, detail)) in enumerate(zip(CHECKS, RULES), 1))
+    some = {lv: " OR ".join(f"_bad{i}" for i, (_, level, _) in enumerate(RULES, 1) if level == lv) for lv in (RED, YELLOW)}
+    verdict = (f'CASE WHEN {some[RED]} THEN "{DONT_TRUST}" WHEN {some[YELLOW]} THEN "{INVESTIGATE}"'
+               f' WHEN significant AND effect > 0 THEN "{SHIP}" ELSE "{NO_WIN}" END')
+    return df.selectExpr(*keys, *COUNTS, "effect", "se", "p_value", "ci_low", "ci_high", "rel_lift", "significant",
+                         f"array({checks}) AS checks", f"{verdict} AS verdict").withColumn("ship", F.col("verdict") == SHIP)
 
 
 def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFrame | None = None,
@@ -189,16 +164,14 @@ def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFr
         balance = balance_from_smd(with_smd(long), len(covariates), keys)
     trend = None
     if day:
-        rates = panel.withColumns({"p_c": ratio(F.col("conv_c"), F.col("n_c")),
-                                   "p_t": ratio(F.col("conv_t"), F.col("n_t"))})
-        trend = novelty_trend(rates, keys, day).select(*keys, "days", "trend_z", "half_gap")
+        trend = novelty_trend(with_rates(panel), keys, day).select(*keys, "days", "trend_z", "half_gap")
     outliers = None
     if revenue_col:
         outliers = outlier_sensitivity(units, revenue_col, keys, max_groups=max_groups).select(
             *keys, "raw_p_value", "win_p_value", "flips")
     multi = multiple_testing_flag(pvalues, keys) if pvalues is not None else None
     return assemble(totals.select(*keys, *COUNTS), keys, trend=trend, multi=multi, outliers=outliers,
-                    balance=balance, max_groups=max_groups, **options)
+                    balance=balance, **options)
 
 
 def check_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,16 +181,12 @@ def check_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def to_markdown(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One markdown document per experiment."""
-    icon = lambda s: (F.when(s == RED, ICONS[RED]).when(s == YELLOW, ICONS[YELLOW])
-                      .otherwise(ICONS[GREEN]))
-    lines = F.transform("checks", lambda c: F.concat(
-        F.lit("| "), c["check"], F.lit(" | "), icon(c["status"]), F.lit(" | "), c["detail"], F.lit(" |")))
-    head = F.format_string(
-        "**Verdict: %s**\n\nEffect on conversion: %+.4f (%+.1f%% relative), 95%% CI [%+.4f, %+.4f], p = %s\n\n"
-        "| Check | Status | Detail |\n|---|---|---|\n",
-        F.col("verdict"), F.col("effect"), pct(F.col("rel_lift")), F.col("ci_low"), F.col("ci_high"),
-        p_text(F.col("p_value")))
-    return report.select(*keys, "verdict", F.concat(head, F.array_join(lines, "\n")).alias("markdown"))
+    icon = f"CASE c.status WHEN '{RED}' THEN '{ICONS[RED]}' WHEN '{YELLOW}' THEN '{ICONS[YELLOW]}' ELSE '{ICONS[GREEN]}' END"
+    lines = f"array_join(transform(checks, c -> concat('| ', c.check, ' | ', {icon}, ' | ', c.detail, ' |')), '\\n')"
+    head = ("format_string('**Verdict: %s**\\n\\nEffect on conversion: %+.4f (%+.1f%% relative), 95%% CI [%+.4f, %+.4f], "
+            "p = %s\\n\\n| Check | Status | Detail |\\n|---|---|---|\\n', verdict, effect, 100 * rel_lift, ci_low, ci_high, "
+            + p_text("p_value") + ")")
+    return report.selectExpr(*keys, "verdict", f"concat({head}, {lines}) AS markdown")
 
 
 def report_card(report: DataFrame, scenario: str = "scenario") -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from trialspark.functions.draws import uniform_sql
 from trialspark.operators import assign, replay
 from trialspark.operators.groupstats import attach
 from trialspark.plans import audit, health
@@ -29,7 +29,7 @@ def many_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
              "whale_rate")}, "novelty_halflife": 3.0, "whale_multiplier": 50.0, **DESIGNS[e % len(DESIGNS)]}
             for e in range(N_EXPERIMENTS)]
     units = attach(units, assign.base_rates(units), ())
-    rows = units.select("*", F.inline(assign.scenario_rows(grid, experiment_id=T.IntegerType())))
+    rows = units.selectExpr("*", f"inline({assign.scenario_rows(grid)})")
     return assign.inject(rows, {"lift", "novelty", "drop", "whale"}, replay="experiment_id")
 
 
@@ -78,7 +78,7 @@ def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = coded_orders(spark, sf_dir, customers=True).drop("arm")
     cases = [{"scenario": c["scenario"], **CARD_NEUTRAL, **c} for c in CARD_CASES]
     rows = replay.over_scenarios(units, cases, CARD_REPLAYS)
-    rows = rows.where(assign.uniform(F.col("code"), "sample", F.col("replay")) < F.col("traffic_share"))
+    rows = rows.where(f"{uniform_sql('sample', 'replay')} < traffic_share")
     rows = assign.inject(rows, {"lift", "novelty", "drop", "whale"})
     rows = rows.withColumns({
         "revenue": F.when(F.col("scenario") == "whale_revenue", F.col("revenue")),

@@ -32,7 +32,7 @@ def obf_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks = sequential.look_zscores(_looks(spark, sf_dir))
     total = looks.groupBy("segment").agg(F.max("look").alias("n_looks"))
     out = looks.join(total, "segment").withColumn(
-        "boundary", sequential.obf_boundary(2.1053, F.col("look"), F.col("n_looks")))
+        "boundary", F.expr(sequential.obf_boundary(2.1053)))
     return tidy(out.select("segment", "look", "n_looks", "boundary", (F.abs("z") > F.col("boundary")).alias("crossed")))
 
 

@@ -221,18 +221,17 @@ def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def power_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and days per segment and detectable effect, with and without CUPED."""
     base = _baseline(spark, sf_dir).select("segment", "base_rate", "users_per_day", "cuped_gain")
-    df = base.withColumn("mde_rel", F.explode(F.array(*[F.lit(m) for m in (0.05, 0.10, 0.20)])))
-    df = df.withColumn("n_per_arm", planning.sample_size_proportions(F.col("base_rate"), F.col("mde_rel")))
-    df = df.withColumn("n_cuped", F.ceil(F.col("n_per_arm") * (1 - F.col("cuped_gain"))))
-    df = df.withColumn("days", planning.days_needed(F.col("n_per_arm"), F.col("users_per_day")))
-    return tidy(df.withColumn("days_cuped", planning.days_needed(F.col("n_cuped"), F.col("users_per_day"))))
+    df = base.selectExpr("*", "explode(array(0.05D, 0.10D, 0.20D)) AS mde_rel")
+    df = df.withColumn("n_per_arm", F.expr(planning.size_sql("base_rate", "mde_rel")))
+    df = df.withColumn("n_cuped", F.expr("ceil(n_per_arm * (1 - cuped_gain))"))
+    return tidy(df.selectExpr("*", f"{planning.days_sql('n_per_arm', 'users_per_day')} AS days",
+                              f"{planning.days_sql('n_cuped', 'users_per_day')} AS days_cuped"))
 
 
 def mde_achieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = panels.arm_totals(order_units(spark, sf_dir, customers=True), ["segment"])
-    base = F.col("conv_c") / F.col("n_c")
-    return tidy(totals.select("segment", base.alias("base_rate"), F.least("n_c", "n_t").alias("n_per_arm"),
-                              planning.mde_proportions(base, F.least("n_c", "n_t")).alias("mde_rel")))
+    rates = totals.selectExpr("segment", "conv_c / n_c AS base_rate", "least(n_c, n_t) AS n_per_arm")
+    return tidy(rates.selectExpr("*", f"{planning.mde_sql('base_rate', 'n_per_arm')} AS mde_rel"))
 
 
 def sample_size_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,18 +239,16 @@ def sample_size_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = order_units(spark, sf_dir, customers=True)
     stats = units.groupBy("segment").agg(F.avg("amount").alias("m"), F.stddev_samp("amount").alias("sd"),
                                          F.corr("amount", "x_strong").alias("rho"))
-    mde = 0.02 * F.col("m")
-    adj = F.col("sd") * F.sqrt(1 - F.col("rho") * F.col("rho"))
-    return tidy(stats.select("segment", planning.sample_size_means(F.col("sd"), mde).alias("n_raw"),
-                             planning.sample_size_means(adj, mde).alias("n_cuped")))
+    return tidy(stats.selectExpr(
+        "segment", f"{planning.size_means_sql('sd', '0.02 * m')} AS n_raw",
+        f"{planning.size_means_sql('(sd * sqrt(1 - rho * rho))', '0.02 * m')} AS n_cuped"))
 
 
 def days_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days for 20,000 users per arm at the measured traffic, by treatment share."""
     base = _baseline(spark, sf_dir).select("segment", "users_per_day")
-    n = F.lit(20000)
-    return tidy(base.select("segment", "users_per_day", *[
-        planning.days_needed(n, F.col("users_per_day"), s).alias(f"days_{int(s * 100)}") for s in (0.5, 0.8)]))
+    return tidy(base.selectExpr("segment", "users_per_day", *[
+        f"{planning.days_sql('20000', 'users_per_day', s)} AS days_{int(s * 100)}" for s in (0.5, 0.8)]))
 
 
 QUERIES = {f.__name__: f for f in (

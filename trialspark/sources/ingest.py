@@ -78,8 +78,7 @@ def add_unit_id(df: DataFrame, key: str | None = None, *, dense: bool = False,
         return df.withColumn(name, F.monotonically_increasing_id() + 1)
     if key is None:
         raise ValueError("a dense id needs a unique integer key")
-    bucket = draw(unit_code(F.col(key)), "order") % buckets
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumn("_c", unit_code(F.col(key))).withColumn("_b", draw("order", code="_c") % buckets).drop("_c")
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
