@@ -21,10 +21,10 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], max_groups: int | None = None) -> DataFrame:
-    """Join one-row-per-group statistics onto rows.  Without keys there is a
-    single statistics row, which is always broadcast."""
+    """Join one-row-per-group statistics onto rows, keeping every row.  Without
+    keys there is a single statistics row, which is always broadcast."""
     if keys:
-        return rows.join(bounded(stats, max_groups), list(keys))
+        return rows.join(bounded(stats, max_groups), list(keys), "left")
     return (rows.withColumn("_one", F.lit(1))
             .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
@@ -44,7 +44,8 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
 
     Pass 1 counts rows per order-preserving bucket (partial aggregation does the
     work before the shuffle).  Pass 2 looks only at the one or two buckets that
-    hold the wanted ranks, collapsed to distinct values.
+    hold the wanted ranks, collapsed to distinct values.  A group without any
+    value has no row in the result.
     """
     keys = list(keys)
     y = F.col(value)
@@ -55,7 +56,7 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
         "_cum": F.sum("_n").over(run),
         "_total": F.sum("_n").over(Window.partitionBy(*keys)),
     }).withColumn("_pos", (F.col("_total") - 1) * F.lit(float(q)))
-    wanted = hist.where((F.col("_cum") - F.col("_n") <= F.ceil("_pos")) & (F.col("_cum") > F.floor("_pos")))
+    wanted = hist.where("_total > 0").where((F.col("_cum") - F.col("_n") <= F.ceil("_pos")) & (F.col("_cum") > F.floor("_pos")))
     wanted = wanted.select(*keys, "_b", (F.col("_cum") - F.col("_n")).alias("_start"), "_pos")
     limit = 2 * (1 if not keys else max_groups) if (not keys or max_groups) else None
     near = (rows.join(bounded(wanted, limit), [*keys, "_b"])
