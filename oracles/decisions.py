@@ -138,14 +138,14 @@ def log_ctes(target: str | None = None, p: str = "") -> str:
     e = "quarter, exp"
     return f"""{p}au AS MATERIALIZED (SELECT * FROM {_au}), {p}dr AS MATERIALIZED (SELECT *, {ks} FROM {draws(target)}),
   {p}x AS MATERIALIZED (SELECT quarter, exp, day, segment, arm, converted, revenue FROM {rows}),
-  {p}l AS (SELECT *, (pt - pc) / pc AS lift FROM {looks(arm_counts(f'{p}x', e + ', day'), e)}),
-  {p}pk AS (SELECT {e}, arg_min(lift, look) FILTER (z > {Z975}) AS pl, min(look) FILTER (z > {Z975}) AS pk, arg_max(lift, look) AS fin FROM {p}l GROUP BY {e}),
+  {p}l AS (SELECT *, (pt - pc) / nullif(pc, 0) AS lift FROM {looks(arm_counts(f'{p}x', e + ', day'), e)}),
+  {p}pk AS (SELECT {e}, arg_min_null(lift, look) FILTER (z > {Z975}) AS pl, min(look) FILTER (z > {Z975}) AS pk, arg_max_null(lift, look) AS fin FROM {p}l GROUP BY {e}),
   {p}rv AS (SELECT {e}, effect > 0 AND {p_t('t', 'dof')} < 0.05 AS rev FROM {welch_cols(f"(SELECT {e}, {moments('revenue')} FROM {p}x GROUP BY {e})")}),
-  {p}sg AS (SELECT {e}, arg_min((xt / nt - xc / nc) / (xc / nc), segment) AS sl FROM (SELECT *, {z_expr()} AS z FROM {arm_counts(f'{p}x', e + ', segment')})
+  {p}sg AS (SELECT {e}, arg_min_null((xt / nt - xc / nc) / nullif(xc / nc, 0), segment) AS sl FROM (SELECT *, {z_expr()} AS z FROM {arm_counts(f'{p}x', e + ', segment')})
     WHERE z > 0 AND {p_norm('z')} < 0.05 GROUP BY {e}),
   {p}rg AS (SELECT a.*, 0.5e0 AS share, tz, gap, days FROM {prop_cols(arm_counts(f'{p}x', e))} a
     JOIN (SELECT {e}, days, slope * sqrt(sxx) AS tz, gap FROM {trend(f'{p}x', e)}) USING ({e})),
-  {p}vd AS (SELECT {e}, effect / base AS rl, CASE WHEN {p_norm(f'sqrt({SRM})')} < 0.001 THEN '{DONT}'
+  {p}vd AS (SELECT {e}, effect / nullif(base, 0) AS rl, CASE WHEN {p_norm(f'sqrt({SRM})')} < 0.001 THEN '{DONT}'
     WHEN {KPOW} * sqrt(2 * base * (1 - base) / least(nc, nt)) / base > 0.20 OR (days >= 7 AND tz < {Z01} AND gap > 0) THEN '{INV}'
     WHEN {p_norm('z')} < 0.05 AND effect > 0 THEN '{SHIP}' ELSE '{NO}' END AS verdict FROM {p}rg),
   {p}log AS MATERIALIZED (SELECT k.quarter, k.exp, d.scenario, d.lift AS true_lift, d.true_win,
