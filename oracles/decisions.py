@@ -200,6 +200,11 @@ SQL = {
         effect, 100 * effect / base, effect - {Z975} * se, effect + {Z975} * se) || {ptext('p')} || chr(10) || chr(10) || '| Check | Status | Detail |' || chr(10)
         || '|---|---|---|' || chr(10) || lines AS markdown FROM w JOIN t USING (experiment_id)""",
     "checker_report_card": CARD,
+    "checker_detection": f"WITH k AS MATERIALIZED ({CARD}) " + " UNION ALL ".join(
+        f"""SELECT '{n}' AS "check", {r(f"max(fires_{c}) FILTER (scenario = '{s}')")} AS detection_rate,
+        {r(f"avg(fires_{c}) FILTER (scenario IN ('clean_null', 'clean_win'))")} AS false_alarm_rate FROM k"""
+        for n, c, s in (("Sample ratio", "sample_ratio", "srm_bug"), ("Novelty", "novelty", "novelty_only"), ("Power", "power", "underpowered"),
+                        ("Outliers", "outliers", "whale_revenue"), ("Balance", "balance", "imbalanced_arms"))),
     "scenario_shares": " UNION ALL ".join([_share_rows(None, "CAST(NULL AS DOUBLE)"), _share_rows("0.15e0", "0.15e0"), _share_rows("0.35e0", "0.35e0")]),
     "portfolio_draw": f"SELECT * EXCLUDE (q, rep) REPLACE ({r('lift')} AS lift), q AS quarter FROM {draws(None)}",
     "naive_decisions": LOG + f" SELECT quarter, exp, naive_ship, {r('naive_lift')} AS naive_lift, naive_how FROM log",

@@ -99,6 +99,15 @@ ANYFP = f"""WITH f AS (SELECT f.*, n_metrics FROM {family(100)} f, (SELECT unnes
   SELECT n_metrics::BIGINT AS n_metrics, count(*) AS runs, {_hit('raw')} AS uncorrected, {_hit('h')} AS holm, {_hit('b')} AS bh FROM j GROUP BY n_metrics"""
 
 
+VARIANT = f"""WITH a AS (SELECT n_variants, replay, floor({u('k_label')} * n_variants)::INT AS label, sum(converted)::DOUBLE AS x, count(*)::DOUBLE AS n
+    FROM {CODED}, {replays(100, streams=('label',))}, (SELECT unnest([2, 3, 5, 8]) AS n_variants) GROUP BY ALL),
+  j AS (SELECT t.n_variants, t.replay, c.x AS xc, c.n AS nc, t.x AS xt, t.n AS nt FROM a t JOIN a c ON c.n_variants = t.n_variants AND c.replay = t.replay
+    AND c.label = 0 AND t.label > 0),
+  p AS (SELECT n_variants, replay, {p_norm('z')} AS p FROM (SELECT *, {z_expr()} AS z FROM j)),
+  g AS (SELECT n_variants, replay, bool_or(p < 0.05) AS raw, bool_or(holm_reject) AS h FROM {judged('p', 'n_variants, replay')} GROUP BY n_variants, replay)
+  SELECT n_variants::BIGINT AS n_variants, count(*) AS runs, {_hit('raw')} AS uncorrected, {_hit('h')} AS holm FROM g GROUP BY n_variants"""
+
+
 def _seg(first: int, col: str, name: str) -> str:
     rows = injected(CODED, replays(50, first), set())
     return f"""SELECT '{name}' AS slicing, replay - {first - 1} AS replay, {col}::VARCHAR AS segment, {z_expr(True)} AS z,
@@ -182,6 +191,6 @@ RHO = f"""WITH z AS (SELECT (amount - my) / sy AS y, (pre_x - mx) / sx AS e FROM
 SQL = {
     "aa_replay": _aa("converted") + " UNION ALL " + _aa("visit"), "inject_scenario": INJECT, "peeking_by_looks": PEEK,
     "compare_stopping_rules": RULES, "msprt_sample_cost": COST, "winners_curse": CURSE, "srm_damage": DAMAGE, "srm_detection": DETECT,
-    "novelty_scenarios": NOVEL, "any_false_positive": ANYFP, "segment_hacking": HACK, "heavy_tail_methods": TAILS,
+    "novelty_scenarios": NOVEL, "any_false_positive": ANYFP, "variant_false_positive": VARIANT, "segment_hacking": HACK, "heavy_tail_methods": TAILS,
     "unit_of_analysis": UNIT, "simpson_ramp": SIMPSON, "cuped_replay": CUPED, "cuped_rho_grid": RHO,
 }

@@ -48,7 +48,7 @@ SQL = {
         {r('sum(amount)', 2)} AS amount FROM {O} GROUP BY arm, day""",
     "read_units_csv_inferred": f"""SELECT arm, count(*) AS users, sum(converted)::BIGINT AS conversions,
         max(day)::BIGINT AS last_day, {r('avg(amount)', 4)} AS avg_amount FROM {O} GROUP BY arm""",
-    "add_unit_id": f"""SELECT o_orderkey, row_number() OVER (ORDER BY {draw(salt('order'))} % 256, o_orderkey) AS row_id
+    "add_unit_id": f"""SELECT o_orderkey, row_number() OVER (ORDER BY {draw(salt('order'))} % 4096, o_orderkey) AS row_id
         FROM {coded('orders', 'o_orderkey')}""",
     "table_row_counts": " UNION ALL ".join(
         [f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES]

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # A side is broadcast only when the caller's parameters prove that it has no
 # more rows than this (replays x scenarios, catalog rows).  Other sides get no
@@ -29,44 +28,57 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], max_groups: i
             .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
-def _order_bucket(y: Column) -> Column:
-    """Integer that never decreases with y: 4,096 steps per power of two.  The
-    number of distinct buckets depends on the range of y, not on the rows."""
-    step = F.floor(F.log2(F.abs(y)) * 4096) + F.lit(1 << 24)
-    bucket = F.when(y > 0, step).when(y < 0, -step).otherwise(F.lit(0).cast("bigint"))
-    # never NULL, so that no null filter is pushed down to repeat the expression
-    return F.coalesce(bucket, F.lit(0).cast("bigint"))
+COARSE = 4096            # steps per power of two in pass 1
+FINE = COARSE << 16      # steps per power of two inside the wanted coarse steps
+
+
+def order_bucket(y: str, steps: int) -> str:
+    """Integer that never decreases with y: ``steps`` per power of two.  The number
+    of buckets depends on the range of y, not on the rows.  It is never NULL, so
+    that no null filter is pushed down to repeat the expression."""
+    size = f"CAST(floor(log2(abs({y})) * {steps}) AS BIGINT) + {1100 * steps}L"
+    return f"coalesce(CASE WHEN {y} > 0 THEN {size} WHEN {y} < 0 THEN -({size}) END, 0L)"
+
+
+def _holding_ranks(counts: DataFrame, bucket: str, within: Sequence[str]) -> DataFrame:
+    """Of counted buckets (``_n``, rows before the set in ``_start``), those that
+    hold rank ``_pos``, with ``_start`` moved to the bucket."""
+    part = f"PARTITION BY {', '.join(within)} " if within else ""
+    run = counts.withColumn("_cum", F.expr(
+        f"_start + sum(_n) OVER ({part}ORDER BY {bucket} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    held = run.where("_cum - _n <= ceil(_pos) AND _cum > floor(_pos)")
+    return held.withColumn("_start", F.expr("_cum - _n")).drop("_cum", "_n")
 
 
 def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] = (),
                    max_groups: int | None = None, name: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile per group without gathering a group.
 
-    Pass 1 counts rows per order-preserving bucket (partial aggregation does the
-    work before the shuffle).  Pass 2 looks only at the one or two buckets that
-    hold the wanted ranks, collapsed to distinct values.  A group without any
-    value has no row in the result.
+    Pass 1 counts rows per order-preserving bucket; partial aggregation does the
+    work before the shuffle.  Pass 2 reads only rows of the one or two buckets
+    that hold the wanted ranks, counts them by value, and narrows those counts
+    to steps 65,536 times finer before values are put in order.  Every ordered
+    window therefore spans bucket numbers of one group, or the few values that
+    share one fine step.  A group without any value has no row in the result.
     """
     keys = list(keys)
-    y = F.col(value)
-    rows = rows.select(*keys, value, _order_bucket(y).alias("_b"))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(value).alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumns({
-        "_cum": F.sum("_n").over(run),
-        "_total": F.sum("_n").over(Window.partitionBy(*keys)),
-    }).withColumn("_pos", (F.col("_total") - 1) * F.lit(float(q)))
-    wanted = hist.where("_total > 0").where((F.col("_cum") - F.col("_n") <= F.ceil("_pos")) & (F.col("_cum") > F.floor("_pos")))
-    wanted = wanted.select(*keys, "_b", (F.col("_cum") - F.col("_n")).alias("_start"), "_pos")
-    limit = 2 * (1 if not keys else max_groups) if (not keys or max_groups) else None
-    near = (rows.join(bounded(wanted, limit), [*keys, "_b"])
-            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n")))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_cum", F.col("_start") + F.sum("_n").over(inside))
-    ends = near.groupBy(*keys).agg(
-        F.min(F.when(F.col("_cum") > F.floor("_pos"), y)).alias("_lo"),
-        F.min(F.when(F.col("_cum") > F.ceil("_pos"), y)).alias("_hi"),
-        F.max("_pos").alias("_pos"),
-    )
-    frac = F.col("_pos") - F.floor("_pos")
-    return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(name))
+    few = 2 * (max_groups if keys else 1) if (not keys or max_groups) else None
+    slim = rows.selectExpr(*keys, value, f"{order_bucket(value, COARSE)} AS _b")
+    hist = slim.groupBy(*keys, "_b").agg(F.count(value).alias("_n"))
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    hist = hist.selectExpr("*", "0L AS _start", f"sum(_n) OVER ({part}) AS _total").where("_total > 0").selectExpr(
+        *keys, "_b", "_n", "_start", f"(_total - 1) * {float(q)!r}D AS _pos")
+    wanted = _holding_ranks(hist, "_b", keys)
+    near = (slim.join(bounded(wanted, few), [*keys, "_b"])
+            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n"))
+            .withColumn("_f", F.expr(order_bucket(value, FINE))))
+    steps = near.groupBy(*keys, "_b", "_start", "_pos", "_f").agg(F.sum("_n").alias("_n"))
+    exact = _holding_ranks(steps, "_f", [*keys, "_b"]).drop("_pos")
+    last = near.drop("_start").join(bounded(exact, 2 * few if few else None), [*keys, "_b", "_f"])
+    part = ", ".join([*keys, "_b", "_f"])
+    ranked = last.withColumn("_cum", F.expr(
+        f"_start + sum(_n) OVER (PARTITION BY {part} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    ends = ranked.groupBy(*keys).agg(
+        F.expr(f"min({value}) FILTER (WHERE _cum > floor(_pos)) AS _lo"),
+        F.expr(f"min({value}) FILTER (WHERE _cum > ceil(_pos)) AS _hi"), F.max("_pos").alias("_pos"))
+    return ends.selectExpr(*keys, f"_lo + (_hi - _lo) * (_pos - floor(_pos)) AS {name}")

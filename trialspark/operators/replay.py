@@ -23,10 +23,11 @@ from trialspark.operators.adjust import raw_and_cuped, stratified_effect
 from trialspark.operators.assign import base_rates, inject, scenario_rows
 from trialspark.operators.groupstats import attach
 from trialspark.operators.hypothesis import bootstrap_diff_ci, ci_coverage, winsorize_pooled, with_delta_method
-from trialspark.operators.multiplicity import benjamini_hochberg, best_segment, holm, segment_scan
+from trialspark.operators.multiplicity import (benjamini_hochberg, best_segment, holm, multi_variant_vs_control,
+                                               segment_scan)
 from trialspark.operators.panels import arm_moments, arm_totals, daily_panel
 from trialspark.operators.planning import size_sql
-from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, stopping_rules,
+from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, obf_calibration, stopping_rules,
                                              summarise_rules, with_msprt)
 from trialspark.operators.trend import novelty_trend, window_estimates
 
@@ -37,11 +38,12 @@ def over_replays(units: DataFrame, n_replays: int, first: int = 1) -> DataFrame:
     return units.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + n_replays - 1))).alias("replay"))
 
 
-def over_scenarios(units: DataFrame, scenarios: Sequence[dict], n_replays: int, rates: bool = True) -> DataFrame:
+def over_scenarios(units: DataFrame, scenarios: Sequence[dict], n_replays: int, rates: bool = True,
+                   first: int = 1) -> DataFrame:
     """Units x scenarios x replays, with the measured base rates attached."""
     if rates:
         units = attach(units, base_rates(units), ())
-    return over_replays(units.selectExpr("*", f"inline({scenario_rows(scenarios)})"), n_replays)
+    return over_replays(units.selectExpr("*", f"inline({scenario_rows(scenarios)})"), n_replays, first)
 
 
 def _rate(cond: Column) -> Column:
@@ -83,10 +85,11 @@ def known_effect_coverage(units: DataFrame, lifts: Sequence[float], n_replays: i
     return ci_coverage(tests, "truth", ["lift"])
 
 
-def replay_looks(units: DataFrame, n_replays: int, scenarios: Sequence[dict], day: str = "day") -> DataFrame:
+def replay_looks(units: DataFrame, n_replays: int, scenarios: Sequence[dict], day: str = "day",
+                 first: int = 1) -> DataFrame:
     """Cumulative looks with z per (lift, replay)."""
     lifted = any(s.get("lift") for s in scenarios)
-    rows = inject(over_scenarios(units, scenarios, n_replays, rates=lifted), {"lift"} if lifted else ())
+    rows = inject(over_scenarios(units, scenarios, n_replays, rates=lifted, first=first), {"lift"} if lifted else ())
     panel = arm_totals(rows, ["lift", "replay", day])
     return look_zscores(cumulative_looks(panel, ["lift", "replay"], day))
 
@@ -110,9 +113,14 @@ def peeking_by_looks(units: DataFrame, n_replays: int, looks: Sequence[int] = (1
 
 
 def compare_stopping_rules(units: DataFrame, n_replays: int, n_looks: int, rel_lift: float = 0.10,
-                           c_obf: float = 2.1053, tau: float = 0.0025) -> DataFrame:
+                           c_obf: float | None = 2.1053, tau: float = 0.0025, calibration: int = 400) -> DataFrame:
+    """Rejection rate and looks used by rule, without and with an effect.  With
+    ``c_obf=None`` the boundary is calibrated on further null replays."""
     looks = replay_looks(units, n_replays, [{"lift": 0.0}, {"lift": rel_lift}])
-    stops = stopping_rules(looks, ["lift", "replay"], n_looks, c_obf, tau)
+    if c_obf is None:
+        null = replay_looks(units, calibration, [{"lift": 0.0}], first=n_replays + 1)
+        looks = attach(looks, obf_calibration(null, ["replay"], n_looks).select("c_obf"), ())
+    stops = stopping_rules(looks, ["lift", "replay"], n_looks, c_obf or "c_obf", tau)
     return summarise_rules(stops, n_looks, ["lift"])
 
 
@@ -257,6 +265,19 @@ def any_false_positive(units: DataFrame, metrics: Sequence[str], n_replays: int,
                                          _rate(F.col("holm")).alias("holm"), _rate(F.col("bh")).alias("bh"))
 
 
+def variant_false_positive(units: DataFrame, n_replays: int, variants: Sequence[int] = (2, 3, 5, 8)) -> DataFrame:
+    """Chance of at least one false win when k variants share one control.  The
+    ``n_variants`` groups include the control, which is group 0."""
+    grid = ", ".join(str(v) for v in variants)
+    rows = over_replays(units, n_replays).selectExpr("replay", "converted", "code", f"explode(array({grid})) AS n_variants")
+    rows = rows.withColumn("label", F.expr(f"CAST(floor({uniform_sql('label', 'replay')} * n_variants) AS INT)"))
+    key = ["n_variants", "replay"]
+    tested = multi_variant_vs_control(rows, "label", 0, key, max_groups=len(variants) * n_replays)
+    runs = tested.groupBy(*key).agg(F.expr("bool_or(p_value < 0.05) AS raw"), F.bool_or("holm_reject").alias("holm"))
+    return runs.groupBy("n_variants").agg(F.count(F.lit(1)).alias("runs"), _rate(F.col("raw")).alias("uncorrected"),
+                                          _rate(F.col("holm")).alias("holm"))
+
+
 def segment_hacking(units: DataFrame, segments: dict[str, str], n_replays: int) -> DataFrame:
     """Best of many segments under the null, and its confirmation on fresh arms.
     ``segments`` maps a name to a column; cells are counted once at the finest

@@ -34,9 +34,9 @@ def look_zscores(looks: DataFrame) -> DataFrame:
     return looks.withColumns(exprs(z=pooled_z(floor=VARIANCE_FLOOR), p_c=div("conv_c", "n_c"), p_t=div("conv_t", "n_t")))
 
 
-def obf_boundary(c: float, look: str = "look", n_looks: int | str = "n_looks") -> str:
+def obf_boundary(c: float | str, look: str = "look", n_looks: int | str = "n_looks") -> str:
     """O'Brien-Fleming boundary c * sqrt(K / k)."""
-    return f"({num(c)} * sqrt(CAST({n_looks} AS DOUBLE) / {look}))"
+    return f"({c if isinstance(c, str) else num(c)} * sqrt(CAST({n_looks} AS DOUBLE) / {look}))"
 
 
 def with_msprt(looks: DataFrame, tau: float | str, keys: Sequence[str] = (), order: str = "look",
@@ -53,9 +53,9 @@ def with_msprt(looks: DataFrame, tau: float | str, keys: Sequence[str] = (), ord
     return looks.withColumn(name, F.expr(f"min(_inv) OVER {window_sql(keys, order)}")).drop("_v", "_d", "_t2", "_inv")
 
 
-def stopping_rules(looks: DataFrame, keys: Sequence[str], n_looks: int, c_obf: float, tau: float) -> DataFrame:
+def stopping_rules(looks: DataFrame, keys: Sequence[str], n_looks: int, c_obf: float | str, tau: float) -> DataFrame:
     """First crossing of four rules per group: NULL look if the rule never stops.
-    ``looks`` are cumulative counts with z."""
+    ``looks`` are cumulative counts with z; ``c_obf`` may name a column."""
     crit = num(z_crit())
     rules = {"fixed_horizon": f"look = {n_looks} AND abs(z) > {crit}", "naive_peeking": f"abs(z) > {crit}",
              "obrien_fleming": f"abs(z) > {obf_boundary(c_obf, 'look', n_looks)}", "msprt": "msprt_p < 0.05"}

@@ -189,6 +189,23 @@ def to_markdown(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     return report.selectExpr(*keys, "verdict", f"concat({head}, {lines}) AS markdown")
 
 
+# The check each broken scenario should fire, and the clean ones.
+TARGETS = (("Sample ratio", "sample_ratio", "srm_bug"), ("Novelty", "novelty", "novelty_only"),
+           ("Power", "power", "underpowered"), ("Outliers", "outliers", "whale_revenue"),
+           ("Balance", "balance", "imbalanced_arms"))
+CLEAN = ("clean_null", "clean_win")
+
+
+def detection_rates(card: DataFrame) -> DataFrame:
+    """Detection on the scenario a check is meant for, and false alarms on clean
+    ones, from a report card (one row per scenario)."""
+    clean = ", ".join(f"'{c}'" for c in CLEAN)
+    aggs = [F.expr(f"max(fires_{c}) FILTER (WHERE scenario = '{s}') AS d_{c}") for _, c, s in TARGETS]
+    aggs += [F.expr(f"avg(fires_{c}) FILTER (WHERE scenario IN ({clean})) AS a_{c}") for _, c, _ in TARGETS]
+    cells = ", ".join(f"named_struct('check', '{n}', 'detection_rate', d_{c}, 'false_alarm_rate', a_{c})" for n, c, _ in TARGETS)
+    return card.agg(*aggs).selectExpr(f"inline(array({cells}))")
+
+
 def report_card(report: DataFrame, scenario: str = "scenario") -> DataFrame:
     """Firing rate per check and share of verdicts per scenario."""
     fires = {1: "sample_ratio", 5: "novelty", 3: "power", 6: "outliers", 7: "balance"}

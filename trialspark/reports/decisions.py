@@ -72,7 +72,15 @@ CARD_NEUTRAL = {"lift": 0.0, "novelty_boost": 0.0, "novelty_halflife": 3.0, "srm
 CARD_REPLAYS = 8
 
 
+def checker_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(health.detection_rates(_card(spark, sf_dir)))
+
+
 def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(_card(spark, sf_dir))
+
+
+def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fires on clean and on broken experiments.  Only the
     whale scenario hands its revenue to the checker."""
     units = coded_orders(spark, sf_dir, customers=True).drop("arm")
@@ -85,7 +93,7 @@ def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pre_x": F.when(F.col("arm") == "treatment", F.col("pre_x") * F.col("imbalance")).otherwise(F.col("pre_x"))})
     report = health.health_report(rows, ["scenario", "replay"], revenue_col="revenue", covariates=["pre_x"],
                                   planned_mde_rel=0.20, max_groups=len(cases) * CARD_REPLAYS)
-    return tidy(health.report_card(report))
+    return health.report_card(report)
 
 
 PERIOD_DAYS = 365
@@ -179,6 +187,6 @@ def share_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    health_checks, health_verdict, health_markdown, checker_report_card, scenario_shares, portfolio_draw,
+    health_checks, health_verdict, health_markdown, checker_report_card, checker_detection, scenario_shares, portfolio_draw,
     naive_decisions, rigorous_decisions, decision_log, quarter_score, audit_summary, ship_rate_by_scenario,
     break_even_cost, cost_sensitivity, worst_case_rerun, share_sensitivity)}

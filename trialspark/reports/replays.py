@@ -78,6 +78,10 @@ def any_false_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(replay.any_false_positive(metric_units(spark, sf_dir), [n for n, _ in METRICS], 100))
 
 
+def variant_false_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(replay.variant_false_positive(_orders(spark, sf_dir), 100))
+
+
 def segment_hacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = _orders(spark, sf_dir, customers=True)
     return tidy(replay.segment_hacking(units, {"market": "segment", "nation": "nation"}, 50))
@@ -114,5 +118,5 @@ def cuped_rho_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     aa_replay, inject_scenario, peeking_by_looks, compare_stopping_rules, msprt_sample_cost, winners_curse,
-    srm_damage, srm_detection, novelty_scenarios, any_false_positive, segment_hacking, heavy_tail_methods,
+    srm_damage, srm_detection, novelty_scenarios, any_false_positive, variant_false_positive, segment_hacking, heavy_tail_methods,
     unit_of_analysis, simpson_ramp, cuped_replay, cuped_rho_grid)}

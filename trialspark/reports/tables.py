@@ -31,7 +31,7 @@ def _csv(spark: SparkSession, sf_dir: str, compression: str) -> str:
 
 def read_units_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _csv(spark, sf_dir, "gzip")
-    units = ingest.read_units_csv(spark, path, CSV_SCHEMA, narrow=("day", "converted"), partitions=8)
+    units = ingest.read_units_csv(spark, path, CSV_SCHEMA, narrow=("day", "converted"), partitions=spark.sparkContext.defaultParallelism)
     return tidy(units.groupBy("arm", "day").agg(
         F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"),
         F.sum("amount").alias("amount")), amount=2)

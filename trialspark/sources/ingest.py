@@ -66,7 +66,7 @@ def read_units_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def add_unit_id(df: DataFrame, key: str | None = None, *, dense: bool = False,
-                buckets: int = 256, name: str = "row_id") -> DataFrame:
+                buckets: int = 4096, name: str = "row_id") -> DataFrame:
     """Surrogate id.
 
     The default is unique and free of shuffles.  ``dense`` numbers the rows
