@@ -19,7 +19,7 @@ def quantile(values, q):
     return v[lo] + (v[hi] - v[lo]) * (pos - lo)
 
 
-@pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.99, 0.999, 1.0])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
 def test_exact_quantile(spark, q):
     rng = random.Random(3)
     groups = {
