@@ -41,7 +41,7 @@ def over_replays(units: DataFrame, n_replays: int, first: int = 1) -> DataFrame:
 def over_scenarios(units: DataFrame, scenarios: Sequence[dict], n_replays: int, rates: bool = True,
                    first: int = 1) -> DataFrame:
     """Units x scenarios x replays, with the measured base rates attached."""
-    if rates:
+    if rates and "base_rate" not in units.columns:
         units = attach(units, base_rates(units), ())
     return over_replays(units.selectExpr("*", f"inline({scenario_rows(scenarios)})"), n_replays, first)
 

@@ -10,6 +10,7 @@ from trialspark.operators import assign, replay
 from trialspark.operators.groupstats import attach
 from trialspark.plans import audit, health
 from trialspark.reports import tidy
+from trialspark.sources.ingest import materialize
 from trialspark.sources.units import coded_orders, day_number, spread, table, with_code
 
 N_EXPERIMENTS = 40
@@ -22,14 +23,22 @@ DESIGNS = (
 EXPERIMENT = ("experiment_id",)
 
 
+PREPARED = ("unit_id", "code", "day", "converted", "visit", "engaged", "amount", "pre_x", "x_strong")
+
+
+def prepared_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined, coded units with their base rates, written once: the several
+    passes over repeated units then read a narrow table instead of joining anew."""
+    units = coded_orders(spark, sf_dir, customers=True).select(*PREPARED)
+    return materialize(attach(units, assign.base_rates(units), ()), "units")
+
+
 def many_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders randomized into forty concurrent experiments, each with a design."""
-    units = coded_orders(spark, sf_dir, customers=True).drop("arm")
     grid = [{"experiment_id": e, "treat_share": 0.5, **{k: 0.0 for k in ("lift", "novelty_boost", "srm_drop_rate",
              "whale_rate")}, "novelty_halflife": 3.0, "whale_multiplier": 50.0, **DESIGNS[e % len(DESIGNS)]}
             for e in range(N_EXPERIMENTS)]
-    units = attach(units, assign.base_rates(units), ())
-    rows = units.selectExpr("*", f"inline({assign.scenario_rows(grid)})")
+    rows = prepared_units(spark, sf_dir).selectExpr("*", f"inline({assign.scenario_rows(grid)})")
     return assign.inject(rows, {"lift", "novelty", "drop", "whale"}, replay="experiment_id")
 
 
@@ -83,7 +92,7 @@ def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fires on clean and on broken experiments.  Only the
     whale scenario hands its revenue to the checker."""
-    units = coded_orders(spark, sf_dir, customers=True).drop("arm")
+    units = prepared_units(spark, sf_dir)
     cases = [{"scenario": c["scenario"], **CARD_NEUTRAL, **c} for c in CARD_CASES]
     rows = replay.over_scenarios(units, cases, CARD_REPLAYS)
     rows = rows.where(f"{uniform_sql('sample', 'replay')} < traffic_share")
@@ -143,13 +152,13 @@ def portfolio_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def naive_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = audit.materialize(audit.experiment_cells(audit.experiment_rows(audit_units(spark, sf_dir))), "audit-cells")
+    cells = materialize(audit.experiment_cells(audit.experiment_rows(audit_units(spark, sf_dir))), "audit-cells")
     return tidy(audit.naive_decisions(cells))
 
 
 def rigorous_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = audit.experiment_cells(audit.experiment_rows(audit_units(spark, sf_dir)))
-    daily = audit.materialize(audit._sum_counts(cells, [*audit.EXP, "day"]), "audit-days")
+    daily = materialize(audit._sum_counts(cells, [*audit.EXP, "day"]), "audit-days")
     return tidy(audit.rigorous_decisions(daily, planned_mde_rel=AUDIT_MDE))
 
 

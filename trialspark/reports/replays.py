@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialspark.operators import assign, panels, replay
 from trialspark.operators.assign import subset_units
 from trialspark.reports import tidy
+from trialspark.reports.decisions import prepared_units
 from trialspark.reports.tests import METRICS, metric_units
 from trialspark.sources.units import coded_orders, customer_units, event_units, line_units, order_units, with_code
 
@@ -88,7 +89,7 @@ def segment_hacking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heavy_tail_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _orders(spark, sf_dir, customers=True)
+    units = prepared_units(spark, sf_dir)
     return tidy(replay.heavy_tail_methods(units, 6, (0.0, 0.005), (0.0, 0.10), "x_strong", n_boot=40))
 
 
