@@ -1,7 +1,7 @@
 """Reference SQL of the health checks and the portfolio audit."""
 
 from oracles.monitoring import looks
-from oracles.parts import (M, RESULT, Z975, arm_counts, coded, draw, injected, moments, orders, p_norm, p_t, prop_cols, r, replays,
+from oracles.parts import (RESULT, Z975, arm_counts, coded, injected, moments, orders, p_norm, p_t, prop_cols, r, replays,
                            salt, u, welch_cols, z_expr)
 from oracles.tables import CATALOG, CODED
 from oracles.tests import COUNTS, judged, trend

@@ -3,7 +3,7 @@ scenario is built from its own full set of rows, without nesting."""
 
 from oracles.monitoring import looks, lifted_looks, stops, with_msprt
 from oracles.parts import (CUSTOMERS, EVENT_USERS, LINES, Z975, arm_counts, coded, draw, injected, moments, orders, p_norm, p_t,
-                           prop_cols, r, replays, salt, u, welch_cols, z_expr)
+                           prop_cols, r, replays, u, welch_cols, z_expr)
 from oracles.tables import CODED
 from oracles.tests import CDF, judged, family, trend
 

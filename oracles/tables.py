@@ -1,6 +1,6 @@
 """Reference SQL of the input, output, assignment and panel reports."""
 
-from oracles.parts import (CUSTOMERS, EVENT_USERS, EVENTS, LINES, THREE, coded, draw, md5_bucket, orders, r, salt, u)
+from oracles.parts import (EVENT_USERS, EVENTS, LINES, THREE, coded, draw, md5_bucket, orders, r, salt, u)
 
 O = orders()
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",

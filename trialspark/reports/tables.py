@@ -10,7 +10,7 @@ from trialspark.operators import assign, panels
 from trialspark.plans import audit
 from trialspark.reports import tidy
 from trialspark.sources import ingest
-from trialspark.sources.units import (customer_units, event_units, line_units, order_units, table,
+from trialspark.sources.units import (event_units, line_units, order_units, table,
                                       three_arm_units, with_code)
 
 CSV_SCHEMA = T.StructType([
