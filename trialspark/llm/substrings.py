@@ -56,9 +56,9 @@ def drop_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> DataF
     period, cover = cover_of(length)
 
     anchors = repeated(slim, _anchors(period, cover, length - period + 1), blocks)
-    windows = repeated(slim.join(anchors, "_uid"), _windows(period, length), blocks)
-    hit = windows.select("_uid", F.col("_pos").alias("_at"))
-    body = base.join(hit, "_uid", "left").drop("_uid")
+    dealt = base.repartition(blocks, "_uid")  # once for both joins: the exchange is reused
+    windows = repeated(dealt.join(anchors, "_uid").withColumn("_text", F.col(text)), _windows(period, length), blocks)
+    body = dealt.join(windows.select("_uid", F.col("_pos").alias("_at")), "_uid", "left").drop("_uid")
     names = [c for c in body.columns if c != "_at"]
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -86,6 +86,16 @@ def _covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Small integers with 2 or 4 bytes each, which the first byte tells."""
+    width = 2 if len(x) == 0 or x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1)
+
+
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -165,13 +175,13 @@ def repeated(rows: DataFrame, keyed: Callable[..., Keys], blocks: int) -> DataFr
         for b in np.flatnonzero(np.diff(cuts)):
             i = head[cuts[b]: cuts[b + 1]]
             uids, doc = np.unique(uid[row[i]], return_inverse=True)
-            out.append((int(b), False, uids.tobytes(), doc.astype("<u4").tobytes(), pos[i].astype("<u4").tobytes(), h[i].tobytes(),
+            out.append((int(b), False, uids.tobytes(), _narrow(doc), _narrow(pos[i]), h[i].tobytes(),
                         h2[i].tobytes() if wide else b"", met[i].tobytes()))
         again = np.flatnonzero(met)
         for n, i in enumerate(np.array_split(again, max(1, min(blocks, len(again) // 4096)))):
             if len(i):
                 uids, doc = np.unique(uid[row[i]], return_inverse=True)
-                out.append(((int(uid[0]) + n) % blocks, True, uids.tobytes(), doc.astype("<u4").tobytes(), pos[i].astype("<u4").tobytes(), b"", b"", b""))
+                out.append(((int(uid[0]) + n) % blocks, True, uids.tobytes(), _narrow(doc), _narrow(pos[i]), b"", b"", b""))
         cols = list(zip(*out, strict=True))
         kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
@@ -179,8 +189,8 @@ def repeated(rows: DataFrame, keyed: Callable[..., Keys], blocks: int) -> DataFr
     def meet(table: pa.Table) -> pa.Table:
         uid, pos, h, h2, multi, kept_uid, kept_pos = [], [], [], [], [], [], []
         for r in table.to_pylist():
-            u = np.frombuffer(r["uids"], np.int64)[np.frombuffer(r["doc"], "<u4")]
-            p = np.frombuffer(r["pos"], "<u4")
+            u = np.frombuffer(r["uids"], np.int64)[_wide(r["doc"])]
+            p = _wide(r["pos"]).astype(np.int64)
             if r["known"]:
                 kept_uid.append(u)
                 kept_pos.append(p)
