@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import (chunks, map_arrow, parts, text_buffers, text_bytes, window_hashes, window_starts,
+from trialspark.llm.common import (chunks, map_arrow, mix, parts, text_buffers, text_bytes, window_hashes, window_starts,
                                    word_hashes, word_spans)
 
 #: Perfect difference sets: period and cover positions (fixed values).
@@ -213,12 +213,34 @@ def repeated(rows: DataFrame, keyed: Callable[..., Keys], blocks: int) -> DataFr
             kept_uid.append(uid[pick])
             kept_pos.append(pos[pick])
         u, p = np.concatenate(kept_uid), np.concatenate(kept_pos)
+        to = (mix(u.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        u, p, to = u[order], p[order], to[order]
+        out: list[tuple] = []
+        for lo, hi in _runs(to):
+            uids, doc = np.unique(u[lo:hi], return_inverse=True)
+            out.append((int(to[lo]), uids.tobytes(), _narrow(doc), _narrow(p[lo:hi])))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["home", "uids", "doc", "pos"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        u = np.concatenate([np.frombuffer(r["uids"], np.int64)[_wide(r["doc"])] for r in rows])
+        p = np.concatenate([_wide(r["pos"]).astype(np.int32) for r in rows])
         order = np.argsort(u, kind="stable")
         u, p = u[order], p[order]
-        first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(u)), pa.int32()), pa.array(p.astype(np.int32)))
+        first = [lo for lo, _ in _runs(u)]
+        lists = pa.ListArray.from_arrays(pa.array([*first, len(u)], pa.int32()), pa.array(p))
         return pa.Table.from_arrays([pa.array(u[first], pa.int64()), lists], names=["_uid", "_pos"])
 
     sent = map_arrow(rows, send, _BLOCK)
-    return (sent.groupBy("block").applyInArrow(meet, "_uid long, _pos array<int>")
-            .groupBy("_uid").agg(F.flatten(F.collect_list("_pos")).alias("_pos")))
+    hits = sent.groupBy("block").applyInArrow(meet, "home int, uids binary, doc binary, pos binary")
+    return hits.groupBy("home").applyInArrow(gather, "_uid long, _pos array<int>")
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(x):
+        return []
+    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True))
