@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontam, packing, secret_scan, simhash, substrings
+from trialspark.llm import decontam, lm, packing, secret_scan, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontam.contaminated(docs, items).drop("_uid")
+
+
+def remainder(n: int) -> F.Column:
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and log-bilinear scores of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lm.score_documents(docs, remainder(7) == 2)
