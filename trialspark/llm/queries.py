@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontam, lm, packing, secret_scan, simhash, substrings
+from trialspark.llm import archives, decontam, lm, packing, secret_scan, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,26 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and log-bilinear scores of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return lm.score_documents(docs, remainder(7) == 2)
+
+
+@query
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as legacy archives, converted to WARC and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return archives.archive_pages(pages).drop("url")
+
+
+SQL["op6_arc_to_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+    SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id,
+           list_transform(range(0, 160, 5), lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+               ((instr('0123456789abcdef', substr(h, CAST(b // 4 + 1 AS INT), 1)) - 1) * 16
+                + instr('0123456789abcdef', substr(h || '0', CAST(b // 4 + 2 AS INT), 1)) - 1) >> CAST(3 - b % 4 AS INT)) & 31) AS INT), 1)) AS c
+    FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(c, '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d
+"""
