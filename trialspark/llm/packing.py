@@ -13,6 +13,7 @@ its open sequences only, and leaves at most ``OPEN`` partly filled sequences.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trialspark.llm.common import keep, map_arrow, parts
+from trialspark.llm.common import chunks, keep, map_arrow, parts, text_buffers
 
 LIMIT = 4096
 END_ID = 1
@@ -32,48 +33,73 @@ GROUP_TOKENS = 1 << 28
 #: Words a worker remembers; it starts anew beyond, so memory stays bounded.
 MEMORY = 1_000_000
 
-#: Pre-token rule of the word vocabulary, applied to words without unusual characters (fixed value).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Pieces encoded in one call.
+TOGETHER = 1000
 
+#: Pre-token rule of the word vocabulary, for words of common letters (fixed value); a line end closes a word.
+PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-class WordIds(dict):
+
+class WordIds:
     """Token ids of words, by the tokenizer, remembered as little-endian bytes.
 
     The vocabulary's rules never look across white space, so the ids of a text
     are those of its words in turn.  Within a word of Latin letters without
-    special strings, the same holds for runs of letters, digits and signs.
+    special strings, the same holds for runs of letters, digits and signs; runs
+    not met before are encoded many at a time.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text or max(text) >= "ɐ":
-            ids = self.encode(text)
-        else:
-            if text.isascii():
-                text = text.lower()
-            ids = b""
-            for piece in PIECES.findall(text):
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = self.encode(piece)
-                ids += got
-        self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        if len(self) > MEMORY:
-            self.clear()
-        if len(self.pieces) > MEMORY:
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), TOGETHER):
+            group = pieces[i: i + TOGETHER]
+            got = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            if len(of) and (of[-1] + 1 != len(group) or of[0] != 0 or (np.diff(of) > 1).any()):
+                self.pieces.update((p, self.encode(p)) for p in group)  # some piece is not one pre-token
+                continue
+            raw, cut = ids.tobytes(), (4 * np.searchsorted(of, np.arange(len(group) + 1))).tolist()
+            self.pieces.update(zip(group, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        if len(self.words) > MEMORY:
+            self.words.clear()
             self.pieces.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        plain, folded = [], []
+        for w in missing:
+            text = w.decode()
+            if "<|" in text or (not text.isascii() and max(text) >= "\u0250"):
+                self.words[w] = self.encode(text)
+            else:
+                plain.append(w)
+                folded.append(text.lower() if text.isascii() else text)
+        found = PIECES.findall("\n".join(folded) + "\n") if folded else []
+        self._encode_pieces(list(set(found) - self.pieces.keys() - {"\n"}))
+        get, parts, n = self.pieces.get, [], 0
+        for p in found:
+            if p == "\n":
+                self.words[plain[n]] = b"".join(parts)
+                parts, n = [], n + 1
+            else:
+                parts.append(get(p))
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode().split() for t in texts]
+        missing = set(itertools.chain.from_iterable(split)) - self.words.keys()
+        if missing:
+            # what is known may be forgotten to make room, so a text's words are learned together
+            if len(self.words) > MEMORY:
+                missing = set(itertools.chain.from_iterable(split))
+            self._learn(missing)
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _words: dict[str, WordIds] = {}
@@ -91,8 +117,9 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
         uids, ids, doc, piece, start, length, crc, held = (batch.column("_uid").to_pylist(), batch.column("doc_id").to_pylist(), [], [], [], [], [], [])
         uid = []
         end = np.array([END_ID], "<u4").tobytes()
-        for u, d, t in zip(uids, ids, batch.column("text"), strict=True):
-            raw = words.of(t.as_py()) + end
+        texts = batch.column("text")
+        raws = itertools.chain.from_iterable(words.of(texts.slice(lo, hi - lo).to_pylist()) for lo, hi in chunks(text_buffers(texts)[1], 4 << 20))
+        for u, d, raw in zip(uids, ids, (r + end for r in raws), strict=True):
             for n, at in enumerate(range(0, len(raw), 4 * limit)):
                 part = raw[at: at + 4 * limit]
                 uid.append(u)
