@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import archives, decontam, lm, packing, secret_scan, simhash, substrings
+from trialspark.llm import ann, archives, decontam, lm, packing, secret_scan, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +115,10 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, array_to_string(
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM d
 """
+
+
+@query
+def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors nearest to each vector whose id is divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
