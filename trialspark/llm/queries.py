@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import ann, archives, decontam, lm, packing, secret_scan, simhash, substrings
+from trialspark.llm import ann, archives, decontam, langid, lm, packing, secret_scan, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,12 @@ def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors nearest to each vector whose id is divisible by 20."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned from those that are not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = remainder(5) == 0
+    model = langid.fit(langid.sample_segments(docs.where(~held_out)))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
