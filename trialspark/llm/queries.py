@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import ann, archives, decontam, langid, lm, packing, secret_scan, simhash, substrings
+from trialspark.llm import ann, archives, decontam, langid, lm, packing, secret_scan, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(5) == 0
     model = langid.fit(langid.sample_segments(docs.where(~held_out)))
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of those that are not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = remainder(5) == 0
+    machine = toxicity.fit(toxicity.sample(docs.where(~held_out), labels))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine).drop("text")
