@@ -148,3 +148,36 @@ def listing(column: str) -> F.Column:
 
 def count_of(kind: str, column: str = "base") -> F.Column:
     return F.expr(f"cast(size(filter({column}, x -> x.kind = {KINDS.index(kind)})) as bigint)")
+
+
+MASK = "[SECRET]"
+
+
+def mask(text: str, spans: list[dict]) -> str:
+    """The text with each span, or run of overlapping spans, put in place of ``MASK``."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            out += [text[at: s["start"]], MASK]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the secrets in its texts masked; rows without secrets, and null texts, stay as they are.
+
+    ``docs`` must be a table or give the same rows in the same order when it is
+    read again.
+    """
+    found = keep(scan(docs, doc_id, text).where("size(spans) > 0").select("_uid", F.col("spans").alias("_spans")), "secret-spans")
+    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(found, "_uid", "left").drop("_uid")
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, spans = batch.column(text), batch.column("_spans")
+        if spans.null_count < len(spans):
+            new = [t.as_py() if not s.is_valid else mask(t.as_py(), s.as_py()) for t, s in zip(texts, spans, strict=True)]
+            texts = pa.array(new, pa.string())
+        yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names=names)
+
+    return map_arrow(rows, run, docs.schema)
