@@ -125,6 +125,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from one aggregate."""
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -89,21 +89,30 @@ class Templates:
         opens |= _STOP[data[np.maximum(prior, 0)]] if len(data) else False
         h = word_hashes(low, first_byte, last_byte)
         unit = np.isin(h, _UNIT_HASHES)
-        self.slot = ~wordy | unit | (capital & ~opens)
-        self.hash = np.where(~wordy, _NUMBER, np.where(unit, _UNIT, np.where(self.slot, _NAME, h)))
+        self.name = wordy & ~unit & capital & ~opens
+        self.slot = ~wordy | unit
+        self.literal = np.where(~wordy, _NUMBER, np.where(unit, _UNIT, h))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of windows with enough literal words."""
+    def forms(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, hash, slots by word) of windows with enough literal words.
+
+        Names stand for themselves in the first form, so that a text in small
+        letters is found; the second has the windows with names, as placeholders.
+        """
         n = len(self.row)
         if n < k:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        slots = np.append(0, np.cumsum(self.slot))
-        at = np.flatnonzero((self.row[k - 1:] == self.row[: n - k + 1]) & (k - (slots[k:] - slots[: n - k + 1]) >= LITERALS))
-        return at, window_hashes(self.hash ^ np.uint64(k), at, k)
-
-    def values(self, at: int, k: int) -> list[str]:
+            return
+        whole = self.row[k - 1:] == self.row[: n - k + 1]
+        names = np.append(0, np.cumsum(self.name))
+        named = names[k:] > names[: n - k + 1]
+        for words, slot, fit in ((self.literal, self.slot, whole), (np.where(self.name, _NAME, self.literal), self.slot | self.name, whole & named)):
+            slots = np.append(0, np.cumsum(slot))
+            at = np.flatnonzero(fit & (k - (slots[k:] - slots[: n - k + 1]) >= LITERALS))
+            yield at, window_hashes(words ^ np.uint64(k), at, k), slot
+
+    def values(self, at: int, k: int, slot: np.ndarray) -> list[str]:
         """Values of the placeholders in a window."""
-        return [self.data[self.start[i]: self.end[i]].tobytes().decode(errors="replace").lower() for i in range(at, at + k) if self.slot[i]]
+        return [self.data[self.start[i]: self.end[i]].tobytes().decode(errors="replace").lower() for i in range(at, at + k) if slot[i]]
 
 
 _ROWS = "h long, pos int, slots array<string>, size int"
@@ -121,9 +130,9 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
             k = min(window, len(t.row))
             if k < SHORTEST:
                 continue
-            at, h = t.windows(k)
-            for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                for o, v in zip(out, (ids[r].as_py(), x, i, t.values(i, k), k, len(at)), strict=True):
+            got = [(i, x, t.values(i, k, slot)) for at, h, slot in t.forms(k) for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+            for i, x, values in got:
+                for o, v in zip(out, (ids[r].as_py(), x, i, values, k, len({g[0] for g in got})), strict=True):
                     o.append(v)
         kinds = (ids.type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)],
@@ -172,13 +181,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         for lo, hi in chunks(off):
             t = Templates(data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo])
             base = np.searchsorted(t.row, np.arange(hi - lo))
-            for k in sizes:
-                at, h = t.windows(k)
+            for k, (at, h, slot) in ((k, form) for k in sizes for form in t.forms(k)):
                 low = h & np.uint64(BITMAP - 1)
                 hit = np.flatnonzero(table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                 for i, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
                     r = int(t.row[i])
-                    for o, v in zip(out, (uid[lo + r].as_py(), ids[lo + r].as_py(), x, i - int(base[r]), t.values(i, k), k), strict=True):
+                    for o, v in zip(out, (uid[lo + r].as_py(), ids[lo + r].as_py(), x, i - int(base[r]), t.values(i, k, slot), k), strict=True):
                         o.append(v)
         kinds = (pa.int64(), ids.type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import chunks, keep, map_arrow, text_buffers, word_spans
+from trialspark.llm.common import chunks, fresh, keep, map_arrow, text_buffers, word_spans
 
 #: Kinds in report order: three base kinds, then weak ones (fixed values).
 KINDS = ("assign", "access", "hex", "user", "key", "address")
@@ -169,12 +169,13 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     ``docs`` must be a table or give the same rows in the same order when it is
     read again.
     """
-    found = keep(scan(docs, doc_id, text).where("size(spans) > 0").select("_uid", F.col("spans").alias("_spans")), "secret-spans")
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(found, "_uid", "left").drop("_uid")
     names = docs.columns
+    uid, held = fresh(names, "_uid"), fresh(names, "_spans")
+    found = keep(scan(docs, doc_id, text).where("size(spans) > 0").select(F.col("_uid").alias(uid), F.col("spans").alias(held)), "secret-spans")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(found, uid, "left").drop(uid)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, spans = batch.column(text), batch.column("_spans")
+        texts, spans = batch.column(text), batch.column(held)
         if spans.null_count < len(spans):
             new = [t.as_py() if not s.is_valid else mask(t.as_py(), s.as_py()) for t, s in zip(texts, spans, strict=True)]
             texts = pa.array(new, pa.string())

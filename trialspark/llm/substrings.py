@@ -50,20 +50,21 @@ def drop_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> DataF
     same rows in the same order when it is read again.
     """
     added = ("n_words", "n_removed", "kept")
-    base = docs.drop(*added, "_uid", "_at").withColumn("_uid", F.monotonically_increasing_id())
-    slim = base.select("_uid", F.col(text).alias("_text"))
+    names = docs.drop(*added).columns
+    inner = [f"c{i}" for i in range(len(names))]
+    body = inner[names.index(text)]
+    base = docs.drop(*added).toDF(*inner).withColumn("_uid", F.monotonically_increasing_id())
     blocks = parts(text_bytes(docs, text), BLOCK_BYTES)
     period, cover = cover_of(length)
 
-    anchors = repeated(slim, _anchors(period, cover, length - period + 1), blocks)
+    anchors = repeated(base.select("_uid", F.col(body).alias("_text")), _anchors(period, cover, length - period + 1), blocks)
     dealt = base.repartition(blocks, "_uid")  # once for both joins: the exchange is reused
-    windows = repeated(dealt.join(anchors, "_uid").withColumn("_text", F.col(text)), _windows(period, length), blocks)
-    body = dealt.join(windows.select("_uid", F.col("_pos").alias("_at")), "_uid", "left").drop("_uid")
-    names = [c for c in body.columns if c != "_at"]
+    windows = repeated(dealt.join(anchors, "_uid").withColumn("_text", F.col(body)), _windows(period, length), blocks)
+    marked = dealt.join(windows.withColumnRenamed("_pos", "_at"), "_uid", "left").drop("_uid")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, kept = [], [], []
-        for t, at in zip(batch.column(text), batch.column("_at"), strict=True):
+        for t, at in zip(batch.column(body), batch.column("_at"), strict=True):
             words = (t.as_py() or "").encode().split()
             n_words.append(len(words))
             if at.is_valid:
@@ -71,12 +72,12 @@ def drop_repeats(docs: DataFrame, length: int = 35, text: str = "text") -> DataF
                 words = [w for w, g in zip(words, gone, strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
-        cols = [batch.column(c) for c in names]
+        cols = [batch.column(c) for c in inner]
         cols += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
-    schema = base.drop("_uid").limit(0).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
-    return map_arrow(body, cut, schema)
+    schema = docs.drop(*added).limit(0).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
+    return map_arrow(marked, cut, schema)
 
 
 def _covered(at: np.ndarray, n: int, length: int) -> np.ndarray:
