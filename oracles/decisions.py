@@ -62,19 +62,19 @@ HEALTH = f"""WITH x AS MATERIALIZED (SELECT experiment_id, day, arm, converted,
     FROM a JOIN {_plans} s USING (experiment_id) JOIN n USING (experiment_id) JOIN f USING (experiment_id) JOIN o USING (experiment_id) JOIN b USING (experiment_id)),
   c AS MATERIALIZED (
     SELECT experiment_id, 1 AS check_no, 'Sample ratio' AS "check", CASE WHEN srm_p < 0.001 THEN 'red' ELSE 'green' END AS status,
-      printf('%.1f%% treatment vs %.0f%% expected, SRM p = ', 100 * nt / (nc + nt), 100 * share) || {ptext('srm_p')} AS detail FROM j
+      printf('Treatment got %.1f%% of the units, planned %.0f%%; p ', 100 * nt / (nc + nt), 100 * share) || {ptext('srm_p')} AS detail FROM j
     UNION ALL SELECT experiment_id, 2, 'Peeking', CASE WHEN stopped AND NOT sequential THEN 'red' ELSE 'green' END,
-      CASE WHEN stopped AND NOT sequential THEN 'Stopped early on a fixed-horizon p-value' ELSE 'Fixed horizon or sequential method used' END FROM j
-    UNION ALL SELECT experiment_id, 3, 'Power', CASE WHEN mde > planned THEN 'yellow' ELSE 'green' END, printf('Achieved MDE %.1f%% relative', 100 * mde)
-      || CASE WHEN mde > planned THEN printf(' > planned %.0f%%: winner''s-curse risk', 100 * planned) ELSE '' END FROM j
+      CASE WHEN stopped AND NOT sequential THEN 'Ended before the planned look without a sequential rule' ELSE 'Read at the planned look, or by a sequential rule' END FROM j
+    UNION ALL SELECT experiment_id, 3, 'Power', CASE WHEN mde > planned THEN 'yellow' ELSE 'green' END, printf('Smallest detectable change %.1f%%', 100 * mde)
+      || CASE WHEN mde > planned THEN printf(', planned for %.0f%%: a win would be exaggerated', 100 * planned) ELSE '' END FROM j
     UNION ALL SELECT experiment_id, 4, 'Multiple testing', CASE WHEN bad THEN 'yellow' ELSE 'green' END,
-      tests || ' comparisons; primary ' || CASE WHEN bad THEN 'significant raw but not after Holm' ELSE 'survives Holm correction' END FROM j
+      tests || ' tests; the first one ' || CASE WHEN bad THEN 'passes alone but not among all (Holm)' ELSE 'keeps its result among all (Holm)' END FROM j
     UNION ALL SELECT experiment_id, 5, 'Novelty', CASE WHEN days >= 7 AND tz < {Z01} AND gap > 0 THEN 'yellow' ELSE 'green' END,
-      printf('Daily-effect slope z = %+.2f; first half minus second half = %+.4f', tz, gap) FROM j
+      printf('Daily effects: trend z %+.2f, early less late half %+.4f', tz, gap) FROM j
     UNION ALL SELECT experiment_id, 6, 'Outliers', CASE WHEN (raw_p < 0.05) <> (win_p < 0.05) THEN 'yellow' ELSE 'green' END,
-      'Revenue p = ' || {ptext('raw_p')} || ' raw vs ' || {ptext('win_p')} || ' winsorized at p99' FROM j
+      'Revenue: p ' || {ptext('raw_p')} || ' as it is, ' || {ptext('win_p')} || ' with the top 1% capped' FROM j
     UNION ALL SELECT experiment_id, 7, 'Balance', CASE WHEN smd / unit > {CRIT1} THEN 'red' ELSE 'green' END,
-      printf('max |SMD| = %.4f (z = %.1f vs critical %.1f)', smd, smd / unit, {CRIT1}) || CASE WHEN smd / unit > {CRIT1} THEN '; arms differ before treatment' ELSE '' END FROM j),
+      printf('Largest standardized gap %.4f, z %.1f (limit %.1f)', smd, smd / unit, {CRIT1}) || CASE WHEN smd / unit > {CRIT1} THEN '; the arms were unlike from the start' ELSE '' END FROM j),
   v AS (SELECT experiment_id, max(CASE status WHEN 'red' THEN 2 WHEN 'yellow' THEN 1 ELSE 0 END) AS worst FROM c GROUP BY experiment_id),
   w AS (SELECT j.*, CASE WHEN worst = 2 THEN '{DONT}' WHEN worst = 1 THEN '{INV}' WHEN p < 0.05 AND effect > 0 THEN '{SHIP}' ELSE '{NO}' END AS verdict
     FROM j JOIN v USING (experiment_id))

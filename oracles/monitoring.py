@@ -4,7 +4,10 @@ from oracles.parts import EVENTS, Z975, arm_counts, injected, orders, r, replays
 from oracles.tables import CODED
 
 O = orders()
-CALIBRATED = "2.1053e0"
+
+# Constant of the O'Brien-Fleming boundary at 5% for 14 and 30 looks.
+CALIBRATED = "2.1065468806e0"
+BY_LOOKS = f"(CASE n WHEN 14 THEN {CALIBRATED} WHEN 30 THEN 2.1446651237e0 END)"
 
 
 def looks(source: str, by: str, order: str = "day") -> str:
@@ -45,8 +48,8 @@ SQL = {
     "cumulative_looks": f"""SELECT segment, day::BIGINT AS day, look, xc::BIGINT AS conv_c, nc::BIGINT AS n_c, xt::BIGINT AS conv_t,
         nt::BIGINT AS n_t FROM {LOOKS}""",
     "look_zscores": f"SELECT segment, look, {r('pc')} AS p_c, {r('pt')} AS p_t, {r('z')} AS z FROM {LOOKS}",
-    "obf_boundaries": f"""SELECT segment, look, n AS n_looks, {r(f'{CALIBRATED} * sqrt(n / look)')} AS boundary,
-        abs(z) > {CALIBRATED} * sqrt(n / look) AS crossed FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS n FROM {LOOKS})""",
+    "obf_boundaries": f"""SELECT segment, look, n AS n_looks, {r(f'{BY_LOOKS} * sqrt(n / look)')} AS boundary,
+        abs(z) > {BY_LOOKS} * sqrt(n / look) AS crossed FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS n FROM {LOOKS})""",
     "msprt": f"SELECT segment, look, {r('mp')} AS msprt_p FROM {with_msprt(LOOKS, 'segment', TAU2)}",
     "stopping_rules": f"SELECT * EXCLUDE (lift) FROM {stops(lifted_looks(40, ('0.3e0',)), 'lift, replay')}",
     "obf_calibration": f"""SELECT count(*) AS runs, {r('quantile_cont(s, 0.95)')} AS c_obf FROM

@@ -1,8 +1,8 @@
 """Reference SQL of the replay studies.  Every sample size, loss rate and
 scenario is built from its own full set of rows, without nesting."""
 
-from oracles.monitoring import looks, lifted_looks, stops, with_msprt
-from oracles.parts import (CUSTOMERS, EVENT_USERS, LINES, Z975, arm_counts, coded, draw, injected, moments, orders, p_norm, p_t,
+from oracles.monitoring import CALIBRATED, looks, lifted_looks, stops, with_msprt
+from oracles.parts import (salt, CUSTOMERS, EVENT_USERS, LINES, Z975, arm_counts, coded, draw, injected, moments, orders, p_norm, p_t,
                            prop_cols, r, replays, u, welch_cols, z_expr)
 from oracles.tables import CODED
 from oracles.tests import CDF, judged, family, trend
@@ -44,7 +44,7 @@ PEEK = f"""WITH c AS (SELECT * FROM {looks(arm_counts(injected(CODED, replays(10
 
 def _rule(name: str) -> str:
     used = "14" if name == "fixed_horizon" else f"coalesce({name}, 14)"
-    return f"SELECT lift, count(*) AS runs, '{name}' AS rule, {_hit(f'{name} IS NOT NULL')} AS reject_rate, {r(f'avg({used})')} AS avg_looks_used FROM s GROUP BY lift"
+    return f"SELECT lift, {r(CALIBRATED)} AS c_obf, count(*) AS runs, '{name}' AS rule, {_hit(f'{name} IS NOT NULL')} AS reject_rate, {r(f'avg({used})')} AS avg_looks_used FROM s GROUP BY lift"
 
 
 RULES = f"""WITH s AS MATERIALIZED (SELECT * FROM {stops(lifted_looks(60, ('0e0', '0.10e0')), 'lift, replay')}) """ + " UNION ALL ".join(
@@ -63,7 +63,8 @@ _need = f"ceil(pow({Z975} + zb, 2) * (base_rate * (1 - base_rate) + base_rate *
 _curse = injected(CODED, replays(100, streams=("arm", "lift", "sample")), {"lift"}, _powers, where=f"{u('k_sample')} * all_units < 2 * {_need}")
 CURSE = f"""WITH t AS (SELECT *, {z_expr(True)} AS z, (xt / nt - xc / nc) / nullif(xc / nc, 0) AS est FROM {arm_counts(
     f"(SELECT *, {_need} AS need FROM {_curse})", 'pw, need, replay')})
-  SELECT pw AS target_power, need::BIGINT AS n_per_arm, count(*) AS runs, {_hit('abs(z) > 1.96')} AS power,
+  SELECT pw AS target_power, need::BIGINT AS n_per_arm, count(*) AS runs, {r('avg((nc + nt) / 2)')} AS avg_users_per_arm,
+    avg(nc + nt) < 1.9 * need AS table_too_small, {_hit('abs(z) > 1.96')} AS power,
     {r('avg(abs(est)) FILTER (abs(z) > 1.96) / 0.4e0')} AS exaggeration_ratio,
     {r('avg(CASE WHEN est < 0 THEN 1 ELSE 0 END) FILTER (abs(z) > 1.96)')} AS wrong_sign_share FROM t GROUP BY pw, need"""
 
@@ -118,7 +119,7 @@ HACK = f"""WITH a AS MATERIALIZED ({_seg(1, 'segment', 'market')} UNION ALL {_se
   f AS MATERIALIZED ({_seg(51, 'segment', 'market')} UNION ALL {_seg(51, 'nation', 'nation')}),
   n AS (SELECT slicing, replay, count(*) AS m, max(abs(z)) AS mz FROM a GROUP BY slicing, replay),
   b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY slicing, replay ORDER BY abs(z) DESC, segment) = 1),
-  j AS (SELECT n.*, b.lift, f.z AS z2, {p_norm('mz')} AS p FROM n JOIN b USING (slicing, replay) JOIN f USING (slicing, replay, segment))
+  j AS (SELECT n.*, b.lift, f.z AS z2, {p_norm('mz')} AS p FROM n JOIN b USING (slicing, replay) LEFT JOIN f USING (slicing, replay, segment))
   SELECT slicing, max(m) AS n_segments, count(*) AS runs, {_hit('mz > 1.96')} AS any_segment_significant,
     {r('avg(lift) FILTER (mz > 1.96)')} AS avg_reported_abs_lift, {_hit('p < 0.05 / m')} AS bonferroni_any_significant,
     {r('avg(CASE WHEN abs(z2) > 1.96 THEN 1 ELSE 0 END) FILTER (mz > 1.96)')} AS followup_confirms FROM j GROUP BY slicing"""
@@ -140,8 +141,8 @@ TAILS = f"""WITH b AS MATERIALIZED (SELECT {_G}, arm, hs, revenue, x_strong FROM
   x AS MATERIALIZED (SELECT b.*, least(revenue, cap) AS wins, revenue - theta * (x_strong - xb) AS adj FROM b JOIN g USING ({_G})),
   o AS (SELECT {_G}, g, sum(w * revenue) FILTER (arm = 'treatment') / sum(w) FILTER (arm = 'treatment')
     - sum(w * revenue) FILTER (arm = 'control') / sum(w) FILTER (arm = 'control') AS d FROM
-    (SELECT {_G}, g, arm, revenue, CASE {_w} ELSE 8 END AS w FROM (SELECT {_G}, g, arm, revenue, {draw('k_boot')} AS d
-      FROM b, {replays(40, streams=('boot',), name='g')} WHERE replay <= 2)) GROUP BY {_G}, g),
+    (SELECT {_G}, g, arm, revenue, CASE {_w} ELSE 8 END AS w FROM (SELECT {_G}, g, arm, revenue, {draw(salt('boot', '(replay * 1000 + g)'))} AS d
+      FROM b, (SELECT unnest(generate_series(1, 40)) AS g))) GROUP BY {_G}, g),
   m AS ({_sig('revenue', 'welch')} UNION ALL {_sig('wins', 'winsorized_p99')} UNION ALL {_sig('adj', 'cuped')} UNION ALL
     SELECT {_G}, 'bootstrap', NOT (0 BETWEEN quantile_cont(d, 0.025) AND quantile_cont(d, 0.975)) FROM o GROUP BY {_G})
   SELECT whale_rate, lift AS true_conv_lift, method, count(*) AS runs, {_hit('hit')} AS reject_rate FROM m GROUP BY whale_rate, lift, method"""

@@ -47,7 +47,7 @@ def test_power_multiple_testing_balance_outliers(spark):
     assert verdict(experiment(spark), planned_mde_rel=0.05).verdict == health.INVESTIGATE
     p = spark.createDataFrame([(i, v) for i, v in enumerate([0.04] + [0.3] * 19)], "test_no int, p_value double")
     r = verdict(experiment(spark), pvalues=p)
-    assert status(r, "Multiple testing") == "yellow" and "20 comparisons" in r.checks[3].detail
+    assert status(r, "Multiple testing") == "yellow" and "20 tests" in r.checks[3].detail
     assert status(verdict(experiment(spark), pvalues=p.limit(1)), "Multiple testing") == "green"
     assert status(verdict(experiment(spark), covariates=["pre_x"]), "Balance") == "green"
     assert status(verdict(experiment(spark, x_shift=40), covariates=["pre_x"]), "Balance") == "red"
@@ -60,7 +60,7 @@ def test_novelty_needs_seven_days_and_a_falling_effect(spark):
         "converted", F.expr("IF(arm = 'treatment' AND day < 3 AND abs(hash(pre_x, day)) % 100 < 8, 1, converted)"))
     assert status(verdict(falling), "Novelty") == "yellow"
     assert status(verdict(falling.where("day < 6")), "Novelty") == "green"
-    assert verdict(falling.drop("day")).checks[4].detail.startswith("Too few days")
+    assert verdict(falling.drop("day")).checks[4].detail.startswith("Days too few")
 
 
 def test_many_experiments_in_one_job_and_empty_arm(spark):

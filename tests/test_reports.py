@@ -6,11 +6,14 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+import oracles
+from trialspark.reports import decisions, monitoring, replays, tables, tests
 
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
-SQL = entry.oracle_sql()
+SQL = oracles.all_sql()
+REPORTS = {n: f for m in (tables, tests, monitoring, decisions, replays) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -27,12 +30,13 @@ def ordered(names, rows):
 
 
 def test_every_report_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(REPORTS)
+    assert set(REPORTS) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REPORTS))
 def test_report(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = REPORTS[name](spark, SF)
     got = ordered(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(SQL[name])
     want = ordered([d[0] for d in cur.description], cur.fetchall())

@@ -165,8 +165,10 @@ def smd_table(units: DataFrame, covariates: Sequence[str], keys: Sequence[str] =
 
 
 def with_smd(moments: DataFrame) -> DataFrame:
-    spread = F.sqrt((F.col("var_c") + F.col("var_t")) / 2)
-    return moments.withColumn("smd", ratio(F.col("mean_t") - F.col("mean_c"), spread))
+    """Without any spread, equal means differ by 0 and others without bound."""
+    spread, gap = F.sqrt((F.col("var_c") + F.col("var_t")) / 2), F.col("mean_t") - F.col("mean_c")
+    flat = F.when(gap == 0, 0.0).otherwise(F.signum(gap) * F.lit(float("inf")))
+    return moments.withColumn("smd", F.when(spread == 0, flat).otherwise(ratio(gap, spread)))
 
 
 def balance_from_smd(smd: DataFrame, n_covariates: int, keys: Sequence[str] = (), alpha: float = 0.001) -> DataFrame:

@@ -37,7 +37,9 @@ def order_bucket(y: str, steps: int) -> str:
     of buckets depends on the range of y, not on the rows.  It is never NULL, so
     that no null filter is pushed down to repeat the expression."""
     size = f"CAST(floor(log2(abs({y})) * {steps}) AS BIGINT) + {1100 * steps}L"
-    return f"coalesce(CASE WHEN {y} > 0 THEN {size} WHEN {y} < 0 THEN -({size}) END, 0L)"
+    far = 2200 * steps  # beyond all finite values; NaN is the largest value
+    return (f"coalesce(CASE WHEN isnan({y}) THEN {far + 1}L WHEN abs({y}) = double('infinity') THEN if({y} > 0, {far}L, -{far}L)"
+            f" WHEN {y} > 0 THEN {size} WHEN {y} < 0 THEN -({size}) END, 0L)")
 
 
 def _holding_ranks(counts: DataFrame, bucket: str, within: Sequence[str]) -> DataFrame:
@@ -81,4 +83,4 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
     ends = ranked.groupBy(*keys).agg(
         F.expr(f"min({value}) FILTER (WHERE _cum > floor(_pos)) AS _lo"),
         F.expr(f"min({value}) FILTER (WHERE _cum > ceil(_pos)) AS _hi"), F.max("_pos").alias("_pos"))
-    return ends.selectExpr(*keys, f"_lo + (_hi - _lo) * (_pos - floor(_pos)) AS {name}")
+    return ends.selectExpr(*keys, f"CASE WHEN _lo = _hi THEN _lo ELSE _lo + (_hi - _lo) * (_pos - floor(_pos)) END AS {name}")

@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trialspark.functions.stats import div, norm_ppf, pooled_z, two_sided_p, with_prop_test
-from trialspark.operators.groupstats import bounded
+from trialspark.operators.groupstats import attach, bounded
 
 VARIANCE_FLOOR = 1e-12
 
 
+def _ranked(pvalues: DataFrame, family: Window, p: str) -> DataFrame:
+    """Rank ``_i`` by p with missing ones last, and the number ``_m`` of p values."""
+    known = F.when(~F.isnan(F.col(p).cast("double")), F.col(p))
+    return pvalues.withColumns({"_i": F.row_number().over(family.orderBy(known.asc_nulls_last())), "_m": F.count(known).over(family)})
+
+
 def holm(pvalues: DataFrame, family: Sequence[str], p: str = "p_value", alpha: float = 0.05,
          name: str = "holm_reject") -> DataFrame:
     """Step-down: reject in rising order of p up to the first failure.  One task
-    holds one family, which is a list of metrics, never a list of rows."""
+    holds one family, which is a list of metrics, never a list of rows.  A
+    missing p counts in no family and is never rejected."""
     w = Window.partitionBy(*family)
-    rising = w.orderBy(p)
-    ranked = pvalues.withColumns({"_i": F.row_number().over(rising), "_m": F.count(F.lit(1)).over(w)})
+    ranked = _ranked(pvalues, w, p)
     ok = (F.col(p) <= F.lit(alpha) / (F.col("_m") - F.col("_i") + 1)).cast("int")
     ranked = ranked.withColumn("_ok", F.coalesce(ok, F.lit(0)))
     run = w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
@@ -31,9 +37,10 @@ def benjamini_hochberg(pvalues: DataFrame, family: Sequence[str], p: str = "p_va
                        name: str = "bh_reject") -> DataFrame:
     """Step-up: reject every rank up to the largest one that passes."""
     w = Window.partitionBy(*family)
-    ranked = pvalues.withColumns({"_i": F.row_number().over(w.orderBy(p)), "_m": F.count(F.lit(1)).over(w)})
+    ranked = _ranked(pvalues, w, p)
     passing = F.when(F.col(p) <= F.lit(alpha) * F.col("_i") / F.col("_m"), F.col("_i"))
-    return ranked.withColumn(name, F.col("_i") <= F.coalesce(F.max(passing).over(w), F.lit(0))).drop("_i", "_m")
+    within = F.col("_i") <= F.coalesce(F.max(passing).over(w), F.lit(0))
+    return ranked.withColumn(name, within & (F.col("_i") <= F.col("_m"))).drop("_i", "_m")
 
 
 def segment_scan(panel: DataFrame, segment: str = "segment", keys: Sequence[str] = ()) -> DataFrame:
@@ -45,19 +52,21 @@ def segment_scan(panel: DataFrame, segment: str = "segment", keys: Sequence[str]
 
 def best_segment(scan: DataFrame, segment: str = "segment", keys: Sequence[str] = ()) -> DataFrame:
     """The segment with the largest |z| in each group, ties to the smaller name."""
-    order = Window.partitionBy(*keys).orderBy(F.abs("z").desc_nulls_last(), F.col(segment))
-    return scan.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    size = F.coalesce(F.abs("z"), F.lit(-1.0))
+    row = F.struct((-size).alias("_size"), F.col(segment).alias("_name"), F.struct(*[c for c in scan.columns if c not in keys]).alias("_row"))
+    return scan.groupBy(*keys).agg(F.min(row).alias("_best")).select(*keys, "_best._row.*").select(*scan.columns)
 
 
 def bonferroni_segments(scan: DataFrame, n_segments: int | None = None, keys: Sequence[str] = (),
                         alpha: float = 0.05) -> DataFrame:
     """Flag segments beyond the critical value for m looks.  With ``n_segments``
-    the value is a constant; otherwise p is compared with alpha / m per group."""
+    the value is a constant; otherwise p is compared with alpha / m per group,
+    m being the number of segments that the group has."""
     if n_segments is not None:
         crit = norm_ppf(1 - alpha / (2 * n_segments))
         return scan.withColumns({"critical_z": F.lit(crit), "bonferroni": F.abs("z") > crit})
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return scan.withColumn("bonferroni", two_sided_p("z") < F.lit(alpha) / m)
+    m = scan.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_segments"))
+    return attach(scan, m, keys).withColumn("bonferroni", two_sided_p("z") < F.lit(alpha) / F.col("n_segments"))
 
 
 def multi_variant_vs_control(units: DataFrame, label: str, control: str | int, keys: Sequence[str] = (),

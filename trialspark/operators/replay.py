@@ -27,7 +27,7 @@ from trialspark.operators.multiplicity import (benjamini_hochberg, best_segment,
                                                segment_scan)
 from trialspark.operators.panels import arm_moments, arm_totals, daily_panel
 from trialspark.operators.planning import size_sql
-from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, obf_calibration, stopping_rules,
+from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, obf_calibration, obf_constant, stopping_rules,
                                              summarise_rules, with_msprt)
 from trialspark.operators.trend import novelty_trend, window_estimates
 
@@ -113,15 +113,20 @@ def peeking_by_looks(units: DataFrame, n_replays: int, looks: Sequence[int] = (1
 
 
 def compare_stopping_rules(units: DataFrame, n_replays: int, n_looks: int, rel_lift: float = 0.10,
-                           c_obf: float | None = 2.1053, tau: float = 0.0025, calibration: int = 400) -> DataFrame:
-    """Rejection rate and looks used by rule, without and with an effect.  With
-    ``c_obf=None`` the boundary is calibrated on further null replays."""
+                           c_obf: float | None = None, tau: float = 0.0025, calibration: int = 0) -> DataFrame:
+    """Rejection rate and looks used by rule, without and with an effect, and the
+    boundary's constant: given, calibrated on so many further null replays, or
+    that of ``n_looks`` equally spaced looks."""
+    if c_obf is None and not calibration:
+        c_obf = obf_constant(n_looks)
     looks = replay_looks(units, n_replays, [{"lift": 0.0}, {"lift": rel_lift}])
     if c_obf is None:
         null = replay_looks(units, calibration, [{"lift": 0.0}], first=n_replays + 1)
         looks = attach(looks, obf_calibration(null, ["replay"], n_looks).select("c_obf"), ())
-    stops = stopping_rules(looks, ["lift", "replay"], n_looks, c_obf or "c_obf", tau)
-    return summarise_rules(stops, n_looks, ["lift"])
+    else:
+        looks = looks.withColumn("c_obf", F.lit(c_obf))
+    stops = stopping_rules(looks, ["lift", "replay", "c_obf"], n_looks, "c_obf", tau)
+    return summarise_rules(stops, n_looks, ["lift", "c_obf"])
 
 
 def msprt_tau_grid(units: DataFrame, n_replays: int, taus: Sequence[float] = (0.0005, 0.001, 0.0025, 0.005, 0.01),
@@ -166,7 +171,8 @@ def msprt_sample_cost(units: DataFrame, n_replays: int, tau: float = 0.005, rel_
 def winners_curse(units: DataFrame, n_replays: int, true_rel_lift: float,
                   target_powers: Sequence[float] = (0.10, 0.20, 0.30, 0.50, 0.70, 0.80, 0.90)) -> DataFrame:
     """Exaggeration of significant estimates for tests sized to a target power.
-    Sizes come from the measured base rate; samples are nested."""
+    Sizes come from the measured base rate; samples are nested.  A table with
+    fewer units than a size is flagged; its mean users per arm tell what was drawn."""
     rates = base_rates(units)
     needed = ", ".join(size_sql("base_rate", num(true_rel_lift), power=q) for q in target_powers)
     plan = rates.withColumn("need", F.expr(f"array({needed})"))
@@ -184,8 +190,9 @@ def winners_curse(units: DataFrame, n_replays: int, true_rel_lift: float,
     est = F.when(F.col("_sig"), F.col("_est"))
     power = F.array(*[F.lit(q) for q in target_powers])[F.col("i")]
     return runs.groupBy(power.alias("target_power"), F.col("need")[F.col("i")].alias("n_per_arm")).agg(
-        F.count(F.lit(1)).alias("runs"), _rate(F.col("_sig")).alias("power"),
-        (F.avg(F.abs(est)) / true_rel_lift).alias("exaggeration_ratio"),
+        F.count(F.lit(1)).alias("runs"), F.avg((F.col("n_c") + F.col("n_t")) / 2).alias("avg_users_per_arm"),
+        (F.avg(F.col("n_c") + F.col("n_t")) < 1.9 * F.first(F.col("need")[F.col("i")])).alias("table_too_small"),
+        _rate(F.col("_sig")).alias("power"), (F.avg(F.abs(est)) / true_rel_lift).alias("exaggeration_ratio"),
         F.avg((est < 0).cast("int")).alias("wrong_sign_share"))
 
 
@@ -297,7 +304,7 @@ def segment_hacking(units: DataFrame, segments: dict[str, str], n_replays: int)
     per_run = scan.groupBy(*key).agg(F.count(F.lit(1)).alias("n_segments"), F.max(F.abs("z")).alias("_max"))
     best = best_segment(scan, "segment", key).select(*key, "segment", F.abs("rel_lift").alias("_lift"))
     fresh = segment_scan(cells(n_replays + 1), "segment", key).select(*key, "segment", F.col("z").alias("_z2"))
-    runs = per_run.join(best, key).join(fresh, [*key, "segment"])
+    runs = per_run.join(best, key).join(fresh, [*key, "segment"], "left")
     hit = F.col("_max") > 1.96
     bonf = two_sided_p("_max") < F.lit(0.05) / F.col("n_segments")
     return runs.groupBy("slicing").agg(
@@ -309,7 +316,7 @@ def segment_hacking(units: DataFrame, segments: dict[str, str], n_replays: int)
 
 
 def heavy_tail_methods(units: DataFrame, n_replays: int, whale_rates: Sequence[float], lifts: Sequence[float],
-                       covariate: str, n_boot: int = 50, n_boot_replays: int = 2) -> DataFrame:
+                       covariate: str, n_boot: int = 50) -> DataFrame:
     """Rejection rate by method on revenue with a share of very large orders."""
     grid = [{"whale_rate": w, "lift": x} for w in whale_rates for x in lifts]
     full = [{**g, "whale_multiplier": 50.0} for g in grid]
@@ -322,7 +329,7 @@ def heavy_tail_methods(units: DataFrame, n_replays: int, whale_rates: Sequence[f
     capped = winsorize_pooled(slim, "revenue", 0.99, key, max_groups=groups, name="capped")
     wins = with_welch(arm_moments(capped, ["capped"], key), "capped").select(
         *key, F.col("significant").alias("winsorized_p99"))
-    boot = bootstrap_diff_ci(slim.where(F.col("replay") <= n_boot_replays), "revenue", key, n_boot=n_boot)
+    boot = bootstrap_diff_ci(slim, "revenue", key, n_boot=n_boot)
     boot = boot.select(*key, (~F.lit(0.0).between(F.col("ci_low"), F.col("ci_high"))).alias("bootstrap"))
     runs = adjusted.join(wins, key).join(boot, key, "left")
     methods = ("welch", "winsorized_p99", "cuped", "bootstrap")

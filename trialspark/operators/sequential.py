@@ -6,8 +6,11 @@ short ordered windows per experiment.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +25,22 @@ def window_sql(keys: Sequence[str], order: str) -> str:
     return f"({part}ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def cumulative_looks(panel: DataFrame, keys: Sequence[str] = (), order: str = "day") -> DataFrame:
-    """Running counts per arm; ``look`` numbers the periods from 1."""
-    run = window_sql(keys, order)
-    return panel.selectExpr(*keys, order, f"row_number() OVER {run} AS look",
+def cumulative_looks(panel: DataFrame, keys: Sequence[str] = (), order: str = "day", start: int | None = None,
+                     n_looks: int | None = None) -> DataFrame:
+    """Running counts per arm; ``look`` numbers the periods from 1.
+
+    ``order`` counts periods.  A period without rows is a look with the counts
+    so far, so look k is always the k-th period from ``start`` (the group's
+    first period if not given); with ``n_looks`` the looks go on to the planned end.
+    """
+    run, part = window_sql(keys, order), f"PARTITION BY {', '.join(keys)}" if keys else ""
+    first = str(start) if start is not None else f"min({order}) OVER ({part})"
+    kind = panel.schema[order].dataType.simpleString()
+    upto = f"coalesce(lead({order}) OVER ({part} ORDER BY {order}) - {first}, {n_looks if n_looks is not None else 'NULL'}, 0)"
+    seen = panel.selectExpr(*keys, order, f"CAST({order} - {first} + 1 AS INT) AS _at", f"CAST({upto} AS INT) AS _upto",
                             *[f"sum({c}) OVER {run} AS {c}" for c in COUNTS])
+    return seen.selectExpr("*", "explode(sequence(_at, greatest(_at, _upto))) AS look").selectExpr(
+        *keys, f"CAST({order} + look - _at AS {kind}) AS {order}", "look", *COUNTS)
 
 
 def look_zscores(looks: DataFrame) -> DataFrame:
@@ -34,6 +48,31 @@ def look_zscores(looks: DataFrame) -> DataFrame:
     return looks.withColumns(exprs(z=pooled_z(floor=VARIANCE_FLOOR), p_c=div("conv_c", "n_c"), p_t=div("conv_t", "n_t")))
 
 
+@lru_cache
+def obf_constant(n_looks: int, alpha: float = 0.05, points: int = 200) -> float:
+    """Constant of the O'Brien-Fleming boundary for equally spaced looks.
+
+    A walk of ``n_looks`` steps with variance 1 / n_looks leaves (-c, c) with
+    probability alpha; the density of walks still inside is carried from look to
+    look at Gauss-Legendre nodes, and c is found by bisection.
+    """
+    nodes, share = np.polynomial.legendre.leggauss(points)
+
+    def left(c: float) -> float:
+        x, weight = c * nodes, c * share
+        step = lambda d: np.exp(-d * d * n_looks / 2) * math.sqrt(n_looks / (2 * math.pi))
+        inside, kernel = step(x), step(x[:, None] - x[None, :])
+        for _ in range(n_looks - 1):
+            inside = kernel @ (weight * inside)
+        return 1 - float(weight @ inside)
+
+    low, high = 1.0, 6.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if left(mid) > alpha else (low, mid)
+    return high
+
+
 def obf_boundary(c: float | str, look: str = "look", n_looks: int | str = "n_looks") -> str:
     """O'Brien-Fleming boundary c * sqrt(K / k)."""
     return f"({c if isinstance(c, str) else num(c)} * sqrt(CAST({n_looks} AS DOUBLE) / {look}))"

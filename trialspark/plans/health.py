@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trialspark import CONTROL, TREATMENT
 from trialspark.functions.stats import div, exprs, norm_ppf, srm_p, with_prop_test
@@ -52,13 +53,20 @@ def day_moments(units: DataFrame, keys: Sequence[str], metrics: Sequence[str] =
 
 
 def roll_up(panel: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ()) -> DataFrame:
-    """Merge day moments into group moments (sample variances)."""
+    """Merge day moments into group moments (sample variances).
+
+    Squares are taken around the mean of the day means, so that a large mean
+    does not cancel the variance.
+    """
+    around = Window.partitionBy(*keys)
+    panel = panel.withColumns({f"_{m}_{s}": F.avg(f"{m}_mean_{s}").over(around) for m in metrics for s in ("c", "t")})
     aggs, merged = [f"sum({c}) AS {c}" for c in COUNTS], list(COUNTS)
     for m in metrics:
         for s in ("c", "t"):
             n, mean, var = (f"{m}_{p}_{s}" for p in ("n", "mean", "var"))
-            aggs += [f"sum({n}) AS {n}", f"sum({n} * {mean}) AS {mean}", f"sum({n} * ({var} + {mean} * {mean})) AS {var}"]
-            merged += [n, f"{div(mean, n)} AS {mean}",
+            off = f"({mean} - _{m}_{s})"
+            aggs += [f"sum({n}) AS {n}", f"sum({n} * {off}) AS {mean}", f"sum({n} * ({var} + {off} * {off})) AS {var}", f"max(_{m}_{s}) AS _{m}_{s}"]
+            merged += [n, f"_{m}_{s} + {div(mean, n)} AS {mean}",
                        f"greatest({div(f'({var} - {div(f"{mean} * {mean}", n)})', f'({n} - 1)')}, 0D) AS {var}"]
     return panel.groupBy(*keys).agg(*[F.expr(a) for a in aggs]).selectExpr(*keys, *merged)
 
@@ -78,32 +86,32 @@ def p_text(p: str) -> str:
 ABSENT = {"days": "0", "trend_z": "CAST(NULL AS DOUBLE)", "half_gap": "CAST(NULL AS DOUBLE)", "tests": "0",
           "multi_bad": "false", "flips": "false", "raw_p_value": "CAST(NULL AS DOUBLE)",
           "win_p_value": "CAST(NULL AS DOUBLE)", "max_smd": "CAST(NULL AS DOUBLE)", "max_z": "CAST(NULL AS DOUBLE)",
-          "critical_z": "CAST(NULL AS DOUBLE)", "imbalanced": "false"}
+          "critical_z": "CAST(NULL AS DOUBLE)", "imbalanced": "false", "covariates": "0"}
 
 # Condition and detail text of each check, in report order.
 RULES = (
     ("srm_p < 0.001", RED,
-     "concat(format_string('%.1f%% treatment vs %.0f%% expected, SRM p = ', 100 * treat_share, 100 * expected_treat_share), "
+     "concat(format_string('Treatment got %.1f%% of the units, planned %.0f%%; p ', 100 * treat_share, 100 * expected_treat_share), "
      + p_text("srm_p") + ")"),
     ("stopped_early AND NOT used_sequential", RED,
-     "CASE WHEN {bad} THEN 'Stopped early on a fixed-horizon p-value' ELSE 'Fixed horizon or sequential method used' END"),
+     "CASE WHEN {bad} THEN 'Ended before the planned look without a sequential rule' ELSE 'Read at the planned look, or by a sequential rule' END"),
     ("mde > planned_mde_rel", YELLOW,
-     "concat(format_string('Achieved MDE %.1f%% relative', 100 * mde), CASE WHEN {bad} THEN"
-     " format_string(\" > planned %.0f%%: winner's-curse risk\", 100 * planned_mde_rel) ELSE '' END)"),
+     "concat(format_string('Smallest detectable change %.1f%%', 100 * mde), CASE WHEN {bad} THEN"
+     " format_string(\", planned for %.0f%%: a win would be exaggerated\", 100 * planned_mde_rel) ELSE '' END)"),
     ("tests > 1 AND multi_bad", YELLOW,
-     "CASE WHEN coalesce(tests, 0) <= 1 THEN 'Single primary metric' ELSE concat(tests, ' comparisons; primary ',"
-     " CASE WHEN {bad} THEN 'significant raw but not after Holm' ELSE 'survives Holm correction' END) END"),
+     "CASE WHEN coalesce(tests, 0) <= 1 THEN 'One metric only' ELSE concat(tests, ' tests; the first one ',"
+     " CASE WHEN {bad} THEN 'passes alone but not among all (Holm)' ELSE 'keeps its result among all (Holm)' END) END"),
     (f"days >= {MIN_TREND_DAYS} AND trend_z < {NOVELTY_Z}D AND half_gap > 0", YELLOW,
      f"CASE WHEN days >= {MIN_TREND_DAYS} THEN format_string("
-     "'Daily-effect slope z = %+.2f; first half minus second half = %+.4f', trend_z, half_gap)"
-     " ELSE 'Too few days to test a trend' END"),
+     "'Daily effects: trend z %+.2f, early less late half %+.4f', trend_z, half_gap)"
+     " ELSE 'Days too few for a trend' END"),
     ("flips", YELLOW,
-     "CASE WHEN raw_p_value IS NULL AND win_p_value IS NULL THEN 'No revenue metric supplied' ELSE concat('Revenue p = ', "
-     + p_text("raw_p_value") + ", ' raw vs ', " + p_text("win_p_value") + ", ' winsorized at p99') END"),
+     "CASE WHEN raw_p_value IS NULL AND win_p_value IS NULL THEN 'Without revenue' ELSE concat('Revenue: p ', "
+     + p_text("raw_p_value") + ", ' as it is, ', " + p_text("win_p_value") + ", ' with the top 1% capped') END"),
     ("imbalanced", RED,
-     "CASE WHEN max_z IS NULL THEN 'No pre-treatment covariates supplied' ELSE concat(format_string("
-     "'max |SMD| = %.4f (z = %.1f vs critical %.1f)', max_smd, max_z, critical_z),"
-     " CASE WHEN {bad} THEN '; arms differ before treatment' ELSE '' END) END"),
+     "CASE WHEN covariates = 0 THEN 'Nothing measured before the start' WHEN max_z IS NULL THEN 'An arm has no covariate values' ELSE concat(format_string("
+     "'Largest standardized gap %.4f, z %.1f (limit %.1f)', max_smd, max_z, critical_z),"
+     " CASE WHEN {bad} THEN '; the arms were unlike from the start' ELSE '' END) END"),
 )
 
 
@@ -161,7 +169,7 @@ def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFr
         long = totals.select(*keys, F.inline(F.array(*[
             F.struct(F.lit(c).alias("covariate"), *[F.col(f"{c}_{p}").alias(p) for p in parts])
             for c in covariates])))
-        balance = balance_from_smd(with_smd(long), len(covariates), keys)
+        balance = balance_from_smd(with_smd(long), len(covariates), keys).withColumn("covariates", F.lit(len(covariates)))
     trend = None
     if day:
         trend = novelty_trend(with_rates(panel), keys, day).select(*keys, "days", "trend_z", "half_gap")

@@ -117,7 +117,7 @@ def audit_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = day_number(F.col("o_orderdate"), "1995-01-01")
     units = with_code(orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         F.col("o_orderkey").alias("unit_id"), F.floor(day / PERIOD_DAYS).cast("int").alias("quarter"),
-        (day % 14).cast("int").alias("day"), "segment", F.col("o_totalprice").alias("amount"),
+        F.pmod(day, F.lit(14)).cast("int").alias("day"), "segment", F.col("o_totalprice").alias("amount"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("converted"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("engaged")))
     return spread(units, orders)

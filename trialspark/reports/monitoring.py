@@ -31,8 +31,10 @@ def obf_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundary at every look an experiment really has, and whether z is beyond it."""
     looks = sequential.look_zscores(_looks(spark, sf_dir))
     total = looks.groupBy("segment").agg(F.max("look").alias("n_looks"))
-    out = looks.join(total, "segment").withColumn(
-        "boundary", F.expr(sequential.obf_boundary(2.1053)))
+    planned = [r["n_looks"] for r in total.select("n_looks").distinct().collect()]
+    constants = " ".join(f"WHEN {k} THEN {sequential.obf_constant(k)!r}D" for k in planned) or "WHEN 0 THEN 0D"
+    out = looks.join(total, "segment").withColumn("c_obf", F.expr(f"CASE n_looks {constants} END"))
+    out = out.withColumn("boundary", F.expr(sequential.obf_boundary("c_obf")))
     return tidy(out.select("segment", "look", "n_looks", "boundary", (F.abs("z") > F.col("boundary")).alias("crossed")))
 
 
@@ -43,7 +45,7 @@ def msprt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stopping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First crossing per rule for re-randomized experiments with a +30% effect."""
     looks = replay.replay_looks(coded_orders(spark, sf_dir), 40, [{"lift": 0.3}])
-    return tidy(sequential.stopping_rules(looks, ["replay"], 14, 2.1053, TAU))
+    return tidy(sequential.stopping_rules(looks, ["replay"], 14, sequential.obf_constant(14), TAU))
 
 
 def obf_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,10 +65,10 @@ def bootstrap_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def winsorize_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose value is cut, with the cap."""
+    """All events with their value and its capped form."""
     events = table(spark, sf_dir, "events").select("event_id", "value")
     capped = hypothesis.winsorize_pooled(events, "value", 0.99)
-    return tidy(capped.where(F.col("value") > F.col("cap")).select("event_id", "value", "cap", "value_w"))
+    return tidy(capped.select("event_id", "value", "cap", "value_w"))
 
 
 def outlier_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ def best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bonferroni_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.segment_panel(order_units(spark, sf_dir, customers=True), "nation")
     scan = multiplicity.segment_scan(panel, "nation")
-    return tidy(multiplicity.bonferroni_segments(scan, 25).select("nation", "z", "critical_z", "bonferroni"))
+    return tidy(multiplicity.bonferroni_segments(scan).select("nation", "z", "n_segments", "bonferroni"))
 
 
 def multi_variant_vs_control(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,10 +51,11 @@ def read_units_csv(spark: SparkSession, path: str, schema: T.StructType,
                    narrow: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
     """Typed CSV scan with a header; ``narrow`` columns become 8-bit integers.
 
-    A gz file is one split: pass ``partitions`` to spread its rows right after
+    A row that does not fit the schema ends the scan (``FAILFAST``) instead of
+    turning into NULLs.  A gz file is one split: pass ``partitions`` to spread its rows right after
     the scan, so later stages do not run in a single task.
     """
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
     if partitions:
         df = df.repartition(partitions)
     return df.withColumns({c: F.col(c).cast("tinyint") for c in narrow})

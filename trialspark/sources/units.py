@@ -42,8 +42,8 @@ def order_units(spark: SparkSession, sf_dir: str, *, share: float = 0.5, salt: s
         F.col("o_orderkey").alias("unit_id"),
         F.col("o_custkey").alias("cluster_id"),
         salted_arm(salt, F.col("o_orderkey"), share).alias("arm"),
-        (day % 14).cast("int").alias("day"),
-        (day % 56).cast("int").alias("slot"),
+        F.pmod(day, F.lit(14)).cast("int").alias("day"),
+        F.pmod(day, F.lit(56)).cast("int").alias("slot"),
         F.col("o_totalprice").alias("amount"),
         F.when(urgent, 1).otherwise(0).alias("converted"),
         F.when(urgent, F.col("o_totalprice")).otherwise(0.0).alias("revenue"),
