@@ -27,7 +27,7 @@ def holm(pvalues: DataFrame, family: Sequence[str], p: str = "p_value", alpha: f
     missing p counts in no family and is never rejected."""
     w = Window.partitionBy(*family)
     ranked = _ranked(pvalues, w, p)
-    ok = (F.col(p) <= F.lit(alpha) / (F.col("_m") - F.col("_i") + 1)).cast("int")
+    ok = (F.col(p) <= F.try_divide(F.lit(alpha), F.col("_m") - F.col("_i") + 1)).cast("int")
     ranked = ranked.withColumn("_ok", F.coalesce(ok, F.lit(0)))
     run = w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn(name, F.min("_ok").over(run) == 1).drop("_i", "_m", "_ok")
@@ -38,7 +38,7 @@ def benjamini_hochberg(pvalues: DataFrame, family: Sequence[str], p: str = "p_va
     """Step-up: reject every rank up to the largest one that passes."""
     w = Window.partitionBy(*family)
     ranked = _ranked(pvalues, w, p)
-    passing = F.when(F.col(p) <= F.lit(alpha) * F.col("_i") / F.col("_m"), F.col("_i"))
+    passing = F.when(F.col(p) <= F.try_divide(F.lit(alpha) * F.col("_i"), F.col("_m")), F.col("_i"))
     within = F.col("_i") <= F.coalesce(F.max(passing).over(w), F.lit(0))
     return ranked.withColumn(name, within & (F.col("_i") <= F.col("_m"))).drop("_i", "_m")
 
