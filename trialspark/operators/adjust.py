@@ -24,8 +24,8 @@ def cuped_theta(units: DataFrame, metric: str, covariate: str, keys: Sequence[st
 
 
 def cuped_adjust(units: DataFrame, metric: str, covariate: str, keys: Sequence[str] = (),
-                 max_groups: int | None = None, name: str = "adjusted") -> DataFrame:
-    rows = attach(units, cuped_theta(units, metric, covariate, keys), keys, max_groups)
+                 name: str = "adjusted") -> DataFrame:
+    rows = attach(units, cuped_theta(units, metric, covariate, keys), keys)
     return rows.withColumn(name, F.col(metric) - F.col("theta") * (F.col(covariate) - F.col("x_bar")))
 
 
@@ -86,8 +86,7 @@ def variance_reduction(units: DataFrame, metric: str, covariate: str, keys: Sequ
     return df.select(*keys, (1 - ratio(left, F.col("_vy"))).alias("variance_reduction"))
 
 
-def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = (),
-               max_groups: int | None = None) -> DataFrame:
+def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Treatment coefficient of metric ~ 1 + treat + covariates with HC1 error.
 
     Pass 1 gathers the centred covariance matrix as aggregates.  The small
@@ -127,7 +126,7 @@ def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: S
             yield pdf.drop(columns=["_szz", "_szy"]).assign(_beta=beta, _lev=lev)
 
     fit = first.mapInPandas(solve, schema)
-    fitted = attach(rows, fit, keys, max_groups)
+    fitted = attach(rows, fit, keys)
     resid, lever = F.col("_y") - F.col("_ybar"), F.lit(0.0)
     for i, z in enumerate(names):
         centred = F.col(z) - F.col("_zbar")[i]
@@ -145,13 +144,12 @@ def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: S
                       ratio(F.col("_mse"), F.col("_vy")).alias("residual_variance_share"))
 
 
-def ancova_summary(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = (),
-                   max_groups: int | None = None) -> DataFrame:
+def ancova_summary(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Adjusted against unadjusted effect: shift, error reduction, sample ratio."""
     raw = with_welch(arm_moments(units, [metric], keys), metric, prefix="raw_").select(
         *keys, "raw_effect", "raw_se")
-    adj = ancova_hc1(units, metric, covariates, keys, max_groups)
-    both = attach(adj, raw, keys, max_groups)
+    adj = ancova_hc1(units, metric, covariates, keys)
+    both = attach(adj, raw, keys)
     rel = ratio(F.col("se"), F.col("raw_se"))
     return both.select(
         *keys, "raw_effect", "raw_se", F.col("effect").alias("ancova_effect"), F.col("se").alias("ancova_se"),

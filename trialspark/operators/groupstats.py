@@ -7,23 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when the caller's parameters prove that it has no
-# more rows than this (replays x scenarios, catalog rows).  Other sides get no
-# hint: adaptive execution measures them and splits skewed partitions.
-MAX_BROADCAST_ROWS = 100_000
+from trialspark.sources.ingest import materialize
 
 
-def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
-    if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
 
+def settled(stats: DataFrame) -> DataFrame:
+    """One-row-per-group statistics, written once: their known size lets Spark's
+    own threshold decide between a broadcast and a shuffle, so rows are not
+    shuffled on a group key that holds a third of them while groups are few."""
+    return materialize(stats, "groups")
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], max_groups: int | None = None) -> DataFrame:
+
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join one-row-per-group statistics onto rows, keeping every row.  Without
     keys there is a single statistics row, which is always broadcast."""
     if keys:
-        return rows.join(bounded(stats, max_groups), list(keys), "left")
+        return rows.join(settled(stats), list(keys), "left")
     return (rows.withColumn("_one", F.lit(1))
             .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
@@ -53,7 +52,7 @@ def _holding_ranks(counts: DataFrame, bucket: str, within: Sequence[str]) -> Dat
 
 
 def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] = (),
-                   max_groups: int | None = None, name: str = "quantile") -> DataFrame:
+                   name: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile per group without gathering a group.
 
     Pass 1 counts rows per order-preserving bucket; partial aggregation does the
@@ -64,19 +63,19 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
     share one fine step.  A group without any value has no row in the result.
     """
     keys = list(keys)
-    few = 2 * (max_groups if keys else 1) if (not keys or max_groups) else None
+    small = settled if keys else F.broadcast  # without keys at most two buckets hold the ranks
     slim = rows.selectExpr(*keys, value, f"{order_bucket(value, COARSE)} AS _b")
     hist = slim.groupBy(*keys, "_b").agg(F.count(value).alias("_n"))
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     hist = hist.selectExpr("*", "0L AS _start", f"sum(_n) OVER ({part}) AS _total").where("_total > 0").selectExpr(
         *keys, "_b", "_n", "_start", f"(_total - 1) * {float(q)!r}D AS _pos")
     wanted = _holding_ranks(hist, "_b", keys)
-    near = (slim.join(bounded(wanted, few), [*keys, "_b"])
+    near = (slim.join(small(wanted), [*keys, "_b"])
             .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n"))
             .withColumn("_f", F.expr(order_bucket(value, FINE))))
     steps = near.groupBy(*keys, "_b", "_start", "_pos", "_f").agg(F.sum("_n").alias("_n"))
     exact = _holding_ranks(steps, "_f", [*keys, "_b"]).drop("_pos")
-    last = near.drop("_start").join(bounded(exact, 2 * few if few else None), [*keys, "_b", "_f"])
+    last = near.drop("_start").join(small(exact), [*keys, "_b", "_f"])
     part = ", ".join([*keys, "_b", "_f"])
     ranked = last.withColumn("_cum", F.expr(
         f"_start + sum(_n) OVER (PARTITION BY {part} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trialspark.functions.stats import div, norm_ppf, pooled_z, two_sided_p, with_prop_test
-from trialspark.operators.groupstats import attach, bounded
+from trialspark.operators.groupstats import attach, settled
 
 VARIANCE_FLOOR = 1e-12
 
@@ -70,13 +70,13 @@ def bonferroni_segments(scan: DataFrame, n_segments: int | None = None, keys: Se
 
 
 def multi_variant_vs_control(units: DataFrame, label: str, control: str | int, keys: Sequence[str] = (),
-                             metric: str = "converted", max_groups: int | None = None) -> DataFrame:
+                             metric: str = "converted") -> DataFrame:
     """Every variant against the one control, with Holm over the variants."""
     totals = units.groupBy(*keys, label).agg(F.sum(metric).cast("bigint").alias("conv_t"),
                                              F.count(metric).alias("n_t"))
     base = totals.where(F.col(label) == control).select(
         *keys, F.col("conv_t").alias("conv_c"), F.col("n_t").alias("n_c"), F.lit(1).alias("_one"))
     variants = totals.where(F.col(label) != control).withColumn("_one", F.lit(1))
-    tested = with_prop_test(variants.join(bounded(base, max_groups if keys else 1), ["_one", *keys]))
+    tested = with_prop_test(variants.join(settled(base) if keys else F.broadcast(base), ["_one", *keys]))
     return holm(tested, keys).select(*keys, label, "conv_c", "n_c", "conv_t", "n_t", "effect", "rel_lift",
                                      "z", "p_value", "significant", "holm_reject")

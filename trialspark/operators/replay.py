@@ -279,7 +279,7 @@ def variant_false_positive(units: DataFrame, n_replays: int, variants: Sequence[
     rows = over_replays(units, n_replays).selectExpr("replay", "converted", "code", f"explode(array({grid})) AS n_variants")
     rows = rows.withColumn("label", F.expr(f"CAST(floor({uniform_sql('label', 'replay')} * n_variants) AS INT)"))
     key = ["n_variants", "replay"]
-    tested = multi_variant_vs_control(rows, "label", 0, key, max_groups=len(variants) * n_replays)
+    tested = multi_variant_vs_control(rows, "label", 0, key)
     runs = tested.groupBy(*key).agg(F.expr("bool_or(p_value < 0.05) AS raw"), F.bool_or("holm_reject").alias("holm"))
     return runs.groupBy("n_variants").agg(F.count(F.lit(1)).alias("runs"), _rate(F.col("raw")).alias("uncorrected"),
                                           _rate(F.col("holm")).alias("holm"))
@@ -323,10 +323,9 @@ def heavy_tail_methods(units: DataFrame, n_replays: int, whale_rates: Sequence[f
     rows = inject(over_scenarios(units, full, n_replays), {"lift", "whale"})
     key = ["whale_rate", "lift", "replay"]
     slim = rows.select(*key, "arm", "code", "revenue", covariate)
-    groups = len(grid) * n_replays
     adjusted = raw_and_cuped(slim, "revenue", covariate, key).select(
         *key, F.col("raw_significant").alias("welch"), F.col("cuped_significant").alias("cuped"))
-    capped = winsorize_pooled(slim, "revenue", 0.99, key, max_groups=groups, name="capped")
+    capped = winsorize_pooled(slim, "revenue", 0.99, key, name="capped")
     wins = with_welch(arm_moments(capped, ["capped"], key), "capped").select(
         *key, F.col("significant").alias("winsorized_p99"))
     boot = bootstrap_diff_ci(slim, "revenue", key, n_boot=n_boot)

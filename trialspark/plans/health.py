@@ -153,7 +153,7 @@ def assemble(totals: DataFrame, keys: Sequence[str], *, trend: DataFrame | None
 
 def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFrame | None = None,
                   revenue_col: str | None = None, covariates: Sequence[str] = (), day_col: str | None = "day",
-                  max_groups: int | None = None, **options) -> DataFrame:
+                  **options) -> DataFrame:
     """Run all checks on unit rows; ``options`` are those of ``assemble``."""
     keys = list(keys)
     day = day_col if day_col in units.columns else None
@@ -175,7 +175,7 @@ def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFr
         trend = novelty_trend(with_rates(panel), keys, day).select(*keys, "days", "trend_z", "half_gap")
     outliers = None
     if revenue_col:
-        outliers = outlier_sensitivity(units, revenue_col, keys, max_groups=max_groups).select(
+        outliers = outlier_sensitivity(units, revenue_col, keys).select(
             *keys, "raw_p_value", "win_p_value", "flips")
     multi = multiple_testing_flag(pvalues, keys) if pvalues is not None else None
     return assemble(totals.select(*keys, *COUNTS), keys, trend=trend, multi=multi, outliers=outliers,

@@ -56,7 +56,7 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = replay.with_prop_test(replay.metric_totals(rows, CHECKED, EXPERIMENT))
     pvalues = tests.select("experiment_id", F.col("metric_no").alias("test_no"), "p_value")
     return health.health_report(rows, EXPERIMENT, pvalues=pvalues, revenue_col="revenue", covariates=["pre_x"],
-                                settings=_settings(spark), max_groups=N_EXPERIMENTS)
+                                settings=_settings(spark))
 
 
 def health_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
         "revenue": F.when(F.col("scenario") == "whale_revenue", F.col("revenue")),
         "pre_x": F.when(F.col("arm") == "treatment", F.col("pre_x") * F.col("imbalance")).otherwise(F.col("pre_x"))})
     report = health.health_report(rows, ["scenario", "replay"], revenue_col="revenue", covariates=["pre_x"],
-                                  planned_mde_rel=0.20, max_groups=len(cases) * CARD_REPLAYS)
+                                  planned_mde_rel=0.20)
     return health.report_card(report)
 
 
@@ -120,7 +120,7 @@ def audit_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(day, F.lit(14)).cast("int").alias("day"), "segment", F.col("o_totalprice").alias("amount"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("converted"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("engaged")))
-    return spread(units, orders)
+    return spread(units)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

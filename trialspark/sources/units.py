@@ -114,19 +114,13 @@ def with_code(units: DataFrame, key: str = "unit_id") -> DataFrame:
     return units.withColumn("code", unit_code(F.col(key)))
 
 
-def spread(units: DataFrame, source: DataFrame) -> DataFrame:
-    """Spread coded units over all cores before they are repeated over replays.
-
-    Only a source with fewer splits than cores (one small file) is shuffled; a
-    large table already has enough tasks and is left where it is.
-    """
-    cores = units.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() >= cores:
-        return units
-    return units.repartition(cores, "code")
+def spread(units: DataFrame) -> DataFrame:
+    """Deal coded units to as many tasks as shuffles have, before they are repeated
+    over replays: one shuffle of narrow rows, whatever the splits of the source."""
+    return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
 
 
 def coded_orders(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Order units ready for replays."""
     units = with_code(order_units(spark, sf_dir, **options))
-    return spread(units, table(spark, sf_dir, "orders"))
+    return spread(units)
