@@ -151,12 +151,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Returns (node, root), root being the smallest node reachable, for each node
     that has an edge.  Large-star and small-star rounds alternate until no edge
-    changes; each round is checkpointed in the shared folder.  A node with very
+    changes; each round is written to the shared folder.  A node with very
     many edges only meets its minimum, by partial aggregation and a join whose
     wide side Spark can split.
     """
-    e = (edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
-         .where("v <> u").distinct().checkpoint())
+    e = keep(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct(), "edges")
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -165,8 +164,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                  .select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct())
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
-        e = (small.select(F.col("u").alias("v"), F.col("m").alias("u"))
-             .unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct().checkpoint())
+        e = keep(small.select(F.col("u").alias("v"), F.col("m").alias("u"))
+                 .unionByName(low.select("v", F.col("m").alias("u"))).where("v <> u").distinct(), "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -172,7 +172,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     names = docs.columns
     uid, held = fresh(names, "_uid"), fresh(names, "_spans")
     found = keep(scan(docs, doc_id, text).where("size(spans) > 0").select(F.col("_uid").alias(uid), F.col("spans").alias(held)), "secret-spans")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(found, uid, "left").drop(uid)
+    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(found.hint("merge"), uid, "left").drop(uid)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, spans = batch.column(text), batch.column(held)
