@@ -1,6 +1,8 @@
 """Rows that clean tables do not hold: missing p values, flat or far-off covariates, non-finite values, days without rows."""
 
 import math
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from trialspark.operators import multiplicity, sequential
 from trialspark.operators.groupstats import exact_quantile
 from trialspark.operators.hypothesis import winsorize_pooled
 from trialspark.plans import health
+from trialspark.reports import decisions
 from trialspark.sources import ingest
 
 INF, NAN = float("inf"), float("nan")
@@ -99,6 +102,14 @@ def test_bad_csv_rows_end_the_scan(spark, tmp_path):
         df.collect()
 
 
+def test_scratch_tables_can_be_removed(spark):
+    decisions.health_verdict(spark, "/root/testdata/sf0.001").collect()
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    assert ingest.discard_scratch(spark) > 0 and ingest.discard_scratch(spark) == 0
+    left = [p.name for p in Path(root.removeprefix("file:")).glob("*-*") if re.match(r"(units|groups|health-panel)-[0-9a-f]{32}$", p.name)]
+    assert left == []
+
+
 def test_create_or_replace(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (5, 3):

@@ -18,12 +18,14 @@ REQUIRED = ("arm", "converted")
 
 
 _local_roots: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own machine.
+    Only a local session may fall back to a folder of its own machine.  The
+    table stays until ``discard_scratch``.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -32,7 +34,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="trialspark-")
         _local_roots[context.applicationId] = root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Remove all scratch tables that this application has written, once their
+    results have been read; returns how many there were."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(made)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
