@@ -10,10 +10,19 @@ A bucket with many fingerprints is not joined with itself.  Its members are
 linked exactly another way: two fingerprints are at distance 2 or less if and
 only if some value is within one bit of both, and no value has more than 65
 fingerprints that near, so grouping by those values is bounded.
+
+``near_groups`` links by similarity: texts whose sets of shingles have a Jaccard
+similarity of ``SIMILARITY`` or more.  At 0.8 two fingerprints differ in 15% of
+their bits, too many for segments of 64 bits.  Fingerprints have ``WIDE`` bits;
+tables of sampled bits give candidates, and the sets of shingles decide.  The
+bits of a table grow with the logarithm of the number of texts, so that a bucket
+keeps its size, and the number of tables with them, so that a pair at the bound
+is missed by all with probability exp(-``TRIES``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -23,11 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import components, keep, map_arrow
+from trialspark.llm.common import chunks, components, keep, map_arrow, mix, text_buffers, window_hashes, window_starts, word_hashes, word_spans
 
 BITS = 64
 #: Members beyond which a variant's bucket is linked through its one-bit neighbours.
 BUCKET = 64
+SIMILARITY = 0.8
+WIDE = 256
+TRIES = 4.0
+#: Standard deviations by which the first 64 bits of a candidate pair may exceed their expected distance.
+SLACK = 3.5
+
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[0x41:0x5B] += 0x20
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -102,3 +119,179 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     named = rooted.select("fp", "root").join(heads, "root").select("fp", "head")
     return rows.join(named, "fp").select(
         "_uid", "doc_id", "fp", F.col("head.doc_id").alias("component_id"), (F.col("_uid") == F.col("head._uid")).alias("keeper"))
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text, ASCII case folded; a shorter text is one shingle."""
+    data, off = text_buffers(column)
+    for lo, hi in chunks(off):
+        part, cut = _LOW[data[off[lo]: off[hi]]], off[lo: hi + 1] - off[lo]
+        start, end, row = word_spans(part, cut)
+        words = word_hashes(part, start, end)
+        at = window_starts(row, k)
+        full = window_hashes(words, at, k)
+        first, last = np.searchsorted(row, np.arange(hi - lo)), np.searchsorted(row, np.arange(hi - lo), side="right")
+        begin, stop = np.searchsorted(at, first), np.searchsorted(at, last)
+        for f, e, b, s in zip(first.tolist(), last.tolist(), begin.tolist(), stop.tolist(), strict=True):
+            if 0 < e - f < k:
+                yield window_hashes(words[f:e] ^ np.uint64(e - f), np.zeros(1, np.int64), e - f)
+            else:
+                yield np.unique(full[b:s])
+
+
+def wide_bits(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of ``WIDE`` bits of a set of shingles, packed."""
+    ones = np.zeros(WIDE, np.int64)
+    salts = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(shingles), 1 << 14):
+        h = mix(shingles[i: i + (1 << 14), None] ^ salts)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(shingles), bitorder="little")
+
+
+def _sketches(slim: DataFrame, k: int) -> DataFrame:
+    """(_uid, doc_id, node, bits): ``node`` names the set of shingles, 0 if a text has no words."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nodes, bits = [], []
+        for s in shingle_sets(batch.column("text"), k):
+            nodes.append(mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s))], np.uint64))[0] | np.uint64(1) if len(s) else np.uint64(0))
+            bits.append(wide_bits(s).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bits, pa.binary())],
+                                         names=["_uid", "doc_id", "node", "bits"])
+
+    return map_arrow(slim, run, "_uid long, doc_id long, node long, bits binary")
+
+
+def plan(n: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a table, number of tables, and the largest distance of the first 64 bits for n texts."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(31, max(12, math.ceil(math.log2(n + 1))))
+    far = 64 * (1 - agree) + SLACK * math.sqrt(64 * agree * (1 - agree))
+    return bits, math.ceil(TRIES / agree**bits), math.ceil(far)
+
+
+def _bucketed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(key, r, node): each text in its bucket of each table; ``r`` holds its first 64 bits, turned by the table.
+
+    Tables sample the other bits, so that ``r`` tells more than the bucket.
+    """
+    rng = np.random.default_rng(11)
+    weights = np.zeros((WIDE - 64, tables))
+    for t in range(tables):
+        weights[rng.choice(WIDE - 64, bits, replace=False), t] = 2.0 ** np.arange(bits)
+    turn = (np.arange(tables) * 7 % 64).astype(np.uint64)
+    high = np.arange(tables, dtype=np.int64) << 32
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, WIDE // 8)
+        node = batch.column("node").to_numpy()
+        for i in range(0, len(raw), 1000):
+            part = raw[i: i + 1000]
+            key = (np.unpackbits(part[:, 8:], axis=1, bitorder="little").astype(np.float64) @ weights).astype(np.int64) + high
+            f = np.ascontiguousarray(part[:, :8]).view("<u8")
+            r = (f << turn) | (f >> ((np.uint64(64) - turn) & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(r.ravel().view(np.int64)), pa.array(np.repeat(node[i: i + 1000], tables))], names=["key", "r", "node"])
+
+    return map_arrow(nodes.select("node", "bits"), run, "key long, r long, node long")
+
+
+def _candidates(index: DataFrame, far: int) -> DataFrame:
+    """(a, b, d): pairs of texts that share a bucket, d bits of the first 64 apart, ``far`` at most.
+
+    Buckets are read in the order of ``r``.  The first ``BUCKET`` members of a
+    bucket meet each other; every later one links to the nearest of the
+    ``BUCKET`` before it and to the bucket's first, so a crowd gives a number of
+    pairs that grows with its members.  The tables turn ``r`` differently, so
+    the members that are near in the order differ from table to table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        old = (none, none, none, none)  # key, r, node and place in the bucket of the last rows
+        head = (0, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, r, node = (np.concatenate([o, batch.column(c).to_numpy()]) for o, c in zip(old, ("key", "r", "node"), strict=False))
+            n, kept = len(key), len(old[0])
+            at = np.arange(n)
+            opens = np.append(True, key[1:] != key[:-1])
+            begin = np.maximum.accumulate(np.where(opens, at, 0))
+            place = at - begin
+            if kept:
+                place[key == key[0]] += old[3][0]
+            head_node, head_r = node[begin], r[begin]
+            if kept:
+                first = (key == key[0]) & (old[3][0] > 0)
+                head_node[first], head_r[first] = head
+            u = r.view(np.uint64)
+            out = [(none, none, none)]
+            best, best_of = np.full(n, far + 1), np.zeros(n, np.int64)
+            for lag in range(1, BUCKET + 1):
+                i = at[max(lag, kept):]
+                i = i[key[i] == key[i - lag]]
+                if not len(i):
+                    break
+                d = np.bitwise_count(u[i] ^ u[i - lag]).astype(np.int64)
+                early = (place[i] < BUCKET) & (d <= far)
+                out.append((node[i[early]], node[i[early] - lag], d[early]))
+                late = (place[i] >= BUCKET) & (d < best[i])
+                best[i[late]], best_of[i[late]] = d[late], node[i[late] - lag]
+            late = at[(best <= far) & (at >= kept)]
+            out.append((node[late], best_of[late], best[late]))
+            late = at[(place >= BUCKET) & (at >= kept)]
+            d = np.bitwise_count(u[late] ^ head_r[late].view(np.uint64)).astype(np.int64)
+            out.append((node[late][d <= far], head_node[late][d <= far], d[d <= far]))
+            a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
+            head = (int(head_node[-1]), int(head_r[-1]))
+            old = (key[-BUCKET:], r[-BUCKET:], node[-BUCKET:], place[-BUCKET:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
+
+    return (index.repartition(F.col("key")).sortWithinPartitions("key", "r").mapInArrow(run, "a long, b long, d long")
+            .where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(_uid, doc_id, component_id, keeper), one row per row of ``docs``.
+
+    Rows are linked if the Jaccard similarity of their sets of k-word shingles
+    is ``similarity`` or more, and share a component if links connect them;
+    components and keepers are named as in ``groups``.  Texts without words are
+    one component.  Candidates are verified in two rounds: first the nearest of
+    each text, then those whose components are still apart.
+    """
+    slim = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = keep(_sketches(slim, k), "sketches")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid"))
+    nodes = keep(rows.groupBy("node").agg(head.alias("head"), F.first("bits").alias("bits")), "distinct-sets")
+    worded = nodes.where("node <> 0")
+    bits, tables, far = plan(worded.count(), similarity)
+    pairs = keep(_candidates(_bucketed(worded, bits, tables), far), "candidates")
+
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hashes = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "s"])
+
+    in_pairs = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(in_pairs, "node", "left_semi").select("node", F.col("head._uid").alias("_uid"))
+    shingles = keep(map_arrow(slim.select("_uid", "text").join(wanted.hint("merge"), "_uid").select("node", "text"), sets, "node long, s array<long>"), "shingles")
+
+    def verified(some: DataFrame) -> DataFrame:
+        x, y = (shingles.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        both = some.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+        return both.where(F.col("i") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+
+    ends = pairs.select(F.col("a").alias("node"), "a", "b", "d").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    near = keep(verified(nearest), "near-links")
+    roots = keep(components(near), "near-roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = (pairs.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+             .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
+    linked = components(near.unionByName(verified(apart))).withColumnRenamed("node", "n")
+    rooted = nodes.join(linked, nodes["node"] == linked["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("head").alias("top"))
+    named = rooted.select("node", "root").join(heads, "root").select("node", "top")
+    return rows.join(named, "node").select(
+        "_uid", "doc_id", F.col("top.doc_id").alias("component_id"), (F.col("_uid") == F.col("top._uid")).alias("keeper"))
