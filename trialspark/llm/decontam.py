@@ -14,6 +14,7 @@ can have.  The bitmap only saves work; the join decides.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import IS_SPACE, chunks, keep, map_arrow, text_buffers, window_hashes, word_hashes, word_spans
+from trialspark.llm.common import IS_SPACE, chunks, keep, map_arrow, mix, text_buffers, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
 #: Shorter items give one window of their whole length; below this they say too little to be told from chance.
@@ -29,6 +30,10 @@ SHORTEST = 5
 #: Words of a window that must not be placeholders.
 LITERALS = 4
 COVERAGE = 0.5
+#: So many consecutive words of an item report it, whatever its length.
+RUN = 13
+#: Marks a name among the values of placeholders; no word begins with it.
+NAME = " "
 BITMAP = 1 << 25
 
 #: Unit words that become a placeholder (fixed values).
@@ -91,6 +96,7 @@ class Templates:
         unit = np.isin(h, _UNIT_HASHES)
         self.name = wordy & ~unit & capital & ~opens
         self.slot = ~wordy | unit
+        self.word = mix(h)
         self.literal = np.where(~wordy, _NUMBER, np.where(unit, _UNIT, h))
 
     def forms(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,35 +117,54 @@ class Templates:
             yield at, window_hashes(words ^ np.uint64(k), at, k), slot
 
     def values(self, at: int, k: int, slot: np.ndarray) -> list[str]:
-        """Values of the placeholders in a window."""
-        return [self.data[self.start[i]: self.end[i]].tobytes().decode(errors="replace").lower() for i in range(at, at + k) if slot[i]]
+        """Values of the placeholders in a window; a name's begins with ``NAME``."""
+        return [NAME * bool(self.name[i]) + self.data[self.start[i]: self.end[i]].tobytes().decode(errors="replace").lower()
+                for i in range(at, at + k) if slot[i]]
+
+    def exact(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``forms``: all windows, with every word standing for itself."""
+        at = np.flatnonzero(self.row[k - 1:] == self.row[: len(self.row) - k + 1]) if len(self.row) >= k else np.zeros(0, np.int64)
+        yield at, window_hashes(self.word ^ np.uint64(k), at, k), np.zeros(len(self.row), bool)
 
 
 _ROWS = "h long, pos int, slots array<string>, size int"
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, h, pos, slots, size, n): windows of each item and their number."""
+    """(item_id, h, pos, slots, size, n, words, whole): windows of each item, their number and the item's.
+
+    ``n`` counts the windows of the main size.  Items under two windows have
+    shorter ones as well, so that one changed word leaves a window at a side.
+    An item without any window is one of all its words, each standing for
+    itself (``whole``).
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = text_buffers(batch.column("text"))
         ids = batch.column("item_id")
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[] for _ in range(8)]
         for r in range(len(ids)):
             t = Templates(data[off[r]: off[r + 1]], np.array([0, off[r + 1] - off[r]]))
-            k = min(window, len(t.row))
+            words = len(t.row)
+            k = min(window, words)
             if k < SHORTEST:
                 continue
-            got = [(i, x, t.values(i, k, slot)) for at, h, slot in t.forms(k) for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-            for i, x, values in got:
-                for o, v in zip(out, (ids[r].as_py(), x, i, values, k, len({g[0] for g in got})), strict=True):
+            more = {max(SHORTEST, (words - 1) // 2)} if window < words < 2 * window else set()
+            got = [(i, x, t.values(i, size, slot), size) for size in (k, *(more - {k})) for at, h, slot in t.forms(size)
+                   for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+            whole = not any(size == k for *_, size in got)
+            if whole:
+                got += [(i, x, [], words) for at, h, _ in t.exact(words) for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+            main = len({i for i, _, _, size in got if size == k}) or 1
+            for i, x, values, size in got:
+                for o, v in zip(out, (ids[r].as_py(), x, i, values, size, main, words, whole and size == words), strict=True):
                     o.append(v)
-        kinds = (ids.type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
+        kinds = (ids.type, pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)],
-                                         names=["item_id", "h", "pos", "slots", "size", "n"])
+                                         names=["item_id", "h", "pos", "slots", "size", "n", "words", "whole"])
 
     slim = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    return map_arrow(slim, run, f"item_id {slim.schema['item_id'].dataType.simpleString()}, {_ROWS}, n int")
+    return map_arrow(slim, run, f"item_id {slim.schema['item_id'].dataType.simpleString()}, {_ROWS}, n int, words int, whole boolean")
 
 
 def _bitmap(windows: DataFrame) -> bytes:
@@ -157,20 +182,54 @@ def _bitmap(windows: DataFrame) -> bytes:
     return np.packbits(out[:BITMAP], bitorder="little").tobytes()
 
 
+def occurrence(windows: list[tuple[int, int, list[tuple[str, str]]]]) -> list[tuple[int, int, bool]]:
+    """(pos, size, other) of the windows of one occurrence, none if a value turns into two; ``windows`` have (pos, size, slot value pairs)."""
+    turns: dict[str, set[str]] = {}
+    for _, _, pairs in windows:
+        for a, b in pairs:
+            turns.setdefault(a, set()).add(b)
+    if any(len(b) > 1 for b in turns.values()):
+        return []
+    other = any(a not in b for a, b in turns.items())
+    return [(p, k, other) for p, k, _ in windows]
+
+
+def judge(n: int, words: int, shifts: dict[int, list], window: int, coverage: float) -> tuple[int, bool] | None:
+    """Number of matched windows of an item and whether values differ, or None if the item is not held."""
+    spots: dict[int, bool] = {}
+    covered, run, other = np.zeros(words, bool), 0, False
+    for found in shifts.values():
+        mine = np.zeros(words, bool)
+        for p, k, differs in occurrence(found):
+            mine[p: p + k] = True
+            other |= differs
+            if k in (min(window, words), words):
+                spots[p] = spots.get(p, True) and differs
+        ends = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
+        run = max([run, *(ends[1::2] - ends[::2]).tolist()])
+        covered |= mine
+    share = covered.sum() >= max(coverage * words, min(window, words))
+    if not (len(spots) >= coverage * n or share or run >= RUN):
+        return None
+    return len(spots), any(spots.values()) if spots else other
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(_uid, doc_id, item_id, n_windows, n_matched, coverage, kind): documents that hold benchmark items.
 
-    A pair is reported if at least ``coverage`` of the item's windows occur in
-    the document with consistent slots; ``kind`` is ``verbatim`` if all slot
+    A pair is reported if at least ``coverage`` of the item's windows, or of its
+    words, or ``RUN`` consecutive words occur in the document with consistent
+    slots (``occurrence``); ``coverage`` gives the share of windows, and ``kind`` is ``verbatim`` if all slot
     values agree and ``reparameterised`` if they were replaced throughout.
     Null, empty and short texts match nothing; items under ``SHORTEST`` words
-    are not searched.  Repeated documents and items are reported each (items by
+    are not searched, and items with too few literal words only as exact copies.  Repeated documents and items are reported each (items by
     id).  ``_uid`` numbers the rows of ``docs`` in their order.
     """
     spark = docs.sparkSession
     bench = keep(benchmark_windows(items, item_id, item_text, window).distinct(), "benchmark-windows")
-    sizes = sorted({r["size"] for r in bench.select("size").distinct().collect()})
+    by_size = bench.select("size", "whole").distinct().collect()
+    sizes, exact = (sorted({r["size"] for r in by_size if r["whole"] == w}) for w in (False, True))
     bits = spark.sparkContext.broadcast(_bitmap(bench))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -181,7 +240,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         for lo, hi in chunks(off):
             t = Templates(data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo])
             base = np.searchsorted(t.row, np.arange(hi - lo))
-            for k, (at, h, slot) in ((k, form) for k in sizes for form in t.forms(k)):
+            for k, (at, h, slot) in itertools.chain(((k, form) for k in sizes for form in t.forms(k)), ((k, form) for k in exact for form in t.exact(k))):
                 low = h & np.uint64(BITMAP - 1)
                 hit = np.flatnonzero(table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                 for i, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
@@ -197,16 +256,24 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     found = map_arrow(slim, run, f"_uid long, doc_id {id_type}, {_ROWS}")
 
     pairs = found.alias("d").join(bench.alias("b"), ["h", "size"]).select(
-        "_uid", "doc_id", "item_id", "n", F.col("b.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"),
-        F.arrays_zip(F.col("b.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"))
-    # one occurrence of an item: its windows all lie at one shift, so these lists are as short as the item
-    once = (pairs.groupBy("_uid", "doc_id", "item_id", "n", "shift")
-            .agg(F.collect_set("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-            .where("size(slots) = size(array_distinct(transform(slots, x -> x.a)))")
-            .select("_uid", "doc_id", "item_id", "n", F.explode("pos").alias("pos"), F.expr("exists(slots, x -> x.a <> x.b)").alias("other")))
-    spots = once.groupBy("_uid", "doc_id", "item_id", "n", "pos").agg(F.min("other").alias("other"))
-    return (spots.groupBy("_uid", "doc_id", "item_id", "n")
-            .agg(F.count(F.lit(1)).alias("n_matched"), F.max("other").alias("other"))
-            .withColumn("coverage", F.col("n_matched") / F.col("n")).where(F.col("coverage") >= coverage)
-            .select("_uid", "doc_id", "item_id", F.col("n").cast("long").alias("n_windows"), "n_matched", "coverage",
-                    F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind")))
+        "_uid", "doc_id", "item_id", "n", "words", F.struct(
+            (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.pos").alias("pos"), "size", F.col("b.slots").alias("a"), F.col("d.slots").alias("b")).alias("w"))
+    # one occurrence of an item: its windows all lie at one shift
+    held = pairs.groupBy("_uid", "doc_id", "item_id", "n", "words").agg(F.collect_set("w").alias("w"))
+
+    def verdict(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, kept = [], []
+        for i, (n, words, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "words", "w")), strict=True)):
+            shifts: dict[int, list] = {}
+            for w in found:
+                shifts.setdefault(w["shift"], []).append((w["pos"], w["size"], list(zip(w["a"], w["b"], strict=True))))
+            if got := judge(n, words, shifts, window, coverage):
+                kept.append(i)
+                rows.append((n, got[0], got[0] / n, "reparameterised" if got[1] else "verbatim"))
+        at = pa.array(kept, pa.int64())
+        more = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_uid", "doc_id", "item_id")), *more],
+                                         names=["_uid", "doc_id", "item_id", "n_windows", "n_matched", "coverage", "kind"])
+
+    item_type = bench.schema["item_id"].dataType.simpleString()
+    return map_arrow(held, verdict, f"_uid long, doc_id {id_type}, item_id {item_type}, n_windows long, n_matched long, coverage double, kind string")
