@@ -1,5 +1,4 @@
-"""Benchmark items that a document holds in part or with few literal words."""
-
+"""Benchmark items that a document holds in part, with few literal words, or with equal numbers changed apart."""
 
 from trialspark.llm import decontam
 
@@ -28,3 +27,18 @@ def test_items_with_few_literal_words_are_found_as_exact_copies(spark):
     items = {1: "What is 12 * 7 + 30 / 5 ?", 2: "12 kg 7 kg 30 kg 5 kg 9 kg 4 kg 8"}
     docs = {1: "what is 12 * 7 + 30 / 5 ?", 2: "What is 13 * 7 + 30 / 5 ?", 3: items[2], 4: items[2].replace("30", "31")}
     assert found(spark, docs, items) == {(1, 1, "verbatim"), (3, 2, "verbatim")}
+
+
+EQUAL = "a boy picks 2 apples from the garden tree and then rests under its shade for 2 hours before going home"
+
+
+def test_equal_numbers_changed_apart(spark):
+    docs = {1: EQUAL.replace("2 hours", "3 hours"), 2: EQUAL.replace("2 apples", "3 apples").replace("2 hours", "5 hours"), 3: EQUAL.replace("2", "4")}
+    assert {x[:2] for x in found(spark, docs, {9: EQUAL})} == {(1, 9), (2, 9), (3, 9)}
+
+
+def test_rarer_mappings_lose_only_their_windows():
+    held = decontam.occurrence([(0, 8, [("2", "2")]), (1, 8, [("2", "3")]), (2, 8, [("2", "3")]), (3, 8, [("2", "4"), ("7", "7")])])
+    assert sorted(held) == [(0, 8, False), (1, 8, True), (2, 8, True)]
+    name = decontam.NAME + "anna"
+    assert decontam.occurrence([(0, 8, [("2", "2")]), (1, 8, [(name, " berta")]), (2, 8, [(name, " carla")])]) == [(0, 8, False)]

@@ -183,15 +183,24 @@ def _bitmap(windows: DataFrame) -> bytes:
 
 
 def occurrence(windows: list[tuple[int, int, list[tuple[str, str]]]]) -> list[tuple[int, int, bool]]:
-    """(pos, size, other) of the windows of one occurrence, none if a value turns into two; ``windows`` have (pos, size, slot value pairs)."""
-    turns: dict[str, set[str]] = {}
-    for _, _, pairs in windows:
-        for a, b in pairs:
-            turns.setdefault(a, set()).add(b)
-    if any(len(b) > 1 for b in turns.values()):
-        return []
-    other = any(a not in b for a, b in turns.items())
-    return [(p, k, other) for p, k, _ in windows]
+    """(pos, size, other) of the windows of one occurrence that hold; ``windows`` have (pos, size, slot value pairs).
+
+    Windows whose values all agree hold whatever the others do.  A name that
+    turns into two values tells another text, so all others go.  Equal numbers
+    or units may stand for different things: of a value that turns into several
+    only the windows with its rarer ones go.
+    """
+    same = [(p, k, False) for p, k, pairs in windows if all(a == b for a, b in pairs)]
+    other = [(p, k, pairs) for p, k, pairs in windows if any(a != b for a, b in pairs)]
+    places: dict[tuple[str, str], set[int]] = {}
+    for p, _, pairs in windows:
+        for pair in pairs:
+            places.setdefault(pair, set()).add(p)
+    best: dict[str, str] = {}
+    for a, b in sorted(places, key=lambda x: (-len(places[x]), x)):
+        if best.setdefault(a, b) != b and a.startswith(NAME):
+            return same
+    return same + [(p, k, True) for p, k, pairs in other if all(best[a] == b for a, b in pairs)]
 
 
 def judge(n: int, words: int, shifts: dict[int, list], window: int, coverage: float) -> tuple[int, bool] | None:
