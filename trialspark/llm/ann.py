@@ -1,7 +1,6 @@
 """Nearest neighbours by largest inner product, with multiprobe p-stable hashing.
 
-Method: vectors get one more component that brings all to the norm of the
-longest, so that a larger inner product is a smaller Euclidean distance.
+Method: vectors get one more component that brings them to one norm, so that a larger inner product is a smaller Euclidean distance.
 ``TABLES`` tables of ``HASHES`` functions floor((a.x + b) / WIDTH), a Gaussian,
 index every vector.  A query visits, in each table, its own bucket and
 perturbed ones in the order of their estimated success: the template of
@@ -9,6 +8,10 @@ perturbation sets over the sorted distances to the bucket's sides is made once
 from their expected squares.  Candidates of all tables are merged and reranked
 by the exact inner product in double precision.
 
+Vectors of a block are indexed in ranges of norm, each lifted to its own longest
+vector, so that a long vector does not squeeze the others together.  A query that
+finds fewer candidates of a range than a result holds scans the range.
+
 Vectors are indexed in blocks of ``BLOCK``; query blocks meet vector blocks, and
 only the best of each meeting go on.  Equal vectors are indexed once, with as
 many of their smallest ids as a result can hold, so copies make no hot bucket.
@@ -31,6 +34,8 @@ TABLES = 24
 HASHES = 8
 WIDTH = 1.5
 PROBES = 256
+#: Largest ratio of norms within a range.
+SPREAD = 1.25
 BLOCK = 8192
 QUERY_BLOCK = 2048
 
@@ -91,28 +96,47 @@ class Hashes:
         return home[:, None] + moves[:, self.sets].sum(axis=2)
 
 
-def search_block(h: Hashes, x: np.ndarray, top: float, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def norm_ranges(norms: np.ndarray) -> list[np.ndarray]:
+    """Rows by norm, in ranges that begin at each range's longest vector and span a ratio of ``SPREAD``."""
+    order, out, at = np.argsort(-norms, kind="stable"), [], 0
+    while at < len(order):
+        end = at + int(np.searchsorted(-norms[order[at:]], -norms[order[at]] / SPREAD, side="right"))
+        out.append(order[at:end])
+        at = end
+    return out
+
+
+def search_block(h: Hashes, x: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its index, and the k best candidates of a block with their inner products."""
-    scale = top or 1.0
-    unit = x / scale
-    lift = np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))
-    keys = h.keys(np.column_stack([unit, lift]))
+    norms = np.sqrt((x * x).sum(axis=1))
     ask = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
     seen = np.zeros((len(q), len(x)), bool)
-    for t in range(h.tables):
-        buckets, of = np.unique(keys[:, t], return_inverse=True)
+    large = []
+    for rows in norm_ranges(norms):
+        if len(rows) <= k:
+            seen[:, rows] = True
+        else:
+            unit = x[rows] / (norms[rows[0]] or 1.0)
+            large.append((rows, h.keys(np.column_stack([unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))]))))
+    for t in range(h.tables if large else 0):
         want = h.probes(ask, t)
-        at = np.minimum(np.searchsorted(buckets, want), len(buckets) - 1)
-        row, col = np.nonzero(buckets[at] == want)
-        hit = np.zeros((len(q), len(buckets)), bool)
-        hit[row, at[row, col]] = True
-        seen |= hit[:, of]
-    rough, rough_q = unit.astype(np.float32), ask[:, :-1].astype(np.float32)
+        for rows, keys in large:
+            buckets, of = np.unique(keys[:, t], return_inverse=True)
+            at = np.minimum(np.searchsorted(buckets, want), len(buckets) - 1)
+            row, col = np.nonzero(buckets[at] == want)
+            hit = np.zeros((len(q), len(buckets)), bool)
+            hit[row, at[row, col]] = True
+            seen[:, rows] |= hit[:, of]
+    for rows, _ in large:
+        few = np.flatnonzero(seen[:, rows].sum(axis=1) < k)
+        seen[np.ix_(few, rows)] = True
+    rough, rough_q = (x / (norms.max() or 1.0)).astype(np.float32), ask[:, :-1].astype(np.float32)
     for i in range(len(q)):
         near = np.flatnonzero(seen[i])
         if len(near) > k:
             s = rough[near] @ rough_q[i]
-            near = near[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-4]
+            least = np.partition(s, len(s) - k)[len(s) - k]
+            near = near[s >= least - 1e-4]
         exact = (x[near] * q[i]).sum(axis=1)
         best = np.lexsort((near, -exact))[:k]
         yield i, near[best], exact[best]
@@ -135,7 +159,6 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_id: str = "
     if not dims:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dims[0])
-    top = rows.select(F.sqrt(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("n")).agg(F.max("n")).first()[0]
     h = Hashes(dims[0] + 1, tables, hashes, width, probes)
 
     # equal vectors: one entry with its smallest ids (one more than a result holds, as a query leaves out itself)
@@ -159,7 +182,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, vec_id: str = "
             held, asks = left.sort_by("rep"), right.sort_by("rep")
             x, q = (np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (held, asks))
             reps, lists, ask = held.column("rep").to_pylist(), held.column("ids").to_pylist(), asks.column("rep").to_pylist()
-            for i, near, score in search_block(h, x, top, q, k + 1):
+            for i, near, score in search_block(h, x, q, k + 1):
                 for j, s in zip(near.tolist(), score.tolist(), strict=True):
                     for o, v in zip(out, (ask[i], reps[j], s, lists[j]), strict=True):
                         o.append(v)
