@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import ann, archives, decontam, langid, lm, packing, secret_scan, simhash, substrings, toxicity
+from trialspark.llm import ann, archives, decontam, langid, lm, packing, pieces, secret_scan, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(5) == 0
     machine = toxicity.fit(toxicity.sample(docs.where(~held_out), labels))
     return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine).drop("text")
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and the texts that these ids give."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(docs, path).drop("text"), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
