@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import ann, archives, decontam, langid, lm, packing, pieces, secret_scan, simhash, substrings, toxicity
+from trialspark.llm import ann, archives, decontam, langid, lm, packing, pieces, secret_scan, simhash, spelling, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +151,9 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.decode(pieces.encode(docs, path).drop("text"), path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their frequent neighbours at one edit."""
+    return spelling.variants(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
