@@ -66,9 +66,9 @@ def test_stage_removes_edited_copies_and_keeps_repetitive_texts(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4, 5, 7, 8]
 
 
-@pytest.mark.parametrize("bucket", [4, 64])
+@pytest.mark.parametrize("bucket", [4, 32])
 def test_crowds_of_near_copies_are_one_group(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "CROWD", bucket)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
         rng = np.random.default_rng(3)
@@ -85,3 +85,43 @@ def test_query_table_matches_all_pairs(spark):
     _, want = all_pairs([(r.doc_id, r.text) for r in docs.collect()])
     assert {(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()} == want
     assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_copies_in_a_crowd_with_common_boilerplate_are_found(spark):
+    """6,000 texts share two thirds of their shingles; 200 of them have a near copy."""
+    rng = np.random.default_rng(7)
+    common = prose(160, rng)
+    rows, near = [], []
+    for i in range(6000):
+        w = [*common, *(f"u{i}x{j}" for j in range(38))]
+        rows.append((i, " ".join(w)))
+        if i % 30 == 0:
+            w[165 + i % 25] = "edited"
+            w[50] = f"also{i}"
+            rows.append((10_000 + i, " ".join(w)))
+            near.append((i, 10_000 + i))
+    sets = {d: shingles(t) for d, t in rows}
+    assert 0.6 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.7 and all(similar(sets[a], sets[b]) for a, b in near)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()).collect()}
+    assert sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    assert len(set(got.values())) == 6000 + len(near) - sum(got[a] == got[b] for a, b in near)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_pairs_a_member_do_not_grow_with_the_group(spark, monkeypatch, n):
+    rng = np.random.default_rng(4)
+    base = prose(300, rng)
+    rows = [(i, " ".join([*base[: i % 300], f"x{i}", *base[i % 300 + 1:]])) for i in range(n)]
+    made = []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()).collect()
+    assert {r.component_id for r in got} == {0} and sum(made) <= 12 * n
+
+
+def test_long_sets_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG", 100)
+    rows = edited_copies()
+    near, _ = all_pairs(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").checkpoint()).collect()}
+    assert sum(got[rows[i][0]] == got[rows[j][0]] for i, j in near) >= 0.97 * len(near)

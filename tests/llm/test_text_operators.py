@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_near_groups import all_pairs
 from tokenizers import Tokenizer
 
 from trialspark.llm import archives, decontam, langid, lm, packing, queries, secret_scan, toxicity
@@ -287,8 +288,8 @@ def test_toxicity_query(spark):
 def test_pipeline_matches_a_plain_version(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
     rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    groups = brute.simhash_components(rows)
-    rows = [r for r, g in zip(rows, groups, strict=True) if g[0] == g[2]]
+    component = all_pairs(rows)[1]  # of pairs (doc_id, smallest doc_id of its component)
+    rows = [r for r in rows if (r[0], r[0]) in component]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     leaks = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
     spans = {r.doc_id: [x.asDict() for x in r.spans] for r in secret_scan.scan(docs).collect()}

@@ -13,16 +13,22 @@ fingerprints that near, so grouping by those values is bounded.
 
 ``near_groups`` links by similarity: texts whose sets of shingles have a Jaccard
 similarity of ``SIMILARITY`` or more.  At 0.8 two fingerprints differ in 15% of
-their bits, too many for segments of 64 bits.  Fingerprints have ``WIDE`` bits;
-tables of sampled bits give candidates, and the sets of shingles decide.  The
-bits of a table grow with the logarithm of the number of texts, so that a bucket
-keeps its size, and the number of tables with them, so that a pair at the bound
-is missed by all with probability exp(-``TRIES``).
+their bits, too many for variants of bits (a 64-bit segment pair meets in one of
+thousands), so there the signature has ``TABLES`` segments of ``SEGMENT`` minwise
+hashes, each indexed under its variants with one hash wild.  A segment of a pair
+at 0.8 has at most one differing hash with probability 0.66, so all four miss it
+with probability 0.014, whatever the number of texts.
+
+Buckets of that index give no pairs by the square: first every member meets the
+bucket's smallest, and what that links is contracted; then members of different
+components meet, in buckets of ``CROWD`` or fewer.  Members of larger buckets with
+more than one component (texts with a common boilerplate) are joined exactly: two sets at similarity s share one of the first (1 - s) of their shingles, the
+rarest first.  What is still crowded there is cut by more minwise hashes, and the
+rest of that, if any, meets whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,10 +44,17 @@ BITS = 64
 #: Members beyond which a variant's bucket is linked through its one-bit neighbours.
 BUCKET = 64
 SIMILARITY = 0.8
-WIDE = 256
-TRIES = 4.0
-#: Standard deviations by which the first 64 bits of a candidate pair may exceed their expected distance.
-SLACK = 3.5
+SEGMENT = 6
+TABLES = 4
+#: Components of a bucket that meet each other; a larger bucket is cut.
+CROWD = 32
+#: Minwise hashes by which what is still crowded is cut, and in how many ways: a pair that agrees in 19 of 24 meets with probability 0.98.
+CUTS = ((9, 57), (12, 215))
+#: Shingles of a row; a longer set is compared in ``SLICES`` parts by hash.
+LONG = 1 << 16
+SLICES = 64
+#: Pairs of one text beyond which its row is copied for the join.
+SPREAD = 1000
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[0x41:0x5B] += 0x20
@@ -139,117 +152,95 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(full[b:s])
 
 
-def wide_bits(shingles: np.ndarray) -> np.ndarray:
-    """SimHash of ``WIDE`` bits of a set of shingles, packed."""
-    ones = np.zeros(WIDE, np.int64)
-    salts = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.random.default_rng(11).integers(1, 2**63, (2, SEGMENT * TABLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """``SEGMENT * TABLES`` minwise hashes of a set of shingles, 32 bits each."""
+    low = np.full(SEGMENT * TABLES, np.uint64(2**64 - 1))
     for i in range(0, len(shingles), 1 << 14):
-        h = mix(shingles[i: i + (1 << 14), None] ^ salts)
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(shingles), bitorder="little")
+        low = np.minimum(low, ((shingles[i: i + (1 << 14), None] ^ _SALTS[0]) * _SALTS[1]).min(axis=0))
+    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketches(slim: DataFrame, k: int) -> DataFrame:
-    """(_uid, doc_id, node, bits): ``node`` names the set of shingles, 0 if a text has no words."""
+    """(_uid, doc_id, node, size, sig): ``node`` names the set of shingles, 0 if a text has no words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        nodes, bits = [], []
+        nodes, sizes, sigs = [], [], []
         for s in shingle_sets(batch.column("text"), k):
             nodes.append(mix(np.array([np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s))], np.uint64))[0] | np.uint64(1) if len(s) else np.uint64(0))
-            bits.append(wide_bits(s).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bits, pa.binary())],
-                                         names=["_uid", "doc_id", "node", "bits"])
+            sizes.append(len(s))
+            sigs.append(signature(s))
+        flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
+        sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * (SEGMENT * TABLES)), flat)
+        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), sig],
+                                         names=["_uid", "doc_id", "node", "size", "sig"])
 
-    return map_arrow(slim, run, "_uid long, doc_id long, node long, bits binary")
+    return map_arrow(slim, run, "_uid long, doc_id long, node long, size long, sig array<int>")
 
 
-def plan(n: int, similarity: float) -> tuple[int, int, int]:
-    """Bits of a table, number of tables, and the largest distance of the first 64 bits for n texts."""
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(31, max(12, math.ceil(math.log2(n + 1))))
-    far = 64 * (1 - agree) + SLACK * math.sqrt(64 * agree * (1 - agree))
-    return bits, math.ceil(TRIES / agree**bits), math.ceil(far)
+def _variants(nodes: DataFrame) -> DataFrame:
+    """(key, node): each segment of a signature with one of its hashes wild."""
+    return nodes.select("node", F.explode(F.expr(
+        f"transform(sequence(0, {SEGMENT * TABLES - 1}), i -> xxhash64(i, slice(sig, i - i % {SEGMENT} + 1, i % {SEGMENT}), "
+        f"slice(sig, i + 2, {SEGMENT - 1} - i % {SEGMENT})))")).alias("key"))
 
 
-def _bucketed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(key, r, node): each text in its bucket of each table; ``r`` holds its first 64 bits, turned by the table.
+def _rarest(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): the rarest shingles of each set, of which similar sets share one; those of one set only are left out."""
+    each = keep(nodes.join(shingles, "node").select("node", F.explode("s").alias("key")), "crowd-shingles")
+    many = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ranked = each.join(many, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("shared"))
+    # sets are cut into rows by hash where they are long, so sizes come from the nodes; shingles of one set only come first
+    room = F.expr(f"size - ceil({similarity} * size - 1e-9) + 1 - (size - size(shared))")
+    return (ranked.join(nodes.select("node", "size"), "node").withColumn("room", room).where("room > 0")
+            .select("node", F.explode(F.expr("slice(shared, 1, cast(room as int))")).alias("x")).select(F.col("x.key").alias("key"), "node"))
 
-    Tables sample the other bits, so that ``r`` tells more than the bucket.
-    """
-    rng = np.random.default_rng(11)
-    weights = np.zeros((WIDE - 64, tables))
-    for t in range(tables):
-        weights[rng.choice(WIDE - 64, bits, replace=False), t] = 2.0 ** np.arange(bits)
-    turn = (np.arange(tables) * 7 % 64).astype(np.uint64)
-    high = np.arange(tables, dtype=np.int64) << 32
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, WIDE // 8)
-        node = batch.column("node").to_numpy()
-        for i in range(0, len(raw), 1000):
-            part = raw[i: i + 1000]
-            key = (np.unpackbits(part[:, 8:], axis=1, bitorder="little").astype(np.float64) @ weights).astype(np.int64) + high
-            f = np.ascontiguousarray(part[:, :8]).view("<u8")
-            r = (f << turn) | (f >> ((np.uint64(64) - turn) & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(r.ravel().view(np.int64)), pa.array(np.repeat(node[i: i + 1000], tables))], names=["key", "r", "node"])
-
-    return map_arrow(nodes.select("node", "bits"), run, "key long, r long, node long")
-
-
-def _candidates(index: DataFrame, far: int) -> DataFrame:
-    """(a, b, d): pairs of texts that share a bucket, d bits of the first 64 apart, ``far`` at most.
-
-    Buckets are read in the order of ``r``.  The first ``BUCKET`` members of a
-    bucket meet each other; every later one links to the nearest of the
-    ``BUCKET`` before it and to the bucket's first, so a crowd gives a number of
-    pairs that grows with its members.  The tables turn ``r`` differently, so
-    the members that are near in the order differ from table to table.
+def _meetings(buckets: DataFrame, roots: DataFrame, most: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of members of a bucket that are of different components.
+
+    All such pairs of a small bucket; of a larger one, with up to ``most``
+    components, those of one member a component.  Also (key, node): the members
+    of buckets with more components, or with ``exact`` of all larger buckets
+    that hold more than one.
     """
+    held = keep(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-members")
+    ones = held.groupBy("key", "root").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    ones = keep(ones, "bucket-components")
+    sizes = keep(ones.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1"), "bucket-sizes")
+    small = F.col("members") <= CROWD
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        old = (none, none, none, none)  # key, r, node and place in the bucket of the last rows
-        head = (0, 0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, r, node = (np.concatenate([o, batch.column(c).to_numpy()]) for o, c in zip(old, ("key", "r", "node"), strict=False))
-            n, kept = len(key), len(old[0])
-            at = np.arange(n)
-            opens = np.append(True, key[1:] != key[:-1])
-            begin = np.maximum.accumulate(np.where(opens, at, 0))
-            place = at - begin
-            if kept:
-                place[key == key[0]] += old[3][0]
-            head_node, head_r = node[begin], r[begin]
-            if kept:
-                first = (key == key[0]) & (old[3][0] > 0)
-                head_node[first], head_r[first] = head
-            u = r.view(np.uint64)
-            out = [(none, none, none)]
-            best, best_of = np.full(n, far + 1), np.zeros(n, np.int64)
-            for lag in range(1, BUCKET + 1):
-                i = at[max(lag, kept):]
-                i = i[key[i] == key[i - lag]]
-                if not len(i):
-                    break
-                d = np.bitwise_count(u[i] ^ u[i - lag]).astype(np.int64)
-                early = (place[i] < BUCKET) & (d <= far)
-                out.append((node[i[early]], node[i[early] - lag], d[early]))
-                late = (place[i] >= BUCKET) & (d < best[i])
-                best[i[late]], best_of[i[late]] = d[late], node[i[late] - lag]
-            late = at[(best <= far) & (at >= kept)]
-            out.append((node[late], best_of[late], best[late]))
-            late = at[(place >= BUCKET) & (at >= kept)]
-            d = np.bitwise_count(u[late] ^ head_r[late].view(np.uint64)).astype(np.int64)
-            out.append((node[late][d <= far], head_node[late][d <= far], d[d <= far]))
-            a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            head = (int(head_node[-1]), int(head_r[-1]))
-            old = (key[-BUCKET:], r[-BUCKET:], node[-BUCKET:], place[-BUCKET:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a", "b", "d"])
-
-    return (index.repartition(F.col("key")).sortWithinPartitions("key", "r").mapInArrow(run, "a long, b long, d long")
-            .where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d")))
+    def across(members: DataFrame, some: F.Column) -> DataFrame:
+        few = members.select("key", "root", "node").join(sizes.where(some).select("key"), "key")
+        return (few.alias("x").join(few.alias("y"), "key").where("x.root < y.root")
+                .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+
+    pairs = across(held, small).unionByName(across(ones, ~small & (F.col("roots") <= most))).distinct()
+    crowded = ~small & ((F.col("roots") > most) | F.lit(exact))
+    return pairs, held.select("key", "node").join(sizes.where(crowded).select("key"), "key", "left_semi")
+
+
+def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar.
+
+    The row of a text with many partners is copied, so that its pairs are dealt
+    to several tasks; long sets meet part by part.
+    """
+    of = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
+    sized = (pairs.join(of("a"), "a").join(of("b"), "b").withColumn("large", F.greatest("size_a", "size_b"))
+             .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.col("large"))
+             .withColumn("part", F.explode(F.expr(f"if(large > {LONG}, sequence(0, {SLICES - 1}), array(-1))"))))
+    sized = keep(sized, "sized-pairs")
+    copies = sized.groupBy("a", "part").agg((F.count(F.lit(1)) / SPREAD).cast("int").alias("more"))
+    dealt = sized.join(copies, ["a", "part"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int"))
+    first = (shingles.withColumnRenamed("node", "a").join(copies, ["a", "part"])
+             .select("a", "part", F.col("s").alias("sa"), F.explode(F.expr("sequence(0, more)")).alias("salt")))
+    both = (dealt.join(first.hint("merge"), ["a", "part", "salt"])
+            .join(shingles.select(F.col("node").alias("b"), "part", F.col("s").alias("sb")).hint("merge"), ["b", "part"]))
+    shared = both.groupBy("a", "b", "size_a", "size_b").agg(F.sum(F.size(F.array_intersect("sa", "sb"))).alias("i"))
+    return shared.where(F.col("i") >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - F.col("i"))).select("a", "b")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -258,40 +249,55 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     Rows are linked if the Jaccard similarity of their sets of k-word shingles
     is ``similarity`` or more, and share a component if links connect them;
     components and keepers are named as in ``groups``.  Texts without words are
-    one component.  Candidates are verified in two rounds: first the nearest of
-    each text, then those whose components are still apart.
+    one component.  Every link is verified on the sets.
     """
     slim = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = keep(_sketches(slim, k), "sketches")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid"))
-    nodes = keep(rows.groupBy("node").agg(head.alias("head"), F.first("bits").alias("bits")), "distinct-sets")
-    worded = nodes.where("node <> 0")
-    bits, tables, far = plan(worded.count(), similarity)
-    pairs = keep(_candidates(_bucketed(worded, bits, tables), far), "candidates")
+    nodes = keep(rows.groupBy("node").agg(head.alias("head"), F.first("size").alias("size"), F.first("sig").alias("sig")), "distinct-sets")
+    sizes = nodes.select("node", "size")
+    index = keep(_variants(nodes.where("node <> 0")), "variants")
+    heads = keep(index.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "bucket-heads")
+    buckets = keep(index.join(heads, "key").select("key", "node", "first"), "buckets")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hashes = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "s"])
-
-    in_pairs = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(in_pairs, "node", "left_semi").select("node", F.col("head._uid").alias("_uid"))
-    shingles = keep(map_arrow(slim.select("_uid", "text").join(wanted.hint("merge"), "_uid").select("node", "text"), sets, "node long, s array<long>"), "shingles")
-
-    def verified(some: DataFrame) -> DataFrame:
-        x, y = (shingles.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        both = some.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.col("i") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
-
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "d").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
-    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    near = keep(verified(nearest), "near-links")
-    roots = keep(components(near), "near-roots")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = (pairs.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-             .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
-    linked = components(near.unionByName(verified(apart))).withColumnRenamed("node", "n")
-    rooted = nodes.join(linked, nodes["node"] == linked["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+        out: list[list] = [[], [], [], []]
+        for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
+            if len(s) <= LONG:
+                for o, v in zip(out, (node, -1, s.view(np.int64), True), strict=True):
+                    o.append(v)
+            if len(s) > similarity * LONG:
+                of = (s & np.uint64(SLICES - 1)).astype(np.int64)
+                for part in range(SLICES):
+                    for o, v in zip(out, (node, part, s[of == part].view(np.int64), len(s) > LONG), strict=True):
+                        o.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.bool_())], names=["node", "part", "s", "whole"])
+
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("head._uid").alias("_uid"))
+    shingles = keep(map_arrow(slim.select("_uid", "text").join(wanted.hint("merge"), "_uid").select("node", "text"), sets, "node long, part int, s array<long>, whole boolean"), "shingles")
+
+    stars = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    linked = keep(_verified(stars, sizes, shingles, similarity), "near-links")
+    roots = keep(components(linked), "near-roots")
+    pairs, crowd = _meetings(buckets.select("key", "node"), roots, CROWD, True)
+    for hashes, ways in ((0, 1), *CUTS, (0, 0)):
+        linked = keep(linked.unionByName(_verified(pairs, sizes, shingles, similarity)), "near-links")
+        crowd = keep(crowd.select("node").distinct(), "crowds")
+        if not ways or crowd.isEmpty():
+            break
+        roots = keep(components(linked), "near-roots")
+        if hashes:
+            rng = np.random.default_rng(hashes)
+            picks = [rng.choice(SEGMENT * TABLES, hashes, replace=False).tolist() for _ in range(ways)]
+            keys = F.array(*(F.xxhash64(F.lit(n), *(F.col("sig")[j] for j in p)) for n, p in enumerate(picks)))
+            buckets = nodes.join(crowd, "node", "left_semi").select("node", F.explode(keys).alias("key"))
+        else:
+            buckets = _rarest(sizes.join(crowd, "node", "left_semi"), shingles.where("whole"), similarity)
+        most = 2**62 if hashes == CUTS[-1][0] else CROWD
+        pairs, crowd = _meetings(buckets, roots, most, False)
+    named = components(linked).withColumnRenamed("node", "n")
+    rooted = nodes.join(named, nodes["node"] == named["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("head").alias("top"))
-    named = rooted.select("node", "root").join(heads, "root").select("node", "top")
-    return rows.join(named, "node").select(
+    tops = rooted.select("node", "root").join(heads, "root").select("node", "top")
+    return rows.join(tops, "node").select(
         "_uid", "doc_id", F.col("top.doc_id").alias("component_id"), (F.col("_uid") == F.col("top._uid")).alias("keeper"))
