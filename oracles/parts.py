@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-M = "4294967295::UBIGINT"
 STREAMS = {"arm": 1, "lift": 2, "drop": 3, "whale": 4, "base": 5, "sample": 6, "boot": 7, "slice": 8,
-           "label": 9, "order": 10}
+           "label": 9, "order": 10, "split": 11}
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -15,48 +14,66 @@ def md5_bucket(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
 
 
-# --- Murmur3 (32 bit), seed 42, on unsigned 64-bit arithmetic -----------------
-def _mul(x: str, c: int) -> str:
-    return f"(({x} * {c}::UBIGINT) & {M})"
+# --- XXH64 of longs and ints, seed 42 (fixed values), on unsigned 128-bit arithmetic ---
+W = "18446744073709551615::UHUGEINT"
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 
 
-def _rot(x: str, n: int) -> str:
-    return f"((({x} << {n}) | ({x} >> {32 - n})) & {M})"
+def _mul(x: str, c: int) -> str:
+    return f"(({x} * {c}::UHUGEINT) & {W})"
 
 
-def mix_k(k: str) -> str:
-    return _mul(_rot(_mul(k, 3432918353), 15), 461845907)
+def _rot(x: str, n: int) -> str:
+    return f"((({x} << {n}) & {W}) | ({x} >> {64 - n}))"
 
 
-def mix_h(h: str, k: str) -> str:
-    return f"(({_rot(f'xor({h}, {k})', 13)} * 5::UBIGINT + 3864292196::UBIGINT) & {M})"
+def _fold(x: str, n: int) -> str:
+    return f"xor({x}, {x} >> {n})"
 
 
-def fmix(h: str, length: int) -> str:
-    a = f"xor({h}, {length}::UBIGINT)"
-    b = _mul(f"xor({a}, {a} >> 16)", 2246822507)
-    c = _mul(f"xor({b}, {b} >> 13)", 3266489909)
-    return f"xor({c}, {c} >> 16)"
+def _hash_long(source: str, value: str, name: str) -> str:
+    """Rows of ``source`` with the hash of an unsigned 64-bit column, step by step."""
+    steps = (f"xor({42 + P5 + 8}::UHUGEINT, {_mul(_rot(_mul(value, P2), 31), P1)})",
+             f"(({_mul(_rot('x0', 27), P1)} + {P4}::UHUGEINT) & {W})", _mul(_fold("x1", 33), P2), _mul(_fold("x2", 29), P3), _fold("x3", 32))
+    for i, step in enumerate(steps):
+        out = name if i == len(steps) - 1 else f"x{i}"
+        drop = f" EXCLUDE (x{i - 1})" if i else ""
+        source = f"(SELECT *{drop}, {step} AS {out} FROM {source})"
+    return source
 
 
 def coded(source: str, key: str) -> str:
     """Rows of ``source`` with ``hs``, the state that draws of a unit start from."""
-    return f"""(SELECT * EXCLUDE (kl, kh, h1, h2, code, kc), {fmix(mix_h('42::UBIGINT', 'kc'), 4)} AS hs FROM (
-      SELECT *, {mix_k('code')} AS kc FROM (
-      SELECT *, {fmix('h2', 8)} AS code FROM (
-      SELECT *, {mix_h('h1', 'kh')} AS h2 FROM (
-      SELECT *, {mix_h('42::UBIGINT', 'kl')} AS h1 FROM (
-      SELECT *, {mix_k(f"(({key}) & 4294967295)::UBIGINT")} AS kl,
-                {mix_k(f"(({key}) >> 32)::UBIGINT")} AS kh FROM {source}))))))"""
+    code = _hash_long(f"(SELECT *, ({key})::UHUGEINT AS raw FROM {source})", "raw", "code")
+    return f"(SELECT * EXCLUDE (raw, code) FROM {_hash_long(code, 'code', 'hs')})"
 
 
 def salt(stream: str, replay: str = "0") -> str:
     """Key part of a draw; compute it once per replay."""
-    return mix_k(f"({replay} + {STREAMS[stream] * 100000007})::UBIGINT")
+    return _mul(f"({replay} + {STREAMS[stream] * 100000007})::UHUGEINT", P1)
+
+
+def _hash_int(k: str, hs: str) -> str:
+    h = f"(({_mul(_rot(f'xor(({hs} + {P5 + 4}::UHUGEINT) & {W}, {k})', 23), P2)} + {P3}::UHUGEINT) & {W})"
+    return _mul(_fold(_mul(_fold(h, 33), P2), 29), P3)
 
 
 def draw(k: str, hs: str = "hs") -> str:
-    return fmix(mix_h(hs, k), 4)
+    """The upper half of the hash; its last fold leaves that unchanged."""
+    return f"(({_hash_int(k, hs)} >> 32)::UBIGINT)"
+
+
+def word(k: str, hs: str = "hs") -> str:
+    """All 64 bits of the hash."""
+    return f"({_fold(_hash_int(k, hs), 32)}::UBIGINT)"
+
+
+def split_rows(units: str, n: int) -> str:
+    """Units x replays 1..n; the arm is a bit of a 64-bit word, 64 replays a word."""
+    words = f"(SELECT b, {salt('split', 'b')} AS k FROM range(0, {-(-n // 64)}) t(b))"
+    return f"""(SELECT u.* EXCLUDE (w, b) REPLACE (CASE WHEN ((w >> ((g - 1) % 64)::UBIGINT) & 1::UBIGINT) = 1 THEN 'treatment' ELSE 'control' END AS arm), g::BIGINT AS replay
+      FROM (SELECT *, {word('k')} AS w FROM (SELECT c.* EXCLUDE (arm), 'control' AS arm, v.* FROM {units} c, {words} v)) u
+      JOIN range(1, {n + 1}) t(g) ON (g - 1) // 64 = u.b)"""
 
 
 def u(k: str, hs: str = "hs") -> str:

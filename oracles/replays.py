@@ -3,7 +3,7 @@ scenario is built from its own full set of rows, without nesting."""
 
 from oracles.monitoring import CALIBRATED, looks, lifted_looks, stops, with_msprt
 from oracles.parts import (salt, CUSTOMERS, EVENT_USERS, LINES, Z975, arm_counts, coded, draw, injected, moments, orders, p_norm, p_t,
-                           prop_cols, r, replays, u, welch_cols, z_expr)
+                           prop_cols, r, replays, split_rows, u, welch_cols, z_expr)
 from oracles.tables import CODED
 from oracles.tests import CDF, judged, family, trend
 
@@ -16,7 +16,7 @@ def _hit(cond: str) -> str:
 
 
 def _aa(metric: str) -> str:
-    rows = injected(CONTROL, replays(200), set())
+    rows = split_rows(CONTROL, 200)
     return f"""SELECT '{metric}' AS metric, count(*) AS runs, max(nc + nt)::BIGINT AS control_rows, {_hit(p_norm('z') + ' < 0.05')} AS false_positive_rate
       FROM (SELECT *, {z_expr()} AS z FROM {arm_counts(rows, 'replay', metric)})"""
 
@@ -36,7 +36,7 @@ INJECT = " UNION ALL ".join([
     _scene("sale", "list_concat([0.12e0, 0.12e0, 0.12e0], list_transform(range(11), lambda i: 0.04e0)) AS daily_base", {"base"}, ("base",)),
 ])
 
-PEEK = f"""WITH c AS (SELECT * FROM {looks(arm_counts(injected(CODED, replays(100), set()), 'replay, slot'), 'replay', 'slot')}),
+PEEK = f"""WITH c AS (SELECT * FROM {looks(arm_counts(split_rows(CODED, 100), 'replay, slot'), 'replay', 'slot')}),
   k AS (SELECT DISTINCT looks, (56 * j // looks) - 1 AS slot FROM (SELECT unnest([1, 2, 3, 5, 7, 14, 28, 56]) AS looks), range(1, 57) t(j) WHERE j <= looks),
   m AS (SELECT looks, replay, max(abs(z)) AS z FROM c JOIN k USING (slot) GROUP BY looks, replay)
   SELECT looks::BIGINT AS looks, count(*) AS runs, {_hit(f'z > {Z975}')} AS false_positive_rate FROM m GROUP BY looks"""
@@ -95,7 +95,7 @@ NOVEL = f"""WITH n AS MATERIALIZED (SELECT scenario, lift, replay, day, arm, con
   SELECT scenario, lift AS true_long_run_lift, {r('a.e')} AS est_3d, {r('a.x')} AS reject_3d, {r('b.e')} AS est_14d, {r('c.e')} AS est_week2,
     {r('c.x')} AS reject_week2, {r('f')} AS novelty_flagged FROM a JOIN b USING (scenario) JOIN c USING (scenario) JOIN t USING (scenario)"""
 
-ANYFP = f"""WITH f AS (SELECT f.*, n_metrics FROM {family(100)} f, (SELECT unnest([1, 2, 3, 5, 10, 20]) AS n_metrics) WHERE metric_no <= n_metrics),
+ANYFP = f"""WITH f AS (SELECT f.*, n_metrics FROM {family(100, 50)} f, (SELECT unnest([1, 2, 3, 5, 10, 20, 50]) AS n_metrics) WHERE metric_no <= n_metrics),
   j AS (SELECT n_metrics, replay, bool_or(p < 0.05) AS raw, bool_or(holm_reject) AS h, bool_or(bh_reject) AS b FROM {judged('f', 'n_metrics, replay')} GROUP BY n_metrics, replay)
   SELECT n_metrics::BIGINT AS n_metrics, count(*) AS runs, {_hit('raw')} AS uncorrected, {_hit('h')} AS holm, {_hit('b')} AS bh FROM j GROUP BY n_metrics"""
 

@@ -3,7 +3,8 @@ often each procedure is wrong.
 
 Rows are repeated over replays inside the scan stage and aggregated there, so
 the shuffle carries one row per task and (replay, day), never the repeated
-units.  Studies over sample sizes or loss rates use nested levels: a unit is
+units.  Fair splits without an effect are not repeated at all: 64 of them are
+counted from one hash of a row (``splits``).  Studies over sample sizes or loss rates use nested levels: a unit is
 counted once at the first level it belongs to, and the levels are summed up on
 the aggregate.
 """
@@ -29,6 +30,7 @@ from trialspark.operators.panels import arm_moments, arm_totals, daily_panel
 from trialspark.operators.planning import size_sql
 from trialspark.operators.sequential import (COUNTS, cumulative_looks, look_zscores, obf_calibration, obf_constant, stopping_rules,
                                              summarise_rules, with_msprt)
+from trialspark.operators.splits import split_totals
 from trialspark.operators.trend import novelty_trend, window_estimates
 
 FLOOR = 1e-12
@@ -67,8 +69,7 @@ def metric_totals(rows: DataFrame, metrics: Sequence[str], keys: Sequence[str])
 
 def replay_pvalues(units: DataFrame, n_replays: int, metrics: Sequence[str] = ("converted",)) -> DataFrame:
     """One z test per replay and metric under the null."""
-    rows = inject(over_replays(units, n_replays), ())
-    return with_prop_test(metric_totals(rows, metrics, ["replay"]))
+    return with_prop_test(split_totals(units, n_replays, metrics))
 
 
 def aa_replay(units: DataFrame, n_replays: int, metrics: Sequence[str]) -> DataFrame:
@@ -98,8 +99,8 @@ def peeking_by_looks(units: DataFrame, n_replays: int, looks: Sequence[int] = (1
                      slot: str = "slot", slots: int = 56) -> DataFrame:
     """False positives when stopping at the first significant one of k looks at
     equally spaced times of the same total sample."""
-    rows = inject(over_replays(units, n_replays), ())
-    cumulative = look_zscores(cumulative_looks(arm_totals(rows, ["replay", slot]), ["replay"], slot))
+    totals = split_totals(units, n_replays, ["converted"], [slot]).drop("metric_no", "metric")
+    cumulative = look_zscores(cumulative_looks(totals, ["replay"], slot))
     ends: dict[int, list[int]] = {}
     for k in looks:
         for j in range(1, k + 1):
@@ -259,7 +260,7 @@ def novelty_scenarios(units: DataFrame, n_replays: int, halflife: float = 3.0,
 
 
 def any_false_positive(units: DataFrame, metrics: Sequence[str], n_replays: int,
-                       metric_grid: Sequence[int] = (1, 2, 3, 5, 10, 20)) -> DataFrame:
+                       metric_grid: Sequence[int] = (1, 2, 3, 5, 10, 20, 50)) -> DataFrame:
     """Chance of at least one false win among the first m metrics."""
     tests = replay_pvalues(units, n_replays, metrics).select("replay", "metric_no", "p_value")
     fam = tests.select("*", F.explode(F.array(*[F.lit(m) for m in metric_grid])).alias("n_metrics"))

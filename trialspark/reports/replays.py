@@ -19,7 +19,7 @@ def _orders(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 def aa_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real A/A on the control arm for two metrics."""
-    control = subset_units(_orders(spark, sf_dir), arm="control").drop("arm")
+    control = subset_units(with_code(order_units(spark, sf_dir)), arm="control").drop("arm")
     return tidy(replay.aa_replay(control, 200, ["converted", "visit"]))
 
 
@@ -48,7 +48,7 @@ def inject_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peeking_by_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(replay.peeking_by_looks(_orders(spark, sf_dir), 100))
+    return tidy(replay.peeking_by_looks(with_code(order_units(spark, sf_dir)), 100))
 
 
 def compare_stopping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

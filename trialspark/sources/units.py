@@ -110,7 +110,7 @@ def three_arm_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_code(units: DataFrame, key: str = "unit_id") -> DataFrame:
-    """Attach the 32-bit unit code that all draws start from."""
+    """Attach the 64-bit unit code that all draws start from."""
     return units.withColumn("code", unit_code(F.col(key)))
 
 
