@@ -71,8 +71,16 @@ def exact_quantile(rows: DataFrame, value: str, q: float, keys: Sequence[str] =
         *keys, "_b", "_n", "_start", f"(_total - 1) * {float(q)!r}D AS _pos")
     wanted = _holding_ranks(hist, "_b", keys)
     near = (slim.join(small(wanted), [*keys, "_b"])
-            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n"))
-            .withColumn("_f", F.expr(order_bucket(value, FINE))))
+            .groupBy(*keys, "_b", "_start", "_pos", value).agg(F.count(value).alias("_n")))
+    return ranked_ends(near, value, keys, name)
+
+
+def ranked_ends(near: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """The interpolated quantile per group from counted values of the buckets that
+    hold its ranks: (keys, _b, _start, _pos, value, _n)."""
+    keys = list(keys)
+    small = settled if keys else F.broadcast
+    near = near.withColumn("_f", F.expr(order_bucket(value, FINE)))
     steps = near.groupBy(*keys, "_b", "_start", "_pos", "_f").agg(F.sum("_n").alias("_n"))
     exact = _holding_ranks(steps, "_f", [*keys, "_b"]).drop("_pos")
     last = near.drop("_start").join(small(exact), [*keys, "_b", "_f"])

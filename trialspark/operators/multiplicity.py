@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from trialspark.functions.stats import div, norm_ppf, pooled_z, two_sided_p, with_prop_test
 from trialspark.operators.groupstats import attach, settled
+from trialspark.operators.ranks import bh_large, holm_large
 
 VARIANCE_FLOOR = 1e-12
 
@@ -21,10 +22,14 @@ def _ranked(pvalues: DataFrame, family: Window, p: str) -> DataFrame:
 
 
 def holm(pvalues: DataFrame, family: Sequence[str], p: str = "p_value", alpha: float = 0.05,
-         name: str = "holm_reject") -> DataFrame:
-    """Step-down: reject in rising order of p up to the first failure.  One task
-    holds one family, which is a list of metrics, never a list of rows.  A
-    missing p counts in no family and is never rejected."""
+         name: str = "holm_reject", large: bool | None = None) -> DataFrame:
+    """Step-down: reject in rising order of p up to the first failure.  A missing
+    p counts in no family and is never rejected.
+
+    A family with keys is a list of metrics and is ranked by one task.  Without
+    keys, or with ``large``, families may have any size (``ranks``)."""
+    if large if large is not None else not family:
+        return holm_large(pvalues, family, p, alpha, name)
     w = Window.partitionBy(*family)
     ranked = _ranked(pvalues, w, p)
     ok = (F.col(p) <= F.try_divide(F.lit(alpha), F.col("_m") - F.col("_i") + 1)).cast("int")
@@ -34,8 +39,10 @@ def holm(pvalues: DataFrame, family: Sequence[str], p: str = "p_value", alpha: f
 
 
 def benjamini_hochberg(pvalues: DataFrame, family: Sequence[str], p: str = "p_value", alpha: float = 0.05,
-                       name: str = "bh_reject") -> DataFrame:
-    """Step-up: reject every rank up to the largest one that passes."""
+                       name: str = "bh_reject", large: bool | None = None) -> DataFrame:
+    """Step-up: reject every rank up to the largest one that passes; families as in ``holm``."""
+    if large if large is not None else not family:
+        return bh_large(pvalues, family, p, alpha, name)
     w = Window.partitionBy(*family)
     ranked = _ranked(pvalues, w, p)
     passing = F.when(F.col(p) <= F.try_divide(F.lit(alpha) * F.col("_i"), F.col("_m")), F.col("_i"))
@@ -78,5 +85,5 @@ def multi_variant_vs_control(units: DataFrame, label: str, control: str | int, k
         *keys, F.col("conv_t").alias("conv_c"), F.col("n_t").alias("n_c"), F.lit(1).alias("_one"))
     variants = totals.where(F.col(label) != control).withColumn("_one", F.lit(1))
     tested = with_prop_test(variants.join(settled(base) if keys else F.broadcast(base), ["_one", *keys]))
-    return holm(tested, keys).select(*keys, label, "conv_c", "n_c", "conv_t", "n_t", "effect", "rel_lift",
+    return holm(tested, keys, large=False).select(*keys, label, "conv_c", "n_c", "conv_t", "n_t", "effect", "rel_lift",
                                      "z", "p_value", "significant", "holm_reject")

@@ -23,7 +23,8 @@ from trialspark.functions.stats import (norm_ppf, num, pooled_z, ratio, srm_p, t
 from trialspark.operators.adjust import raw_and_cuped, stratified_effect
 from trialspark.operators.assign import base_rates, inject, scenario_rows
 from trialspark.operators.groupstats import attach
-from trialspark.operators.hypothesis import bootstrap_diff_ci, ci_coverage, winsorize_pooled, with_delta_method
+from trialspark.operators.hypothesis import bootstrap_diff_ci, ci_coverage, with_delta_method
+from trialspark.operators.momenthist import capped_moments
 from trialspark.operators.multiplicity import (benjamini_hochberg, best_segment, holm, multi_variant_vs_control,
                                                segment_scan)
 from trialspark.operators.panels import arm_moments, arm_totals, daily_panel
@@ -326,8 +327,7 @@ def heavy_tail_methods(units: DataFrame, n_replays: int, whale_rates: Sequence[f
     slim = rows.select(*key, "arm", "code", "revenue", covariate)
     adjusted = raw_and_cuped(slim, "revenue", covariate, key).select(
         *key, F.col("raw_significant").alias("welch"), F.col("cuped_significant").alias("cuped"))
-    capped = winsorize_pooled(slim, "revenue", 0.99, key, name="capped")
-    wins = with_welch(arm_moments(capped, ["capped"], key), "capped").select(
+    wins = with_welch(capped_moments(slim, "revenue", 0.99, key), "win").select(
         *key, F.col("significant").alias("winsorized_p99"))
     boot = bootstrap_diff_ci(slim, "revenue", key, n_boot=n_boot)
     boot = boot.select(*key, (~F.lit(0.0).between(F.col("ci_low"), F.col("ci_high"))).alias("bootstrap"))

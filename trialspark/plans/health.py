@@ -45,10 +45,10 @@ def day_moments(units: DataFrame, keys: Sequence[str], metrics: Sequence[str] =
     aggs = []
     for s, label in (("c", CONTROL), ("t", TREATMENT)):
         when = f"CASE WHEN arm = '{label}' THEN"
-        aggs += [f"CAST(coalesce(sum({when} {metric} END), 0) AS BIGINT) AS conv_{s}", f"count({when} {metric} END) AS n_{s}"]
+        aggs += [f"CAST(coalesce(sum({when} `{metric}` END), 0) AS BIGINT) AS conv_{s}", f"count({when} `{metric}` END) AS n_{s}"]
         for m in metrics:
-            v = f"{when} {m} END"
-            aggs += [f"count({v}) AS {m}_n_{s}", f"avg({v}) AS {m}_mean_{s}", f"var_pop({v}) AS {m}_var_{s}"]
+            v = f"{when} `{m}` END"
+            aggs += [f"count({v}) AS `{m}_n_{s}`", f"avg({v}) AS `{m}_mean_{s}`", f"var_pop({v}) AS `{m}_var_{s}`"]
     return units.groupBy(*by).agg(*[F.expr(a) for a in aggs])
 
 
@@ -59,21 +59,22 @@ def roll_up(panel: DataFrame, keys: Sequence[str], metrics: Sequence[str] = ())
     does not cancel the variance.
     """
     around = Window.partitionBy(*keys)
-    panel = panel.withColumns({f"_{m}_{s}": F.avg(f"{m}_mean_{s}").over(around) for m in metrics for s in ("c", "t")})
+    panel = panel.withColumns({f"_{m}_{s}": F.avg(f"`{m}_mean_{s}`").over(around) for m in metrics for s in ("c", "t")})
     aggs, merged = [f"sum({c}) AS {c}" for c in COUNTS], list(COUNTS)
     for m in metrics:
         for s in ("c", "t"):
-            n, mean, var = (f"{m}_{p}_{s}" for p in ("n", "mean", "var"))
-            off = f"({mean} - _{m}_{s})"
-            aggs += [f"sum({n}) AS {n}", f"sum({n} * {off}) AS {mean}", f"sum({n} * ({var} + {off} * {off})) AS {var}", f"max(_{m}_{s}) AS _{m}_{s}"]
-            merged += [n, f"_{m}_{s} + {div(mean, n)} AS {mean}",
+            n, mean, var = (f"`{m}_{p}_{s}`" for p in ("n", "mean", "var"))
+            mid = f"`_{m}_{s}`"
+            off = f"({mean} - {mid})"
+            aggs += [f"sum({n}) AS {n}", f"sum({n} * {off}) AS {mean}", f"sum({n} * ({var} + {off} * {off})) AS {var}", f"max({mid}) AS {mid}"]
+            merged += [n, f"{mid} + {div(mean, n)} AS {mean}",
                        f"greatest({div(f'({var} - {div(f"{mean} * {mean}", n)})', f'({n} - 1)')}, 0D) AS {var}"]
-    return panel.groupBy(*keys).agg(*[F.expr(a) for a in aggs]).selectExpr(*keys, *merged)
+    return panel.groupBy(*keys).agg(*[F.expr(a) for a in aggs]).selectExpr(*[f"`{k}`" for k in keys], *merged)
 
 
 def multiple_testing_flag(pvalues: DataFrame, keys: Sequence[str], test: str = "test_no") -> DataFrame:
     """Tests looked at, and whether the primary (first) one fails only after Holm."""
-    judged = holm(pvalues, keys)
+    judged = holm(pvalues, keys, large=False)
     primary = F.struct(F.col(test), (F.col("p_value") < 0.05).alias("raw"), F.col("holm_reject").alias("holm"))
     return judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("tests"), F.min(primary).alias("_p")).select(
         *keys, "tests", (F.coalesce(F.col("_p.raw"), F.lit(False)) & ~F.col("_p.holm")).alias("multi_bad"))
@@ -147,7 +148,7 @@ def assemble(totals: DataFrame, keys: Sequence[str], *, trend: DataFrame | None
     some = {lv: " OR ".join(f"_bad{i}" for i, (_, level, _) in enumerate(RULES, 1) if level == lv) for lv in (RED, YELLOW)}
     verdict = (f'CASE WHEN {some[RED]} THEN "{DONT_TRUST}" WHEN {some[YELLOW]} THEN "{INVESTIGATE}"'
                f' WHEN significant AND effect > 0 THEN "{SHIP}" ELSE "{NO_WIN}" END')
-    return df.selectExpr(*keys, *COUNTS, "effect", "se", "p_value", "ci_low", "ci_high", "rel_lift", "significant",
+    return df.selectExpr(*[f"`{k}`" for k in keys], *COUNTS, "effect", "se", "p_value", "ci_low", "ci_high", "rel_lift", "significant",
                          f"array({checks}) AS checks", f"{verdict} AS verdict").withColumn("ship", F.col("verdict") == SHIP)
 
 
@@ -167,7 +168,7 @@ def health_report(units: DataFrame, keys: Sequence[str] = (), *, pvalues: DataFr
     if covariates:
         parts = ("n_c", "n_t", "mean_c", "mean_t", "var_c", "var_t")
         long = totals.select(*keys, F.inline(F.array(*[
-            F.struct(F.lit(c).alias("covariate"), *[F.col(f"{c}_{p}").alias(p) for p in parts])
+            F.struct(F.lit(c).alias("covariate"), *[F.col(f"`{c}_{p}`").alias(p) for p in parts])
             for c in covariates])))
         balance = balance_from_smd(with_smd(long), len(covariates), keys).withColumn("covariates", F.lit(len(covariates)))
     trend = None
@@ -194,7 +195,7 @@ def to_markdown(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     head = ("format_string('**Verdict: %s**\\n\\nEffect on conversion: %+.4f (%+.1f%% relative), 95%% CI [%+.4f, %+.4f], "
             "p = %s\\n\\n| Check | Status | Detail |\\n|---|---|---|\\n', verdict, effect, 100 * rel_lift, ci_low, ci_high, "
             + p_text("p_value") + ")")
-    return report.selectExpr(*keys, "verdict", f"concat({head}, {lines}) AS markdown")
+    return report.selectExpr(*[f"`{k}`" for k in keys], "verdict", f"concat({head}, {lines}) AS markdown")
 
 
 # The check each broken scenario should fire, and the clean ones.

@@ -9,7 +9,7 @@ from trialspark.operators import adjust, hypothesis, multiplicity, panels, plann
 from trialspark.operators.assign import assign_arms
 from trialspark.reports import tidy
 from trialspark.reports.tables import LINE_COVARIATES
-from trialspark.sources.units import (coded_orders, customer_units, event_units, line_units, order_units, table,
+from trialspark.sources.units import (coded_orders, customer_units, event_units, line_units, order_units, salted_arm, table,
                                       three_arm_units, with_code)
 
 
@@ -185,6 +185,15 @@ def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(multiplicity.benjamini_hochberg(_family(spark, sf_dir), ["replay"], alpha=0.2))
 
 
+def large_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines by arm, one test per part: all parts are one family, which grows with the table."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("part"), salted_arm("fx7:", F.col("l_orderkey")).alias("arm"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("converted"))
+    tests = hypothesis.two_prop_ztest(lines, ["part"]).select("part", "p_value")
+    judged = multiplicity.benjamini_hochberg(multiplicity.holm(tests, (), alpha=0.5), (), alpha=0.9)
+    return tidy(judged)
+
+
 def segment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.segment_panel(order_units(spark, sf_dir, customers=True), "nation")
     return tidy(multiplicity.segment_scan(panel, "nation"))
@@ -253,5 +262,5 @@ QUERIES = {f.__name__: f for f in (
     two_prop_ztest, ztest_sql, welch_ttest, delta_method_ratio, session_level_ztest, srm_test, srm_check_sql,
     bootstrap_diff_ci, winsorize_pooled, outlier_sensitivity, top_share, ks_uniform, ci_coverage, cuped_adjust,
     cuped_test, cuped_by_arm, variance_reduction, ancova_hc1, ancova_summary, smd_table, balance_check,
-    stratified_effect, novelty_slope, window_estimates, holm, benjamini_hochberg, segment_scan, best_segment,
+    stratified_effect, novelty_slope, window_estimates, holm, benjamini_hochberg, segment_scan, best_segment, large_family,
     bonferroni_segments, multi_variant_vs_control, power_plan, mde_achieved, sample_size_means, days_needed)}
