@@ -46,6 +46,12 @@ def _totals(source: str, by: str) -> str:
 SQL = {
     "read_units_csv": f"""SELECT arm, day::BIGINT AS day, count(*) AS users, sum(converted)::BIGINT AS conversions,
         {r('sum(amount)', 2)} AS amount FROM {O} GROUP BY arm, day""",
+    "quarantine_units_csv": f"""WITH s AS (SELECT *, CASE WHEN unit_id % 50 IN (7, 9) THEN 'does not parse' WHEN unit_id % 50 = 8 THEN 'day does not fit 8 bits' END AS reason FROM {O})
+        SELECT p.*, a.* FROM (SELECT arm AS part, count(*) AS n, sum(converted)::BIGINT AS conversions, max(day) AS last_day FROM s WHERE reason IS NULL GROUP BY arm
+          UNION ALL SELECT reason, count(*), NULL, NULL FROM s WHERE reason IS NOT NULL GROUP BY reason) p, (SELECT count(*) AS lines, count(reason) AS bad_lines FROM s) a""",
+    "validate_on_write": f"""SELECT 'orders' AS source, count(*) AS n_rows, '' AS missing, 0::BIGINT AS bad_arm, 0::BIGINT AS bad_converted, count(*) AS rows_read FROM {O}
+        UNION ALL SELECT 'three_arms', count(*), '', count(*) FILTER (label NOT IN ('control', 'treatment')), 0, count(*) FROM {THREE}
+        UNION ALL SELECT 'raw_orders', count(*), 'arm,converted', NULL, NULL, count(*) FROM orders""",
     "read_units_csv_inferred": f"""SELECT arm, count(*) AS users, sum(converted)::BIGINT AS conversions,
         max(day)::BIGINT AS last_day, {r('avg(amount)', 4)} AS avg_amount FROM {O} GROUP BY arm""",
     "add_unit_id": f"""SELECT o_orderkey, row_number() OVER (ORDER BY {draw(salt('order'))} % 4096, o_orderkey) AS row_id

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +244,25 @@ def test_bootstrap_brackets_the_difference(spark):
     assert r.ci_low < 5 < r.ci_high and r.replicates == 300
     w = hypothesis.welch_ttest(u, "y").first()
     assert (r.ci_high - r.ci_low) == pytest.approx(w.ci_high - w.ci_low, rel=0.2)
+
+
+def test_wide_ancova_with_sixty_covariates(spark):
+    rng = np.random.default_rng(12)
+    n, k = 4000, 60
+    x = rng.normal(size=(n, k)) * rng.uniform(0.1, 1000, k) + rng.uniform(-1e4, 1e4, k)
+    t = rng.integers(0, 2, n)
+    y = np.column_stack([0.3 * t + x @ rng.normal(size=k) / 500 + rng.normal(size=n) * (1 + t), rng.normal(size=n)])
+    cols = [f"c {i}" for i in range(k)]
+    pdf = pd.DataFrame(x, columns=cols).assign(arm=np.where(t == 1, "treatment", "control"), y=y[:, 0], order=y[:, 1], g=np.where(rng.random(n) < 0.9, "big", None))
+    pdf.loc[7, "c 3"] = None
+    got = {(r.g, r.metric): r for r in adjust.ancova_wide(spark.createDataFrame(pdf).repartition(7), ["y", "order"], cols, ["g"]).collect()}
+    whole = {r.metric: r for r in adjust.ancova_wide(spark.createDataFrame(pdf), ["y", "order"], cols).collect()}
+    for rows, r in ((pdf["g"].eq("big"), lambda m: got["big", m]), (pdf["c 3"].notna(), lambda m: whole[m])):
+        rows = (rows & pdf["c 3"].notna()).to_numpy()
+        z = np.column_stack([np.ones(rows.sum()), t[rows], x[rows] - x[rows].mean(axis=0)])
+        inv = np.linalg.inv(z.T @ z)
+        for j, m in enumerate(("y", "order")):
+            b = inv @ (z.T @ y[rows, j])
+            e = y[rows, j] - z @ b
+            v = inv @ (z.T * (e * e)) @ z @ inv * len(z) / (len(z) - k - 2)
+            assert r(m).users == len(z) and np.isclose(r(m).effect, b[1], rtol=1e-6) and np.isclose(r(m).se, v[1, 1] ** 0.5, rtol=1e-6)

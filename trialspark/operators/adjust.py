@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialspark.functions.stats import norm_ppf, ratio, two_sided_p, with_welch
+from trialspark.operators.gram import gram
 from trialspark.operators.groupstats import attach
 from trialspark.operators.panels import arm_flags, arm_moments, covariate_moments
 from trialspark.operators.hypothesis import RESULT
@@ -86,64 +87,69 @@ def variance_reduction(units: DataFrame, metric: str, covariate: str, keys: Sequ
     return df.select(*keys, (1 - ratio(left, F.col("_vy"))).alias("variance_reduction"))
 
 
-def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Treatment coefficient of metric ~ 1 + treat + covariates with HC1 error.
+def ancova_wide(units: DataFrame, metrics: Sequence[str], covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Treatment coefficient of each metric ~ 1 + treat + covariates with HC1
+    error, one row per group and metric, for any number of covariates.
 
-    Pass 1 gathers the centred covariance matrix as aggregates.  The small
-    solve runs per group inside tasks, on one row per group.  With ``a`` the
+    Pass 1 gathers centred cross products of all columns in blocks (``gram``).
+    The small solve runs inside tasks, on one row per group.  With ``a`` the
     treatment row of the inverse normal matrix, the robust variance is the sum
-    of (residual * a'z)^2, so pass 2 needs one more sum, not a k x k matrix.
+    of (residual * a'z)^2, so pass 2 needs one more sum per metric, not a k x k
+    matrix.  Rows that miss a metric or a covariate do not count.
     """
     _, is_t = arm_flags()
-    names = ["_treat", *covariates]
-    k = len(names)
+    names = ["_treat", *(f"_z{i}" for i in range(len(covariates)))]
+    outcomes = [f"_y{i}" for i in range(len(metrics))]
+    k, m = len(names), len(outcomes)
     rows = units.select(
-        *keys, F.col(metric).cast("double").alias("_y"),
-        F.when(is_t, 1.0).otherwise(0.0).alias("_treat"),
-        *[F.col(c).cast("double").alias(c) for c in covariates]).dropna(subset=["_y", *covariates])
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
-    first = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"), F.var_pop("_y").alias("_vy"),
-        F.array(*[F.avg(z) for z in names]).alias("_zbar"),
-        F.array(*[F.covar_pop(names[i], names[j]) for i, j in upper]).alias("_szz"),
-        F.array(*[F.covar_pop(z, "_y") for z in names]).alias("_szy"))
+        *[F.col(f"`{c}`") for c in keys], F.when(is_t, 1.0).otherwise(0.0).alias("_treat"),
+        *[F.col(f"`{c}`").cast("double").alias(f"_z{i}") for i, c in enumerate(covariates)],
+        *[F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(metrics)]).dropna(subset=[*names, *outcomes])
+    first = gram(rows, [*names, *outcomes], keys)
     vec = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[first.schema[key] for key in keys],
-                           T.StructField("_n", T.LongType()), T.StructField("_ybar", T.DoubleType()),
-                           T.StructField("_vy", T.DoubleType()), T.StructField("_zbar", vec),
-                           T.StructField("_beta", vec), T.StructField("_lev", vec)])
+    schema = T.StructType([*[first.schema[key] for key in keys], T.StructField("_n", T.LongType()), T.StructField("_mean", vec),
+                           T.StructField("_vy", vec), T.StructField("_beta", T.ArrayType(vec)), T.StructField("_lev", vec)])
+    upper = np.triu_indices(k + m)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            beta, lev = [], []
-            for n, szz, szy in zip(pdf["_n"], pdf["_szz"], pdf["_szy"]):
-                m = np.zeros((k, k))
-                for (i, j), v in zip(upper, szz):
-                    m[i, j] = m[j, i] = v
-                inv = np.linalg.pinv(m, hermitian=True)
-                beta.append((inv @ np.asarray(szy, float)).tolist())
+            beta, lev, spread = [], [], []
+            for n, flat in zip(pdf["_n"], pdf["_cross"]):
+                full = np.zeros((k + m, k + m))
+                full[upper] = flat
+                full = (full + np.triu(full, 1).T) / n
+                inv = np.linalg.pinv(full[:k, :k], hermitian=True)
+                beta.append((full[k:, :k] @ inv).tolist())
                 lev.append((inv[0] / n).tolist())
-            yield pdf.drop(columns=["_szz", "_szy"]).assign(_beta=beta, _lev=lev)
+                spread.append(np.diag(full)[k:].tolist())
+            yield pdf.drop(columns=["_cross"]).assign(_vy=spread, _beta=beta, _lev=lev)[[f.name for f in schema.fields]]
 
-    fit = first.mapInPandas(solve, schema)
-    fitted = attach(rows, fit, keys)
-    resid, lever = F.col("_y") - F.col("_ybar"), F.lit(0.0)
+    fitted = attach(rows, first.mapInPandas(solve, schema), keys)
+    lever = F.lit(0.0)
     for i, z in enumerate(names):
-        centred = F.col(z) - F.col("_zbar")[i]
-        resid = resid - F.col("_beta")[i] * centred
-        lever = lever + F.col("_lev")[i] * centred
-    fitted = fitted.select(*keys, "_n", "_vy", F.col("_beta")[0].alias("effect"),
-                           resid.alias("_e"), lever.alias("_l"))
-    out = fitted.groupBy(*keys).agg(
-        F.max("_n").alias("users"), F.max("effect").alias("effect"), F.max("_vy").alias("_vy"),
-        F.sum(F.col("_e") * F.col("_e") * F.col("_l") * F.col("_l")).alias("_meat"),
-        F.avg(F.col("_e") * F.col("_e")).alias("_mse"))
+        lever = lever + F.col("_lev")[i] * (F.col(z) - F.col("_mean")[i])
+    fitted = fitted.withColumn("_l", lever)
+    cells = []
+    for j, y in enumerate(outcomes):
+        resid = F.col(y) - F.col("_mean")[k + j]
+        for i, z in enumerate(names):
+            resid = resid - F.col("_beta")[j][i] * (F.col(z) - F.col("_mean")[i])
+        fitted = fitted.withColumn(f"_e{j}", resid)
+        e = F.col(f"_e{j}")
+        cells.append(F.struct(F.lit(metrics[j]).alias("metric"), F.max(F.col("_beta")[j][0]).alias("effect"), F.max(F.col("_vy")[j]).alias("_vy"),
+                              F.sum(e * e * F.col("_l") * F.col("_l")).alias("_meat"), F.avg(e * e).alias("_mse")))
+    out = fitted.groupBy(*keys).agg(F.max("_n").alias("users"), F.array(*cells).alias("_cells")).select(*keys, "users", F.inline("_cells"))
     out = out.withColumn("se", F.sqrt(F.col("_meat") * ratio(F.col("users"), F.col("users") - (k + 1))))
     out = out.withColumn("z", ratio(F.col("effect"), F.col("se")))
-    return out.select(*keys, "users", "effect", "se", two_sided_p("z").alias("p_value"),
+    return out.select(*keys, "metric", "users", "effect", "se", two_sided_p("z").alias("p_value"),
                       ratio(F.col("_mse"), F.col("_vy")).alias("residual_variance_share"))
 
 
+def ancova_hc1(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """``ancova_wide`` for one metric."""
+    return ancova_wide(units, [metric], covariates, keys).drop("metric")
+
+
 def ancova_summary(units: DataFrame, metric: str, covariates: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Adjusted against unadjusted effect: shift, error reduction, sample ratio."""
     raw = with_welch(arm_moments(units, [metric], keys), metric, prefix="raw_").select(

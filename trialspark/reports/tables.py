@@ -37,6 +37,35 @@ def read_units_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("amount").alias("amount")), amount=2)
 
 
+def quarantine_units_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order units as gz lines of which some are spoilt: a word for a number,
+    a day beyond 8 bits, columns cut off.  Good rows by arm, bad lines by reason."""
+    names = CSV_SCHEMA.fieldNames()
+    spoilt = {"amount": "IF(unit_id % 50 = 7, 'many', CAST(amount AS STRING))", "day": "IF(unit_id % 50 = 8, '300', CAST(day AS STRING))"}
+    fields = ", ".join(spoilt.get(c, f"CAST({c} AS STRING)") for c in names)
+    lines = order_units(spark, sf_dir).selectExpr(f"IF(unit_id % 50 = 9, CAST(unit_id AS STRING), concat_ws(',', {fields})) AS line")
+    path = ingest.scratch_path(spark, "spoilt-csv")
+    lines.write.option("compression", "gzip").text(path)
+    got = ingest.quarantine_units_csv(spark, path, CSV_SCHEMA, ingest.scratch_path(spark, "quarantine"), narrow=("day", "converted"),
+                                      partitions=spark.sparkContext.defaultParallelism, header=False)
+    good = got.good.groupBy(F.col("arm").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("converted").alias("conversions"), F.max("day").cast("int").alias("last_day"))
+    bad = got.bad.groupBy(F.col("reason").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("conversions"), F.lit(None).cast("int").alias("last_day"))
+    told = {"lines": F.lit(got.counts["lines"]), "bad_lines": F.lit(got.counts["bad"])}
+    return tidy(good.unionByName(bad).withColumns(told))
+
+
+def validate_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the input check, observed while the tables are written, and the rows read back.
+    Each table is then replaced from itself."""
+    out = []
+    for name, units in (("orders", order_units(spark, sf_dir)), ("three_arms", three_arm_units(spark, sf_dir).withColumnRenamed("label", "arm")), ("raw_orders", table(spark, sf_dir, "orders"))):
+        path = ingest.scratch_path(spark, f"validated-{name}")
+        seen = ingest.write_validated(units, path)
+        ingest.create_or_replace_table(spark.read.parquet(path).limit(2**31 - 1), path)
+        out.append((name, seen["n_rows"], seen["missing"], seen["bad_arm"], seen["bad_converted"], spark.read.parquet(path).count()))
+    return tidy(spark.createDataFrame(out, "source string, n_rows long, missing string, bad_arm long, bad_converted long, rows_read long"))
+
+
 def read_units_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = ingest.read_units_csv_inferred(spark, _csv(spark, sf_dir, "none"))
     return tidy(units.groupBy("arm").agg(
@@ -163,7 +192,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    read_units_csv, read_units_csv_inferred, add_unit_id, table_row_counts, write_read_roundtrip, validate_units,
+    read_units_csv, quarantine_units_csv, validate_on_write, read_units_csv_inferred, add_unit_id, table_row_counts, write_read_roundtrip, validate_units,
     scenario_catalog, label_arms, conditional_arm_sums, perturb_covariate, assign_arms, assign_arms_ramp,
     subset_units, hash_sample, metrics_by_arm, arm_totals, daily_arm_panel, segment_panel, covariate_moments,
     metric_covariate_corr, lognormal_calibration, ratio_rollup, value_counts)}

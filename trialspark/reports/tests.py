@@ -120,6 +120,20 @@ def ancova_hc1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(adjust.ancova_hc1(line_units(spark, sf_dir), "converted", ["quantity", "discount"]), 8, p_value=6)
 
 
+WIDE_COVARIATES = {
+    "line": "l_linenumber", "discount": "l_discount", "tax": "l_tax", "price": "l_extendedprice / 1000", "year": "year(l_shipdate)",
+    "month": "month(l_shipdate)", "day": "day(l_shipdate)", "weekday": "pmod(datediff(l_shipdate, DATE '1995-01-01'), 7)",
+    "supplier": "l_suppkey % 10", "part": "l_partkey % 7", "order": "l_orderkey % 5", "open": "IF(l_linestatus = 'O', 1, 0)"}
+
+
+def ancova_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve covariates and two outcomes of the order lines in one adjustment."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        salted_arm("fx7:", F.col("l_orderkey")).alias("arm"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("converted"), F.col("l_quantity").alias("quantity"),
+        *[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in WIDE_COVARIATES.items()])
+    return tidy(adjust.ancova_wide(lines, ["converted", "quantity"], list(WIDE_COVARIATES)), p_value=6)
+
+
 def ancova_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = order_units(spark, sf_dir, customers=True)
     return tidy(adjust.ancova_summary(units, "amount", ["x_strong"]),
@@ -261,6 +275,6 @@ def days_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     two_prop_ztest, ztest_sql, welch_ttest, delta_method_ratio, session_level_ztest, srm_test, srm_check_sql,
     bootstrap_diff_ci, winsorize_pooled, outlier_sensitivity, top_share, ks_uniform, ci_coverage, cuped_adjust,
-    cuped_test, cuped_by_arm, variance_reduction, ancova_hc1, ancova_summary, smd_table, balance_check,
+    cuped_test, cuped_by_arm, variance_reduction, ancova_hc1, ancova_wide, ancova_summary, smd_table, balance_check,
     stratified_effect, novelty_slope, window_estimates, holm, benjamini_hochberg, segment_scan, best_segment, large_family,
     bonferroni_segments, multi_variant_vs_control, power_plan, mde_achieved, sample_size_means, days_needed)}

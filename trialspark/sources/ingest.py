@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Mapping
+from typing import NamedTuple
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -17,23 +19,16 @@ from trialspark.functions.draws import draw, unit_code
 REQUIRED = ("arm", "converted")
 
 
-_local_roots: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a folder of its own machine.  The
-    table stays until ``discard_scratch``.
+    """A new path below the shared folder named in ``spark.checkpoint.dir``, or
+    below the warehouse, which executors share as well, where that is unset.
+    The table stays until ``discard_scratch``.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_roots.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="trialspark-")
-        _local_roots[context.applicationId] = root
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _made.setdefault(context.applicationId, []).append(path)
     return path
@@ -44,11 +39,31 @@ def discard_scratch(spark: SparkSession) -> int:
     results have been read; returns how many there were."""
     made = _made.pop(spark.sparkContext.applicationId, [])
     for path in made:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     return len(made)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _hadoop(spark, path)
+    return fs.exists(where)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, where = _hadoop(spark, old)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write an aggregate that several branches read, and read it back.
 
@@ -75,6 +90,45 @@ def read_units_csv(spark: SparkSession, path: str, schema: T.StructType,
     return df.withColumns({c: F.col(c).cast("tinyint") for c in narrow})
 
 
+class Quarantine(NamedTuple):
+    """Rows that fit a schema, lines that do not with the reason, and their numbers."""
+
+    good: DataFrame
+    bad: DataFrame
+    counts: dict[str, int]
+
+
+def quarantine_units_csv(spark: SparkSession, path: str, schema: T.StructType, out: str,
+                         narrow: tuple[str, ...] = (), partitions: int | None = None, header: bool = True) -> Quarantine:
+    """Typed CSV scan that keeps what does not fit, in one scan.
+
+    The scan is written once below ``out``, good rows and bad lines in folders
+    of their own; both tables read from there, and the counts are observed on
+    the write.  A line is bad if it does not parse under ``schema`` or if a
+    ``narrow`` column does not fit 8 bits.  Bad rows hold the line as it was
+    read and the reason.  gz input is dealt to ``partitions`` after the scan.
+    """
+    line, reason = "_line", "_reason"
+    whole = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in schema), T.StructField(line, T.StringType())])
+    rows = (spark.read.schema(whole).option("header", header).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", line).csv(path))
+    if partitions:
+        rows = rows.repartition(partitions)
+    why = F.when(F.col(line).isNotNull(), "does not parse")
+    for c in narrow:
+        why = why.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("tinyint").isNull(), f"{c} does not fit 8 bits")
+    rows = rows.withColumn(reason, why)
+    text = F.coalesce(F.col(line), F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema])))
+    rows = rows.withColumns({line: F.when(F.col(reason).isNotNull(), text), "_bad": F.col(reason).isNotNull()})
+    rows = rows.withColumns({c: F.col(f"`{c}`").try_cast("tinyint") for c in narrow})
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("_bad").alias("bad")).write.partitionBy("_bad").parquet(out)
+    kept = spark.read.schema(rows.schema).parquet(out)
+    counts = {"lines": seen.get["lines"], "bad": seen.get["bad"], "good": seen.get["lines"] - seen.get["bad"]}
+    return Quarantine(kept.where("NOT _bad").drop(line, reason, "_bad"),
+                      kept.where("_bad").select(F.col(line).alias("line"), F.col(reason).alias("reason")), counts)
+
+
 def read_units_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """CSV scan with inferred types: one extra pass over the file."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -104,9 +158,45 @@ def add_unit_id(df: DataFrame, key: str | None = None, *, dense: bool = False,
             .drop("_b", "_i", "_start"))
 
 
-def create_or_replace_table(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
-    return path
+def create_or_replace_table(df: DataFrame, path: str, checks: Mapping[str, Column] | None = None) -> dict[str, object]:
+    """Write a table, in place of an older one, without a time at which neither is whole.
+
+    The new rows are written beside the old ones and take their place by
+    renaming; until then, and whenever the write fails, the old table stays as
+    it is.  ``df`` may read the table it replaces.  Returns the aggregates in
+    ``checks``, observed on the write itself instead of by another scan.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    restore_table(spark, path)
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
+    seen = Observation()
+    try:
+        (df.observe(seen, *[c.alias(n) for n, c in checks.items()]) if checks else df).write.parquet(new)
+        if _exists(spark, path):
+            _rename(spark, path, old)
+        _rename(spark, new, path)
+    except BaseException:
+        _delete(spark, new)
+        restore_table(spark, path)
+        raise
+    _delete(spark, old)
+    spark.catalog.refreshByPath(path)
+    return dict(seen.get) if checks else {}
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Finish or undo a replacement that was cut off between its renames: the old
+    rows come back if no new ones have taken their place."""
+    path = path.rstrip("/")
+    old = f"{path}.old"
+    if not _exists(spark, old):
+        return False
+    if _exists(spark, path):
+        _delete(spark, old)
+        return False
+    _rename(spark, old, path)
+    return True
 
 
 def table_row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -147,22 +237,27 @@ def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
     return df
 
 
-def validate_units(df: DataFrame, covariates: tuple[str, ...] = ("pre_x",)) -> DataFrame:
-    """Column and value rules of the input contract, as one row of counts."""
+def unit_rules(df: DataFrame, covariates: tuple[str, ...] = ("pre_x",)) -> dict[str, Column]:
+    """Column and value rules of the input contract as aggregates: row count,
+    missing and found columns, rows that break a rule."""
     missing = missing_columns(df)
     found = [c for c in covariates if c in df.columns]
 
-    def violations(col: str, ok: Column) -> Column:
+    def violations(col: str, *allowed: object) -> Column:
         if col in missing:
-            return F.lit(None).cast("bigint")
-        return F.count_if(~F.coalesce(ok, F.lit(False)))
-
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.lit(",".join(missing)).alias("missing"),
-        F.lit(",".join(found)).alias("covariates"),
-        violations("arm", F.col("arm").isin(CONTROL, TREATMENT) if "arm" not in missing else F.lit(True)
-                   ).alias("bad_arm"),
-        violations("converted", F.col("converted").isin(0, 1) if "converted" not in missing else F.lit(True)
-                   ).alias("bad_converted"),
-    )
+            return F.max(F.lit(None).cast("bigint"))
+        return F.count_if(~F.coalesce(F.col(col).isin(*allowed), F.lit(False)))
+
+    return {"n_rows": F.count(F.lit(1)), "missing": F.max(F.lit(",".join(missing))), "covariates": F.max(F.lit(",".join(found))),
+            "bad_arm": violations("arm", CONTROL, TREATMENT), "bad_converted": violations("converted", 0, 1)}
+
+
+def validate_units(df: DataFrame, covariates: tuple[str, ...] = ("pre_x",)) -> DataFrame:
+    """The rules of ``unit_rules``, as one row of counts."""
+    texts = {"missing": ",".join(missing_columns(df)), "covariates": ",".join(c for c in covariates if c in df.columns)}
+    return df.agg(*[(F.lit(texts[n]) if n in texts else c).alias(n) for n, c in unit_rules(df, covariates).items()])
+
+
+def write_validated(df: DataFrame, path: str, covariates: tuple[str, ...] = ("pre_x",)) -> dict[str, object]:
+    """Replace a table and return the figures of ``validate_units``, counted while it is written."""
+    return create_or_replace_table(df, path, unit_rules(df, covariates))
