@@ -42,3 +42,41 @@ def test_recall_beside_one_long_vector(spark):
     x = vectors(spark)
     share, short = recall(np.vstack([x, x[:1] * 10]))
     assert share >= 0.9 and short == 0
+
+
+def test_blocks_merge_into_one_answer(spark):
+    """Many small blocks of vectors and queries give what one block of all vectors gives, ids and ranks included."""
+    x = vectors(spark)[:400]
+    x[50:90] = x[3]  # copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).checkpoint()
+    whole = x @ x.T
+    for more in ({"block": 50, "query_block": 7}, {"block": 399, "query_block": 1000}):
+        got = ann.nearest(df, F.col("vec_id") % 10 == 0, 20, **more).collect()
+        hit = 0
+        for q in range(0, 400, 10):
+            mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+            assert [r.rank for r in mine] == list(range(1, 21)) and len({r.vec_id for r in mine}) == 20 and all(r.vec_id != q for r in mine)
+            assert all(abs(r.score - whole[q, r.vec_id]) < 1e-12 for r in mine)
+            assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+            best = sorted((i for i in range(400) if i != q), key=lambda i: (-whole[q, i], i))[:20]
+            hit += len(set(best) & {r.vec_id for r in mine})
+        assert hit >= 0.9 * 40 * 20
+
+
+def test_probes_follow_the_estimate():
+    """A neighbour at the measured distance is found about as often as estimated; a higher target visits more."""
+    rng = np.random.default_rng(2)
+    h = ann.Hashes(33)
+    x = rng.normal(size=(300, 33))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=x.shape)
+    y = x + 0.6 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    for need in (0.3, 0.6):
+        hit = told = 0.0
+        for t in range(h.tables):
+            want, chance = h.probes(x, t, 0.6)
+            asked = np.cumsum(chance, axis=1) - chance < need
+            hit += ((want == h.keys(y)[:, t][:, None]) & asked).any(axis=1).mean() / h.tables
+            told += (chance * asked).sum(axis=1).mean() / h.tables
+        assert abs(hit - told) < 0.06 and told >= need
