@@ -12,7 +12,9 @@ is a short piece of one text, so no join group grows with the corpus.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,11 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Weak patterns.
 USER = re.compile(r"""(?:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""", re.IGNORECASE | re.ASCII)
 KEY = re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ADDRESS = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}""")
+SCHEME = re.compile(r"[a-z][a-z0-9+.-]{1,20}$")
+REST = re.compile(r"""//[^\x20\x09-\x0D"'<>]+""")
+PORT = re.compile(r"[0-9]{2,5}")
+#: Read backwards from a colon: the labels of a host.
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _USERS = (b"user", b"login", b"client", b"account")
 
 
@@ -49,14 +55,37 @@ def _plain(text: str, low: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def addresses(word: str) -> list[tuple[int, int]]:
+    """Spans of scheme://rest and host.name:port, leftmost first, without overlaps.
+
+    Each begins at a colon and is read backwards from it up to the colon before,
+    so a word of any length is read once.
+    """
+    out, end, colon = [], 0, word.find(":")
+    while colon >= 0:
+        last = max(end, word.rfind(":", end, colon) + 1) if colon > end else end
+        found = None
+        if word.startswith("//", colon + 1) and (scheme := SCHEME.search(word[max(last, colon - 21): colon])) and (rest := REST.match(word, colon + 1)):
+            found = max(last, colon - 21) + scheme.start(), rest.end()
+        elif port := PORT.match(word, colon + 1):
+            back = HOST.match(word[last:colon][::-1])
+            if back:
+                found = colon - back.end(), port.end()
+        if found:
+            out.append(found)
+            end = found[1]
+        colon = word.find(":", max(colon + 1, end))
+    return out
+
+
 def _solid(word: str, at: int) -> list[tuple[int, int, int]]:
     """Parts within one run of characters that are not white space."""
     out = [(1, *m.span()) for m in ACCESS.finditer(word) if len(m[0]) >= LEAST["access"]]
     out += [(2, *m.span()) for m in HEX.finditer(word) if len(m[0]) >= LEAST["hex"]]
-    taken = [(s, e) for _, s, e in out]
-    out += [(4, s, e) for s, e in (m.span() for m in KEY.finditer(word)) if not any(s < f and b < e for b, f in taken)]
-    if ":" in word:
-        out += [(5, *m.span()) for m in ADDRESS.finditer(word)]
+    taken = sorted((s, e) for _, s, e in out)
+    starts, ends = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
+    out += [(4, s, e) for s, e in (m.span() for m in KEY.finditer(word)) if ends[bisect_left(starts, e)] <= s]
+    out += [(5, s, e) for s, e in addresses(word)]
     return [(k, s + at, e + at) for k, s, e in out]
 
 
