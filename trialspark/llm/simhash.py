@@ -23,8 +23,8 @@ Buckets of that index give no pairs by the square: first every member meets the
 bucket's smallest, and what that links is contracted; then members of different
 components meet, in buckets of ``CROWD`` or fewer.  Members of larger buckets with
 more than one component (texts with a common boilerplate) are joined exactly: two sets at similarity s share one of the first (1 - s) of their shingles, the
-rarest first.  What is still crowded there is cut by more minwise hashes, and the
-rest of that, if any, meets whole.
+rarest first.  What is still crowded there is cut by more minwise hashes and meets
+whole.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ TABLES = 4
 #: Components of a bucket that meet each other; a larger bucket is cut.
 CROWD = 32
 #: Minwise hashes by which what is still crowded is cut, and in how many ways: a pair that agrees in 19 of 24 meets with probability 0.98.
-CUTS = ((9, 57), (12, 215))
+CUT, WAYS = 12, 215
 #: Shingles of a row; a longer set is compared in ``SLICES`` parts by hash.
 LONG = 1 << 16
 SLICES = 64
@@ -181,55 +181,54 @@ def _sketches(slim: DataFrame, k: int) -> DataFrame:
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
-    """(key, node): each segment of a signature with one of its hashes wild."""
-    return nodes.select("node", F.explode(F.expr(
+    """(key, node, size): each segment of a signature with one of its hashes wild."""
+    return nodes.select("node", "size", F.explode(F.expr(
         f"transform(sequence(0, {SEGMENT * TABLES - 1}), i -> xxhash64(i, slice(sig, i - i % {SEGMENT} + 1, i % {SEGMENT}), "
         f"slice(sig, i + 2, {SEGMENT - 1} - i % {SEGMENT})))")).alias("key"))
 
 
 def _rarest(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """(key, node): the rarest shingles of each set, of which similar sets share one; those of one set only are left out."""
+    """(key, node, size): the rarest shingles of each set, of which similar sets share one; those of one set only are left out."""
     each = keep(nodes.join(shingles, "node").select("node", F.explode("s").alias("key")), "crowd-shingles")
     many = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     ranked = each.join(many, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("shared"))
     # sets are cut into rows by hash where they are long, so sizes come from the nodes; shingles of one set only come first
     room = F.expr(f"size - ceil({similarity} * size - 1e-9) + 1 - (size - size(shared))")
     return (ranked.join(nodes.select("node", "size"), "node").withColumn("room", room).where("room > 0")
-            .select("node", F.explode(F.expr("slice(shared, 1, cast(room as int))")).alias("x")).select(F.col("x.key").alias("key"), "node"))
+            .select("node", "size", F.explode(F.expr("slice(shared, 1, cast(room as int))")).alias("x")).select(F.col("x.key").alias("key"), "node", "size"))
 
 
 def _meetings(buckets: DataFrame, roots: DataFrame, most: int, exact: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of members of a bucket that are of different components.
+    """(a, b, size_a, size_b): pairs of members of a bucket that are of different components.
 
     All such pairs of a small bucket; of a larger one, with up to ``most``
-    components, those of one member a component.  Also (key, node): the members
+    components, those of one member a component.  Also (key, node, size): the members
     of buckets with more components, or with ``exact`` of all larger buckets
     that hold more than one.
     """
-    held = keep(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-members")
-    ones = held.groupBy("key", "root").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
-    ones = keep(ones, "bucket-components")
+    held = keep(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "bucket-members")
+    ones = held.groupBy("key", "root").agg(F.min(F.struct("node", "size")).alias("m"), F.count(F.lit(1)).alias("n"))
+    ones = keep(ones.select("key", "root", "m.node", "m.size", "n"), "bucket-components")
     sizes = keep(ones.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1"), "bucket-sizes")
     small = F.col("members") <= CROWD
 
     def across(members: DataFrame, some: F.Column) -> DataFrame:
-        few = members.select("key", "root", "node").join(sizes.where(some).select("key"), "key")
+        few = members.select("key", "root", "node", "size").join(sizes.where(some).select("key"), "key")
         return (few.alias("x").join(few.alias("y"), "key").where("x.root < y.root")
-                .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+                .selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b", "if(x.node < y.node, x.size, y.size) AS size_a", "if(x.node < y.node, y.size, x.size) AS size_b"))
 
     pairs = across(held, small).unionByName(across(ones, ~small & (F.col("roots") <= most))).distinct()
     crowded = ~small & ((F.col("roots") > most) | F.lit(exact))
-    return pairs, held.select("key", "node").join(sizes.where(crowded).select("key"), "key", "left_semi")
+    return pairs, held.select("key", "node", "size").join(sizes.where(crowded).select("key"), "key", "left_semi")
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar.
+def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of pairs (a, b, size_a, size_b) whose sets of shingles are similar.
 
     The row of a text with many partners is copied, so that its pairs are dealt
     to several tasks; long sets meet part by part.
     """
-    of = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
-    sized = (pairs.join(of("a"), "a").join(of("b"), "b").withColumn("large", F.greatest("size_a", "size_b"))
+    sized = (pairs.withColumn("large", F.greatest("size_a", "size_b"))
              .where(F.least("size_a", "size_b") >= F.lit(similarity) * F.col("large"))
              .withColumn("part", F.explode(F.expr(f"if(large > {LONG}, sequence(0, {SLICES - 1}), array(-1))"))))
     sized = keep(sized, "sized-pairs")
@@ -255,10 +254,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = keep(_sketches(slim, k), "sketches")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid"))
     nodes = keep(rows.groupBy("node").agg(head.alias("head"), F.first("size").alias("size"), F.first("sig").alias("sig")), "distinct-sets")
-    sizes = nodes.select("node", "size")
     index = keep(_variants(nodes.where("node <> 0")), "variants")
-    heads = keep(index.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "bucket-heads")
-    buckets = keep(index.join(heads, "key").select("key", "node", "first"), "buckets")
+    heads = keep(index.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "bucket-heads")
+    buckets = keep(index.join(heads, "key").select("key", "node", "size", "first"), "buckets")
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
@@ -276,25 +274,24 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("head._uid").alias("_uid"))
     shingles = keep(map_arrow(slim.select("_uid", "text").join(wanted.hint("merge"), "_uid").select("node", "text"), sets, "node long, part int, s array<long>, whole boolean"), "shingles")
 
-    stars = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    linked = keep(_verified(stars, sizes, shingles, similarity), "near-links")
+    stars = buckets.where("node <> first.node").selectExpr("first.node AS a", "node AS b", "first.size AS size_a", "size AS size_b").distinct()
+    linked = keep(_verified(stars, shingles, similarity), "near-links")
     roots = keep(components(linked), "near-roots")
-    pairs, crowd = _meetings(buckets.select("key", "node"), roots, CROWD, True)
-    for hashes, ways in ((0, 1), *CUTS, (0, 0)):
-        linked = keep(linked.unionByName(_verified(pairs, sizes, shingles, similarity)), "near-links")
-        crowd = keep(crowd.select("node").distinct(), "crowds")
-        if not ways or crowd.isEmpty():
-            break
+    pairs, crowd = _meetings(buckets.select("key", "node", "size"), roots, CROWD, True)
+    linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
+    crowd = keep(crowd.select("node", "size").distinct(), "crowd")
+    if not crowd.isEmpty():
         roots = keep(components(linked), "near-roots")
-        if hashes:
-            rng = np.random.default_rng(hashes)
-            picks = [rng.choice(SEGMENT * TABLES, hashes, replace=False).tolist() for _ in range(ways)]
+        pairs, crowd = _meetings(_rarest(crowd, shingles.where("whole").select("node", "s"), similarity), roots, CROWD, False)
+        linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
+        crowd = keep(crowd.select("node").distinct(), "crowd")
+        if not crowd.isEmpty():
+            rng = np.random.default_rng(CUT)
+            picks = [rng.choice(SEGMENT * TABLES, CUT, replace=False).tolist() for _ in range(WAYS)]
             keys = F.array(*(F.xxhash64(F.lit(n), *(F.col("sig")[j] for j in p)) for n, p in enumerate(picks)))
-            buckets = nodes.join(crowd, "node", "left_semi").select("node", F.explode(keys).alias("key"))
-        else:
-            buckets = _rarest(sizes.join(crowd, "node", "left_semi"), shingles.where("whole"), similarity)
-        most = 2**62 if hashes == CUTS[-1][0] else CROWD
-        pairs, crowd = _meetings(buckets, roots, most, False)
+            cut = nodes.join(crowd, "node", "left_semi").select("node", "size", F.explode(keys).alias("key"))
+            pairs, _ = _meetings(cut, roots, 2**62, False)
+            linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
     named = components(linked).withColumnRenamed("node", "n")
     rooted = nodes.join(named, nodes["node"] == named["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("head").alias("top"))
