@@ -20,7 +20,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,6 +31,8 @@ from trialspark.llm.common import keep, map_arrow
 from trialspark.sources.ingest import scratch_path
 
 PER_FILE = 500
+#: Bytes of records beyond which a file is closed.
+FILE_BYTES = 64 << 20
 #: Header fields by ARC version (fixed values).
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -118,13 +120,14 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, key)}>"
 
 
-def warc_record(kind: str, key: str, url: str, date: str, ip: str, head: bytes, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
-    """A WARC 1.1 record; a revisit keeps the HTTP header only."""
+def warc_record(kind: str, key: str, url: str, date: str, ip: str, head: bytes, payload: bytes, digest: str, refers_to: tuple[str, int | None] | None = None) -> bytes:
+    """A WARC 1.1 record; its id comes from ``key``, the place of its source.  A
+    revisit keeps the HTTP header only and names the key and page it refers to."""
     block = head if kind == "revisit" else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {iso(date)}", f"WARC-Target-URI: {url}",
              f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest_of(block)}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to or '')}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to[0])}", f"X-Refers-To-Page: {refers_to[1]}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
@@ -172,7 +175,29 @@ def unzip(data: bytes) -> bytes:
 
 
 def _write(rows: DataFrame, path: str, separator: str) -> None:
-    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    """One file per row."""
+    rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def _gather(rows: Iterator, first: Callable[[int], bytes], separator: bytes, record_of: Callable, size_of: Callable[[object], int]) -> Iterator[pa.RecordBatch]:
+    """Files of at most ``PER_FILE`` records and about ``FILE_BYTES`` bytes, each
+    with its first record; one value holds a file, and a task one file."""
+    made, out, size = 0, [], 0
+
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([separator.join(out)], pa.binary()).cast(pa.string())], names=["value"])
+
+    for row in rows:
+        if out and (len(out) > PER_FILE or size + size_of(row) > FILE_BYTES):
+            yield close()
+            out, size = [], 0
+        if not out:
+            out.append(first(made))
+            made += 1
+        out.append(record_of(row))
+        size += len(out[-1])
+    if out:
+        yield close()
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -188,17 +213,19 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     """ARC files of all pages; versions 1 and 2 in turn, file by file.  A null page is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, version = 0, 2
-        for batch in batches:
-            out = []
-            for i, u, h in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
-                if n % PER_FILE == 0:
-                    version = 3 - version
-                    out.append(arc_version_block(version, f"part-{n // PER_FILE}.arc"))
-                    n += 1
-                out.append(arc_record(version, u, http_block(i, (h.as_py() or "").encode())))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+        version = 2
+
+        def begin(made: int) -> bytes:
+            nonlocal version
+            version = 1 + made % 2
+            return arc_version_block(version, f"part-{made}.arc")
+
+        def records() -> Iterator[tuple[int | None, str | None, bytes]]:
+            for batch in batches:
+                for i, u, h in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
+                    yield (i, u, (h.as_py() or "").encode())
+
+        yield from _gather(records(), begin, b"\n", lambda r: arc_record(version, r[1], http_block(r[0], r[2])), lambda r: len(r[2]))
 
     slim = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     _write(slim.mapInArrow(run, "value string"), path, "\n")
@@ -233,25 +260,30 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = 0) -> Non
              .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")).alias("first"), F.count(F.lit(1)).alias("k"))
              .where("k > 1"))
     again = (index.join(first, ["digest", "bytes"]).where("path <> first.path OR offset <> first.offset")
-             .groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("offset", F.struct(F.col("first.page_id").alias("page"))))).alias("again")))
+             .groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("offset", F.struct(F.col("first.page_id").alias("page"), F.col("first.path").alias("path"), F.col("first.offset").alias("at"))))).alias("again")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            for name, content, again in zip(batch.column("path"), batch.column("content"), batch.column("again"), strict=True):
-                met = dict(again.as_py() or [])
-                out = []
-                for r in read_arc(unzip(content.as_py())):
-                    if n % PER_FILE == 0:
-                        out.append(warc_info(f"{name.as_py().rsplit('/', 1)[-1]}:{n}"))
-                        n += 1
-                    fields, head, payload = split_http(r.block)
-                    page = fields.get("x-page-id", f"{name.as_py()}:{r.offset}")
-                    kind, to = ("revisit", met[r.offset]["page"]) if r.offset in met else ("response", None)
-                    out.append(warc_record(kind, page, r.fields["URL"], r.fields["Archive-date"], r.fields["IP-address"], head, payload, digest_of(payload),
-                                           None if to is None else str(to)))
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+        source = ""
+
+        def begin(made: int) -> bytes:
+            return warc_info(f"{source}#{made}")
+
+        def records() -> Iterator[tuple[str, dict, ArcRecord]]:
+            nonlocal source
+            for batch in batches:
+                for name, content, again in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("again"), strict=True):
+                    source, met = name, dict(again.as_py() or [])
+                    for r in read_arc(unzip(content.as_py())):
+                        yield name, met, r
+
+        def converted(row: tuple[str, dict, ArcRecord]) -> bytes:
+            name, met, r = row
+            _, head, payload = split_http(r.block)
+            kind, to = ("revisit", met[r.offset]) if r.offset in met else ("response", None)
+            return warc_record(kind, f"{name}:{r.offset}", r.fields["URL"], r.fields["Archive-date"], r.fields["IP-address"], head, payload, digest_of(payload),
+                               None if to is None else (f"{to['path']}:{to['at']}", to["page"]))
+
+        yield from _gather(records(), begin, b"\r\n\r\n", converted, lambda row: len(row[2].block))
 
     files = _files(spark, arc).join(keep(again, "revisits"), "path", "left")
     _write(files.mapInArrow(run, "value string"), warc, "\r\n\r\n")

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import IS_SPACE, chunks, keep, map_arrow, mix, text_buffers, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
-#: Shorter items give one window of their whole length; below this they say too little to be told from chance.
+#: Shorter items give one window of their whole length; below this they say too
+#: little to be told from chance in a longer text, and count where they are a whole document.
 SHORTEST = 5
 #: Words of a window that must not be placeholders.
 LITERALS = 4
@@ -147,10 +148,11 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
             t = Templates(data[off[r]: off[r + 1]], np.array([0, off[r + 1] - off[r]]))
             words = len(t.row)
             k = min(window, words)
-            if k < SHORTEST:
+            if not words:
                 continue
+            short = words < SHORTEST
             more = {max(SHORTEST, (words - 1) // 2)} if window < words < 2 * window else set()
-            got = [(i, x, t.values(i, size, slot), size) for size in (k, *(more - {k})) for at, h, slot in t.forms(size)
+            got = [] if short else [(i, x, t.values(i, size, slot), size) for size in (k, *(more - {k})) for at, h, slot in t.forms(size)
                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             whole = not any(size == k for *_, size in got)
             if whole:
@@ -231,8 +233,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     words, or ``RUN`` consecutive words occur in the document with consistent
     slots (``occurrence``); ``coverage`` gives the share of windows, and ``kind`` is ``verbatim`` if all slot
     values agree and ``reparameterised`` if they were replaced throughout.
-    Null, empty and short texts match nothing; items under ``SHORTEST`` words
-    are not searched, and items with too few literal words only as exact copies.  Repeated documents and items are reported each (items by
+    Null and empty texts match nothing; items under ``SHORTEST`` words match
+    documents that hold nothing else, and items with too few literal words exact copies.  Repeated documents and items are reported each (items by
     id).  ``_uid`` numbers the rows of ``docs`` in their order.
     """
     spark = docs.sparkSession
@@ -249,9 +251,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         for lo, hi in chunks(off):
             t = Templates(data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo])
             base = np.searchsorted(t.row, np.arange(hi - lo))
+            words = np.bincount(t.row, minlength=hi - lo)
             for k, (at, h, slot) in itertools.chain(((k, form) for k in sizes for form in t.forms(k)), ((k, form) for k in exact for form in t.exact(k))):
                 low = h & np.uint64(BITMAP - 1)
                 hit = np.flatnonzero(table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                if k < SHORTEST:
+                    hit = hit[words[t.row[at[hit]]] == k]
                 for i, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
                     r = int(t.row[i])
                     for o, v in zip(out, (uid[lo + r].as_py(), ids[lo + r].as_py(), x, i - int(base[r]), t.values(i, k, slot), k), strict=True):

@@ -6,8 +6,9 @@ learned too, so a foreign word alone does not switch the language but a passage
 does.  Forward-backward gives each word's label probabilities; a text's score
 for a language is their mean.
 
-The model is fitted on the driver from at most ``SAMPLE`` labelled texts (about;
-chosen by a hash of the row) and ``SEGMENTS`` segments of each.  Segments of
+The model is fitted on the driver from about ``SAMPLE`` labelled texts, at least
+``LEAST`` of each language (all, if fewer), chosen by a hash of id and text, and
+``SEGMENTS`` segments of each.  Segments of
 different languages are joined to sequences, so that switches are seen.  Its
 size does not depend on the corpus; labelling runs where the texts are read.
 """
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import chunks, map_arrow, mix, text_buffers
 
 SAMPLE = 4000
+#: Texts of each language that are sampled even if it is rarer than that.
+LEAST = 150
 SEGMENTS = 3
 SEGMENT_WORDS = 24
 #: Hashed features.
@@ -83,7 +86,7 @@ class Model(NamedTuple):
     weights: np.ndarray  # (BUCKETS, labels)
     moves: np.ndarray  # (labels, labels), log scores
     start: np.ndarray
-    lexicon: dict[str, int]  # word -> bit set of the languages whose lists hold it
+    lexicon: dict[str, tuple[int, ...]]  # word -> languages whose lists hold it
     in_lexicon: np.ndarray  # (labels, labels): weight for label y of a word in the list of x
 
 
@@ -92,9 +95,16 @@ def emissions(model: Model, cores: list[str]) -> np.ndarray:
     f = features(cores)
     w, n = model.weights, len(model.langs)
     out = np.column_stack([np.bincount(f.word, w[f.index, y], minlength=len(cores)) for y in range(n)])
-    bits = np.array([model.lexicon.get(c, 0) for c in cores], np.int64)
-    member = (bits[:, None] >> np.arange(n)) & 1
-    return out + member @ model.in_lexicon
+    return out + members(model.lexicon, cores, n) @ model.in_lexicon
+
+
+def members(lexicon: dict[str, tuple[int, ...]], words: list[str], n: int) -> np.ndarray:
+    """(word, language): 1 where the language's list holds the word."""
+    out = np.zeros((len(words), n))
+    for i, w in enumerate(words):
+        if held := lexicon.get(w):
+            out[i, list(held)] = 1
+    return out
 
 
 def forward_backward(e: np.ndarray, mask: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,17 +147,17 @@ def fit(segments: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int =
     number = {y: i for i, y in enumerate(langs)}
     n = len(langs)
     seen = [Counter(itertools.chain.from_iterable(set(w) for y, w in segments if y == lang)) for lang in langs]
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for i, c in enumerate(seen):
         for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             if k > 1:
-                lexicon[w] = lexicon.get(w, 0) | 1 << i
+                lexicon[w] = (*lexicon.get(w, ()), i)
     words = sorted({w for _, ws in segments for w in ws})
     ids = {w: i for i, w in enumerate(words)}
     f = features(words)
     begin = np.searchsorted(f.word[np.argsort(f.word, kind="stable")], np.arange(len(words) + 1))
     by_word = f.index[np.argsort(f.word, kind="stable")]
-    member = ((np.array([lexicon.get(w, 0) for w in words], np.int64)[:, None] >> np.arange(n)) & 1).astype(float) if words else np.zeros((0, n))
+    member = members(lexicon, words, n)
     theta = [np.zeros((BUCKETS, n)), np.eye(n) * 2.0, np.zeros(n), np.zeros((n, n))]
     square = [np.full_like(x, 1e-3) for x in theta]
     for _ in range(epochs):
@@ -257,11 +267,18 @@ def _labeller(sent: Broadcast) -> Labeller:
 
 
 def sample_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> list[tuple[str, list[str]]]:
-    """Segments of about ``most`` labelled texts, from the whole length of each."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    n = labelled.count()
-    share = min(1.0, most / max(n, 1))
-    picked = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).drop("id")
+    """Segments of about ``most`` labelled texts, from the whole length of each.
+
+    Each language has a quota: its share of ``most``, ``LEAST`` at least.  Rows
+    are taken by a hash of id and text, and repeated rows once.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    total = max(sum(r["n"] for r in found), 1)
+    part = {r["lang"]: min(1.0, 1.05 * max(most * r["n"] / total, LEAST) / max(r["n"], 1)) for r in found}
+    shares = docs.sparkSession.createDataFrame([(y, int(p * (1 << 20)) + (p == 1.0)) for y, p in part.items()], "lang string, parts long")
+    picked = (labelled.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("parts"))
+              .groupBy("lang", "h").agg(F.first("text").alias("text")).drop("h"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs, lines = [], []
@@ -273,7 +290,7 @@ def sample_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 lines.append(" ".join(words[s: s + SEGMENT_WORDS]))
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(lines, pa.string())], names=["lang", "line"])
 
-    rows = map_arrow(picked, run, "lang string, line string").where("line <> ''").limit(2 * most * SEGMENTS).collect()
+    rows = map_arrow(picked, run, "lang string, line string").where("line <> ''").collect()
     return [(r["lang"], r["line"].split(" ")) for r in sorted(rows)]
 
 

@@ -152,9 +152,9 @@ def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
     both.  Secrets are assigned values, hex strings and bare keys; identifiers
     are access keys and user names.
     """
-    home = F.floor(F.col("start") / reach)
-    secrets = parts.where("kind in (0, 2, 4)").withColumn("bucket", home)
-    names = parts.where("kind in (1, 3)").withColumn("bucket", home)
+    homes = F.explode(F.expr(f"sequence(floor(start / {reach}), floor(end / {reach}))"))  # a long part stands in all buckets that it covers
+    secrets = parts.where("kind in (0, 2, 4)").withColumn("bucket", homes)
+    names = parts.where("kind in (1, 3)").withColumn("bucket", homes)
 
     def with_near(weak: DataFrame, other: DataFrame) -> DataFrame:
         asks = weak.withColumn("bucket", F.explode(F.expr(f"sequence(floor(start / {reach}) - 1, floor((end + {reach}) / {reach}))"))).alias("w")

@@ -180,11 +180,28 @@ def _sketches(slim: DataFrame, k: int) -> DataFrame:
     return map_arrow(slim, run, "_uid long, doc_id long, node long, size long, sig array<int>")
 
 
+def _keyed(nodes: DataFrame, picks: list[list[int]]) -> DataFrame:
+    """(node, size, key): one key of each signature for each choice of its hashes, told apart by the choice's number."""
+    wide = max(map(len, picks))
+    at = np.array([[*p, *[-1] * (wide - len(p))] for p in picks])
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sig = np.array(batch.column("sig").flatten()).view(np.uint32).astype(np.uint64).reshape(batch.num_rows, -1)
+        for lo in range(0, len(sig), 2000):
+            part = sig[lo: lo + 2000]
+            key = np.broadcast_to(mix(np.arange(1, len(at) + 1, dtype=np.uint64)), (len(part), len(at)))
+            for j in range(wide):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, at[:, j]] + np.uint64(1))
+            of = pa.array(np.repeat(np.arange(lo, lo + len(part)), len(at)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("size").take(of), pa.array(key.ravel().view(np.int64))], names=["node", "size", "key"])
+
+    return map_arrow(nodes.select("node", "size", "sig"), run, "node long, size long, key long")
+
+
 def _variants(nodes: DataFrame) -> DataFrame:
-    """(key, node, size): each segment of a signature with one of its hashes wild."""
-    return nodes.select("node", "size", F.explode(F.expr(
-        f"transform(sequence(0, {SEGMENT * TABLES - 1}), i -> xxhash64(i, slice(sig, i - i % {SEGMENT} + 1, i % {SEGMENT}), "
-        f"slice(sig, i + 2, {SEGMENT - 1} - i % {SEGMENT})))")).alias("key"))
+    """(node, size, key): each segment of a signature with one of its hashes wild."""
+    segments = [range(t, t + SEGMENT) for t in range(0, SEGMENT * TABLES, SEGMENT)]
+    return _keyed(nodes, [[i for i in s if i != wild] for s in segments for wild in s])
 
 
 def _rarest(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -288,8 +305,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         if not crowd.isEmpty():
             rng = np.random.default_rng(CUT)
             picks = [rng.choice(SEGMENT * TABLES, CUT, replace=False).tolist() for _ in range(WAYS)]
-            keys = F.array(*(F.xxhash64(F.lit(n), *(F.col("sig")[j] for j in p)) for n, p in enumerate(picks)))
-            cut = nodes.join(crowd, "node", "left_semi").select("node", "size", F.explode(keys).alias("key"))
+            cut = _keyed(nodes.join(crowd, "node", "left_semi"), picks)
             pairs, _ = _meetings(cut, roots, 2**62, False)
             linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
     named = components(linked).withColumnRenamed("node", "n")

@@ -179,10 +179,11 @@ def repeated(rows: DataFrame, keyed: Callable[..., Keys], blocks: int) -> DataFr
             out.append((int(b), False, uids.tobytes(), _narrow(doc), _narrow(pos[i]), h[i].tobytes(),
                         h2[i].tobytes() if wide else b"", met[i].tobytes()))
         again = np.flatnonzero(met)
+        spread = int(mix(np.asarray(uid[:1]).astype(np.uint64))[0]) % blocks if len(uid) else 0  # row numbers step by powers of two
         for n, i in enumerate(np.array_split(again, max(1, min(blocks, len(again) // 4096)))):
             if len(i):
                 uids, doc = np.unique(uid[row[i]], return_inverse=True)
-                out.append(((int(uid[0]) + n) % blocks, True, uids.tobytes(), _narrow(doc), _narrow(pos[i]), b"", b"", b""))
+                out.append(((spread + n) % blocks, True, uids.tobytes(), _narrow(doc), _narrow(pos[i]), b"", b"", b""))
         cols = list(zip(*out, strict=True))
         kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])

@@ -330,7 +330,7 @@ def _scorer(sent: Broadcast) -> Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
            most_toxic: int = TOXIC, most_clean: int = CLEAN) -> list[tuple[int, list[str]]]:
-    """(label, pieces) of about so many labelled texts.  An id with several labels is toxic if one of them is."""
+    """(label, pieces) of about so many labelled texts, one of an id.  An id with several labels is toxic if one of them is."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.join(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -344,7 +344,8 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         lines = ["\n".join(sorted(set(pieces_of(t.as_py())))) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lines, pa.string())], names=["y", "line"])
 
-    one = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
+    one = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
+    one = one.groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("y", F.col("m.text").alias("text"))
     rows = map_arrow(one.select("y", "text"), run, "y int, line string").distinct().collect()
     return [(r["y"], r["line"].split("\n") if r["line"] else []) for r in sorted(rows)]
 
