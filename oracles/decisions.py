@@ -205,6 +205,7 @@ SQL = {
         {r(f"avg(fires_{c}) FILTER (scenario IN ('clean_null', 'clean_win'))")} AS false_alarm_rate FROM k"""
         for n, c, s in (("Sample ratio", "sample_ratio", "srm_bug"), ("Novelty", "novelty", "novelty_only"), ("Power", "power", "underpowered"),
                         ("Outliers", "outliers", "whale_revenue"), ("Balance", "balance", "imbalanced_arms"))),
+    "clean_ship_rates": f"SELECT scenario, {r('verdict_ship')} AS ship_rate FROM ({CARD}) WHERE scenario IN ('clean_null', 'clean_win')",
     "scenario_shares": " UNION ALL ".join([_share_rows(None, "CAST(NULL AS DOUBLE)"), _share_rows("0.15e0", "0.15e0"), _share_rows("0.35e0", "0.35e0")]),
     "portfolio_draw": f"SELECT * EXCLUDE (q, rep) REPLACE ({r('lift')} AS lift), q AS quarter FROM {draws(None)}",
     "naive_decisions": LOG + f" SELECT quarter, exp, naive_ship, {r('naive_lift')} AS naive_lift, naive_how FROM log",

@@ -28,6 +28,7 @@ def with_msprt(source: str, by: str, tau2: str) -> str:
 TWO = f"""(SELECT * FROM {arm_counts(O, 'segment, day')} UNION ALL
   SELECT * FROM {arm_counts(f"(SELECT *, 'events' AS segment FROM {EVENTS})", 'segment, day')})"""
 LOOKS = looks(TWO, "segment")
+FIVE = looks(f"{arm_counts(f'(SELECT *, (unit_id % 5)::VARCHAR AS segment FROM {EVENTS})', 'segment, day')}", "segment")
 TAU2 = "pow(0.0025e0, 2)"
 
 
@@ -51,6 +52,7 @@ SQL = {
     "obf_boundaries": f"""SELECT segment, look, n AS n_looks, {r(f'{BY_LOOKS} * sqrt(n / look)')} AS boundary,
         abs(z) > {BY_LOOKS} * sqrt(n / look) AS crossed FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS n FROM {LOOKS})""",
     "msprt": f"SELECT segment, look, {r('mp')} AS msprt_p FROM {with_msprt(LOOKS, 'segment', TAU2)}",
+    "msprt_stream": f"SELECT segment, look, {r('mp')} AS msprt_p FROM {with_msprt(FIVE, 'segment', TAU2)}",
     "stopping_rules": f"SELECT * EXCLUDE (lift) FROM {stops(lifted_looks(40, ('0.3e0',)), 'lift, replay')}",
     "obf_calibration": f"""SELECT count(*) AS runs, {r('quantile_cont(s, 0.95)')} AS c_obf FROM
         (SELECT replay, max(abs(z) / sqrt(14.0 / look)) AS s FROM {lifted_looks(100, ('0e0',))} GROUP BY replay)""",

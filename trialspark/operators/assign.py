@@ -59,6 +59,8 @@ def hash_sample(units: DataFrame, rate: float, replay: int = 0) -> DataFrame:
 
 
 def _literal(field: str, value) -> str:
+    if value is None:
+        return f"CAST(NULL AS {'array<double>' if field == 'daily_base' else 'double'})"
     if isinstance(value, (list, tuple)):
         return "array(" + ", ".join(f"{float(v)!r}D" for v in value) + ")"
     if isinstance(value, str):
@@ -92,7 +94,7 @@ def inject(rows: DataFrame, effects: Collection[str], replay: str = "replay") ->
     its effects need, and ``base_rate`` / ``low_share``.  Effects:
     ``ramp`` lower treatment share in the first days; ``drop`` low-engagement
     treatment units are lost so that the given share of the arm is missing;
-    ``base`` outcomes are flipped to a baseline per day; ``lift`` and
+    ``base`` outcomes are flipped to a baseline per day (none, if it is NULL); ``lift`` and
     ``novelty`` turn non-converters of the treatment arm into converters
     (negative lifts undo conversions); ``whale`` multiplies some order values.
     """
@@ -111,8 +113,8 @@ def inject(rows: DataFrame, effects: Collection[str], replay: str = "replay") ->
         raised = f"converted = 1 OR {u('base')} * (1D - base_rate) < {target} - base_rate"
         lowered = f"converted = 1 AND {u('base')} * base_rate < {target}"
         rows = rows.withColumns({
-            "converted": F.expr(f"CASE WHEN {target} >= base_rate THEN CAST({raised} AS INT) ELSE CAST({lowered} AS INT) END"),
-            "base_rate": F.expr(target)})
+            "converted": F.expr(f"CASE WHEN {target} IS NULL THEN converted WHEN {target} >= base_rate THEN CAST({raised} AS INT) ELSE CAST({lowered} AS INT) END"),
+            "base_rate": F.expr(f"coalesce({target}, base_rate)")})
     if "lift" in effects or "novelty" in effects:
         lift = "lift"
         if "novelty" in effects:

@@ -7,14 +7,17 @@ short ordered windows per experiment.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.stats import div, exprs, num, pooled_z, z_crit
+from trialspark.sources.ingest import materialize
 
 COUNTS = ("conv_c", "n_c", "conv_t", "n_t")
 VARIANCE_FLOOR = 1e-12
@@ -78,6 +81,82 @@ def obf_boundary(c: float | str, look: str = "look", n_looks: int | str = "n_loo
     return f"({c if isinstance(c, str) else num(c)} * sqrt(CAST({n_looks} AS DOUBLE) / {look}))"
 
 
+def with_obf_constant(looks: DataFrame, n_looks: str = "n_looks", name: str = "c_obf", alpha: float = 0.05) -> DataFrame:
+    """The boundary's constant for each row's own number of looks.  The few
+    distinct numbers are solved in tasks and joined back."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{name: [obf_constant(int(k), alpha) for k in pdf["_looks"]]})
+
+    planned = looks.select(F.col(n_looks).cast("int").alias("_looks")).where("_looks > 0").distinct()
+    table = materialize(planned.mapInPandas(solve, f"_looks int, {name} double"), "obf-constants")
+    return looks.join(table, looks[n_looks] == table["_looks"], "left").drop("_looks")
+
+
+def spending_boundaries(fractions: Sequence[float], alpha: float = 0.05, points: int = 160) -> list[float]:
+    """Two-sided boundaries of z at the given information fractions (rising, up to
+    1) that spend ``alpha`` as an O'Brien-Fleming boundary does: on each side
+    2 - 2 Phi(z / sqrt(t)), z being the 1 - alpha / 4 quantile.
+
+    The score B = z sqrt(t) has independent increments of variance t_k - t_(k-1).
+    The density of scores that have not crossed is carried from look to look at
+    Gauss-Legendre nodes, and each boundary is found by bisection.
+    """
+    normal = NormalDist()
+    crit = normal.inv_cdf(1 - alpha / 4)
+    spent = lambda t: 4 - 4 * normal.cdf(crit / math.sqrt(t))
+    nodes, share = np.polynomial.legendre.leggauss(points)
+    tail = lambda x: 0.5 * np.vectorize(math.erfc)(x / math.sqrt(2))
+    out, at, weight, before, done = [], np.zeros(1), np.ones(1), 0.0, 0.0
+    for t in fractions:
+        step = t - before
+        if step <= 0:  # nothing new since the last look
+            out.append(out[-1] if out else math.inf)
+            continue
+        target, sd = spent(min(t, 1.0)) - done, math.sqrt(step)
+        leave = lambda c: float((weight * (tail((c - at) / sd) + tail((c + at) / sd))).sum())  # noqa: B023, E731
+        low, high = 0.0, 12.0 * math.sqrt(t)
+        for _ in range(70):
+            mid = (low + high) / 2
+            low, high = (mid, high) if leave(mid) > target else (low, mid)
+        out.append(high / math.sqrt(t))
+        x = high * nodes
+        density = np.exp(-((x[:, None] - at[None, :]) ** 2) / (2 * step)) @ weight / (sd * math.sqrt(2 * math.pi))
+        at, weight, before, done = x, density * high * share, t, done + leave(high)
+    return out
+
+
+def with_spending_boundary(looks: DataFrame, keys: Sequence[str], alpha: float = 0.05, planned: str | None = None) -> DataFrame:
+    """Looks with ``fraction``, the share of the planned information, and
+    ``boundary``, which spends ``alpha`` over the fractions the group really has.
+
+    Information is n_c n_t / (n_c + n_t); the plan is the column ``planned``, or
+    the group's last look.  A group's looks are few rows and are solved in one
+    task; looks before both arms have users carry no information and no boundary.
+    """
+    info = F.expr(f"CASE WHEN n_c > 0 AND n_t > 0 THEN CAST(n_c AS DOUBLE) * n_t / (n_c + n_t) END")
+    rows = looks.withColumn("_info", info).withColumn("_plan", F.col(planned).cast("double") if planned else F.lit(None).cast("double"))
+    rows = rows.withColumns({"fraction": F.lit(None).cast("double"), "boundary": F.lit(None).cast("double")})
+    known: dict[tuple[float, ...], list[float]] = {}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("look")
+        info, plan = pdf["_info"].to_numpy(float), pdf["_plan"].to_numpy(float)
+        whole = plan[0] if plan[0] > 0 else np.nanmax(info, initial=0.0)
+        if whole > 0:
+            t = np.minimum(info / whole, 1.0)
+            some = np.isfinite(t)
+            at = tuple(np.round(t[some], 9).tolist())
+            if at not in known:
+                known[at] = spending_boundaries(at, alpha)
+            pdf.loc[some, "fraction"] = t[some]
+            pdf.loc[some, "boundary"] = known[at]
+        return pdf
+
+    return rows.groupBy(*keys).applyInPandas(solve, rows.schema).drop("_info", "_plan")
+
+
 def with_msprt(looks: DataFrame, tau: float | str, keys: Sequence[str] = (), order: str = "look",
                name: str = "msprt_p") -> DataFrame:
     """Always-valid p value of a normal-mixture sequential ratio test: running

@@ -86,14 +86,19 @@ def _cut_points(scenarios: Mapping[str, Mapping], true_win_share: float | None)
 
 
 def portfolio_draw(rows: DataFrame, scenarios: Mapping[str, Mapping] = SCENARIOS, *,
-                   n_experiments: int = N_EXPERIMENTS, true_win_share: float | None = None, seed: int = 1) -> DataFrame:
+                   n_experiments: int = N_EXPERIMENTS, true_win_share: float | None = None, seed: int = 1,
+                   true_win_shares: Sequence[float] = ()) -> DataFrame:
     """Repeat rows over the experiments of their quarter and draw a scenario and
-    a true lift for each (quarter, experiment)."""
+    a true lift for each (quarter, experiment).  With ``true_win_shares`` an
+    experiment stands once for each scenario that it has under any of them."""
     df = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_experiments - 1))).alias("exp"))
     df = df.withColumn("_code", unit_code(F.col("quarter").cast("bigint") * n_experiments + F.col("exp")))
     fields = [{"scenario": n, **{f: s.get(f, v) for f, v in CATALOG_DEFAULTS.items()}} for n, s in scenarios.items()]
     df = df.selectExpr("*", f"{uniform_sql('label', seed, '_code')} AS _us", f"{uniform_sql('lift', seed, '_code')} AS _ul")
     pick = nested_level("_us", _cut_points(scenarios, true_win_share))
+    if true_win_shares:
+        picks = ", ".join(nested_level("_us", _cut_points(scenarios, x)) for x in true_win_shares)
+        df, pick = df.selectExpr("*", f"explode(array_distinct(array({picks}))) AS _pick"), "_pick"
     df = df.withColumn("_s", F.expr(f"element_at({scenario_rows(fields)}, {pick} + 1)"))
     plain = [f for f in CATALOG_DEFAULTS if f not in ("lift_lo", "lift_hi")]
     df = df.selectExpr(*rows.columns, "exp", "_s.lift_lo + (_s.lift_hi - _s.lift_lo) * _ul AS lift", "_s.scenario AS scenario",
@@ -117,7 +122,7 @@ TRUTH = ("scenario", "lift", "true_win")
 
 def experiment_cells(rows: DataFrame, keys: Sequence[str] = EXP) -> DataFrame:
     """The one aggregation: counts and revenue moments per experiment, day, segment."""
-    return day_moments(rows, [*keys, *TRUTH, "segment"], ["revenue"])
+    return day_moments(rows, [*keys, *(c for c in TRUTH if c not in keys), "segment"], ["revenue"])
 
 
 def _sum_counts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -160,7 +165,7 @@ def decision_log(units: DataFrame, *, keys: Sequence[str] = EXP, planned_mde_rel
     """Decisions of both analysts next to the truth, one row per experiment."""
     keys = list(keys)
     cells = materialize(experiment_cells(experiment_rows(units, **draw), keys), "audit-cells")
-    truth = cells.groupBy(*keys).agg(*[F.first(c).alias(c) for c in TRUTH])
+    truth = cells.groupBy(*keys).agg(*[F.first(c).alias(c) for c in TRUTH if c not in keys])
     return (truth.join(naive_decisions(cells, keys), keys)
             .join(rigorous_decisions(cells, keys, planned_mde_rel), keys)
             .withColumnRenamed("lift", "true_lift"))
@@ -248,11 +253,18 @@ def worst_case_rerun(log: DataFrame, economics: Mapping[str, float] = ECONOMICS)
 
 
 def share_sensitivity(units: DataFrame, shares: Sequence[float] = (0.15, 0.35), **draw) -> DataFrame:
-    """Audit medians for other shares of true wins."""
-    logs = None
-    for s in shares:
-        log = decision_log(units, true_win_share=s, **draw).withColumn("true_win_share", F.lit(s))
-        logs = log if logs is None else logs.unionByName(log)
+    """Audit medians for other shares of true wins.
+
+    The shares only change which scenario an experiment draws, so each drawn
+    scenario is randomized and counted once and serves every share that has it.
+    """
+    seed, n = draw.get("seed", 1), draw.get("n_experiments", N_EXPERIMENTS)
+    scenarios = draw.get("scenarios", SCENARIOS)
+    log = decision_log(units, keys=(*EXP, "scenario"), true_win_shares=tuple(shares), **draw)
+    log = log.withColumn("_code", unit_code(F.col("quarter").cast("bigint") * n + F.col("exp"))).withColumn("_us", F.expr(uniform_sql("label", seed, "_code")))
+    names = ", ".join(f"'{x}'" for x in scenarios)
+    drawn = ", ".join(f"named_struct('true_win_share', {float(x)!r}D, '_drawn', element_at(array({names}), {nested_level('_us', _cut_points(scenarios, x))} + 1))" for x in shares)
+    logs = log.selectExpr("*", f"inline(array({drawn}))").where("_drawn = scenario").drop("_code", "_us", "_drawn")
     summary = audit_summary(quarter_score(logs, ["true_win_share"]), ["true_win_share"])
     of = lambda who, c: F.max(F.when(F.col("analyst") == who, F.col(f"{c}_median")))
     return summary.groupBy("true_win_share").agg(*[

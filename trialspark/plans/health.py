@@ -215,6 +215,11 @@ def detection_rates(card: DataFrame) -> DataFrame:
     return card.agg(*aggs).selectExpr(f"inline(array({cells}))")
 
 
+def clean_ship_rates(card: DataFrame) -> DataFrame:
+    """How often clean wins and clean nulls are shipped, from a report card."""
+    return card.where(F.col("scenario").isin(*CLEAN)).select("scenario", F.col("verdict_ship").alias("ship_rate"))
+
+
 def report_card(report: DataFrame, scenario: str = "scenario") -> DataFrame:
     """Firing rate per check and share of verdicts per scenario."""
     fires = {1: "sample_ratio", 5: "novelty", 3: "power", 6: "outliers", 7: "balance"}

@@ -11,7 +11,7 @@ from trialspark.operators.groupstats import attach
 from trialspark.plans import audit, health
 from trialspark.reports import tidy
 from trialspark.sources.ingest import materialize
-from trialspark.sources.units import coded_orders, day_number, spread, table, with_code
+from trialspark.sources.units import coded_orders, unit_table
 
 N_EXPERIMENTS = 40
 CHECKED = ("converted", "visit", "engaged")
@@ -27,10 +27,9 @@ PREPARED = ("unit_id", "code", "day", "converted", "visit", "engaged", "amount",
 
 
 def prepared_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined, coded units with their base rates, written once: the several
-    passes over repeated units then read a narrow table instead of joining anew."""
+    """Coded units of the laid-out table with their base rates."""
     units = coded_orders(spark, sf_dir, customers=True).select(*PREPARED)
-    return materialize(attach(units, assign.base_rates(units), ()), "units")
+    return attach(units, assign.base_rates(units), ())
 
 
 def many_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,10 @@ def checker_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(health.detection_rates(_card(spark, sf_dir)))
 
 
+def clean_ship_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(health.clean_ship_rates(_card(spark, sf_dir)))
+
+
 def checker_report_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(_card(spark, sf_dir))
 
@@ -112,15 +115,9 @@ AUDIT_MDE = 0.20
 def audit_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by period of arrival; a finished order is a conversion and a
     pending one has low engagement."""
-    orders = table(spark, sf_dir, "orders")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    day = day_number(F.col("o_orderdate"), "1995-01-01")
-    units = with_code(orders.join(cust, orders.o_custkey == cust.c_custkey).select(
-        F.col("o_orderkey").alias("unit_id"), F.floor(day / PERIOD_DAYS).cast("int").alias("quarter"),
-        F.pmod(day, F.lit(14)).cast("int").alias("day"), "segment", F.col("o_totalprice").alias("amount"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("converted"),
-        F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("engaged")))
-    return spread(units)
+    return unit_table(spark, sf_dir).where("known").select(
+        "unit_id", "code", F.floor(F.col("day_no") / PERIOD_DAYS).cast("int").alias("quarter"), "day", "segment", "amount",
+        F.when(F.col("order_status") == "F", 1).otherwise(0).alias("converted"), F.when(F.col("order_status") == "P", 0).otherwise(1).alias("engaged"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +193,6 @@ def share_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    health_checks, health_verdict, health_markdown, checker_report_card, checker_detection, scenario_shares, portfolio_draw,
+    health_checks, health_verdict, health_markdown, checker_report_card, checker_detection, clean_ship_rates, scenario_shares, portfolio_draw,
     naive_decisions, rigorous_decisions, decision_log, quarter_score, audit_summary, ship_rate_by_scenario,
     break_even_cost, cost_sensitivity, worst_case_rerun, share_sensitivity)}

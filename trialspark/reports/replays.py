@@ -34,17 +34,10 @@ INJECTED = (
 
 def inject_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every effect built into the orders, summed by scenario, day and arm."""
-    out = None
-    effects = {"lift": {"lift"}, "harm": {"lift"}, "novelty": {"lift", "novelty"}, "drop": {"drop"},
-               "whale": {"whale"}, "ramp": {"ramp"}, "sale": {"base"}}
-    units = _orders(spark, sf_dir)
-    for s in INJECTED:
-        rows = assign.inject(replay.over_scenarios(units, [s], 1), effects[s["scenario"]])
-        sums = rows.groupBy("scenario", "day", "arm").agg(
-            F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"),
-            F.sum("revenue").alias("revenue"))
-        out = sums if out is None else out.unionByName(sums)
-    return tidy(out, revenue=2)
+    grid = [{"lift": 0.0, **{k: v for k, v in assign.SCENARIO_DEFAULTS.items() if k != "treat_share"}, "daily_base": None, **s} for s in INJECTED]
+    rows = assign.inject(replay.over_scenarios(_orders(spark, sf_dir), grid, 1), {"lift", "novelty", "drop", "whale", "ramp", "base"})
+    return tidy(rows.groupBy("scenario", "day", "arm").agg(
+        F.count(F.lit(1)).alias("users"), F.sum("converted").alias("conversions"), F.sum("revenue").alias("revenue")), revenue=2)
 
 
 def peeking_by_looks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,46 @@ def _rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+_laid_out: dict[tuple, str] = {}
+
+
+def bucketed_table(df: DataFrame, label: str, by: str) -> DataFrame:
+    """Rows laid out once by bucket of a column, in a table of the session.
+
+    The same rows of the same unchanged files are written once per application
+    and then read in buckets: as many tasks as shuffles have, whatever the
+    splits of the source, and no exchange on the column.
+    """
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    fs_times = []
+    for f in files:
+        fs, where = _hadoop(spark, f)
+        fs_times.append(fs.getFileStatus(where).getModificationTime())
+    key = (spark.sparkContext.applicationId, label, tuple(files), tuple(fs_times), tuple(df.dtypes))
+    name = _laid_out.get(key)
+    if name is None or not spark.catalog.tableExists(name):
+        name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        root = scratch_path(spark, f"table-{label}")
+        _made[spark.sparkContext.applicationId].remove(root)  # stays until discard_tables
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", root).saveAsTable(name)
+        _laid_out[key] = name
+    return spark.table(name)
+
+
+def discard_tables(spark: SparkSession) -> int:
+    """Drop the bucketed tables of this application; returns how many there were."""
+    mine = [k for k in _laid_out if k[0] == spark.sparkContext.applicationId]
+    for k in mine:
+        name = _laid_out.pop(k)
+        if spark.catalog.tableExists(name):
+            path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+            spark.sql(f"DROP TABLE {name}")
+            _delete(spark, path)
+    return len(mine)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write an aggregate that several branches read, and read it back.
 

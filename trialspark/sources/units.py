@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialspark import CONTROL, TREATMENT
 from trialspark.functions.draws import salted_bucket, unit_code
+from trialspark.sources.ingest import bucketed_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,10 @@ def day_number(ts: Column, origin: str) -> Column:
 
 
 def order_units(spark: SparkSession, sf_dir: str, *, share: float = 0.5, salt: str = "fx1:",
-                customers: bool = False) -> DataFrame:
+                customers: bool = False, day_no: bool = False) -> DataFrame:
     """One row per order.  ``customers`` adds the segment and the covariates, at
-    the price of a join; leave it off when they are not needed."""
+    the price of a join; leave it off when they are not needed.  ``day_no`` adds
+    the days since the first one."""
     orders = table(spark, sf_dir, "orders")
     urgent = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")
     if customers:
@@ -44,6 +46,7 @@ def order_units(spark: SparkSession, sf_dir: str, *, share: float = 0.5, salt: s
         salted_arm(salt, F.col("o_orderkey"), share).alias("arm"),
         F.pmod(day, F.lit(14)).cast("int").alias("day"),
         F.pmod(day, F.lit(56)).cast("int").alias("slot"),
+        *([day.alias("day_no")] if day_no else []),
         F.col("o_totalprice").alias("amount"),
         F.when(urgent, 1).otherwise(0).alias("converted"),
         F.when(urgent, F.col("o_totalprice")).otherwise(0.0).alias("revenue"),
@@ -120,7 +123,23 @@ def spread(units: DataFrame) -> DataFrame:
     return units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code")
 
 
-def coded_orders(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """Order units ready for replays."""
-    units = with_code(order_units(spark, sf_dir, **options))
-    return spread(units)
+def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded order units with all columns that studies use, laid out once per
+    application by bucket of the code.  ``known`` marks units with a customer."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    units = order_units(spark, sf_dir, day_no=True).join(cust, F.col("cluster_id") == F.col("c_custkey"), "left")
+    units = units.withColumnsRenamed({"c_mktsegment": "segment", "c_nationkey": "nation", "c_acctbal": "pre_x"}).withColumns(
+        {"known": F.col("c_custkey").isNotNull(), "x_strong": 0.5 * F.col("amount") + 10 * F.col("pre_x")}).drop("c_custkey")
+    return bucketed_table(with_code(units), "order-units", "code")
+
+
+def coded_orders(spark: SparkSession, sf_dir: str, customers: bool = False, **options) -> DataFrame:
+    """Order units ready for replays: the laid-out table, or, for another share
+    or salt of the arms, units dealt to as many tasks as shuffles have."""
+    if options:
+        return spread(with_code(order_units(spark, sf_dir, customers=customers, **options)))
+    units = unit_table(spark, sf_dir)
+    more = ("segment", "nation", "pre_x", "x_strong")
+    if customers:
+        return units.where("known").drop("day_no", "known")
+    return units.drop("day_no", "known", *more)
