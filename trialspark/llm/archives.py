@@ -179,8 +179,9 @@ def _write(rows: DataFrame, path: str, separator: str) -> None:
     rows.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-def _gather(rows: Iterator, first: Callable[[int], bytes], separator: bytes, record_of: Callable, size_of: Callable[[object], int]) -> Iterator[pa.RecordBatch]:
-    """Files of at most ``PER_FILE`` records and about ``FILE_BYTES`` bytes, each
+def _gather(rows: Iterator, first: Callable[[int], bytes], separator: bytes, record_of: Callable, size_of: Callable[[object], int],
+            limits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Files within ``limits`` (records, and bytes if there is more than one record), each
     with its first record; one value holds a file, and a task one file."""
     made, out, size = 0, [], 0
 
@@ -188,7 +189,7 @@ def _gather(rows: Iterator, first: Callable[[int], bytes], separator: bytes, rec
         return pa.RecordBatch.from_arrays([pa.array([separator.join(out)], pa.binary()).cast(pa.string())], names=["value"])
 
     for row in rows:
-        if out and (len(out) > PER_FILE or size + size_of(row) > FILE_BYTES):
+        if out and (len(out) > limits[0] or size + size_of(row) > limits[1]):
             yield close()
             out, size = [], 0
         if not out:
@@ -211,6 +212,7 @@ def _discard(spark: SparkSession, path: str) -> None:
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """ARC files of all pages; versions 1 and 2 in turn, file by file.  A null page is empty."""
+    limits = (PER_FILE, FILE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 2
@@ -225,7 +227,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
                 for i, u, h in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
                     yield (i, u, (h.as_py() or "").encode())
 
-        yield from _gather(records(), begin, b"\n", lambda r: arc_record(version, r[1], http_block(r[0], r[2])), lambda r: len(r[2]))
+        yield from _gather(records(), begin, b"\n", lambda r: arc_record(version, r[1], http_block(r[0], r[2])), lambda r: len(r[2]), limits)
 
     slim = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     _write(slim.mapInArrow(run, "value string"), path, "\n")
@@ -255,6 +257,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = 0) -> Non
     smallest page id (records without an id come last, repeated ids in file
     order) is a response, the others revisit it; other records are responses.
     """
+    limits = (PER_FILE, FILE_BYTES)
     index = keep(arc_index(spark, arc), "arc-index")
     first = (index.where(F.col("bytes") >= least).groupBy("digest", "bytes")
              .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")).alias("first"), F.count(F.lit(1)).alias("k"))
@@ -283,7 +286,7 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = 0) -> Non
             return warc_record(kind, f"{name}:{r.offset}", r.fields["URL"], r.fields["Archive-date"], r.fields["IP-address"], head, payload, digest_of(payload),
                                None if to is None else (f"{to['path']}:{to['at']}", to["page"]))
 
-        yield from _gather(records(), begin, b"\r\n\r\n", converted, lambda row: len(row[2].block))
+        yield from _gather(records(), begin, b"\r\n\r\n", converted, lambda row: len(row[2].block), limits)
 
     files = _files(spark, arc).join(keep(again, "revisits"), "path", "left")
     _write(files.mapInArrow(run, "value string"), warc, "\r\n\r\n")
