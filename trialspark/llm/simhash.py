@@ -181,9 +181,10 @@ def _sketches(slim: DataFrame, k: int) -> DataFrame:
 
 
 def _keyed(nodes: DataFrame, picks: list[list[int]]) -> DataFrame:
-    """(node, size, key): one key of each signature for each choice of its hashes, told apart by the choice's number."""
+    """The columns without ``sig``, and ``key``: one row for each choice of hashes, told apart by the choice's number."""
     wide = max(map(len, picks))
     at = np.array([[*p, *[-1] * (wide - len(p))] for p in picks])
+    names = [c for c in nodes.columns if c != "sig"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sig = np.array(batch.column("sig").flatten()).view(np.uint32).astype(np.uint64).reshape(batch.num_rows, -1)
@@ -193,15 +194,15 @@ def _keyed(nodes: DataFrame, picks: list[list[int]]) -> DataFrame:
             for j in range(wide):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, at[:, j]] + np.uint64(1))
             of = pa.array(np.repeat(np.arange(lo, lo + len(part)), len(at)))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("size").take(of), pa.array(key.ravel().view(np.int64))], names=["node", "size", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in names), pa.array(key.ravel().view(np.int64))], names=[*names, "key"])
 
-    return map_arrow(nodes.select("node", "size", "sig"), run, "node long, size long, key long")
+    return map_arrow(nodes, run, ", ".join(f"{c} long" for c in [*names, "key"]))
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
     """(node, size, key): each segment of a signature with one of its hashes wild."""
     segments = [range(t, t + SEGMENT) for t in range(0, SEGMENT * TABLES, SEGMENT)]
-    return _keyed(nodes, [[i for i in s if i != wild] for s in segments for wild in s])
+    return _keyed(nodes.select("node", "size", "sig"), [[i for i in s if i != wild] for s in segments for wild in s])
 
 
 def _rarest(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -215,7 +216,12 @@ def _rarest(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFra
             .select("node", "size", F.explode(F.expr("slice(shared, 1, cast(room as int))")).alias("x")).select(F.col("x.key").alias("key"), "node", "size"))
 
 
-def _meetings(buckets: DataFrame, roots: DataFrame, most: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the component of their node."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _meetings(buckets: DataFrame, most: int, exact: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b, size_a, size_b): pairs of members of a bucket that are of different components.
 
     All such pairs of a small bucket; of a larger one, with up to ``most``
@@ -223,7 +229,7 @@ def _meetings(buckets: DataFrame, roots: DataFrame, most: int, exact: bool) -> t
     of buckets with more components, or with ``exact`` of all larger buckets
     that hold more than one.
     """
-    held = keep(buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "bucket-members")
+    held = keep(buckets.select("key", "node", "size", "root"), "bucket-members")
     ones = held.groupBy("key", "root").agg(F.min(F.struct("node", "size")).alias("m"), F.count(F.lit(1)).alias("n"))
     ones = keep(ones.select("key", "root", "m.node", "m.size", "n"), "bucket-components")
     sizes = keep(ones.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1"), "bucket-sizes")
@@ -294,19 +300,19 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     stars = buckets.where("node <> first.node").selectExpr("first.node AS a", "node AS b", "first.size AS size_a", "size AS size_b").distinct()
     linked = keep(_verified(stars, shingles, similarity), "near-links")
     roots = keep(components(linked), "near-roots")
-    pairs, crowd = _meetings(buckets.select("key", "node", "size"), roots, CROWD, True)
+    pairs, crowd = _meetings(_rooted(buckets.select("key", "node", "size"), roots), CROWD, True)
     linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
     crowd = keep(crowd.select("node", "size").distinct(), "crowd")
     if not crowd.isEmpty():
         roots = keep(components(linked), "near-roots")
-        pairs, crowd = _meetings(_rarest(crowd, shingles.where("whole").select("node", "s"), similarity), roots, CROWD, False)
+        pairs, crowd = _meetings(_rooted(_rarest(crowd, shingles.where("whole").select("node", "s"), similarity), roots), CROWD, False)
         linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
         crowd = keep(crowd.select("node").distinct(), "crowd")
         if not crowd.isEmpty():
             rng = np.random.default_rng(CUT)
             picks = [rng.choice(SEGMENT * TABLES, CUT, replace=False).tolist() for _ in range(WAYS)]
-            cut = _keyed(nodes.join(crowd, "node", "left_semi"), picks)
-            pairs, _ = _meetings(cut, roots, 2**62, False)
+            still = _rooted(nodes.join(crowd, "node", "left_semi").select("node", "size", "sig"), roots)
+            pairs, _ = _meetings(_keyed(still, picks), 2**62, False)
             linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
     named = components(linked).withColumnRenamed("node", "n")
     rooted = nodes.join(named, nodes["node"] == named["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
