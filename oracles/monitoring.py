@@ -1,6 +1,6 @@
 """Reference SQL of the sequential monitoring reports."""
 
-from oracles.parts import EVENTS, Z975, arm_counts, injected, orders, r, replays, z_expr
+from oracles.parts import EVENTS, Z975, arm_counts, injected, orders, p_norm, r, replays, z_expr
 from oracles.tables import CODED
 
 O = orders()
@@ -52,6 +52,9 @@ SQL = {
     "obf_boundaries": f"""SELECT segment, look, n AS n_looks, {r(f'{BY_LOOKS} * sqrt(n / look)')} AS boundary,
         abs(z) > {BY_LOOKS} * sqrt(n / look) AS crossed FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS n FROM {LOOKS})""",
     "msprt": f"SELECT segment, look, {r('mp')} AS msprt_p FROM {with_msprt(LOOKS, 'segment', TAU2)}",
+    "spent_error": f"""SELECT segment, look, {r('t')} AS fraction, {r('2 * ' + p_norm('(2.241402727604947 / sqrt(t))'))} AS spent FROM (
+        SELECT segment, look, info / max(info) OVER (PARTITION BY segment) AS t FROM (
+        SELECT segment, look, CASE WHEN nc > 0 AND nt > 0 THEN nc * nt / (nc + nt) END AS info FROM {LOOKS}))""",
     "msprt_stream": f"SELECT segment, look, {r('mp')} AS msprt_p FROM {with_msprt(FIVE, 'segment', TAU2)}",
     "stopping_rules": f"SELECT * EXCLUDE (lift) FROM {stops(lifted_looks(40, ('0.3e0',)), 'lift, replay')}",
     "obf_calibration": f"""SELECT count(*) AS runs, {r('quantile_cont(s, 0.95)')} AS c_obf FROM

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.functions.stats import two_sided_p
 from trialspark.operators import panels, replay, sequential
 from trialspark.reports import tidy
 from trialspark.sources import ingest
@@ -41,10 +43,11 @@ def obf_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out.select("segment", "look", "n_looks", "boundary", (F.abs("z") > F.col("boundary")).alias("crossed")))
 
 
-def spending_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries at the information each experiment really has at its looks."""
+def spent_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the planned information at each look an experiment really has, and the error that its boundary has spent by then."""
     out = sequential.with_spending_boundary(sequential.look_zscores(_looks(spark, sf_dir)), ["segment"])
-    return tidy(out.select("segment", "look", "fraction", "boundary", (F.abs("z") > F.col("boundary")).alias("crossed")), 5)
+    out = out.withColumn("_z", F.lit(NormalDist().inv_cdf(1 - 0.05 / 4)) / F.sqrt("fraction"))
+    return tidy(out.select("segment", "look", "fraction", (2 * two_sided_p("_z")).alias("spent")))
 
 
 def msprt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +84,5 @@ def msprt_tau_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(replay.msprt_tau_grid(coded_orders(spark, sf_dir), 40, rel_lift=0.3))
 
 
-QUERIES = {f.__name__: f for f in (cumulative_looks, look_zscores, obf_boundaries, spending_boundaries, msprt, msprt_stream, stopping_rules,
+QUERIES = {f.__name__: f for f in (cumulative_looks, look_zscores, obf_boundaries, spent_error, msprt, msprt_stream, stopping_rules,
                                    obf_calibration, msprt_tau_grid)}
