@@ -266,3 +266,19 @@ def test_wide_ancova_with_sixty_covariates(spark):
             e = y[rows, j] - z @ b
             v = inv @ (z.T * (e * e)) @ z @ inv * len(z) / (len(z) - k - 2)
             assert r(m).users == len(z) and np.isclose(r(m).effect, b[1], rtol=1e-6) and np.isclose(r(m).se, v[1, 1] ** 0.5, rtol=1e-6)
+
+
+def test_wide_ancova_leaves_its_sums_to_batches(spark):
+    """No filter repeats the columns' expressions, and both passes read Arrow batches; incomplete rows and null keys stay as they were."""
+    rng = np.random.default_rng(5)
+    rows = [("treatment" if a < 0.5 else "control", float(y), None if i % 9 == 0 else float(x), "g" if i % 4 else None) for i, (a, y, x) in enumerate(rng.random((200, 3)))]
+    df = spark.createDataFrame(rows, "arm string, y double, x double, k string").repartition(3)
+    out = adjust.ancova_wide(df.withColumn("z", F.expr("pmod(xxhash64(x), 7)")), ["y"], ["x", "z"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "atleastnnonnulls" not in plan.lower()
+    assert out.first().users == sum(x is not None for _, _, x, _ in rows)
+    keyed = {r.k: r for r in adjust.ancova_wide(df, ["y"], ["x"], ["k"]).collect()}
+    assert keyed["g"].users == sum(x is not None and k == "g" for _, _, x, k in rows) and keyed["g"].se > 0
+    assert keyed[None].users is None and keyed[None].effect is None
+    none = adjust.ancova_wide(df.where("x > 5"), ["y"], ["x"]).collect()
+    assert [(r.metric, r.users, r.se) for r in none] == [("y", None, None)]

@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialspark.functions.stats import norm_ppf, ratio, two_sided_p, with_welch
-from trialspark.operators.gram import gram
+from trialspark.operators.gram import gram, matrix
 from trialspark.operators.groupstats import attach
 from trialspark.operators.panels import arm_flags, arm_moments, covariate_moments
 from trialspark.operators.hypothesis import RESULT
@@ -95,7 +96,9 @@ def ancova_wide(units: DataFrame, metrics: Sequence[str], covariates: Sequence[s
     The small solve runs inside tasks, on one row per group.  With ``a`` the
     treatment row of the inverse normal matrix, the robust variance is the sum
     of (residual * a'z)^2, so pass 2 needs one more sum per metric, not a k x k
-    matrix.  Rows that miss a metric or a covariate do not count.
+    matrix.  Pass 2 multiplies Arrow batches too: as generated code, the sums over
+    all covariates are too long to be compiled.  Rows that miss a metric or a
+    covariate do not count.
     """
     _, is_t = arm_flags()
     names = ["_treat", *(f"_z{i}" for i in range(len(covariates)))]
@@ -104,41 +107,56 @@ def ancova_wide(units: DataFrame, metrics: Sequence[str], covariates: Sequence[s
     rows = units.select(
         *[F.col(f"`{c}`") for c in keys], F.when(is_t, 1.0).otherwise(0.0).alias("_treat"),
         *[F.col(f"`{c}`").cast("double").alias(f"_z{i}") for i, c in enumerate(covariates)],
-        *[F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(metrics)]).dropna(subset=[*names, *outcomes])
+        *[F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(metrics)])
     first = gram(rows, [*names, *outcomes], keys)
     vec = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[first.schema[key] for key in keys], T.StructField("_n", T.LongType()), T.StructField("_mean", vec),
-                           T.StructField("_vy", vec), T.StructField("_beta", T.ArrayType(vec)), T.StructField("_lev", vec)])
+    schema = T.StructType([*[first.schema[key] for key in keys], T.StructField("_n", T.LongType()), T.StructField("_fit", vec)])
     upper = np.triu_indices(k + m)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            beta, lev, spread = [], [], []
-            for n, flat in zip(pdf["_n"], pdf["_cross"]):
+            fits = []
+            for n, mean, flat in zip(pdf["_n"], pdf["_mean"], pdf["_cross"]):
                 full = np.zeros((k + m, k + m))
                 full[upper] = flat
                 full = (full + np.triu(full, 1).T) / n
                 inv = np.linalg.pinv(full[:k, :k], hermitian=True)
-                beta.append((full[k:, :k] @ inv).tolist())
-                lev.append((inv[0] / n).tolist())
-                spread.append(np.diag(full)[k:].tolist())
-            yield pdf.drop(columns=["_cross"]).assign(_vy=spread, _beta=beta, _lev=lev)[[f.name for f in schema.fields]]
+                fits.append(np.concatenate([mean, inv[0] / n, np.diag(full)[k:], (full[k:, :k] @ inv).ravel()]).tolist())
+            yield pdf.assign(_fit=fits)[[f.name for f in schema.fields]]
 
     fitted = attach(rows, first.mapInPandas(solve, schema), keys)
-    lever = F.lit(0.0)
-    for i, z in enumerate(names):
-        lever = lever + F.col("_lev")[i] * (F.col(z) - F.col("_mean")[i])
-    fitted = fitted.withColumn("_l", lever)
-    cells = []
-    for j, y in enumerate(outcomes):
-        resid = F.col(y) - F.col("_mean")[k + j]
-        for i, z in enumerate(names):
-            resid = resid - F.col("_beta")[j][i] * (F.col(z) - F.col("_mean")[i])
-        fitted = fitted.withColumn(f"_e{j}", resid)
-        e = F.col(f"_e{j}")
-        cells.append(F.struct(F.lit(metrics[j]).alias("metric"), F.max(F.col("_beta")[j][0]).alias("effect"), F.max(F.col("_vy")[j]).alias("_vy"),
-                              F.sum(e * e * F.col("_l") * F.col("_l")).alias("_meat"), F.avg(e * e).alias("_mse")))
-    out = fitted.groupBy(*keys).agg(F.max("_n").alias("users"), F.array(*cells).alias("_cells")).select(*keys, "users", F.inline("_cells"))
+    cells = [(f"_effect{j}", f"_vy{j}", f"_meat{j}", f"_sse{j}") for j in range(m)]
+    sums = T.StructType([*[fitted.schema[key] for key in keys], T.StructField("_n", T.LongType()), T.StructField("_rows", T.LongType()),
+                         *[T.StructField(c, T.DoubleType()) for cell in cells for c in cell]])
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of squares of a batch without keys, of a row with keys."""
+        for batch in batches:
+            x = matrix(batch, [*names, *outcomes])
+            whole = ~np.isnan(x).any(axis=1)
+            if not whole.any():
+                continue
+            x, batch = x[whole], batch.filter(pa.array(whole))
+            at = np.arange(len(x)) if keys else np.zeros(1, np.int64)
+            lost = batch.column("_fit").is_null().to_numpy(zero_copy_only=False)  # a null key meets no fit
+            fit = np.full((len(x), 2 * (k + m) + k * m), np.nan)
+            fit[~lost] = batch.column("_fit").flatten().to_numpy().reshape(-1, fit.shape[1])
+            mean, lev, vy, beta = np.split(fit, np.cumsum([k + m, k, m]), axis=1)
+            x = x - mean
+            lever = (x[:, :k] * lev).sum(axis=1)
+            cols = [batch.column("_n").take(pa.array(at)), pa.array(np.diff(np.append(at, len(x))))]
+            for j in range(m):
+                own = beta[:, j * k: (j + 1) * k]
+                e = x[:, k + j] - (x[:, :k] * own).sum(axis=1)
+                parts = own[at, 0], vy[at, j], np.add.reduceat((e * lever) ** 2, at), np.add.reduceat(e * e, at)
+                cols += [pa.array(v, mask=lost[at]) for v in parts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *cols], names=sums.names)
+
+    summed = fitted.mapInArrow(squares, sums).groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
+        F.max("_n").alias("users"), F.sum("_rows").alias("_rows"), *[f(c).alias(c) for cell in cells for f, c in zip((F.max, F.max, F.sum, F.sum), cell, strict=True)])
+    lines = [F.struct(F.lit(metrics[j]).alias("metric"), F.col(effect).alias("effect"), F.col(vy).alias("_vy"), F.col(meat).alias("_meat"),
+                      ratio(F.col(sse), F.col("_rows")).alias("_mse")) for j, (effect, vy, meat, sse) in enumerate(cells)]
+    out = summed.select(*keys, "users", F.inline(F.array(*lines)))
     out = out.withColumn("se", F.sqrt(F.col("_meat") * ratio(F.col("users"), F.col("users") - (k + 1))))
     out = out.withColumn("z", ratio(F.col("effect"), F.col("se")))
     return out.select(*keys, "metric", "users", "effect", "se", two_sided_p("z").alias("p_value"),

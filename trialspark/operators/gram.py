@@ -40,17 +40,23 @@ def block_of(x: np.ndarray) -> Block:
     return len(x), mean, x.T @ x
 
 
+def matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Columns of doubles side by side; a missing value is NaN."""
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+
+
 def gram(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, _n, _mean, _cross): one row per group; ``_cross`` holds the upper
     triangle of the centred cross products row by row.
 
-    A row with a missing value in ``columns`` does not count.
+    A row with a missing value in ``columns`` does not count; tasks leave it out,
+    so that the scan computes each column once.
     """
     k = len(columns)
     upper = np.triu_indices(k)
     names = [f"_k{i}" for i in range(len(keys))]
     slim = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, names, strict=True)],
-                       *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]).dropna(subset=[f"_x{i}" for i in range(k)])
+                       *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     key_fields = [T.StructField(n, slim.schema[n].dataType) for n in names]
     vec = T.ArrayType(T.DoubleType())
     schema = T.StructType([*key_fields, T.StructField("_part", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_mean", vec), T.StructField("_cross", vec)])
@@ -67,10 +73,13 @@ def gram(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> D
         held: dict[tuple, tuple[list[pa.Scalar], Block]] = {}
         types: list[pa.DataType] = []
         for batch in batches:
-            if not batch.num_rows:
+            x = matrix(batch, [f"_x{i}" for i in range(k)])
+            whole = ~np.isnan(x).any(axis=1)
+            if not whole.any():
                 continue
+            if not whole.all():
+                x, batch = x[whole], batch.filter(pa.array(whole))
             types = [batch.column(n).type for n in names]
-            x = np.column_stack([batch.column(f"_x{i}").to_numpy() for i in range(k)])
             code = np.zeros(len(x), np.int64)
             for n in names:
                 index = pc.dictionary_encode(batch.column(n), null_encoding="encode").indices.to_numpy()
