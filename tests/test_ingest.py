@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialspark.reports import tables
 from trialspark.sources import ingest
 
 SCHEMA = T.StructType([T.StructField("arm", T.StringType()), T.StructField("converted", T.IntegerType()), T.StructField("day", T.IntegerType())])
@@ -84,3 +85,20 @@ def test_figures_come_from_the_write(spark, tmp_path):
     seen = ingest.write_validated(df.mapInArrow(count, df.schema), str(tmp_path / "t"))
     assert reads.value == 4
     assert seen == ingest.validate_units(df).first().asDict() == {"n_rows": 4, "missing": "", "covariates": "pre_x", "bad_arm": 2, "bad_converted": 2}
+
+
+def test_tables_are_replaced_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The validated tables are replaced file by file, not through the one task of a limit."""
+    spark.range(4000).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+                                 "TIMESTAMP '1995-01-01 00:00:00' + make_dt_interval(CAST(id % 90 AS INT)) AS o_orderdate", "'1-URGENT' AS o_orderpriority").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    replace, seen = ingest.create_or_replace_table, []
+
+    def watched(df, path, checks=None):
+        seen.append((checks is None, df._jdf.queryExecution().executedPlan().toString()))
+        return replace(df, path, checks)
+
+    monkeypatch.setattr(ingest, "create_or_replace_table", watched)
+    rows = {r.source: r.rows_read for r in tables.validate_on_write(spark, str(tmp_path)).collect()}
+    assert rows["raw_orders"] == rows["orders"] == 4000
+    again = [plan for bare, plan in seen if bare]
+    assert len(again) == 3 and not any("Limit" in plan for plan in again)

@@ -61,7 +61,7 @@ def validate_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, units in (("orders", order_units(spark, sf_dir)), ("three_arms", three_arm_units(spark, sf_dir).withColumnRenamed("label", "arm")), ("raw_orders", table(spark, sf_dir, "orders"))):
         path = ingest.scratch_path(spark, f"validated-{name}")
         seen = ingest.write_validated(units, path)
-        ingest.create_or_replace_table(spark.read.parquet(path).limit(2**31 - 1), path)
+        ingest.create_or_replace_table(spark.read.parquet(path), path)
         out.append((name, seen["n_rows"], seen["missing"], seen["bad_arm"], seen["bad_converted"], spark.read.parquet(path).count()))
     return tidy(spark.createDataFrame(out, "source string, n_rows long, missing string, bad_arm long, bad_converted long, rows_read long"))
 
