@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,23 @@ def test_odd_rows(spark):
 def test_chains_of_forms(spark):
     chain = spark.range(40).select(F.format_string("w%03d", F.col("id")).alias("word"), F.format_string("w%03d", F.col("id") + 1).alias("form"))
     assert {r.root for r in spelling.roots(chain).collect()} == {"w040"}
+
+
+def test_words_that_look_at_once_are_bounded_by_their_blocks(monkeypatch):
+    """One block of many words is searched in shares of bounded work, not of so many words."""
+    words = sorted({f"aa{i % 26 + 97:c}{i // 26 % 26 + 97:c}{i // 676 + 97:c}" for i in range(900)})
+    n = len(words)
+    batch = pa.RecordBatch.from_pydict({"word": words, "n": list(range(1, n + 1)), "m": pa.array([5] * n, pa.int32()), "lo": pa.array([2] * n, pa.int32()), "hi": pa.array([6] * n, pa.int32()), "h": [1] * n})
+    found, work, near_pairs = [], [], spelling.near_pairs
+
+    def watched(flat, off, begin, end, lo, ask, *more):
+        work.append(int((end - begin)[ask].sum()))
+        return near_pairs(flat, off, begin, end, lo, ask, *more)
+
+    for most in (5000, 1 << 20):
+        monkeypatch.setattr(spelling, "TOGETHER", most)
+        monkeypatch.setattr(spelling, "near_pairs", watched)
+        work.clear()
+        found.append(sorted(r for b in spelling._scan_blocks(iter([batch])) for r in zip(*b.to_pydict().values(), strict=True)))
+        assert max(work) <= most
+    assert found[0] == found[1] and {w: k for w, k, *_ in found[0]} == {w: c for w in words if (c := sum(near(w, v) for v in words))}

@@ -30,8 +30,8 @@ from trialspark.llm.pieces import ranges
 
 #: Words of a block beyond which its interval is cut.
 CROWD = 200_000
-#: Words that look for their neighbours at once; bounds the memory of a task.
-TOGETHER = 1 << 14
+#: Pairs of a word and a word of its block that are held at once (or one word's); bounds the memory of a task.
+TOGETHER = 1 << 20
 #: Distinct words counted before they go on.
 HELD = 200_000
 
@@ -75,30 +75,40 @@ def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     return (runs(docs, doc_id, text, least, every).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= times))
 
 
-def near_pairs(flat: np.ndarray, off: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): words j of the block of word i that are one edit from it, for each i in ``ask``.
+def _char(flat: np.ndarray, off: np.ndarray, word: np.ndarray, at: np.ndarray, void: int) -> np.ndarray:
+    """The code point at each place of a word, ``void`` outside; ``flat`` holds one code point more than the words."""
+    inside = (at >= 0) & (at < off[word + 1] - off[word])
+    return np.where(inside, flat[np.where(inside, off[word] + at, 0)], void)
 
-    Words are code points ``flat[off[i]: off[i + 1]]``, sorted within their block
-    [``begin``, ``end``); those of a block share their first ``lo`` code points.
-    """
-    n = len(off) - 1
-    length = np.diff(off)
-    padded = np.append(flat, 0)
 
-    def char(word: np.ndarray, at: np.ndarray, void: int) -> np.ndarray:
-        inside = (at >= 0) & (at < length[word])
-        return np.where(inside, padded[np.where(inside, off[word] + at, 0)], void)
-
-    # longest common prefix of neighbours beyond the block's own, by doubling the compared part away
+def common_prefixes(flat: np.ndarray, off: np.ndarray, begin: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Code points that a word shares with the one before it in its block, beyond the block's own; -1 for the first."""
+    n, padded = len(off) - 1, np.append(flat, 0)
     common = np.full(n, -1, np.int64)
     pair = np.flatnonzero(np.arange(n) > begin)
     depth = 0
     while len(pair):
         common[pair] = depth
         at = lo[pair] + depth
-        same = (char(pair, at, -1) == char(pair - 1, at, -2))
-        pair = pair[same]
+        pair = pair[_char(padded, off, pair, at, -1) == _char(padded, off, pair - 1, at, -2)]
         depth += 1
+    return common
+
+
+def near_pairs(flat: np.ndarray, off: np.ndarray, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, ask: np.ndarray,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): words j of the block of word i that are one edit from it, for each i in ``ask``.
+
+    Words are code points ``flat[off[i]: off[i + 1]]``, sorted within their block
+    [``begin``, ``end``); those of a block share their first ``lo`` code points.
+    """
+    length = np.diff(off)
+    padded = np.append(flat, 0)
+    if common is None:
+        common = common_prefixes(flat, off, begin, lo)
+
+    def char(word: np.ndarray, at: np.ndarray, void: int) -> np.ndarray:
+        return _char(padded, off, word, at, void)
 
     q, a, b = ask, begin[ask], end[ask]
     d0 = lo[q]
@@ -137,6 +147,15 @@ def near_pairs(flat: np.ndarray, off: np.ndarray, begin: np.ndarray, end: np.nda
     return np.concatenate(out_q), np.concatenate(out_x)
 
 
+def shares(work: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of at most ``most`` work together, or one larger item."""
+    upto, lo = np.cumsum(work), 0
+    while lo < len(work):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _first_difference(flat: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Place of the first difference of two words; words one edit apart only, -1 for others."""
     size = np.minimum(off[x + 1] - off[x], off[y + 1] - off[y])
@@ -171,8 +190,12 @@ def _scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = np.append(0, np.cumsum([len(w) for w in words]))
         length = np.diff(off)
         asking = np.flatnonzero(end - begin > 1)
-        for i in range(0, len(asking), TOGETHER):
-            q, x = near_pairs(flat, off, begin, end, lo, asking[i: i + TOGETHER])
+        common = common_prefixes(flat, off, begin, lo)
+        for i, j in shares((end - begin)[asking], TOGETHER):
+            # words of the blocks asked alone, so that a share costs no more than its blocks
+            a, b = int(begin[asking[i]]), int(end[asking[j - 1]])
+            q, x = near_pairs(flat[off[a]: off[b]], off[a: b + 1] - off[a], begin[a:b] - a, end[a:b] - a, lo[a:b], asking[i:j] - a, common[a:b])
+            q, x = q + a, x + a
             place = _first_difference(flat, off, q, x)
             mine = (np.minimum(length[q], length[x]) == m[q]) & (place >= lo[q]) & (place < hi[q])
             q, x = q[mine], x[mine]
