@@ -125,3 +125,26 @@ def test_long_sets_are_compared_in_parts(spark, monkeypatch):
     near, _ = all_pairs(rows)
     got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").checkpoint()).collect()}
     assert sum(got[rows[i][0]] == got[rows[j][0]] for i, j in near) >= 0.97 * len(near)
+
+
+def test_crowds_meet_block_by_block(spark, monkeypatch):
+    """Links of a crowd are all found, whatever the blocks, and components that fill blocks do not meet themselves."""
+    rng = np.random.default_rng(3)
+    sets = {}
+    for i in range(60):
+        base = rng.choice(4000, int(rng.integers(20, 60)), replace=False)
+        for j in range(3):
+            sets[3 * i + j + 1] = sorted({*base[j:].tolist(), *range(9000, 9100), 10_000 + 3 * i + j})
+    root = {n: 1 if n <= 30 else n for n in sets}
+    near = [(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and similar(set(sets[a]), set(sets[b]))]
+    assert len(near) > 100
+    want = brute.roots(max(sets) + 1, [*near, *((1, n) for n in range(2, 31))])
+    members = spark.createDataFrame([(n, len(s), root[n]) for n, s in sets.items()], "node long, size long, root long")
+    shingles = spark.createDataFrame(list(sets.items()), "node long, s array<long>").checkpoint()
+    for block, listed in ((1 << 20, 16), (1 << 10, 0), (1 << 11, 1000)):
+        for name, value in (("BLOCK", block), ("FEWEST", 50), ("LISTED", listed), ("COLUMNS", 7)):
+            monkeypatch.setattr(simhash, name, value)
+        links = {(r.a, r.b) for r in simhash._block_links(members, shingles, 0.8).collect()}
+        assert links <= set(near)
+        got = brute.roots(max(sets) + 1, [*links, *((1, n) for n in range(2, 31))])
+        assert {(got[a], got[b]) for a, b in near} == {(x, x) for x in {got[a] for a, _ in near}} and len(set(got)) == len(set(want))

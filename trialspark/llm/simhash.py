@@ -23,8 +23,9 @@ Buckets of that index give no pairs by the square: first every member meets the
 bucket's smallest, and what that links is contracted; then members of different
 components meet, in buckets of ``CROWD`` or fewer.  Members of larger buckets with
 more than one component (texts with a common boilerplate) are joined exactly: two sets at similarity s share one of the first (1 - s) of their shingles, the
-rarest first.  What is still crowded there is cut by more minwise hashes and meets
-whole.
+rarest first.  What is still crowded there meets whole, block by block: texts of
+like size are dealt to blocks, and a task counts the common shingles of all pairs
+of two blocks and passes on one link for two components.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import chunks, components, keep, map_arrow, mix, text_buffers, window_hashes, window_starts, word_hashes, word_spans
+from trialspark.llm.pieces import ranges
 
 BITS = 64
 #: Members beyond which a variant's bucket is linked through its one-bit neighbours.
@@ -48,8 +50,10 @@ SEGMENT = 6
 TABLES = 4
 #: Components of a bucket that meet each other; a larger bucket is cut.
 CROWD = 32
-#: Minwise hashes by which what is still crowded is cut, and in how many ways: a pair that agrees in 19 of 24 meets with probability 0.98.
-CUT, WAYS = 12, 215
+#: Shingles of a block of what is still crowded; a set counts for ``FEWEST`` at least.
+BLOCK, FEWEST = 1 << 20, 1 << 9
+#: Sets of a block up to which a shingle's pairs are listed; those of others are counted by products of ``COLUMNS`` shingles.
+LISTED, COLUMNS = 16, 1 << 12
 #: Shingles of a row; a longer set is compared in ``SLICES`` parts by hash.
 LONG = 1 << 16
 SLICES = 64
@@ -265,6 +269,80 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return shared.where(F.col("i") >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - F.col("i"))).select("a", "b")
 
 
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Numbers of shingles that each set of one block shares with each of another; a block is (shingle, set) of all its sets."""
+    (ta, oa), (tb, ob) = a, b
+    order = np.argsort(tb, kind="stable")
+    tb, ob = tb[order], ob[order]
+    first = np.searchsorted(tb, ta)
+    n = np.searchsorted(tb, ta, side="right") - first
+    out = np.zeros(shape[0] * shape[1], np.float32)
+    few = np.flatnonzero((n > 0) & (n <= LISTED))
+    for lo in range(0, len(few), BLOCK // 16):
+        part = few[lo: lo + BLOCK // 16]
+        out += np.bincount(np.repeat(oa[part], n[part]) * shape[1] + ob[ranges(first[part], n[part])], minlength=len(out)).astype(np.float32)
+    out = out.reshape(shape)
+    many = np.unique(ta[n > LISTED])
+    for lo in range(0, len(many), COLUMNS):
+        part = many[lo: lo + COLUMNS]
+        wide = []
+        for t, o, rows in ((ta, oa, shape[0]), (tb, ob, shape[1])):
+            at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            held = part[at] == t
+            x = np.zeros((rows, len(part)), np.float32)
+            x[o[held], at[held]] = 1
+            wide.append(x)
+        out += wide[0] @ wide[1].T
+    return out
+
+
+def _block_links(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between components of ``members`` (node, size, root), which all meet.
+
+    Sets of like size are dealt to blocks; a component that fills blocks has
+    blocks of its own, which do not meet each other.  Two components similar in
+    several pairs of a task give one link.
+    """
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(similarity))).cast("int")
+    sized = keep(members.select("node", "size", "root", level.alias("level"), F.greatest("size", F.lit(FEWEST)).alias("w")), "crowd-sizes")
+    own = sized.groupBy("level", "root").agg(F.sum("w").alias("w")).where(F.col("w") > BLOCK // 2).select("level", "root", F.lit(True).alias("own"))
+    sized = sized.join(own, ["level", "root"], "left").withColumn("own", F.when(F.col("own"), F.col("root")))
+    wide = sized.groupBy(F.col("level").alias("at"), F.col("own").alias("whose")).agg(F.ceil(F.sum("w") / BLOCK).alias("k"))
+    met = (F.col("level") == F.col("at")) & F.col("own").eqNullSafe(F.col("whose"))
+    dealt = keep(sized.join(wide, met).select("node", "size", "root", "level", "own", F.pmod(F.xxhash64("node"), F.col("k")).alias("part")), "crowd-dealt")
+    blocks = dealt.select("level", "own", "part").distinct().withColumn("block", F.xxhash64("level", "own", "part"))
+    blocks = keep(blocks, "crowd-blocks")
+    # sizes of similar sets are in one level or in levels that follow each other
+    near = blocks.select(F.col("block").alias("y"), F.col("own").alias("own_y"), F.col("level").alias("level_y"), F.explode(F.array(F.col("level"), F.col("level") - 1)).alias("level"))
+    pairs = (blocks.join(near, "level").where("(level < level_y OR block <= y) AND NOT coalesce(own = own_y, false)")
+             .select(F.col("block").alias("x"), "y"))
+    sides = keep(pairs.select("x", "y", F.explode(F.expr("if(x = y, array(struct(x AS block, 0 AS side)), array(struct(x AS block, 0 AS side), struct(y AS block, 1 AS side)))")).alias("s")).select("x", "y", "s.block", "s.side"), "crowd-pairs")
+    rows = dealt.withColumn("block", F.xxhash64("level", "own", "part")).join(shingles, "node").select("block", "node", "size", "root", "s").join(sides, "block")
+
+    def meet(t: pa.Table) -> pa.Table:
+        side, nodes, sizes, roots = (t.column(c).to_numpy() for c in ("side", "node", "size", "root"))
+        lists = t.column("s").combine_chunks()
+        tokens, of = np.asarray(lists.flatten()), np.repeat(np.arange(len(nodes)), np.asarray(lists.value_lengths()))
+        halves = []
+        for k in (0, int(side.max())):
+            mine = np.flatnonzero(side == k)
+            name, first, number = np.unique(nodes[mine], return_index=True, return_inverse=True)
+            place = np.full(len(nodes), -1)
+            place[mine] = number
+            held = place[of] >= 0
+            halves.append((name, sizes[mine][first], roots[mine][first], (tokens[held], place[of[held]])))
+        (na, sa, ra, a), (nb, sb, rb, b) = halves
+        both = _common(a, b, (len(na), len(nb))).astype(np.float64)
+        i, j = np.nonzero((both >= similarity * (sa[:, None] + sb[None, :] - both)) & (ra[:, None] != rb[None, :]))
+        if len(i):
+            ends = np.sort(np.column_stack([ra[i], rb[j]]), axis=1)
+            one = np.unique(ends, axis=0, return_index=True)[1]
+            i, j = i[one], j[one]
+        return pa.table({"a": pa.array(np.minimum(na[i], nb[j]), pa.int64()), "b": pa.array(np.maximum(na[i], nb[j]), pa.int64())})
+
+    return rows.groupBy("x", "y").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(_uid, doc_id, component_id, keeper), one row per row of ``docs``.
 
@@ -305,15 +383,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     crowd = keep(crowd.select("node", "size").distinct(), "crowd")
     if not crowd.isEmpty():
         roots = keep(components(linked), "near-roots")
-        pairs, crowd = _meetings(_rooted(_rarest(crowd, shingles.where("whole").select("node", "s"), similarity), roots), CROWD, False)
+        pairs, crowd = _meetings(_rooted(_rarest(crowd, shingles.where("whole").select("node", "s"), similarity), roots), CROWD, True)
         linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
         crowd = keep(crowd.select("node").distinct(), "crowd")
         if not crowd.isEmpty():
-            rng = np.random.default_rng(CUT)
-            picks = [rng.choice(SEGMENT * TABLES, CUT, replace=False).tolist() for _ in range(WAYS)]
-            still = _rooted(nodes.join(crowd, "node", "left_semi").select("node", "size", "sig"), roots)
-            pairs, _ = _meetings(_keyed(still, picks), 2**62, False)
-            linked = keep(linked.unionByName(_verified(pairs, shingles, similarity)), "near-links")
+            roots = keep(components(linked), "near-roots")
+            still = _rooted(nodes.join(crowd, "node", "left_semi").select("node", "size"), roots)
+            linked = keep(linked.unionByName(_block_links(still, shingles.where("whole").select("node", "s"), similarity)), "near-links")
     named = components(linked).withColumnRenamed("node", "n")
     rooted = nodes.join(named, nodes["node"] == named["n"], "left").select("node", "head", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("head").alias("top"))
