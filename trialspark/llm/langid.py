@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import chunks, map_arrow, mix, text_buffers
+from trialspark.llm.common import chunks, map_arrow, mix, remembered, text_buffers
 
 SAMPLE = 4000
 #: Texts of each language that are sampled even if it is rarer than that.
@@ -256,14 +256,8 @@ class Labeller:
         return [(k, np.concatenate(g) if g else none) for k, g in zip(kept, out, strict=True)]
 
 
-_labellers: dict[int, Labeller] = {}
-
-
 def _labeller(sent: Broadcast) -> Labeller:
-    if id(sent.value) not in _labellers:
-        _labellers.clear()
-        _labellers[id(sent.value)] = Labeller(sent.value)
-    return _labellers[id(sent.value)]
+    return remembered(("labeller", id(sent.value)), lambda: Labeller(sent.value))  # which holds the value
 
 
 def sample_segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> list[tuple[str, list[str]]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trialspark.llm.common import chunks, keep, map_arrow, parts, text_buffers
+from trialspark.llm.common import chunks, keep, map_arrow, parts, remembered, text_buffers
 
 LIMIT = 4096
 END_ID = 1
@@ -102,9 +102,6 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-_words: dict[str, WordIds] = {}
-
-
 def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """(_uid, doc_id, piece, start, length, ids_crc32[, ids]): pieces of at most ``limit`` ids.
 
@@ -113,7 +110,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = _words.get(path) or _words.setdefault(path, WordIds(path))
+        words = remembered(("words", path), lambda: WordIds(path))
         uids, ids, doc, piece, start, length, crc, held = (batch.column("_uid").to_pylist(), batch.column("doc_id").to_pylist(), [], [], [], [], [], [])
         uid = []
         end = np.array([END_ID], "<u4").tobytes()
