@@ -77,3 +77,56 @@ def test_token_counts_pass_on_what_is_much(spark, monkeypatch):
     got = lm.token_counts(spark.createDataFrame([(t,) for t in texts], "body string"), "body").collect()
     assert {bytes(r.token): r.n for r in got} == want and len(got) == len(want)
     assert lm.token_counts(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_every_token_is_learned_from(spark, monkeypatch):
+    """Parts hold each token once, and a pair of words that only one text has changes what is learned."""
+    monkeypatch.setattr(lm, "STEPS", 1)
+    monkeypatch.setattr(lm, "PART", 40)
+    monkeypatch.setattr(lm, "PIECE", 20_000)
+    rng = np.random.default_rng(6)
+    texts = [None, "", *(" ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 5000) for _ in range(500))]
+    n = sum(len(lm.words_of(t)) for t in texts)
+    parts = round(math.sqrt(n) / 40)
+    docs = lambda last: spark.createDataFrame([(t,) for t in [*texts, last]], "body string").repartition(7)
+    one, other = (lm.fit(docs(t), "body")[0] for t in ("left w1", "w1 left"))
+    assert parts > 8 and one.tokens == other.tokens == one.trained == other.trained == n + 3
+    assert one.words == other.words and not np.array_equal(one.contexts, other.contexts)
+    counts = lm.fit(docs("left w1"), "body")[1]
+    assert sum(r.n for r in counts.collect()) == one.trained
+
+
+def test_parts_hold_all_texts_in_their_order(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 300)
+    texts = [None, "", "b" * 400, *(" ".join(f"w{(i * k) % 11}" for k in range(i % 9)) for i in range(200)), "x w1 unknownword"]
+    words = [lm.END, *(f"w{i}".encode() for i in range(11))]
+    symbols, starts, _ = lm.lay_out([(w, 5) for w in words], 12, 4)
+    known = dict(zip(words, symbols.tolist(), strict=True))
+    coded = lm.write_symbols(spark.createDataFrame([(t,) for t in texts], "text string"), words, symbols, starts, 5).collect()
+    got = Counter()
+    for r in coded:
+        flat, size = np.frombuffer(r.symbols, lm.symbol_type(starts)), np.frombuffer(r.sizes, "<i4")
+        assert 0 <= r.part < 5 and size.sum() == len(flat)
+        got.update(tuple(x.tolist()) for x in np.split(flat, np.cumsum(size)[:-1]))
+    assert got == Counter(tuple(known.get(w, int(starts[lm.group_of(w, 4)])) for w in lm.words_of(t)) for t in texts)
+    assert len({r.part for r in coded}) == 5
+
+
+def test_rounds_take_every_part_once():
+    for parts in range(1, 70):
+        rounds = lm.rounds_of(parts)
+        assert [p for r in rounds for p in r] == list(range(parts)) and len(rounds) <= 2 + math.log2(parts)
+
+
+def test_the_words_before_are_those_of_the_same_text():
+    flat, size = np.array([3, 4, 9, 9, 5, 9, 9], np.int32), np.array([3, 1, 2, 1])
+    h1, h2 = lm.before(flat, size, 9)
+    assert h1.tolist() == [9, 3, 4, 9, 9, 5, 9] and h2.tolist() == [9, 9, 3, 9, 9, 9, 9]
+
+
+def test_sums_of_rows_two_columns_at_once():
+    rng = np.random.default_rng(7)
+    at, x = rng.integers(0, 9, 200), rng.normal(0, 1, (200, 6)).astype(np.float32)
+    keys, sums = lm._gather(at, x)
+    assert keys.tolist() == sorted(set(at.tolist()))
+    assert np.allclose(sums, [x[at == k].sum(axis=0) for k in keys], atol=1e-5)
